@@ -9,10 +9,12 @@ indexed once for each symbol that may be wrong, that symbol left out. The join o
 these keys returns every pair under that distance, and of the pairs further apart those
 whose errors leave any one chunk with at most one error.
 
-Signatures are drawn from runs of five words, as runs of three are too common for
-a key to be selective. Records of fewer than ``LONG`` words also have a signature of their
-runs of three words, and those of fewer than ``SHORT`` words only that one; a pair with one
-record on either side of both bounds differs too much in length to be alike. Pairs
+Signatures are drawn from the runs of four words that aren't popular: those that stand in
+``POPULAR`` of the records or more (furniture, stock phrases) make keys that select nothing,
+so they are counted over all records beforehand; there are at most a record's runs / POPULAR
+of them, which bounds the list that every task holds. A record whose runs are mostly popular has
+a signature of all its runs of three words instead, as has one of fewer than ``SHORT`` words; records near
+either bound have both, and a pair with one record beyond each end of it can't be alike. Pairs
 that agree in too few symbols are dropped, the others are verified on the whole sets of runs.
 Records of the same words are one class beforehand, so that a group of copies,
 however large, is one signature.
@@ -34,22 +36,22 @@ from pyspark.sql import functions as F
 from loomgraph.llm.words import WordHashes, mix, run_hashes, words
 from loomgraph.scratch import written
 
-CHUNK, CHUNKS, BITS = 4, 18, 16
+CHUNK, CHUNKS, BITS = 4, 16, 16
 SYMBOLS = CHUNK * CHUNKS
+RUN = 4
 SHORT, LONG = 40, 84
-#: Agreeing symbols that a pair must have. Of pairs at the threshold fewer than 1 in 10,000 have less: symbols of runs of
-#: five words at a similarity of 0.5 in runs of three (0.3 in runs of five), symbols of runs of three, and both at 0.8.
-LEAST_EQUAL = {0.5: (8, 18), 0.8: (42, 42)}
+POPULAR, RARE_LOW, RARE_HIGH = 0.005, 0.3, 0.5
+#: Agreeing symbols that a pair of either similarity must have, of its runs of four words and of its runs of three.
+LEAST_EQUAL = {0.5: (9, 15), 0.8: (30, 36)}
 _RNG = np.random.RandomState(20240229)
 _A = (_RNG.randint(0, 2**63, SYMBOLS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _RNG.randint(0, 2**63, SYMBOLS).astype(np.uint64)
 
 
-def signatures(lists: list[list[bytes]], run: int, cache: WordHashes) -> list[bytes | None]:
-    """The signature of each list of words, None for one that is shorter than a run."""
-    h, runs = run_hashes(lists, run, cache)
+def _minima(h: np.ndarray, runs: np.ndarray) -> list[bytes | None]:
+    """The signature of each list of runs, None for an empty one; h: the hashes of all lists, runs: how many each has."""
     have = np.flatnonzero(runs)
-    out: list[bytes | None] = [None] * len(lists)
+    out: list[bytes | None] = [None] * len(runs)
     if len(have):
         sig = np.empty((len(have), SYMBOLS), dtype=np.uint16)
         starts = (np.cumsum(runs) - runs)[have]
@@ -60,30 +62,63 @@ def signatures(lists: list[list[bytes]], run: int, cache: WordHashes) -> list[by
     return out
 
 
-def _canonical(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     cache = WordHashes()
+    for f in frames:
+        runs = [np.empty(0, dtype=np.uint64)]
+        for at in range(0, len(f), 512):
+            h, n = run_hashes([words(t) for t in f["text"].iloc[at : at + 512]], RUN, cache)
+            runs.append(h)
+        run, n = np.unique(np.concatenate(runs), return_counts=True)
+        often = n >= max(2, POPULAR / 2 * len(f))
+        yield pd.DataFrame({"run": np.append(run[often].view(np.int64), 0), "n": np.append(n[often], 0), "records": np.append(np.zeros(often.sum(), dtype=np.int64), len(f))})
+
+
+def popular_runs(records: DataFrame) -> np.ndarray:
+    """Sorted hashes of the runs of four words that stand in ``POPULAR`` of all records or more (counted where a batch has them often)."""
+    counts = written(records.select("text").mapInPandas(_counted, "run long, n long, records long").groupBy("run").agg(F.sum("n").alias("n"), F.sum("records").alias("records")), "runs")
+    total = counts.agg(F.sum("records")).first()[0] or 0
+    rows = counts.where((F.col("n") >= POPULAR * total) & (F.col("n") > 1)).select("run").toPandas()
+    return np.sort(rows["run"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def _canonical(frames: Iterator[pd.DataFrame], popular: np.ndarray) -> Iterator[pd.DataFrame]:
+    cache = WordHashes()
+    slots = np.zeros(1 << 20, dtype=bool)
+    slots[popular >> np.uint64(44)] = True
     for f in frames:
         for at in range(0, len(f), 512):
             part = f.iloc[at : at + 512]
             lists = [words(t) for t in part["text"]]
             keep = [len(x) >= 3 for x in lists]
             ids, lists = part["id"].to_numpy()[keep], [x for x, k in zip(lists, keep) if k]
+            h, runs = run_hashes(lists, RUN, cache)
+            rare = ~slots[h >> np.uint64(44)]
+            maybe = np.flatnonzero(~rare)
+            if len(maybe):
+                rare[maybe] = popular[np.minimum(np.searchsorted(popular, h[maybe]), len(popular) - 1)] != h[maybe]
+            own = np.bincount(np.repeat(np.arange(len(lists)), runs)[rare], minlength=len(lists))
+            share = own / np.maximum(runs, 1)
+            size = np.array([len(x) for x in lists], dtype=int)
+            signed = (size >= SHORT) & (share >= RARE_LOW)
+            whole = (size < LONG) | (share < RARE_HIGH)
             yield pd.DataFrame({
                 "id": ids,
                 "content": [xxhash.xxh3_128_digest(b" ".join(x)) for x in lists],
-                "sig": signatures([x if len(x) >= SHORT else [] for x in lists], 5, cache),
-                "sig_short": signatures([x if len(x) < LONG else [] for x in lists], 3, cache),
+                "sig": _minima(h[rare & np.repeat(signed, runs)], np.where(signed, own, 0)),
+                "sig_whole": _minima(*run_hashes([x if w else [] for x, w in zip(lists, whole)], 3, cache)),
             })
 
 
 def canonical_signatures(records: DataFrame) -> DataFrame:
-    """id, content (128-bit hash of the words: what is left of a record without case, punctuation and white space), sig, sig_short."""
-    return records.select("id", "text").mapInPandas(_canonical, "id string, content binary, sig binary, sig_short binary")
+    """id, content (128-bit hash of the words: what is left of a record without case, punctuation and white space), sig, sig_whole."""
+    popular = popular_runs(records)
+    return records.select("id", "text").mapInPandas(lambda fs: _canonical(fs, popular), "id string, content binary, sig binary, sig_whole binary")
 
 
 def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        for kind, column in enumerate(("sig", "sig_short")):
+        for kind, column in enumerate(("sig", "sig_whole")):
             own = f[f[column].notna()]
             for at in range(0, len(own), 4096):
                 part = own.iloc[at : at + 4096]
@@ -101,7 +136,7 @@ def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
     """key, cid for each chunk of each signature and each of its symbols that may be wrong."""
-    return classes.select("sig", "sig_short", "cid").mapInPandas(_keys, "key long, cid long")
+    return classes.select("sig", "sig_whole", "cid").mapInPandas(_keys, "key long, cid long")
 
 
 def _equal(a: pd.Series, b: pd.Series) -> np.ndarray:
@@ -116,15 +151,15 @@ def _equal(a: pd.Series, b: pd.Series) -> np.ndarray:
 
 def _close(frames: Iterator[pd.DataFrame], least: tuple[int, int]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        keep = (_equal(f["sig_a"], f["sig_b"]) >= least[0]) | (_equal(f["short_a"], f["short_b"]) >= least[1])
+        keep = (_equal(f["sig_a"], f["sig_b"]) >= least[0]) | (_equal(f["whole_a"], f["whole_b"]) >= least[1])
         yield f.loc[keep, ["a", "b"]]
 
 
 def close_pairs(candidates: DataFrame, classes: DataFrame, least: tuple[int, int]) -> DataFrame:
     """The candidate pairs (a, b) of classes whose signatures agree in enough symbols."""
-    sigs = classes.select("cid", "sig", "sig_short")
-    both = candidates.join(sigs.toDF("a", "sig_a", "short_a"), "a").join(sigs.toDF("b", "sig_b", "short_b"), "b")
-    return both.select("a", "b", "sig_a", "sig_b", "short_a", "short_b").mapInPandas(lambda fs: _close(fs, least), "a long, b long")
+    sigs = classes.select("cid", "sig", "sig_whole")
+    both = candidates.join(sigs.toDF("a", "sig_a", "whole_a"), "a").join(sigs.toDF("b", "sig_b", "whole_b"), "b")
+    return both.select("a", "b", "sig_a", "sig_b", "whole_a", "whole_b").mapInPandas(lambda fs: _close(fs, least), "a long, b long")
 
 
 def _alike(frames: Iterator[pd.DataFrame], run: int, least: float) -> Iterator[pd.DataFrame]:
@@ -161,18 +196,20 @@ def article_records(articles: DataFrame) -> DataFrame:
 
 
 def content_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members (id, cid, rep) and classes (cid, rep, sig, sig_short): records of the same words share a class; rep is its smallest id."""
+    """members (id, cid, rep) and classes (cid, rep, sig, sig_whole): records of the same words share a class; rep is its smallest id."""
     found = written(canonical_signatures(records), "signatures")
-    grouped = found.groupBy("content").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("sig_short").alias("sig_short"))
+    grouped = found.groupBy("content").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("sig_whole").alias("sig_whole"))
     classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     members = found.select("id", "content").distinct().join(classes.select("content", "cid", "rep"), "content").select("id", "cid", "rep")
     return members, classes.drop("content")
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """a, b: distinct pairs of a class of the left and another one of the right that share a key."""
-    pairs = chunk_keys(left).toDF("key", "a").join(chunk_keys(right).toDF("key", "b"), "key")
-    return pairs.where("a < b" if left is right else "a <> b").select("a", "b").distinct()
+def candidate_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """a, b: distinct pairs of a class of the left and another one of the right (of the left too, if not given) that share a key."""
+    keys = chunk_keys(left)
+    other = (keys if right is None else chunk_keys(right)).hint("merge")
+    pairs = keys.toDF("key", "a").join(other.toDF("key", "b"), "key")
+    return pairs.where("a < b" if right is None else "a <> b").select("a", "b").distinct()
 
 
 def class_pairs(records: DataFrame, classes: DataFrame, candidates: DataFrame, run: int = 3, least: float = 0.5) -> DataFrame:
@@ -192,7 +229,7 @@ def near_pairs(records: DataFrame, run: int = 3, least: float = 0.5) -> DataFram
     Copies of the same words aren't expanded into all pairs of the group.
     """
     members, classes = content_classes(records)
-    pairs = class_pairs(records, classes, candidate_pairs(classes, classes), run, least)
+    pairs = class_pairs(records, classes, candidate_pairs(classes), run, least)
     copies = members.where("id <> rep").select("rep", "id", F.lit(1.0))
     return pairs.select(F.least("rep_a", "rep_b").alias("id_a"), F.greatest("rep_a", "rep_b").alias("id_b"), "similarity").union(copies)
 
@@ -200,6 +237,6 @@ def near_pairs(records: DataFrame, run: int = 3, least: float = 0.5) -> DataFram
 def near_duplicate_classes(records: DataFrame, run: int = 5, least: float = 0.8) -> DataFrame:
     """One row per record: id, class_id (smallest id of the records of the same words), links (number of other classes that are alike)."""
     members, classes = content_classes(records)
-    pairs = class_pairs(records, classes, candidate_pairs(classes, classes), run, least)
+    pairs = class_pairs(records, classes, candidate_pairs(classes), run, least)
     links = pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("links"))
     return members.join(links, "cid", "left").select("id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
