@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import components, cross_split, leakage, near, nearest_time, site_lines
+from loomgraph.llm import components, cross_split, leakage, mixing, near, nearest_time, residue, site_lines
 from loomgraph.llm.cross_split import ticker_key
 
 SIX_HOURS = 6 * 3600
@@ -138,3 +138,22 @@ SELECT article_id, task_id FROM near WHERE n = 1""",
     "p7_leaked_items": f"""WITH {_LEAKS} SELECT i.item_id, i.category, count(leaks.doc_id) AS documents
 FROM (SELECT DISTINCT item_id, category FROM eval_items) i LEFT JOIN leaks USING (item_id) GROUP BY i.item_id, i.category""",
 }
+
+
+def p8_mix(spark, d):
+    return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark, d):
+    return mixing.mix(_t(spark, d, "documents"), _t(spark, d, "mix_targets"))[1]
+
+
+def p9_found(spark, d):
+    return residue.residue_documents(_t(spark, d, "documents"))
+
+
+def p9_coverage(spark, d):
+    return residue.residue_coverage(_t(spark, d, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (p8_mix, p8_shares, p9_found, p9_coverage)}
