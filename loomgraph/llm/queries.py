@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import components, cross_split, leakage, mixing, near, nearest_time, residue, site_lines
+from loomgraph.llm import components, cross_split, leakage, mixing, names, near, nearest_time, residue, site_lines
 from loomgraph.llm.cross_split import ticker_key
 
 SIX_HOURS = 6 * 3600
@@ -156,4 +156,12 @@ def p9_coverage(spark, d):
     return residue.residue_coverage(_t(spark, d, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (p8_mix, p8_shares, p9_found, p9_coverage)}
+def p6_found(spark, d):
+    return names.linked_nodes(_t(spark, d, "graph_nodes"), _t(spark, d, "companies"))
+
+
+def p6_variants(spark, d):
+    return names.variant_counts(_t(spark, d, "graph_nodes"), _t(spark, d, "companies"))
+
+
+QUERIES |= {f.__name__: f for f in (p6_found, p6_variants, p8_mix, p8_shares, p9_found, p9_coverage)}
