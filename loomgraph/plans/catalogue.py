@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.plans import graph_queries, series_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = []
+MODULES: list = [series_queries, graph_queries]
 
 
 def queries() -> dict[str, Query]:
