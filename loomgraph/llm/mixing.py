@@ -131,7 +131,7 @@ def _chosen(sums: DataFrame, goals: DataFrame, docs: DataFrame) -> tuple[DataFra
 
 
 def mix(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None, total_tokens: float | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, tokens, repeats) of the documents used, and the report (source, target_share, share, tokens, documents, most_repeats)."""
+    """(doc_id, source, tokens, repeats) of every document of a targeted source, repeats 0 if it isn't used, and the report (source, target_share, share, tokens, documents, most_repeats)."""
     spark = documents.sparkSession
     counted = written(token_counts(documents, vocabulary), "tokens")
     aims = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.select("source", "target_share", "max_repeats").dropna().distinct().limit(MOST_CELLS).collect()}
@@ -165,8 +165,8 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None,
     ends = F.broadcast(end.select("cell", F.col("range").alias("end")))
     used = keyed.join(ends, "cell", "left").join(extra, "doc_id", "left")
     used = used.withColumn("repeats", F.col("whole") + F.coalesce((F.col("range") < F.col("end")).cast("int"), F.lit(0)) + F.coalesce("one", F.lit(0)))
-    used = written(used.where("repeats > 0").select("doc_id", "source", "tokens", "repeats"), "mix")
-    sizes = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
+    used = written(used.select("doc_id", "source", "tokens", "repeats"), "mix")
+    sizes = used.where("repeats > 0").groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
     whole = sizes.agg(F.sum("tokens").alias("all"))
     report = targets.select("source", "target_share", "max_repeats").dropna().distinct().join(sizes, "source", "left").crossJoin(F.broadcast(whole)).select(
         "source", "target_share", (F.coalesce("tokens", F.lit(0)) / F.greatest(F.coalesce("all", F.lit(0)), F.lit(1))).alias("share"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
