@@ -56,7 +56,7 @@ class Index:
         self.bytes = [b" ".join(x) for x in self.words]
         grams = [_grams(np.frombuffer(x, dtype=np.uint8)) for x in self.bytes]
         flat = np.concatenate([*grams, np.empty(0, dtype=np.uint64)])
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        item = np.repeat(np.arange(len(grams)), np.array([len(g) for g in grams], dtype=np.int64))
         offset = np.concatenate([*(np.arange(len(g)) for g in grams), np.empty(0, dtype=np.int64)]).astype(np.int64)
         order = np.argsort(flat, kind="stable")
         self.item, self.offset = item[order], offset[order]
@@ -102,25 +102,42 @@ def _regions(position: np.ndarray, item: np.ndarray, offset: np.ndarray, window:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def banded_edits(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Edits between two byte strings, as many as ``band`` at most beside the diagonal; more than ``band`` count as ``band + 1``."""
-    if abs(len(a) - len(b)) > band:
-        return band + 1
+def banded_edits(pairs: list[tuple[bytes, bytes]], band: int) -> np.ndarray:
+    """Edits between the two byte strings of each pair, along paths at most ``band`` beside the diagonal; more than ``band`` count as ``band + 1``.
+
+    All pairs are aligned side by side, a row of the band for each at a time.
+    """
     far = band + 1
-    row = np.minimum(np.abs(np.arange(-band, band + 1)), far) + np.where(np.arange(-band, band + 1) < 0, far, 0)
-    shift = np.arange(2 * band + 1)
-    for i in range(1, len(a) + 1):
+    out = np.full(len(pairs), far)
+    if not pairs:
+        return out
+    la, lb = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    most = int(max(la.max(), lb.max()))
+    a = np.zeros((len(pairs), most + 1), dtype=np.uint8)
+    b = np.zeros((len(pairs), most + 2 * band + 2), dtype=np.uint8)
+    for i, (x, y) in enumerate(pairs):
+        a[i, : len(x)] = np.frombuffer(x, dtype=np.uint8)
+        b[i, band : band + len(y)] = np.frombuffer(y, dtype=np.uint8)
+    shift = np.arange(2 * band + 1, dtype=np.int16)
+    row = np.where(shift >= band, np.minimum(shift - band, far), far).astype(np.int16)[None, :].repeat(len(pairs), axis=0)
+    row = np.where(shift - band > lb[:, None], np.int16(far), row)
+    ended = (la == 0) & (lb <= band)
+    out[ended] = np.minimum(lb[ended], far)
+    for i in range(1, most + 1):
         j = i + shift - band
-        inside = (j >= 1) & (j <= len(b))
-        differ = np.where(inside, b[np.clip(j - 1, 0, max(len(b) - 1, 0))] != a[i - 1], True) if len(b) else np.ones(len(j), dtype=bool)
-        best = np.where(inside, row + differ, far)
-        best = np.minimum(best, np.append(row[1:], far) + 1)
-        best = np.where(j == 0, i, best)
-        best = np.where((j < 0) | (j > len(b)), far, best)
+        best = row + (b[:, i - 1 : i + 2 * band] != a[:, i - 1 : i])
+        best[:, :-1] = np.minimum(best[:, :-1], row[:, 1:] + 1)
+        best[(j < 0)[None, :] | (j[None, :] > lb[:, None])] = far
+        if i <= band:
+            best[:, band - i] = i
         # Insertions run along the band.
-        best = np.minimum.accumulate(best - shift) + shift
-        row = np.minimum(best, far)
-    return int(row[len(b) - len(a) + band])
+        row = np.minimum(np.minimum.accumulate(best - shift, axis=1) + shift, far)
+        done = np.flatnonzero((la == i) & (np.abs(lb - la) <= band))
+        if len(done):
+            out[done] = row[done, lb[done] - i + band]
+        if (row > band).all():
+            break
+    return np.minimum(out, far)
 
 
 def _buffers(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[list[bytes]], np.ndarray, np.ndarray]]:
@@ -161,18 +178,23 @@ def _passages(frames: Iterator[pd.DataFrame], index: Index, window: int, edits:
             ends = np.append(starts[1:] - 1, len(buffer))
             first, last, item, diagonal = _regions(*index.hits(buffer), window, edits)
             doc = np.searchsorted(starts, first, side="right") - 1
+            spans, pairs, budgets = [], [], []
+            for d, p, e, i, g in zip(doc.tolist(), first.tolist(), last.tolist(), item.tolist(), diagonal.tolist()):
+                end = int(min(p + max(e - p, window), ends[d]))
+                own = index.bytes[i][max(p - g, 0) : max(end - g, 0)]
+                if len(own) >= window:
+                    spans.append((d, i, p - int(starts[d]), end - int(starts[d])))
+                    pairs.append((own, buffer[p:end].tobytes()))
+                    budgets.append(2 * max(edits, edits * len(own) // window))
             best: dict[tuple[int, int], tuple] = {}
-            for d, p, e, i, g in zip(doc, first, last, item, diagonal):
-                e = min(e, ends[d])
-                text = np.frombuffer(index.bytes[i], dtype=np.uint8)
-                size = max(e - p, window)
-                e = min(p + size, ends[d])
-                own = text[max(p - g, 0) : max(e - g, 0)]
-                budget = max(edits, edits * len(own) // window)
-                n = banded_edits(own, buffer[p:e], 2 * budget + 1)
-                if len(own) >= window and n <= 2 * budget and ((d, i) not in best or best[d, i][1] - best[d, i][0] < e - p):
-                    best[d, i] = (p - starts[d], e - starts[d], n)
-            out += [(ids[d], index.ids[i], *map(int, x)) for (d, i), x in best.items()]
+            order = sorted(range(len(pairs)), key=lambda k: len(pairs[k][0]))
+            for at in range(0, len(pairs), 256):
+                part = order[at : at + 256]
+                counts = banded_edits([pairs[k] for k in part], max(budgets[k] for k in part) + 1)
+                for (d, i, p, e), n, most in zip((spans[k] for k in part), counts, (budgets[k] for k in part)):
+                    if n <= most and ((d, i) not in best or best[d, i][1] - best[d, i][0] < e - p):
+                        best[d, i] = (p, e, int(n))
+            out += [(ids[d], index.ids[i], *x) for (d, i), x in best.items()]
         yield pd.DataFrame(out, columns=["doc_id", "item_id", "start", "end", "edits"])
 
 

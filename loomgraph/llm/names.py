@@ -113,7 +113,7 @@ class Registry:
         for t, n in firms:
             w = tokens(n)
             self.spellings.append((t, w, False))
-            full = [x for x in re.findall(r"[a-z]+", fold(n).lower()) if x not in LEGAL]
+            full = [x for x in re.findall(r"[a-z]+", _DOTTED.sub(" ", fold(n).lower())) if x not in LEGAL]
             for x in ("".join(y[0] for y in full), "".join(y[0] for y in full if y not in ("of", "and"))):
                 if len(x) > 1:
                     initials[x].add(t)

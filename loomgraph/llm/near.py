@@ -10,7 +10,7 @@ these keys returns every pair under that distance, and of the pairs further apar
 whose errors leave any one chunk with at most one error.
 
 Signatures are drawn from the runs of four words that aren't popular: those that stand in
-``POPULAR`` of the records or more (furniture, stock phrases) make keys that select nothing,
+``POPULAR`` of the records or more, ``LEAST_POPULAR`` at least (furniture, stock phrases) make keys that select nothing,
 so they are counted over all records beforehand; there are at most a record's runs / POPULAR
 of them, which bounds the list that every task holds. A record whose runs are mostly popular has
 a signature of all its runs of three words instead, as has one of fewer than ``SHORT`` words; records near
@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 from loomgraph.llm.words import WordHashes, mix, run_hashes, words
 from loomgraph.scratch import written
 
-CHUNK, CHUNKS, BITS = 4, 16, 16
+CHUNK, CHUNKS, BITS = 4, 24, 16
 SYMBOLS = CHUNK * CHUNKS
 RUN = 4
 SHORT, LONG = 40, 84
-POPULAR, RARE_LOW, RARE_HIGH = 0.005, 0.3, 0.5
+POPULAR, LEAST_POPULAR, RARE_LOW, RARE_HIGH = 0.005, 50, 0.3, 0.55
 #: Agreeing symbols that a pair of either similarity must have, of its runs of four words and of its runs of three.
-LEAST_EQUAL = {0.5: (9, 15), 0.8: (30, 36)}
+LEAST_EQUAL = {0.5: (13, 22), 0.8: (45, 54)}
 _RNG = np.random.RandomState(20240229)
 _A = (_RNG.randint(0, 2**63, SYMBOLS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _RNG.randint(0, 2**63, SYMBOLS).astype(np.uint64)
@@ -78,7 +78,7 @@ def popular_runs(records: DataFrame) -> np.ndarray:
     """Sorted hashes of the runs of four words that stand in ``POPULAR`` of all records or more (counted where a batch has them often)."""
     counts = written(records.select("text").mapInPandas(_counted, "run long, n long, records long").groupBy("run").agg(F.sum("n").alias("n"), F.sum("records").alias("records")), "runs")
     total = counts.agg(F.sum("records")).first()[0] or 0
-    rows = counts.where((F.col("n") >= POPULAR * total) & (F.col("n") > 1)).select("run").toPandas()
+    rows = counts.where(F.col("n") >= max(LEAST_POPULAR, POPULAR * total)).select("run").toPandas()
     return np.sort(rows["run"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
