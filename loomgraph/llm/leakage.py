@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.words import WordHashes, run_hashes, words
+from loomgraph.llm.words import WordHashes, bare, run_hashes, words
 
 Q = 12
 BLOCK_CHARS = 4_000_000
@@ -140,19 +140,18 @@ def banded_edits(pairs: list[tuple[bytes, bytes]], band: int) -> np.ndarray:
     return np.minimum(out, far)
 
 
-def _buffers(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[list[bytes]], np.ndarray, np.ndarray]]:
-    """ids, words, buffer and starts for some documents at a time; a line break parts two documents, as no item has one."""
-    ids = frame["doc_id"].to_numpy()
+def _buffers(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]]:
+    """ids, bare texts, buffer and starts for some documents at a time; a line break parts two documents, as no item has one."""
+    ids, texts = frame["doc_id"].to_numpy(), frame["text"].to_numpy()
     at = 0
     while at < len(ids):
-        lists, size, to = [], 0, at
-        while to < len(ids) and to - at < _BATCH and size < 2_000_000:
-            lists.append(words(frame["text"].iat[to]))
-            size += sum(map(len, lists[-1]))
+        parts, size, to = [], 0, at
+        while to < len(ids) and to - at < _BATCH and size < 400_000:
+            parts.append(bare(texts[to]))
+            size += len(parts[-1])
             to += 1
-        parts = [b" ".join(x) for x in lists]
         starts = np.cumsum([0, *(len(x) + 1 for x in parts[:-1])])
-        yield ids[at:to], lists, np.frombuffer(b"\n".join(parts), dtype=np.uint8), starts
+        yield ids[at:to], parts, np.frombuffer(b"\n".join(parts), dtype=np.uint8), starts
         at = to
 
 
@@ -162,11 +161,17 @@ def _runs(frames: Iterator[pd.DataFrame], index: Index, run: int) -> Iterator[pd
     known = [set(run_hashes([x], run, cache)[0].tolist()) for x in index.words]
     for f in frames:
         out = []
-        for ids, lists, buffer, starts in _buffers(f):
-            first, _, item, _ = _regions(*index.hits(buffer), max(shortest, Q), 0)
-            doc = np.searchsorted(starts, first, side="right") - 1
-            for d, i in {*zip(doc.tolist(), item.tolist())}:
-                if not known[i].isdisjoint(run_hashes([lists[d]], run, cache)[0].tolist()):
+        for ids, parts, buffer, starts in _buffers(f):
+            first, last, item, _ = _regions(*index.hits(buffer), max(shortest, Q), 0)
+            # A run of n words has n - 1 blanks, all of them in one region.
+            blanks = np.append(0, np.cumsum(buffer == 32))
+            wide = blanks[last] - blanks[first] >= run - 1
+            doc = np.searchsorted(starts, first[wide], side="right") - 1
+            own: dict[int, list[int]] = {}
+            for d, i in {*zip(doc.tolist(), item[wide].tolist())}:
+                if d not in own:
+                    own[d] = run_hashes([parts[d].split()], run, cache)[0].tolist()
+                if not known[i].isdisjoint(own[d]):
                     out.append((ids[d], index.ids[i]))
         yield pd.DataFrame(out, columns=["doc_id", "item_id"])
 

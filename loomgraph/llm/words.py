@@ -16,6 +16,11 @@ def words(text: str | None) -> list[bytes]:
     return text.lower().encode("ascii", "replace").translate(_BLANK).split() if text else []
 
 
+def bare(text: str | None) -> bytes:
+    """The words of the text, parted by single blanks."""
+    return b" ".join(text.lower().encode("ascii", "replace").translate(_BLANK).split()) if text else b""
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered; forgotten when too many."""
 
