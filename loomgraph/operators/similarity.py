@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -9,6 +13,16 @@ from pyspark.sql.window import Window as W
 from loomgraph.functions.vectors import dot, unit
 
 
+def _dots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Dot products of a and b, a batch as two matrices; vectors of unlike length count as far as the shorter goes."""
+    for f in frames:
+        try:
+            sim = np.einsum("ij,ij->i", np.vstack(f["a"]), np.vstack(f["b"])) if len(f) else np.empty(0)
+        except ValueError:
+            sim = np.array([float(np.dot(x[: len(y)], y[: len(x)])) for x, y in zip(f["a"], f["b"])])
+        yield f[["left", "right"]].assign(sim=sim)
+
+
 def knn_lower_side(vectors: DataFrame, k: int, least: float) -> DataFrame:
     """left, right, sim: pairs within a group of which the higher id is among the ``k`` nearest (itself included) of the lower one.
 
@@ -16,7 +30,9 @@ def knn_lower_side(vectors: DataFrame, k: int, least: float) -> DataFrame:
     (WindowGroupLimit) before the shuffle.
     """
     u = vectors.where("v is not null and grp is not null").select("id", "grp", unit(F.col("v")).alias("v"))
-    pairs = u.toDF("left", "grp", "a").join(u.toDF("right", "grp", "b"), "grp").select("left", "right", F.round(dot(F.col("a"), F.col("b")), 6).alias("sim"))
+    both = u.toDF("left", "grp", "a").join(u.toDF("right", "grp", "b"), "grp").select("left", "right", "a", "b")
+    kinds = dict(u.dtypes)
+    pairs = both.mapInPandas(_dots, f"left {kinds['id']}, right {kinds['id']}, sim double").withColumn("sim", F.round("sim", 6))
     w = W.partitionBy("left").orderBy(F.desc("sim"), "right")
     return pairs.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= k) & (F.col("left") < F.col("right")) & (F.col("sim") >= least)).drop("_n")
 
