@@ -287,6 +287,8 @@ def linked_names(names: DataFrame, companies: DataFrame) -> DataFrame:
         blocks.append(Registry(rows))
     distinct = names.select("name").where(r"name rlike '(?U)\\w'").distinct()
     spark = names.sparkSession
+    # Few bytes but much work: by number, or they would be put together into a task or two.
+    distinct = distinct.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "name")
 
     def one(registry: Registry) -> DataFrame:
         held = spark.sparkContext.broadcast(registry)
