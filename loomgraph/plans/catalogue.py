@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import graph_queries, series_queries, stat_queries, text_queries
+from loomgraph.plans import graph_queries, record_queries, series_queries, stat_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = [series_queries, graph_queries, text_queries, stat_queries]
+MODULES: list = [series_queries, graph_queries, text_queries, stat_queries, record_queries]
 
 
 def queries() -> dict[str, Query]:
