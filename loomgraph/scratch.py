@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,9 +14,12 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    root = tempfile.mkdtemp(prefix="loomgraph-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{root}")
-    return f"file://{root}"
+    return f"file://{_own_folder()}"
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="loomgraph-")
 
 
 def _fs(spark: SparkSession, path: str):
