@@ -212,7 +212,7 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def residue_coverage(documents: DataFrame) -> DataFrame:
     """doc_id, strong, coverage of each document with any match."""
     texts = documents.select("doc_id", "text").where("text <> '' and doc_id is not null")
-    return texts.mapInPandas(_scan, "doc_id long, strong boolean, coverage double")
+    return texts.mapInPandas(_scan, "doc_id long, strong boolean, coverage double").distinct()
 
 
 def residue_documents(documents: DataFrame, least_coverage: float = 0.0) -> DataFrame:
