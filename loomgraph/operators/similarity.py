@@ -30,7 +30,9 @@ def knn_lower_side(vectors: DataFrame, k: int, least: float) -> DataFrame:
     (WindowGroupLimit) before the shuffle.
     """
     u = vectors.where("v is not null and grp is not null").select("id", "grp", unit(F.col("v")).alias("v"))
-    both = u.toDF("left", "grp", "a").join(u.toDF("right", "grp", "b"), "grp").select("left", "right", "a", "b")
+    # Pairs are many more than vectors: the left side is spread first, by number, or a small file would be one task.
+    spread = u.toDF("left", "grp", "a").repartition(vectors.sparkSession.sparkContext.defaultParallelism, "left")
+    both = spread.join(u.toDF("right", "grp", "b"), "grp").select("left", "right", "a", "b")
     kinds = dict(u.dtypes)
     pairs = both.mapInPandas(_dots, f"left {kinds['id']}, right {kinds['id']}, sim double").withColumn("sim", F.round("sim", 6))
     w = W.partitionBy("left").orderBy(F.desc("sim"), "right")
