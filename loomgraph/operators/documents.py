@@ -25,12 +25,13 @@ def alias_mentions(docs: DataFrame, aliases: DataFrame, most: int = 20_000) -> D
     Texts and aliases meet on the alias's first word, an equi-join; the boundary test follows. The number of aliases doesn't matter.
     """
     a = aliases.select("ticker", F.lower(X.clean("alias")).alias("alias")).where("alias <> ''").distinct().withColumn("head", F.regexp_extract("alias", "[a-z0-9]+", 0))
+    a = a.withColumn("wanted", F.concat(F.lit(" "), F.trim(F.regexp_replace("alias", "[^a-z0-9]+", " ")), F.lit(" ")))
     w = docs.select("doc_id", F.lower(X.clean("text")).alias("t"))
     heads = w.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)))).alias("head"))
-    hits = heads.join(F.broadcast(a) if a.limit(most + 1).count() <= most else a, "head").select("doc_id", "ticker", "alias").distinct()
-    padded = F.concat(F.lit(" "), F.regexp_replace("t", "[^a-z0-9]+", " "), F.lit(" "))
-    wanted = F.concat(F.lit(" "), F.trim(F.regexp_replace("alias", "[^a-z0-9]+", " ")), F.lit(" "))
-    return hits.join(w, "doc_id").where(F.contains(padded, wanted)).select("doc_id", "ticker").distinct()
+    hits = heads.join(F.broadcast(a) if a.limit(most + 1).count() <= most else a, "head").select("doc_id", "ticker", "wanted")
+    # The text is brought to words once, before the join, not once a hit.
+    padded = w.select("doc_id", F.concat(F.lit(" "), F.regexp_replace("t", "[^a-z0-9]+", " "), F.lit(" ")).alias("padded"))
+    return hits.join(padded, "doc_id").where(F.contains(F.col("padded"), F.col("wanted"))).select("doc_id", "ticker").distinct()
 
 
 def resolved_keys(items: DataFrame, registry: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from loomgraph.functions import text as X
-from loomgraph.operators import dedup, graph, learning
+from loomgraph.operators import dedup, documents, graph, learning
 from loomgraph.operators import series as S
 from loomgraph.plans import tables as T
 
@@ -68,10 +68,15 @@ def span_attach(spark, d):
 
 
 def portfolio_expand(spark, d):
-    """Each article of a ticker again for every other firm whose first word stands in its title."""
-    c = T.table(spark, d, "companies").select(F.col("ticker").alias("other"), F.lower(F.split_part("company", F.lit(" "), F.lit(1))).alias("w")).where("w <> 'bank'")
-    a = T.articles(spark, d).select("article_id", "ticker", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+"))).alias("w"))
-    return a.join(c, "w").where("other <> ticker").select("article_id", F.col("other").alias("ticker")).distinct()
+    """Each article of a ticker again for every other firm whose name, whole or without its legal form, or alias stands in its title or body."""
+    c = T.table(spark, d, "companies")
+    aliases = F.from_json(F.coalesce("aliases_json", F.lit("[]")), "array<string>")
+    names = c.select("ticker", F.explode(F.concat(F.array("company", X.entity_name("company")), F.coalesce(aliases, F.array().cast("array<string>")))).alias("alias")).where("ticker is not null and alias is not null")
+    a = T.articles(spark, d).select(F.col("article_id").alias("doc_id"), F.col("ticker").alias("own"), "title", "body")
+    # Title and body are texts of their own, so that no name spans the two.
+    texts = a.select("doc_id", F.explode(F.array("title", "body")).alias("text")).where("text is not null")
+    found = documents.alias_mentions(texts, names)
+    return found.join(a.select("doc_id", "own").distinct(), "doc_id").where("own <> ticker").select(F.col("doc_id").alias("article_id"), "ticker").distinct()
 
 
 def relation_shuffle(spark, d):

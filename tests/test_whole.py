@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from loomgraph.plans import record_queries
 from loomgraph.streaming import news
 
 
@@ -17,3 +18,12 @@ def test_backfill_of_years_over_more_files_than_a_trigger_takes(spark, tmp_path)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.select("batch").distinct().count() > 2
     assert sorted(r.article_id for r in out.collect()) == sorted({f"a{i}" for i in range(500)})
+
+
+def test_portfolio_expand_finds_banks_bodies_and_whole_names(spark, tmp_path):
+    spark.createDataFrame([("BKA", "Bank of Alder Corp.", "[]"), ("BKB", "Bank of Birch plc", '["Old Birch"]'), ("ALM", "Alder Mining Group", None), ("ALT", "Alder Timber Group", None)], "ticker string, company string, aliases_json string").write.parquet(str(tmp_path / "companies.parquet"))
+    day = dt.datetime(2020, 1, 1)
+    rows = [("a1", 1, "ALM", day, "Alder Mining meets the Bank of Alder", "Nothing.", "u"), ("a2", 2, "ALM", day, None, "It owes old birch.", "u"), ("a3", 3, "ALM", day, "Bank", "of Birch", "u")]
+    spark.createDataFrame(rows, "article_id string, _source_row long, _ticker string, _date timestamp, _title string, _article string, _url string").write.parquet(str(tmp_path / "articles.parquet"))
+    got = {tuple(r) for r in record_queries.portfolio_expand(spark, str(tmp_path)).collect()}
+    assert got == {("a1", "BKA"), ("a2", "BKB")}
