@@ -22,10 +22,7 @@ def event_like_dedupe(spark, d):
 
 
 def pair_compatible(spark, d):
-    e = T.events(spark, d).where("event_type = 'signup'").select("event_id", "ticker", "event_date_start", "event_date_end", "importance")
-    a, b = e.toDF("a", "ticker", "sa", "ea", "ia"), e.toDF("b", "ticker", "sb", "eb", "ib")
-    near = (F.abs(F.datediff("sa", "sb")) <= 2) & (F.abs(F.datediff("ea", "eb")) <= 2) & (F.col("ia") == F.col("ib")) & (F.col("a") < F.col("b"))
-    return a.join(b, "ticker").where(near).groupBy("ticker").agg(F.count("*").alias("pairs"))
+    return dedup.compatible_pairs(T.events(spark, d)).groupBy("ticker").agg(F.count("*").alias("pairs"))
 
 
 def fusion_report(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import ticker_plain
+from loomgraph.functions.text import metric_values, ticker_plain
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -62,7 +62,7 @@ TASKS = "tasks AS (SELECT DISTINCT * FROM forecast_tasks)"
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    """The stand-in event table: ids, ticker, type, dates, importance and confidence of the events stream."""
+    """The stand-in event table: ids, ticker, type, dates, importance, confidence and figures (those of props, its only text) of the events stream."""
     e = table(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     day = F.to_date("ts")
@@ -71,6 +71,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("U"), (F.col("user_id") % 20).cast("string")).alias("ticker"), "event_type", day.alias("available_date"),
         F.date_add(day, k % 21 - 10).alias("event_date_start"), F.date_add(day, k % 21 - 10 + k % 3).alias("event_date_end"),
         (1 + k % 3).alias("importance"), F.least(F.lit(1.0), F.col("value") / 500).alias("confidence"), F.when(F.col("event_type").isin("purchase", "signup"), 1.0).when(F.col("event_type") == "error", -1.0).otherwise(0.1).alias("impact"),
+        metric_values("props").alias("metrics"),
     )
 
 

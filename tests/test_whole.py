@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from loomgraph.operators import dedup
 from loomgraph.plans import record_queries
 from loomgraph.streaming import news
 
@@ -27,3 +28,25 @@ def test_portfolio_expand_finds_banks_bodies_and_whole_names(spark, tmp_path):
     spark.createDataFrame(rows, "article_id string, _source_row long, _ticker string, _date timestamp, _title string, _article string, _url string").write.parquet(str(tmp_path / "articles.parquet"))
     got = {tuple(r) for r in record_queries.portfolio_expand(spark, str(tmp_path)).collect()}
     assert got == {("a1", "BKA"), ("a2", "BKB")}
+
+
+def test_compatible_pairs_follow_the_whole_predicate(spark):
+    day = lambda n: None if n is None else dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    rows = [("1", "A", "view", 0, 0, ["5"], 0.1), ("2", "A", "view", 7, 7, ["5", "6"], 1.0), ("3", "A", "view", 8, 8, ["5"], 0.1), ("4", "A", "view", 1, 1, ["9"], 0.1), ("5", "A", "view", 0, 0, [], -1.0),
+            ("6", "A", "click", 0, 0, ["5"], 0.1), ("7", "B", "view", 0, 0, ["5"], 0.1), ("8", "A", "view", None, None, ["9"], 0.1), ("9", None, "view", 0, 0, ["5"], 0.1)]
+    e = spark.createDataFrame([(i, t, k, day(s), day(x), m, p) for i, t, k, s, x, m, p in rows], "event_id string, ticker string, event_type string, event_date_start date, event_date_end date, metrics array<string>, impact double")
+    got = {(r.a, r.b) for r in dedup.compatible_pairs(e).collect()}
+    assert got == {("1", "2"), ("1", "5"), ("2", "3"), ("4", "5"), ("4", "8"), ("5", "8")}
+
+
+def test_pair_compatible_takes_all_types(spark):
+    d = "/root/testdata/sf0.001"
+    e = record_queries.T.events(spark, d).toPandas()
+    e["at"] = e["event_date_start"].map(lambda x: x.toordinal())
+    e["to"] = e["event_date_end"].map(lambda x: x.toordinal())
+    want = {}
+    for (ticker, _), g in e.groupby(["ticker", "event_type"]):
+        v = list(zip(g["at"], g["to"], g["metrics"].map(set)))
+        n = sum(abs(x[0] - y[0]) <= 7 and abs(x[1] - y[1]) <= 7 and bool(x[2] & y[2]) for i, x in enumerate(v) for y in v[:i])
+        want[ticker] = want.get(ticker, 0) + n
+    assert {r.ticker: r.pairs for r in record_queries.pair_compatible(spark, d).collect()} == {t: n for t, n in want.items() if n}
