@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from loomgraph.operators.series import ranked
+
 
 def edge(source: Column, target: Column, kind: str, article: Column, event: Column, weight: float = 1.0) -> Column:
     return F.struct(source.alias("source"), target.alias("target"), F.lit(kind).alias("edge_type"), F.lit(weight).alias("weight"), article.alias("article_id"), event.alias("event_id"))
@@ -150,7 +152,7 @@ def block_offsets(sizes: DataFrame, order: str, n: str) -> DataFrame:
 
 def shuffled_relations(edges: DataFrame, seed: int) -> DataFrame:
     """source, target, edge_type: the types dealt anew among the edges, their counts unchanged."""
-    key = F.xxhash64("source", "target", "edge_type", F.lit(seed))
-    ends = edges.select("source", "target", F.row_number().over(W.orderBy("source", "target", "edge_type")).alias("i"))
-    types = edges.select("edge_type", F.row_number().over(W.orderBy(key, "source", "target", "edge_type")).alias("i"))
-    return ends.join(types, "i").drop("i")
+    hashed = lambda n: F.xxhash64("source", "target", "edge_type", F.lit(n))
+    rank = lambda n: ranked(edges.withColumn("h", hashed(n)).withColumn("r", F.shiftright("h", 52)), "r", "h", "source", "target", "edge_type")
+    # Two orders that have nothing to do with each other, each ranked by ranges of its hash.
+    return rank(seed + 1).select("source", "target", "i").join(rank(seed).select("edge_type", "i"), "i").drop("i")

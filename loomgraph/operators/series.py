@@ -169,3 +169,11 @@ def last_values(series: DataFrame, n: int) -> DataFrame:
     own = ranked.groupBy("ticker").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("r")).alias("r"), "price"))), lambda s: s["price"]).alias("v"))
     pad = F.array_repeat(F.lit(0.0), (n - F.size("v")).cast("int"))
     return own.select("ticker", F.concat(pad, "v").alias("vals"), F.concat(F.array_repeat(F.lit(0), (n - F.size("v")).cast("int")), F.array_repeat(F.lit(1), F.size("v"))).alias("mask"))
+
+
+def ranked(rows: DataFrame, part: str, *order: str) -> DataFrame:
+    """rows with i: their rank from 0 on by part, then by the order; counts of the parts before plus the rank within the part."""
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    base = rows.groupBy(part).agg(F.count("*").alias("_n")).select(F.col(part).alias("_part"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = rows.withColumn("_i", F.row_number().over(W.partitionBy(part).orderBy(*order)) - 1)
+    return own.join(base, F.col(part).eqNullSafe(F.col("_part"))).withColumn("i", F.col("_base") + F.col("_i")).drop("_part", "_base", "_i")

@@ -105,9 +105,9 @@ def split_boundaries(spark, d):
 
 
 def task_numbering(spark, d):
-    p = T.prices(spark, d).select("ticker", "date").where("date >= date '1998-01-01' and date < date '1998-03-01'")
-    n = F.row_number().over(W.orderBy("date", "ticker")) - 1
-    return p.select("ticker", "date", F.concat(F.lit("TASK_"), F.lpad(n.cast("string"), 8, "0")).alias("task_id"))
+    p = T.prices(spark, d).select("ticker", "date")
+    n = S.ranked(p, "date", "ticker")
+    return n.select("ticker", "date", F.concat(F.lit("TASK_"), F.lpad(F.col("i").cast("string"), 8, "0")).alias("task_id"))
 
 
 def forecast_tasks_build(spark, d):

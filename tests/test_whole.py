@@ -4,8 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import dedup
-from loomgraph.plans import record_queries
+from loomgraph.operators import dedup, graph
+from loomgraph.plans import record_queries, series_queries
 from loomgraph.streaming import news
 
 
@@ -50,3 +50,16 @@ def test_pair_compatible_takes_all_types(spark):
         n = sum(abs(x[0] - y[0]) <= 7 and abs(x[1] - y[1]) <= 7 and bool(x[2] & y[2]) for i, x in enumerate(v) for y in v[:i])
         want[ticker] = want.get(ticker, 0) + n
     assert {r.ticker: r.pairs for r in record_queries.pair_compatible(spark, d).collect()} == {t: n for t, n in want.items() if n}
+
+
+def test_numbering_shuffle_and_interpolation_take_all_rows(spark):
+    d = "/root/testdata/sf0.001"
+    p = record_queries.T.prices(spark, d).select("ticker", "date").collect()
+    want = {(r.ticker, r.date): f"TASK_{i:08}" for i, r in enumerate(sorted(p, key=lambda r: (r.date, r.ticker)))}
+    assert {(r.ticker, r.date): r.task_id for r in series_queries.task_numbering(spark, d).collect()} == want
+    assert max(r.date for r in record_queries.interpolated_series(spark, d).collect()).year > 1996
+    e = record_queries.T.edges(spark, d).select("source", "target", "edge_type").distinct()
+    count = lambda df: {r.edge_type: r["count"] for r in df.groupBy("edge_type").count().collect()}
+    assert {r.edge_type: r.n for r in record_queries.relation_shuffle(spark, d).collect()} == count(e)
+    dealt = graph.shuffled_relations(e, 5)
+    assert count(dealt) == count(e) and dealt.exceptAll(e).count() > e.count() / 4
