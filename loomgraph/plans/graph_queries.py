@@ -124,7 +124,7 @@ def temporal_features(spark, d):
 
 
 def message_passing(spark, d):
-    f = T.vectors(spark, d).select(F.col("id").alias("node"), F.posexplode(F.slice("v", 1, 8)).alias("pos", "x"))
+    f = T.vectors(spark, d).select(F.col("id").alias("node"), F.posexplode("v").alias("pos", "x"))
     e = T.vectors(spark, d).select(F.col("id").alias("src"), (F.col("id") % 17).alias("dst"), (1 + F.col("id") % 3).cast("double").alias("w"))
     return graph.message_passing(e, f).select("dst", "pos", F.round("x", 6).alias("x"))
 

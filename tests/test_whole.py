@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from loomgraph.operators import dedup, graph
-from loomgraph.plans import record_queries, series_queries
+from loomgraph.plans import graph_queries, record_queries, series_queries
 from loomgraph.streaming import news
 
 
@@ -63,3 +63,15 @@ def test_numbering_shuffle_and_interpolation_take_all_rows(spark):
     assert {r.edge_type: r.n for r in record_queries.relation_shuffle(spark, d).collect()} == count(e)
     dealt = graph.shuffled_relations(e, 5)
     assert count(dealt) == count(e) and dealt.exceptAll(e).count() > e.count() / 4
+
+
+def test_message_passing_sums_every_position(spark):
+    d = "/root/testdata/sf0.001"
+    v = record_queries.T.vectors(spark, d).collect()
+    want = {}
+    for dst in {r.id % 17 for r in v}:
+        own = [r for r in v if r.id % 17 == dst]
+        scale = max(1.0, sum(1 + r.id % 3 for r in own)) ** 0.5
+        want |= {(dst, k): sum((1 + r.id % 3) * r.v[k] for r in own) / scale for k in range(len(own[0].v))}
+    got = {(r.dst, r.pos): r.x for r in graph_queries.message_passing(spark, d).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
