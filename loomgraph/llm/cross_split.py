@@ -34,12 +34,14 @@ def cross_split_overlaps(records: DataFrame, splits: DataFrame, run: int = 3, le
     records: id, text; splits: id, split. exact: a training record has the very same words.
     """
     wanted = records.join(splits.select("id").distinct(), "id", "left_semi")
-    members, classes = content_classes(wanted)
+    members, classes = content_classes(wanted, run)
     sided = members.join(splits, "id").select("id", "split", "cid", (F.col("split") == train).alias("is_train"))
     sides = sided.groupBy("cid").agg(F.bool_or("is_train").alias("trains"), F.bool_or(~F.col("is_train")).alias("tests"))
     known = classes.join(sides, "cid")
     exact = known.where("trains and tests").select("cid", F.lit(True).alias("exact"))
-    pairs = class_pairs(wanted, classes, candidate_pairs(known.where("tests"), known.where("trains")), run, least)
+    side = F.col("tests").cast("int") + 2 * F.col("trains").cast("int")
+    # A class on both sides is found as exact already, so a pair of two of them adds nothing.
+    pairs = class_pairs(wanted, classes, candidate_pairs(known, least, side), run, least)
     found = exact.union(pairs.select("a", F.lit(False))).groupBy("cid").agg(F.bool_or("exact").alias("exact"))
     return sided.where("not is_train").join(found, "cid").select("id", "split", "exact").distinct()
 

@@ -2,127 +2,147 @@
 
 A record's set of word runs is drawn into ``SYMBOLS`` minwise symbols of ``BITS`` bits;
 two records whose sets have similarity J agree in a symbol with probability
-J (+ 2**-BITS). The signature is split into chunks of ``CHUNK`` symbols. By the
-pigeonhole principle two signatures at a distance (number of differing symbols) of
-at most ``2 * chunks - 1`` have a chunk with at most one error; so each chunk is
-indexed once for each symbol that may be wrong, that symbol left out. The join on
-these keys returns every pair under that distance, and of the pairs further apart those
-whose errors leave any one chunk with at most one error.
-
-Signatures are drawn from the runs of four words that aren't popular: those that stand in
-``POPULAR`` of the records or more, ``LEAST_POPULAR`` at least (furniture, stock phrases) make keys that select nothing,
-so they are counted over all records beforehand; there are at most a record's runs / POPULAR
-of them, which bounds the list that every task holds. A record whose runs are mostly popular has
-a signature of all its runs of three words instead, as has one of fewer than ``SHORT`` words; records near
-either bound have both, and a pair with one record beyond each end of it can't be alike. Pairs
-that agree in too few symbols are dropped, the others are verified on the whole sets of runs.
-Records of the same words are one class beforehand, so that a group of copies,
-however large, is one signature.
-
-Null or blank bodies take no part, nor do records with less than one run of words. A
-null title counts as empty. Ids are keys: repeated rows count once.
+J (+ 2**-BITS). The signature is split into ``CHUNKS`` chunks of ``CHUNK`` symbols, and each chunk is
+indexed once for each symbol that may be wrong, that symbol left out. By the pigeonhole
+principle two signatures at a distance (number of differing symbols) of at most
+``GUARANTEED`` = 2 * CHUNKS - 2 share at least two of these keys: with fewer, all chunks but one
+have two errors or more and that one has one. So the join returns every pair within that
+distance, and of the pairs further apart those that share two keys all the same.
+
+Runs that stand in ``POPULAR`` of the records or more (furniture, stock phrases) make keys that select
+nothing, so the signature ``sig`` is drawn from the others, the rare ones. Occurrences are counted in ``BUCKETS`` buckets of the
+run's hash, over all records and exactly, so neither the order nor the batches of the rows matter, and what
+every task holds is one bit a bucket, whatever the data. A record of whose different runs no more than ``WHOLE`` are rare has a
+signature ``whole`` of all its runs besides. Of two records alike by half or more, one without any rare run makes at least half of
+the other's runs popular, so they have ``whole`` in common; any others have ``sig`` in common.
+
+If popular runs that both records have are a share s of all their runs, their rare runs have a similarity of (J - s) / (1 - s) at least;
+the bound on agreeing symbols is set for s up to ``SHARED``. The pairs that reach it are verified on the whole sets of
+runs, popular ones included. Records of the same words are one class beforehand, so that a group of
+copies, however large, is one signature.
+
+The keys are sorted by key, and neighbours are paired in one pass. A key of more than ``HOT`` records is split into blocks of about that
+many; every two blocks meet in a task of their own, which compares signatures and emits only pairs that are close.
+
+Null or blank bodies take no part. A null title counts as empty. Ids are keys: repeated rows count once. Records with fewer words
+than a run have no run and no pair; copies of them are a class all the same, but records without any word are each a class of their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.components import connected_components
 from loomgraph.llm.words import WordHashes, mix, run_hashes, words
 from loomgraph.scratch import written
 
-CHUNK, CHUNKS, BITS = 4, 24, 16
+CHUNK, CHUNKS, BITS = 3, 32, 16
 SYMBOLS = CHUNK * CHUNKS
-RUN = 4
-SHORT, LONG = 40, 84
-POPULAR, LEAST_POPULAR, RARE_LOW, RARE_HIGH = 0.005, 50, 0.3, 0.55
-#: Agreeing symbols that a pair of either similarity must have, of its runs of four words and of its runs of three.
-LEAST_EQUAL = {0.5: (13, 22), 0.8: (45, 54)}
+GUARANTEED = 2 * CHUNKS - 2
+BUCKETS, _SHIFT = 1 << 20, np.uint64(44)
+POPULAR, LEAST_POPULAR, WHOLE, SHARED = 0.005, 50, 0.5, 0.25
+HOT = 2000
 _RNG = np.random.RandomState(20240229)
 _A = (_RNG.randint(0, 2**63, SYMBOLS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _RNG.randint(0, 2**63, SYMBOLS).astype(np.uint64)
 
 
-def _minima(h: np.ndarray, runs: np.ndarray) -> list[bytes | None]:
-    """The signature of each list of runs, None for an empty one; h: the hashes of all lists, runs: how many each has."""
+def _slices(texts: pd.Series, records: int = 512, chars: int = 2_000_000) -> Iterator[slice]:
+    """Ranges of at most so many texts and, but for a single longer text, characters."""
+    at = size = 0
+    for i, n in enumerate(texts.str.len()):
+        if i > at and (i - at >= records or size + n > chars):
+            yield slice(at, i)
+            at, size = i, 0
+        size += n
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
+def _minima(h: np.ndarray, runs: np.ndarray) -> tuple[list[bytes | None], list[bytes | None]]:
+    """High and low bytes of the signature of each list of runs, None for an empty one; h: the hashes of all lists, runs: how many each has."""
     have = np.flatnonzero(runs)
-    out: list[bytes | None] = [None] * len(runs)
+    high: list[bytes | None] = [None] * len(runs)
+    low: list[bytes | None] = [None] * len(runs)
     if len(have):
         sig = np.empty((len(have), SYMBOLS), dtype=np.uint16)
         starts = (np.cumsum(runs) - runs)[have]
         for i in range(SYMBOLS):
             sig[:, i] = (mix(np.minimum.reduceat(h * _A[i] + _B[i], starts)) >> np.uint64(48)).astype(np.uint16)
-        for i, row in zip(have, sig):
-            out[i] = row.tobytes()
-    return out
+        for i, x, y in zip(have, (sig >> 8).astype(np.uint8), sig.astype(np.uint8)):
+            high[i], low[i] = x.tobytes(), y.tobytes()
+    return high, low
 
 
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache = WordHashes()
+def _symbols(high: pd.Series, low: pd.Series) -> np.ndarray:
+    x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, SYMBOLS).astype(np.uint16) for s in (high, low))
+    return (x << 8) | y
+
+
+def _counted(frames: Iterator[pd.DataFrame], run: int) -> Iterator[pd.DataFrame]:
+    cache, total, records = WordHashes(), np.zeros(BUCKETS, dtype=np.int64), 0
     for f in frames:
-        runs = [np.empty(0, dtype=np.uint64)]
-        for at in range(0, len(f), 512):
-            h, n = run_hashes([words(t) for t in f["text"].iloc[at : at + 512]], RUN, cache)
-            runs.append(h)
-        run, n = np.unique(np.concatenate(runs), return_counts=True)
-        often = n >= max(2, POPULAR / 2 * len(f))
-        yield pd.DataFrame({"run": np.append(run[often].view(np.int64), 0), "n": np.append(n[often], 0), "records": np.append(np.zeros(often.sum(), dtype=np.int64), len(f))})
+        records += len(f)
+        for at in _slices(f["text"]):
+            h, _ = run_hashes([words(t) for t in f["text"].iloc[at]], run, cache)
+            total += np.bincount((h >> _SHIFT).astype(np.int64), minlength=BUCKETS)
+    have = np.flatnonzero(total)
+    yield pd.DataFrame({"bucket": np.append(have, -1), "n": np.append(total[have], records)})
 
 
-def popular_runs(records: DataFrame) -> np.ndarray:
-    """Sorted hashes of the runs of four words that stand in ``POPULAR`` of all records or more (counted where a batch has them often)."""
-    counts = written(records.select("text").mapInPandas(_counted, "run long, n long, records long").groupBy("run").agg(F.sum("n").alias("n"), F.sum("records").alias("records")), "runs")
-    total = counts.agg(F.sum("records")).first()[0] or 0
-    rows = counts.where(F.col("n") >= max(LEAST_POPULAR, POPULAR * total)).select("run").toPandas()
-    return np.sort(rows["run"].to_numpy(dtype=np.int64).view(np.uint64))
+def popular_buckets(records: DataFrame, run: int) -> np.ndarray:
+    """Bits of the buckets of runs that hold as many occurrences as ``POPULAR`` of all records, beyond a multiple of the mean."""
+    counts = written(records.select("text").mapInPandas(lambda fs: _counted(fs, run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "runs")
+    n, total = counts.agg(F.sum(F.when(F.col("bucket") < 0, F.col("n"))), F.sum(F.when(F.col("bucket") >= 0, F.col("n")))).first()
+    least = max(LEAST_POPULAR, POPULAR * (n or 0) + 4 * (total or 0) / BUCKETS)
+    # At most a quarter of the buckets, as each holds four times the mean.
+    rows = counts.where((F.col("bucket") >= 0) & (F.col("n") >= least)).select("bucket").toPandas()
+    popular = np.zeros(BUCKETS, dtype=bool)
+    popular[rows["bucket"].to_numpy(dtype=np.int64)] = True
+    return np.packbits(popular)
 
 
-def _canonical(frames: Iterator[pd.DataFrame], popular: np.ndarray) -> Iterator[pd.DataFrame]:
-    cache = WordHashes()
-    slots = np.zeros(1 << 20, dtype=bool)
-    slots[popular >> np.uint64(44)] = True
+_SIGNED = "id string, content binary, sig_high binary, sig_low binary, whole_high binary, whole_low binary"
+
+
+def _signed(frames: Iterator[pd.DataFrame], popular: np.ndarray, run: int) -> Iterator[pd.DataFrame]:
+    cache, bits = WordHashes(), np.unpackbits(popular).astype(bool)
+    nine, place = np.uint64(9), np.uint64(55)
     for f in frames:
-        for at in range(0, len(f), 512):
-            part = f.iloc[at : at + 512]
-            lists = [words(t) for t in part["text"]]
-            keep = [len(x) >= 3 for x in lists]
-            ids, lists = part["id"].to_numpy()[keep], [x for x, k in zip(lists, keep) if k]
-            h, runs = run_hashes(lists, RUN, cache)
-            rare = ~slots[h >> np.uint64(44)]
-            maybe = np.flatnonzero(~rare)
-            if len(maybe):
-                rare[maybe] = popular[np.minimum(np.searchsorted(popular, h[maybe]), len(popular) - 1)] != h[maybe]
-            own = np.bincount(np.repeat(np.arange(len(lists)), runs)[rare], minlength=len(lists))
-            share = own / np.maximum(runs, 1)
-            size = np.array([len(x) for x in lists], dtype=int)
-            signed = (size >= SHORT) & (share >= RARE_LOW)
-            whole = (size < LONG) | (share < RARE_HIGH)
-            yield pd.DataFrame({
-                "id": ids,
-                "content": [xxhash.xxh3_128_digest(b" ".join(x)) for x in lists],
-                "sig": _minima(h[rare & np.repeat(signed, runs)], np.where(signed, own, 0)),
-                "sig_whole": _minima(*run_hashes([x if w else [] for x, w in zip(lists, whole)], 3, cache)),
-            })
-
-
-def canonical_signatures(records: DataFrame) -> DataFrame:
-    """id, content (128-bit hash of the words: what is left of a record without case, punctuation and white space), sig, sig_whole."""
-    popular = popular_runs(records)
-    return records.select("id", "text").mapInPandas(lambda fs: _canonical(fs, popular), "id string, content binary, sig binary, sig_whole binary")
+        for at in _slices(f["text"]):
+            ids, lists = f["id"].iloc[at].to_numpy(), [words(t) for t in f["text"].iloc[at]]
+            h, runs = run_hashes(lists, run, cache)
+            own = np.repeat(np.arange(len(lists), dtype=np.uint64), runs)
+            # Record, hash and, in the lowest bit, whether the run is rare: sorted, each once.
+            each = np.unique((own << place) | ((h >> nine) & ~np.uint64(1)) | ~bits[(h >> _SHIFT).astype(np.int64)])
+            own, rare, h = (each >> place).astype(np.int64), (each & np.uint64(1)).astype(bool), mix(each << nine)
+            runs, some = (np.bincount(x, minlength=len(lists)) for x in (own, own[rare]))
+            most = some <= WHOLE * runs
+            signed, whole = _minima(h[rare], some), _minima(h[most[own]], np.where(most, runs, 0))
+            content = [xxhash.xxh3_128_digest(b" ".join(x) if x else b" " + i.encode()) for x, i in zip(lists, ids)]
+            yield pd.DataFrame({"id": ids, "content": content, "sig_high": signed[0], "sig_low": signed[1], "whole_high": whole[0], "whole_low": whole[1]})
+
+
+def canonical_signatures(records: DataFrame, run: int) -> DataFrame:
+    """id, content (128-bit hash of the words: what is left of a record without case, punctuation and white space) and the bytes of sig and whole."""
+    popular = popular_buckets(records, run)
+    return records.select("id", "text").mapInPandas(lambda fs: _signed(fs, popular, run), _SIGNED)
 
 
 def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        for kind, column in enumerate(("sig", "sig_whole")):
-            own = f[f[column].notna()]
+        for kind, name in enumerate(("sig", "whole")):
+            own = f[f[f"{name}_low"].notna()]
             for at in range(0, len(own), 4096):
                 part = own.iloc[at : at + 4096]
-                sig = np.frombuffer(b"".join(part[column]), dtype=np.uint16).reshape(-1, CHUNKS, CHUNK).astype(np.int64)
+                sig = _symbols(part[f"{name}_high"], part[f"{name}_low"]).reshape(-1, CHUNKS, CHUNK).astype(np.int64)
                 out = []
                 for wrong in range(CHUNK):
                     key = np.full(sig.shape[:2], kind, dtype=np.int64)
@@ -131,20 +151,101 @@ def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             key = (key << BITS) | sig[:, :, k]
                     out.append(key | ((np.arange(CHUNKS) * CHUNK + wrong) << (BITS * (CHUNK - 1) + 1)))
                 keys = np.concatenate(out, axis=1)
-                yield pd.DataFrame({"key": keys.ravel(), "cid": np.repeat(part["cid"].to_numpy(), keys.shape[1])})
+                yield pd.DataFrame({"key": keys.ravel(), "who": np.repeat(part["who"].to_numpy(), keys.shape[1])})
+
 
+#: ``who`` is a class number and, in the lowest two bits, whether the class is on the left and on the right side of the join.
+_LEFT, _RIGHT = 1, 2
 
-def chunk_keys(classes: DataFrame) -> DataFrame:
-    """key, cid for each chunk of each signature and each of its symbols that may be wrong."""
-    return classes.select("sig", "sig_whole", "cid").mapInPandas(_keys, "key long, cid long")
+
+def _sided(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs with one class of the left and one of the right, left first; where both are on both sides the smaller number first."""
+    both = (x & 3 == 3) & (y & 3 == 3)
+    there = ~both & ((x & _LEFT) > 0) & ((y & _RIGHT) > 0)
+    back = ~both & ((y & _LEFT) > 0) & ((x & _RIGHT) > 0)
+    a = np.concatenate([np.minimum(x, y)[both], x[there], y[back]])
+    b = np.concatenate([np.maximum(x, y)[both], y[there], x[back]])
+    return a, b
+
+
+def _neighbours(frames: Iterator[pd.DataFrame], hot: int) -> Iterator[pd.DataFrame]:
+    """a, b, 1 for each pair that shares a key; key, who, 0 for the rows of a key with more than ``hot`` of them. The rows come sorted by key."""
+    key, who, left = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), None
+    for f in frames:
+        key, who = np.concatenate([key, f["key"].to_numpy()]), np.concatenate([who, f["who"].to_numpy()])
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, dtype=np.int64)
+        size = np.diff(np.append(start, len(key)))
+        many = np.repeat((size > hot) | (key[start] == left if left is not None else False), size)
+        # The last key may go on in the next rows; if it is hot, they needn't be kept for that.
+        open_ = 0 if not len(size) or many[-1] else int(size[-1])
+        left = key[-1] if len(size) and many[-1] else None
+        yield pd.DataFrame({"a": key[many], "b": who[many], "n": np.zeros(many.sum(), dtype=np.int32)})
+        keep = ~many
+        keep[len(key) - open_ :] = False
+        yield from _paired(key[keep], who[keep])
+        key, who = (x[len(x) - open_ :] for x in (key, who))
+    yield from _paired(key, who)
+
+
+def _paired(key: np.ndarray, who: np.ndarray) -> Iterator[pd.DataFrame]:
+    at, d = np.arange(len(key)), 1
+    while len(at):
+        at = at[at + d < len(key)]
+        at = at[key[at] == key[at + d]]
+        if len(at):
+            a, b = _sided(who[at], who[at + d])
+            yield pd.DataFrame({"a": a >> 2, "b": b >> 2, "n": np.ones(len(a), dtype=np.int32)})
+        d += 1
+
+
+def _blocks_met(f: pd.DataFrame, least: tuple[int, int]) -> pd.DataFrame:
+    """The close pairs of two blocks of a hot key, or of one block with itself."""
+    kind = int(f["key"].iloc[0] >> (BITS * (CHUNK - 1)) & 1)
+    name = ("sig", "whole")[kind]
+    sig, who, mine = _symbols(f[f"{name}_high"], f[f"{name}_low"]), f["who"].to_numpy(), f["block"].to_numpy()
+    one, other = (np.flatnonzero(mine == f[c].iloc[0]) for c in ("lo", "hi"))
+    found = [(np.empty(0, dtype=np.int64),) * 2]
+    for i in one:
+        others = other[other > i] if f["lo"].iloc[0] == f["hi"].iloc[0] else other
+        near = others[(sig[others] == sig[i]).sum(axis=1) >= least[kind]]
+        found.append(_sided(np.full(len(near), who[i]), who[near]))
+    a, b = (np.concatenate(x) >> 2 for x in zip(*found))
+    return pd.DataFrame({"a": a, "b": b, "n": np.full(len(a), 2, dtype=np.int32)})
+
+
+def _hot_pairs(rows: DataFrame, sided: DataFrame, least: tuple[int, int]) -> DataFrame:
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks"))
+    spread = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("who"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = spread.select("key", "who", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).join(sided.select("who", "sig_high", "sig_low", "whole_high", "whole_low"), "who")
+    return met.groupBy("key", "lo", "hi").applyInPandas(lambda f: _blocks_met(f, least), "a long, b long, n int")
+
+
+def least_equal(least: float) -> tuple[int, int]:
+    """Agreeing symbols that a pair of this similarity has, of sig and of whole, but for four deviations."""
+    out = []
+    for p in (max(0.0, (least - SHARED) / (1 - SHARED)), least):
+        out.append(max(2, math.floor(SYMBOLS * p - 4 * math.sqrt(SYMBOLS * p * (1 - p)))))
+    return out[0], out[1]
+
+
+def candidate_pairs(classes: DataFrame, least: float, side: Column | None = None) -> DataFrame:
+    """a, b: the pairs of classes that share two keys. side: 1 for a class of the left, 2 of the right, 3 of both; a is of the left then."""
+    sided = classes.withColumn("who", F.col("cid") * 4 + (F.lit(3) if side is None else side))
+    keys = sided.select("sig_high", "sig_low", "whole_high", "whole_low", "who").mapInPandas(_keys, "key long, who long")
+    hot = HOT
+    found = keys.repartition("key").sortWithinPartitions("key").mapInPandas(lambda fs: _neighbours(fs, hot), "a long, b long, n int")
+    found = written(found, "neighbours")
+    bounds = least_equal(least)
+    met = _hot_pairs(found.where("n = 0").select(F.col("a").alias("key"), F.col("b").alias("who")), sided, bounds)
+    return found.where("n > 0").union(met).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b")
 
 
 def _equal(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """Agreeing symbols, -1 where one of the two has no signature."""
+    """Symbols that agree in their low byte, -1 where one of the two has no signature."""
     out = np.full(len(a), -1)
     both = np.flatnonzero(a.notna().to_numpy() & b.notna().to_numpy())
     if len(both):
-        x, y = (np.frombuffer(b"".join(s.iloc[both]), dtype=np.uint16).reshape(-1, SYMBOLS) for s in (a, b))
+        x, y = (np.frombuffer(b"".join(s.iloc[both]), dtype=np.uint8).reshape(-1, SYMBOLS) for s in (a, b))
         out[both] = (x == y).sum(axis=1)
     return out
 
@@ -157,7 +258,7 @@ def _close(frames: Iterator[pd.DataFrame], least: tuple[int, int]) -> Iterator[p
 
 def close_pairs(candidates: DataFrame, classes: DataFrame, least: tuple[int, int]) -> DataFrame:
     """The candidate pairs (a, b) of classes whose signatures agree in enough symbols."""
-    sigs = classes.select("cid", "sig", "sig_whole")
+    sigs = classes.select("cid", "sig_low", "whole_low")
     both = candidates.join(sigs.toDF("a", "sig_a", "whole_a"), "a").join(sigs.toDF("b", "sig_b", "whole_b"), "b")
     return both.select("a", "b", "sig_a", "sig_b", "whole_a", "whole_b").mapInPandas(lambda fs: _close(fs, least), "a long, b long")
 
@@ -195,26 +296,24 @@ def article_records(articles: DataFrame) -> DataFrame:
     )
 
 
-def content_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members (id, cid, rep) and classes (cid, rep, sig, sig_whole): records of the same words share a class; rep is its smallest id."""
-    found = written(canonical_signatures(records), "signatures")
-    grouped = found.groupBy("content").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("sig_whole").alias("sig_whole"))
+def content_classes(records: DataFrame, run: int = 3) -> tuple[DataFrame, DataFrame]:
+    """members (id, cid, rep, runs) and classes (cid, rep and the bytes of sig and whole): records of the same words share a class; rep is its smallest id.
+
+    runs: whether the class has any run of words.
+    """
+    kept = records.where("id is not null and text is not null")
+    found = written(canonical_signatures(kept, run), "signatures")
+    parts = ["sig_high", "sig_low", "whole_high", "whole_low"]
+    grouped = found.groupBy("content").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in parts])
     classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    members = found.select("id", "content").distinct().join(classes.select("content", "cid", "rep"), "content").select("id", "cid", "rep")
+    known = classes.select("content", "cid", "rep", F.coalesce("sig_low", "whole_low").isNotNull().alias("runs"))
+    members = found.select("id", "content").distinct().join(known, "content").select("id", "cid", "rep", "runs")
     return members, classes.drop("content")
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
-    """a, b: distinct pairs of a class of the left and another one of the right (of the left too, if not given) that share a key."""
-    keys = chunk_keys(left)
-    other = (keys if right is None else chunk_keys(right)).hint("merge")
-    pairs = keys.toDF("key", "a").join(other.toDF("key", "b"), "key")
-    return pairs.where("a < b" if right is None else "a <> b").select("a", "b").distinct()
-
-
 def class_pairs(records: DataFrame, classes: DataFrame, candidates: DataFrame, run: int = 3, least: float = 0.5) -> DataFrame:
     """a, b, rep_a, rep_b, similarity: the candidates whose representatives' sets of runs are alike enough."""
-    close = written(close_pairs(candidates, classes, LEAST_EQUAL[least]), "close")
+    close = written(close_pairs(candidates, classes, least_equal(least)), "close")
     needed = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid")
 
     texts = written(records.join(needed.withColumnRenamed("rep", "id"), "id").groupBy("cid").agg(F.first("text").alias("text")), "texts")
@@ -226,17 +325,22 @@ def class_pairs(records: DataFrame, classes: DataFrame, candidates: DataFrame, r
 def near_pairs(records: DataFrame, run: int = 3, least: float = 0.5) -> DataFrame:
     """id_a, id_b (the smaller first), similarity: alike classes by their representatives, and each copy with its representative.
 
-    Copies of the same words aren't expanded into all pairs of the group.
+    Copies of the same words aren't expanded into all pairs of the group. ``least`` may be any similarity above 0.
     """
-    members, classes = content_classes(records)
-    pairs = class_pairs(records, classes, candidate_pairs(classes), run, least)
-    copies = members.where("id <> rep").select("rep", "id", F.lit(1.0))
+    members, classes = content_classes(records, run)
+    pairs = class_pairs(records, classes, candidate_pairs(classes, least), run, least)
+    copies = members.where("runs and id <> rep").select("rep", "id", F.lit(1.0))
     return pairs.select(F.least("rep_a", "rep_b").alias("id_a"), F.greatest("rep_a", "rep_b").alias("id_b"), "similarity").union(copies)
 
 
 def near_duplicate_classes(records: DataFrame, run: int = 5, least: float = 0.8) -> DataFrame:
     """One row per record: id, class_id (smallest id of the records of the same words), links (number of other classes that are alike)."""
-    members, classes = content_classes(records)
-    pairs = class_pairs(records, classes, candidate_pairs(classes), run, least)
+    members, classes = content_classes(records, run)
+    pairs = class_pairs(records, classes, candidate_pairs(classes, least), run, least)
     links = pairs.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("links"))
     return members.join(links, "cid", "left").select("id", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def near_duplicate_groups(records: DataFrame, run: int = 3, least: float = 0.5) -> DataFrame:
+    """id, group_id (smallest id of the group) of each record that is alike another one, directly or through others."""
+    return connected_components(near_pairs(records, run, least).select("id_a", "id_b")).toDF("id", "group_id")

@@ -55,6 +55,10 @@ def p4_classes(spark, d):
     return near.near_duplicate_classes(near.article_records(_t(spark, d, "articles")))
 
 
+def p4_groups(spark, d):
+    return near.near_duplicate_groups(near.article_records(_t(spark, d, "articles")))
+
+
 def p5_found(spark, d):
     return components.event_groups(_t(spark, d, "graph_nodes"), _t(spark, d, "graph_edges"))
 
@@ -78,7 +82,7 @@ def p7_leaked_items(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_overlap_report, p2_found, p2_blocks, p2_cleaned, p3_found, p4_found, p4_classes, p5_found, p5_group_sizes, p7_found, p7_passages, p7_leaked_items)
+    for f in (p1_found, p1_overlap_report, p2_found, p2_blocks, p2_cleaned, p3_found, p4_found, p4_classes, p4_groups, p5_found, p5_group_sizes, p7_found, p7_passages, p7_leaked_items)
 }
 
 _SITE = r"""nullif(regexp_replace(regexp_replace(regexp_extract(regexp_replace(lower(trim(_url, E' \t\n\r ')), '^([a-z][a-z0-9+.\-]*:)?//', ''), '^[^/?#\\]*'), '^.*@|:\d*$', '', 'g'), '^(www|m|amp)\.', ''), '')"""
@@ -100,6 +104,16 @@ alike AS (
   SELECT a AS article_id_a, b AS article_id_b
   FROM (SELECT x.article_id AS a, y.article_id AS b, count(*) AS k FROM runs x JOIN runs y ON x.run = y.run AND x.article_id < y.article_id GROUP BY 1, 2)
   JOIN sizes p ON p.article_id = a JOIN sizes q ON q.article_id = b WHERE 2 * k >= p.n + q.n - k)""".replace("\\\\", "\\")
+_CLASSES = r"""
+arts AS (SELECT DISTINCT article_id, regexp_extract_all(lower(coalesce(_title, '') || chr(10) || _article), '[a-z0-9]+') AS w FROM articles WHERE regexp_matches(_article, '[^\s\x{A0}]')),
+members AS (SELECT article_id AS id, min(article_id) OVER (PARTITION BY CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE '!' || article_id END) AS class_id, w FROM arts),
+fives AS (
+  SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS run
+  FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM members WHERE id = class_id)),
+counts AS (SELECT id, count(*) AS n FROM fives GROUP BY id),
+linked AS (
+  SELECT a, b FROM (SELECT x.id AS a, y.id AS b, count(*) AS k FROM fives x JOIN fives y ON x.run = y.run AND x.id <> y.id GROUP BY 1, 2)
+  JOIN counts p ON p.id = a JOIN counts q ON q.id = b WHERE k >= 0.8::DOUBLE * (p.n + q.n - k))"""
 _KEY = r"nullif(upper(regexp_replace({}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g')), '')"
 _SPLITS = f"""
 splits AS (
@@ -132,6 +146,17 @@ near AS (SELECT article_id, task_id, row_number() OVER (PARTITION BY article_id,
 FROM a JOIN e ON a.k = e.k AND e.t BETWEEN a.t - INTERVAL 6 HOUR AND a.t + INTERVAL 6 HOUR)
 SELECT article_id, task_id FROM near WHERE n = 1""",
     "p4_found": f"WITH {_RUNS} SELECT article_id_a, article_id_b FROM alike",
+    "p1_overlap_report": f"""WITH {_RUNS}, {_SPLITS},
+twins AS (SELECT DISTINCT article_id, array_to_string(regexp_extract_all(lower(coalesce(_title, '') || chr(10) || _article), '[a-z0-9]+'), ' ') AS w FROM articles WHERE _article IS NOT NULL),
+found AS (SELECT DISTINCT e.article_id, e.split FROM splits e JOIN (SELECT article_id_a AS a, article_id_b AS b FROM alike UNION SELECT article_id_b, article_id_a FROM alike) p ON p.a = e.article_id
+  JOIN splits t ON t.article_id = p.b AND t.split = 'train' WHERE e.split IN ('val', 'test')),
+same AS (SELECT DISTINCT x.article_id FROM twins x JOIN twins y ON x.w = y.w AND x.article_id <> y.article_id JOIN splits t ON t.article_id = y.article_id AND t.split = 'train'),
+sites AS (SELECT DISTINCT article_id, coalesce({_SITE}, '') AS site FROM articles)
+SELECT split, site, count(*) AS overlaps, count(*) FILTER (article_id IN (SELECT article_id FROM same)) AS exact FROM found JOIN sites USING (article_id) GROUP BY 1, 2""",
+    "p4_classes": f"WITH {_CLASSES} SELECT m.id, m.class_id, count(l.b) AS links FROM members m LEFT JOIN linked l ON l.a = m.class_id GROUP BY 1, 2",
+    "p4_groups": f"""WITH RECURSIVE {_RUNS}, ends AS (SELECT article_id_a AS a, article_id_b AS b FROM alike UNION SELECT article_id_b, article_id_a FROM alike),
+reach AS (SELECT a AS v, a AS r FROM ends UNION SELECT reach.v, ends.b FROM reach JOIN ends ON ends.a = reach.r)
+SELECT v AS id, min(r) AS group_id FROM reach GROUP BY v""",
     "p5_found": f"WITH RECURSIVE {_TIED} SELECT node_id, group_id FROM groups",
     "p5_group_sizes": f"WITH RECURSIVE {_TIED} SELECT group_id, count(*) AS nodes FROM groups GROUP BY group_id",
     "p7_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks",

@@ -62,6 +62,50 @@ def test_near_classes_have_a_row_each(spark, articles):
     assert len(rows) == len({r.id for r in rows}) and {r.class_id for r in rows if r.id in ("C1", "C2", "C3")} == {"C1"}
 
 
+def test_near_pairs_over_batches_and_hot_keys(spark, articles):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    old, near.HOT = near.HOT, 2
+    try:
+        test_near_pairs_equal_brute_force(spark, articles)
+    finally:
+        near.HOT = old
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_near_takes_repeated_bodies_and_any_threshold(spark):
+    rng = random.Random(9)
+    body = " ".join(rng.sample(WORDS, 39))
+    rows = [("a", body), ("b", f"{body} {body} {body}"), ("c", " ".join(rng.sample(WORDS, 200))), ("d", "x y z"), ("e", "x y z q")]
+    rows += [("f", " ".join(w if i % 16 else "odd" + str(i) for i, w in enumerate(rows[2][1].split())))]
+    df = spark.createDataFrame(rows, "id string, text string")
+    sets = {i: runs(None, t) for i, t in rows}
+    for least in (0.3, 0.5, 0.7, 0.9):
+        want = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])}
+        assert {(r.id_a, r.id_b) for r in near.near_pairs(df, 3, least).collect()} == want
+    assert ("a", "b") in {(r.id_a, r.id_b) for r in near.near_pairs(df, 3, 0.9).collect()}
+
+
+def test_near_of_records_that_are_mostly_furniture(spark):
+    rng = random.Random(10)
+    furniture = prose(rng, 120)
+    rows = [(f"r{i:03d}", f"{prose(rng, 60)} {furniture}") for i in range(300)] + [(f"s{i}", f"{furniture} {prose(rng, 3)}") for i in range(4)]
+    sets = {i: runs(None, t) for i, t in rows}
+    ids = sorted(sets)
+    want = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "id string, text string").repartition(parts)
+        assert {(r.id_a, r.id_b) for r in near.near_pairs(df).collect()} == want and len(want) > 1000
+
+
+def test_near_groups(spark):
+    rng = random.Random(11)
+    a = prose(rng, 100)
+    b = " ".join(a.split()[20:]) + " " + prose(rng, 20)
+    c = " ".join(b.split()[20:]) + " " + prose(rng, 20)
+    df = spark.createDataFrame([("1", a), ("2", b), ("3", c), ("4", prose(rng, 100)), ("5", None)], "id string, text string")
+    assert {tuple(r) for r in near.near_duplicate_groups(df).collect()} == {("1", "1"), ("2", "1"), ("3", "1")}
+
+
 def test_near_on_hot_copies_and_empty(spark):
     hot = spark.range(3000).selectExpr("concat('H', id) as id", "'one text that a third of all rows repeat word for word' as text")
     assert near.near_pairs(hot).count() == 2999
