@@ -1,25 +1,21 @@
 """Near-duplicate records with small edits: a Hamming join of b-bit signatures by several indexes.
 
-A record's set of word runs is drawn into ``SYMBOLS`` minwise symbols of ``BITS`` bits;
-two records whose sets have similarity J agree in a symbol with probability
-J (+ 2**-BITS). The signature is split into ``CHUNKS`` chunks of ``CHUNK`` symbols, and each chunk is
-indexed once for each symbol that may be wrong, that symbol left out. By the pigeonhole
-principle two signatures at a distance (number of differing symbols) of at most
-``GUARANTEED`` = 2 * CHUNKS - 2 share at least two of these keys: with fewer, all chunks but one
-have two errors or more and that one has one. So the join returns every pair within that
-distance, and of the pairs further apart those that share two keys all the same.
-
-Runs that stand in ``POPULAR`` of the records or more (furniture, stock phrases) make keys that select
-nothing, so the signature ``sig`` is drawn from the others, the rare ones. Occurrences are counted in ``BUCKETS`` buckets of the
-run's hash, over all records and exactly, so neither the order nor the batches of the rows matter, and what
-every task holds is one bit a bucket, whatever the data. A record of whose different runs no more than ``WHOLE`` are rare has a
-signature ``whole`` of all its runs besides. Of two records alike by half or more, one without any rare run makes at least half of
-the other's runs popular, so they have ``whole`` in common; any others have ``sig`` in common.
-
-If popular runs that both records have are a share s of all their runs, their rare runs have a similarity of (J - s) / (1 - s) at least;
-the bound on agreeing symbols is set for s up to ``SHARED``. The pairs that reach it are verified on the whole sets of
-runs, popular ones included. Records of the same words are one class beforehand, so that a group of
-copies, however large, is one signature.
+A record's set of word runs is drawn into ``SYMBOLS`` minwise symbols of ``BITS`` bits. Two records agree in a symbol with
+the probability of their similarity (+ 2**-BITS). The signature is split into chunks, and each chunk is indexed once for each
+symbol that may be wrong, that symbol left out. The join on these keys returns every pair under a distance (number of differing
+symbols) by the pigeonhole principle, and of the pairs further apart those that share as many keys all the same.
+
+There are two signatures. ``sig`` draws runs by weight: a run that stands in more than ``FREE`` records (or several times the mean of
+its bucket) has the inverse of its frequency as its weight, so furniture and stock phrases, whose keys select nothing, seldom make a symbol.
+It has chunks of 3, and a pair must share two keys: all pairs at a distance of at most ``GUARANTEED`` do, for with fewer shared keys
+all chunks but one have two errors or more and that one has one. ``flat`` draws all runs alike, for records of whose different runs
+half or more have a weight of a quarter or less; it has chunks of 4, and one key is enough. A pair alike by half or more whose common runs are
+all of such a weight has ``flat`` in common, as they are half of the runs of either; the more of the other runs it shares, the closer it
+is in ``sig``. Candidates are verified on the whole sets of runs, all alike.
+
+Occurrences of runs are counted in ``BUCKETS`` buckets of the run's hash, over all records and exactly, so neither the order nor the batches
+of the rows matter, and what every task holds is a byte a bucket, whatever the data. Records of the same words are one class
+beforehand, so that a group of copies, however large, is one signature.
 
 The keys are sorted by key, and neighbours are paired in one pass. A key of more than ``HOT`` records is split into blocks of about that
 many; every two blocks meet in a task of their own, which compares signatures and emits only pairs that are close.
@@ -31,6 +27,7 @@ than a run have no run and no pair; copies of them are a class all the same, but
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,18 +37,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import connected_components
-from loomgraph.llm.words import WordHashes, mix, run_hashes, words
+from loomgraph.llm.words import WordHashes, run_hashes, words
 from loomgraph.scratch import written
 
-CHUNK, CHUNKS, BITS = 3, 32, 16
-SYMBOLS = CHUNK * CHUNKS
-GUARANTEED = 2 * CHUNKS - 2
+SYMBOLS, BITS = 96, 16
+KINDS = ("sig", "flat")
+CHUNK = {"sig": 3, "flat": 4}
+GUARANTEED = {"sig": 2 * SYMBOLS // 3 - 2, "flat": 2 * SYMBOLS // 4 - 1}
 BUCKETS, _SHIFT = 1 << 20, np.uint64(44)
-POPULAR, LEAST_POPULAR, WHOLE, SHARED = 0.005, 50, 0.5, 0.25
+#: Weights are powers of two down to 2**-_LEAST; from 2**-_SMALL on a run counts as popular.
+FREE, _LEAST, _SMALL = 50, 10, 2
 HOT = 2000
+_KIND = 60
 _RNG = np.random.RandomState(20240229)
-_A = (_RNG.randint(0, 2**63, SYMBOLS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-_B = _RNG.randint(0, 2**63, SYMBOLS).astype(np.uint64)
+_A = (_RNG.randint(0, 2**31, SYMBOLS).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
+_B = _RNG.randint(0, 2**32, SYMBOLS, dtype=np.uint64).astype(np.uint32)
 
 
 def _slices(texts: pd.Series, records: int = 512, chars: int = 2_000_000) -> Iterator[slice]:
@@ -66,90 +66,89 @@ def _slices(texts: pd.Series, records: int = 512, chars: int = 2_000_000) -> Ite
         yield slice(at, len(texts))
 
 
-def _minima(h: np.ndarray, runs: np.ndarray) -> tuple[list[bytes | None], list[bytes | None]]:
-    """High and low bytes of the signature of each list of runs, None for an empty one; h: the hashes of all lists, runs: how many each has."""
+def _minima(h: np.ndarray, light: np.ndarray, runs: np.ndarray) -> list[bytes | None]:
+    """The signature of each list of runs, None for an empty one; h: 32-bit hashes of all lists, light: by what power of two their weights fall, runs: how many each has.
+
+    A run with a weight of 2**-k draws numbers 2**k times as large.
+    """
     have = np.flatnonzero(runs)
-    high: list[bytes | None] = [None] * len(runs)
-    low: list[bytes | None] = [None] * len(runs)
+    out: list[bytes | None] = [None] * len(runs)
     if len(have):
-        sig = np.empty((len(have), SYMBOLS), dtype=np.uint16)
+        sig, down = np.empty((len(have), SYMBOLS), dtype=np.uint16), (_LEAST - light).astype(np.uint32)
         starts = (np.cumsum(runs) - runs)[have]
         for i in range(SYMBOLS):
-            sig[:, i] = (mix(np.minimum.reduceat(h * _A[i] + _B[i], starts)) >> np.uint64(48)).astype(np.uint16)
-        for i, x, y in zip(have, (sig >> 8).astype(np.uint8), sig.astype(np.uint8)):
-            high[i], low[i] = x.tobytes(), y.tobytes()
-    return high, low
+            least = np.minimum.reduceat((h * _A[i] + _B[i]) >> down, starts)
+            sig[:, i] = (least * np.uint32(2654435769)) >> np.uint32(16)
+        for i, row in zip(have, sig):
+            out[i] = row.tobytes()
+    return out
 
 
-def _symbols(high: pd.Series, low: pd.Series) -> np.ndarray:
-    x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, SYMBOLS).astype(np.uint16) for s in (high, low))
-    return (x << 8) | y
+def _symbols(sigs: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), dtype=np.uint16).reshape(-1, SYMBOLS)
 
 
 def _counted(frames: Iterator[pd.DataFrame], run: int) -> Iterator[pd.DataFrame]:
-    cache, total, records = WordHashes(), np.zeros(BUCKETS, dtype=np.int64), 0
+    cache, total = WordHashes(), np.zeros(BUCKETS, dtype=np.int64)
     for f in frames:
-        records += len(f)
         for at in _slices(f["text"]):
             h, _ = run_hashes([words(t) for t in f["text"].iloc[at]], run, cache)
             total += np.bincount((h >> _SHIFT).astype(np.int64), minlength=BUCKETS)
     have = np.flatnonzero(total)
-    yield pd.DataFrame({"bucket": np.append(have, -1), "n": np.append(total[have], records)})
+    yield pd.DataFrame({"bucket": have, "n": total[have]})
 
 
-def popular_buckets(records: DataFrame, run: int) -> np.ndarray:
-    """Bits of the buckets of runs that hold as many occurrences as ``POPULAR`` of all records, beyond a multiple of the mean."""
+def bucket_weights(records: DataFrame, run: int) -> bytes:
+    """For each bucket of runs the power of two by which its weight falls, a byte each, compressed."""
     counts = written(records.select("text").mapInPandas(lambda fs: _counted(fs, run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "runs")
-    n, total = counts.agg(F.sum(F.when(F.col("bucket") < 0, F.col("n"))), F.sum(F.when(F.col("bucket") >= 0, F.col("n")))).first()
-    least = max(LEAST_POPULAR, POPULAR * (n or 0) + 4 * (total or 0) / BUCKETS)
-    # At most a quarter of the buckets, as each holds four times the mean.
-    rows = counts.where((F.col("bucket") >= 0) & (F.col("n") >= least)).select("bucket").toPandas()
-    popular = np.zeros(BUCKETS, dtype=bool)
-    popular[rows["bucket"].to_numpy(dtype=np.int64)] = True
-    return np.packbits(popular)
-
-
-_SIGNED = "id string, content binary, sig_high binary, sig_low binary, whole_high binary, whole_low binary"
-
-
-def _signed(frames: Iterator[pd.DataFrame], popular: np.ndarray, run: int) -> Iterator[pd.DataFrame]:
-    cache, bits = WordHashes(), np.unpackbits(popular).astype(bool)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    free = max(FREE, 8 * total / BUCKETS)
+    light = F.least(F.lit(_LEAST), F.floor(F.log2(F.col("n") / F.lit(free)))).cast("int")
+    # At most an eighth of the buckets, as each of these holds eight times the mean or more.
+    rows = counts.where(F.col("n") >= 2 * free).select("bucket", light.alias("light")).toPandas()
+    out = np.zeros(BUCKETS, dtype=np.uint8)
+    out[rows["bucket"].to_numpy(dtype=np.int64)] = rows["light"].to_numpy(dtype=np.uint8)
+    return zlib.compress(out.tobytes())
+
+
+def _signed(frames: Iterator[pd.DataFrame], weights: bytes, run: int) -> Iterator[pd.DataFrame]:
+    cache, lightness = WordHashes(), np.frombuffer(zlib.decompress(weights), dtype=np.uint8)
     nine, place = np.uint64(9), np.uint64(55)
     for f in frames:
         for at in _slices(f["text"]):
             ids, lists = f["id"].iloc[at].to_numpy(), [words(t) for t in f["text"].iloc[at]]
             h, runs = run_hashes(lists, run, cache)
-            own = np.repeat(np.arange(len(lists), dtype=np.uint64), runs)
-            # Record, hash and, in the lowest bit, whether the run is rare: sorted, each once.
-            each = np.unique((own << place) | ((h >> nine) & ~np.uint64(1)) | ~bits[(h >> _SHIFT).astype(np.int64)])
-            own, rare, h = (each >> place).astype(np.int64), (each & np.uint64(1)).astype(bool), mix(each << nine)
-            runs, some = (np.bincount(x, minlength=len(lists)) for x in (own, own[rare]))
-            most = some <= WHOLE * runs
-            signed, whole = _minima(h[rare], some), _minima(h[most[own]], np.where(most, runs, 0))
+            # Record and hash, sorted, each once.
+            each = np.unique((np.repeat(np.arange(len(lists), dtype=np.uint64), runs) << place) | (h >> nine))
+            own, h = (each >> place).astype(np.int64), each << nine
+            light, h = lightness[(h >> _SHIFT).astype(np.int64)], (h >> np.uint64(12)).astype(np.uint32)
+            runs, some = (np.bincount(x, minlength=len(lists)) for x in (own, own[light >= _SMALL]))
+            most = 2 * some >= np.maximum(runs, 1)
+            inside = most[own]
             content = [xxhash.xxh3_128_digest(b" ".join(x) if x else b" " + i.encode()) for x, i in zip(lists, ids)]
-            yield pd.DataFrame({"id": ids, "content": content, "sig_high": signed[0], "sig_low": signed[1], "whole_high": whole[0], "whole_low": whole[1]})
+            yield pd.DataFrame({"id": ids, "content": content, "sig": _minima(h, light, runs), "flat": _minima(h[inside], np.zeros(inside.sum(), dtype=np.uint8), np.where(most, runs, 0))})
 
 
 def canonical_signatures(records: DataFrame, run: int) -> DataFrame:
-    """id, content (128-bit hash of the words: what is left of a record without case, punctuation and white space) and the bytes of sig and whole."""
-    popular = popular_buckets(records, run)
-    return records.select("id", "text").mapInPandas(lambda fs: _signed(fs, popular, run), _SIGNED)
+    """id, content (128-bit hash of the words: what is left of a record without case, punctuation and white space), sig, flat."""
+    weights = bucket_weights(records, run)
+    return records.select("id", "text").mapInPandas(lambda fs: _signed(fs, weights, run), "id string, content binary, sig binary, flat binary")
 
 
 def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        for kind, name in enumerate(("sig", "whole")):
-            own = f[f[f"{name}_low"].notna()]
+        for kind, name in enumerate(KINDS):
+            own, chunk = f[f[name].notna()], CHUNK[name]
             for at in range(0, len(own), 4096):
                 part = own.iloc[at : at + 4096]
-                sig = _symbols(part[f"{name}_high"], part[f"{name}_low"]).reshape(-1, CHUNKS, CHUNK).astype(np.int64)
+                sig = _symbols(part[name]).reshape(-1, SYMBOLS // chunk, chunk).astype(np.int64)
                 out = []
-                for wrong in range(CHUNK):
-                    key = np.full(sig.shape[:2], kind, dtype=np.int64)
-                    for k in range(CHUNK):
+                for wrong in range(chunk):
+                    key = np.full(sig.shape[:2], 0, dtype=np.int64)
+                    for k in range(chunk):
                         if k != wrong:
                             key = (key << BITS) | sig[:, :, k]
-                    out.append(key | ((np.arange(CHUNKS) * CHUNK + wrong) << (BITS * (CHUNK - 1) + 1)))
+                    out.append((key << 7) | (np.arange(SYMBOLS // chunk) * chunk + wrong) | (kind << _KIND))
                 keys = np.concatenate(out, axis=1)
                 yield pd.DataFrame({"key": keys.ravel(), "who": np.repeat(part["who"].to_numpy(), keys.shape[1])})
 
@@ -169,7 +168,10 @@ def _sided(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _neighbours(frames: Iterator[pd.DataFrame], hot: int) -> Iterator[pd.DataFrame]:
-    """a, b, 1 for each pair that shares a key; key, who, 0 for the rows of a key with more than ``hot`` of them. The rows come sorted by key."""
+    """a, b and 1 (2 where one key is enough) for each pair that shares a key; key, who, 0 for the rows of a key with more than ``hot`` of them.
+
+    The rows come sorted by key.
+    """
     key, who, left = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), None
     for f in frames:
         key, who = np.concatenate([key, f["key"].to_numpy()]), np.concatenate([who, f["who"].to_numpy()])
@@ -193,76 +195,54 @@ def _paired(key: np.ndarray, who: np.ndarray) -> Iterator[pd.DataFrame]:
         at = at[at + d < len(key)]
         at = at[key[at] == key[at + d]]
         if len(at):
-            a, b = _sided(who[at], who[at + d])
-            yield pd.DataFrame({"a": a >> 2, "b": b >> 2, "n": np.ones(len(a), dtype=np.int32)})
+            for kind in range(len(KINDS)):
+                own = at[key[at] >> _KIND == kind]
+                a, b = _sided(who[own], who[own + d])
+                yield pd.DataFrame({"a": a >> 2, "b": b >> 2, "n": np.full(len(a), 1 + kind, dtype=np.int32)})
         d += 1
 
 
-def _blocks_met(f: pd.DataFrame, least: tuple[int, int]) -> pd.DataFrame:
-    """The close pairs of two blocks of a hot key, or of one block with itself."""
-    kind = int(f["key"].iloc[0] >> (BITS * (CHUNK - 1)) & 1)
-    name = ("sig", "whole")[kind]
-    sig, who, mine = _symbols(f[f"{name}_high"], f[f"{name}_low"]), f["who"].to_numpy(), f["block"].to_numpy()
+def _shared_keys(sigs: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """How many keys of kind sig each signature shares with one."""
+    equal = (sigs == one).reshape(len(sigs), SYMBOLS // CHUNK["sig"], CHUNK["sig"]).sum(axis=2)
+    return np.where(equal == 3, 3, equal == 2).sum(axis=1)
+
+
+def _blocks_met(f: pd.DataFrame, least: float) -> pd.DataFrame:
+    """The close pairs of two blocks of a hot key, or of one block with itself.
+
+    Of kind sig those are the pairs that share two keys, of kind flat those that agree in as many symbols as a pair of the similarity does, but for four deviations.
+    """
+    name = KINDS[int(f["key"].iloc[0]) >> _KIND]
+    bound = SYMBOLS * least - 4 * math.sqrt(SYMBOLS * least * (1 - least))
+    sig, who, mine = _symbols(f[name]), f["who"].to_numpy(), f["block"].to_numpy()
     one, other = (np.flatnonzero(mine == f[c].iloc[0]) for c in ("lo", "hi"))
     found = [(np.empty(0, dtype=np.int64),) * 2]
     for i in one:
         others = other[other > i] if f["lo"].iloc[0] == f["hi"].iloc[0] else other
-        near = others[(sig[others] == sig[i]).sum(axis=1) >= least[kind]]
+        near = others[_shared_keys(sig[others], sig[i]) >= 2 if name == "sig" else (sig[others] == sig[i]).sum(axis=1) >= bound]
         found.append(_sided(np.full(len(near), who[i]), who[near]))
     a, b = (np.concatenate(x) >> 2 for x in zip(*found))
     return pd.DataFrame({"a": a, "b": b, "n": np.full(len(a), 2, dtype=np.int32)})
 
 
-def _hot_pairs(rows: DataFrame, sided: DataFrame, least: tuple[int, int]) -> DataFrame:
+def _hot_pairs(rows: DataFrame, sided: DataFrame, least: float) -> DataFrame:
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("blocks"))
     spread = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("who"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = spread.select("key", "who", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).join(sided.select("who", "sig_high", "sig_low", "whole_high", "whole_low"), "who")
+    met = spread.select("key", "who", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).join(sided.select("who", *KINDS), "who")
     return met.groupBy("key", "lo", "hi").applyInPandas(lambda f: _blocks_met(f, least), "a long, b long, n int")
 
 
-def least_equal(least: float) -> tuple[int, int]:
-    """Agreeing symbols that a pair of this similarity has, of sig and of whole, but for four deviations."""
-    out = []
-    for p in (max(0.0, (least - SHARED) / (1 - SHARED)), least):
-        out.append(max(2, math.floor(SYMBOLS * p - 4 * math.sqrt(SYMBOLS * p * (1 - p)))))
-    return out[0], out[1]
-
-
 def candidate_pairs(classes: DataFrame, least: float, side: Column | None = None) -> DataFrame:
-    """a, b: the pairs of classes that share two keys. side: 1 for a class of the left, 2 of the right, 3 of both; a is of the left then."""
+    """a, b: the pairs of classes that share enough keys. side: 1 for a class of the left, 2 of the right, 3 of both; a is of the left then."""
     sided = classes.withColumn("who", F.col("cid") * 4 + (F.lit(3) if side is None else side))
-    keys = sided.select("sig_high", "sig_low", "whole_high", "whole_low", "who").mapInPandas(_keys, "key long, who long")
-    hot = HOT
+    keys, hot = sided.select(*KINDS, "who").mapInPandas(_keys, "key long, who long"), HOT
     found = keys.repartition("key").sortWithinPartitions("key").mapInPandas(lambda fs: _neighbours(fs, hot), "a long, b long, n int")
     found = written(found, "neighbours")
-    bounds = least_equal(least)
-    met = _hot_pairs(found.where("n = 0").select(F.col("a").alias("key"), F.col("b").alias("who")), sided, bounds)
+    met = _hot_pairs(found.where("n = 0").select(F.col("a").alias("key"), F.col("b").alias("who")), sided, least)
     return found.where("n > 0").union(met).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b")
 
 
-def _equal(a: pd.Series, b: pd.Series) -> np.ndarray:
-    """Symbols that agree in their low byte, -1 where one of the two has no signature."""
-    out = np.full(len(a), -1)
-    both = np.flatnonzero(a.notna().to_numpy() & b.notna().to_numpy())
-    if len(both):
-        x, y = (np.frombuffer(b"".join(s.iloc[both]), dtype=np.uint8).reshape(-1, SYMBOLS) for s in (a, b))
-        out[both] = (x == y).sum(axis=1)
-    return out
-
-
-def _close(frames: Iterator[pd.DataFrame], least: tuple[int, int]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        keep = (_equal(f["sig_a"], f["sig_b"]) >= least[0]) | (_equal(f["whole_a"], f["whole_b"]) >= least[1])
-        yield f.loc[keep, ["a", "b"]]
-
-
-def close_pairs(candidates: DataFrame, classes: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The candidate pairs (a, b) of classes whose signatures agree in enough symbols."""
-    sigs = classes.select("cid", "sig_low", "whole_low")
-    both = candidates.join(sigs.toDF("a", "sig_a", "whole_a"), "a").join(sigs.toDF("b", "sig_b", "whole_b"), "b")
-    return both.select("a", "b", "sig_a", "sig_b", "whole_a", "whole_b").mapInPandas(lambda fs: _close(fs, least), "a long, b long")
-
-
 def _alike(frames: Iterator[pd.DataFrame], run: int, least: float) -> Iterator[pd.DataFrame]:
     cache = WordHashes()
     for f in frames:
@@ -297,23 +277,22 @@ def article_records(articles: DataFrame) -> DataFrame:
 
 
 def content_classes(records: DataFrame, run: int = 3) -> tuple[DataFrame, DataFrame]:
-    """members (id, cid, rep, runs) and classes (cid, rep and the bytes of sig and whole): records of the same words share a class; rep is its smallest id.
+    """members (id, cid, rep, runs) and classes (cid, rep, sig, flat): records of the same words share a class; rep is its smallest id.
 
     runs: whether the class has any run of words.
     """
     kept = records.where("id is not null and text is not null")
     found = written(canonical_signatures(kept, run), "signatures")
-    parts = ["sig_high", "sig_low", "whole_high", "whole_low"]
-    grouped = found.groupBy("content").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in parts])
+    grouped = found.groupBy("content").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in KINDS])
     classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    known = classes.select("content", "cid", "rep", F.coalesce("sig_low", "whole_low").isNotNull().alias("runs"))
+    known = classes.select("content", "cid", "rep", F.col("sig").isNotNull().alias("runs"))
     members = found.select("id", "content").distinct().join(known, "content").select("id", "cid", "rep", "runs")
     return members, classes.drop("content")
 
 
 def class_pairs(records: DataFrame, classes: DataFrame, candidates: DataFrame, run: int = 3, least: float = 0.5) -> DataFrame:
     """a, b, rep_a, rep_b, similarity: the candidates whose representatives' sets of runs are alike enough."""
-    close = written(close_pairs(candidates, classes, least_equal(least)), "close")
+    close = written(candidates, "candidates")
     needed = close.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid")
 
     texts = written(records.join(needed.withColumnRenamed("rep", "id"), "id").groupBy("cid").agg(F.first("text").alias("text")), "texts")
