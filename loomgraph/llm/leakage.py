@@ -5,7 +5,8 @@ stands in a document with at most ``edits`` edits shares at least
 ``window + 1 - q * (edits + 1)`` character q-grams with it, all of them on
 ``edits + 1`` neighbouring diagonals. The q-grams of a document are looked up among those
 of the items, hits are counted in overlapping bands of diagonals, and only regions that reach
-the bound within a window are kept and verified by an alignment within the band.
+the bound within a window are kept and verified by an alignment within the band. ``shared_runs`` is the case of no edits: one
+diagonal, an alignment in a band of width 0, and then a count of the whole words that are aligned.
 
 The items are a stated query set: they are held by every task, in blocks of at most
 ``BLOCK_CHARS`` characters, one pass over the documents for each block, so a set of any size
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.words import WordHashes, bare, run_hashes, words
+from loomgraph.llm.words import bare, words
 
 Q = 12
 BLOCK_CHARS = 4_000_000
@@ -52,8 +53,7 @@ class Index:
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         self.ids = ids
-        self.words = [words(t) for t in texts]
-        self.bytes = [b" ".join(x) for x in self.words]
+        self.bytes = [b" ".join(words(t)) for t in texts]
         grams = [_grams(np.frombuffer(x, dtype=np.uint8)) for x in self.bytes]
         flat = np.concatenate([*grams, np.empty(0, dtype=np.uint64)])
         item = np.repeat(np.arange(len(grams)), np.array([len(g) for g in grams], dtype=np.int64))
@@ -76,29 +76,35 @@ class Index:
         return np.repeat(at, n), self.item[place], self.offset[place]
 
 
-def _regions(position: np.ndarray, item: np.ndarray, offset: np.ndarray, window: int, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last position, item and diagonal of each run of hits that reaches the bound within a window."""
+def _regions(doc: np.ndarray, position: np.ndarray, item: np.ndarray, offset: np.ndarray, window: int, edits: int) -> tuple[np.ndarray, ...]:
+    """Document, first and last position, item and diagonal of each region of hits that reaches the bound within a window.
+
+    A passage of ``window`` characters of the item is one of up to ``window + edits`` in the document. Windows that don't touch are
+    regions of their own, however they follow each other on a band.
+    """
     least = max(1, window + 1 - Q * (edits + 1))
-    diagonal = position - offset + (1 << 24)
+    diagonal = position - offset
     width = 2 * (edits + 1) if edits else 1
     found = []
     for shift in (0, edits + 1) if edits else (0,):
         band = (diagonal + shift) // width
-        key = item.astype(np.int64) * (1 << 40) + band
-        order = np.lexsort((position, key))
-        k, p = key[order], position[order]
-        if len(k) < least:
+        order = np.lexsort((position, band, item, doc))
+        d, i, b, p = doc[order], item[order], band[order], position[order]
+        n = len(p) - least + 1
+        if n <= 0:
             continue
-        head = np.flatnonzero((k[least - 1 :] == k[: len(k) - least + 1]) & (p[least - 1 :] - p[: len(k) - least + 1] <= window - Q))
+        end = p[least - 1 :] + Q
+        head = np.flatnonzero((d[least - 1 :] == d[:n]) & (i[least - 1 :] == i[:n]) & (b[least - 1 :] == b[:n]) & (end - p[:n] <= window + edits))
         if not len(head):
             continue
         new = np.ones(len(head), dtype=bool)
-        new[1:] = (k[head[1:]] != k[head[:-1]]) | (head[1:] > head[:-1] + least)
+        x, y = head[:-1], head[1:]
+        new[1:] = (d[y] != d[x]) | (i[y] != i[x]) | (b[y] != b[x]) | (p[y] > end[x])
         first = head[new]
-        last = np.append(head[np.flatnonzero(new)[1:] - 1], head[-1]) + least - 1
-        found.append((p[first], p[last] + Q, item[order][first], diagonal[order][first] - (1 << 24)))
+        last = np.append(head[np.flatnonzero(new)[1:] - 1], head[-1])
+        found.append((d[first], p[first], end[last], i[first], diagonal[order][first]))
     if not found:
-        return (np.empty(0, dtype=np.int64),) * 4
+        return (np.empty(0, dtype=np.int64),) * 5
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -155,25 +161,35 @@ def _buffers(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[bytes], np.
         at = to
 
 
+def _whole_words(text: bytes, start: int, end: int) -> tuple[int, int]:
+    """The stretch of the text without words that it has only a part of."""
+    while start < end and start and text[start - 1 : start] not in (b" ", b"\n"):
+        start += 1
+    while end > start and end < len(text) and text[end : end + 1] not in (b" ", b"\n"):
+        end -= 1
+    return start, end
+
+
 def _runs(frames: Iterator[pd.DataFrame], index: Index, run: int) -> Iterator[pd.DataFrame]:
-    cache = WordHashes()
-    shortest = 2 * run - 1
-    known = [set(run_hashes([x], run, cache)[0].tolist()) for x in index.words]
     for f in frames:
         out = []
-        for ids, parts, buffer, starts in _buffers(f):
-            first, last, item, _ = _regions(*index.hits(buffer), max(shortest, Q), 0)
+        for ids, _, buffer, starts in _buffers(f):
+            position, item, offset = index.hits(buffer)
+            doc, first, last, item, diagonal = _regions(np.searchsorted(starts, position, side="right") - 1, position, item, offset, max(2 * run - 1, Q), 0)
             # A run of n words has n - 1 blanks, all of them in one region.
             blanks = np.append(0, np.cumsum(buffer == 32))
             wide = blanks[last] - blanks[first] >= run - 1
-            doc = np.searchsorted(starts, first[wide], side="right") - 1
-            own: dict[int, list[int]] = {}
-            for d, i in {*zip(doc.tolist(), item[wide].tolist())}:
-                if d not in own:
-                    own[d] = run_hashes([parts[d].split()], run, cache)[0].tolist()
-                if not known[i].isdisjoint(own[d]):
-                    out.append((ids[d], index.ids[i]))
-        yield pd.DataFrame(out, columns=["doc_id", "item_id"])
+            regions = list(zip(*(x[wide].tolist() for x in (doc, first, last, item, diagonal))))
+            text = buffer.tobytes() if regions else b""
+            equal = banded_edits([(index.bytes[i][p - g : e - g], text[p:e]) for _, p, e, i, g in regions], 0) == 0
+            for (d, p, e, i, g), same in zip(regions, equal):
+                if same:
+                    # Whole in the document and in the item.
+                    a, z = _whole_words(text, p, e)
+                    a, z = _whole_words(index.bytes[i], a - g, z - g)
+                    if len(index.bytes[i][a:z].split()) >= run:
+                        out.append((ids[d], index.ids[i]))
+        yield pd.DataFrame(sorted({*out}), columns=["doc_id", "item_id"])
 
 
 def _passages(frames: Iterator[pd.DataFrame], index: Index, window: int, edits: int) -> Iterator[pd.DataFrame]:
@@ -181,23 +197,28 @@ def _passages(frames: Iterator[pd.DataFrame], index: Index, window: int, edits:
         out = []
         for ids, _, buffer, starts in _buffers(f):
             ends = np.append(starts[1:] - 1, len(buffer))
-            first, last, item, diagonal = _regions(*index.hits(buffer), window, edits)
-            doc = np.searchsorted(starts, first, side="right") - 1
+            position, item, offset = index.hits(buffer)
+            regions = _regions(np.searchsorted(starts, position, side="right") - 1, position, item, offset, window, edits)
             spans, pairs, budgets = [], [], []
-            for d, p, e, i, g in zip(doc.tolist(), first.tolist(), last.tolist(), item.tolist(), diagonal.tolist()):
-                end = int(min(p + max(e - p, window), ends[d]))
-                own = index.bytes[i][max(p - g, 0) : max(end - g, 0)]
-                if len(own) >= window:
-                    spans.append((d, i, p - int(starts[d]), end - int(starts[d])))
-                    pairs.append((own, buffer[p:end].tobytes()))
-                    budgets.append(2 * max(edits, edits * len(own) // window))
+            for d, p, e, i, g in zip(*(x.tolist() for x in regions)):
+                # A region starts and ends with a hit; what an edit near the passage's end cut off is put back, after it or before it.
+                ahead = min(int(ends[d]) - e, len(index.bytes[i]) - (e - g))
+                behind = min(p - int(starts[d]), p - g)
+                lack = max(0, window - (e - p))
+                for z in {max(0, min(lack, ahead)), max(0, lack - max(0, min(lack, behind)))}:
+                    a = lack - z
+                    own = index.bytes[i][max(p - a - g, 0) : max(e + z - g, 0)]
+                    if a <= behind and z <= max(0, ahead) and len(own) >= window:
+                        spans.append((d, i, p - a - int(starts[d]), e + z - int(starts[d])))
+                        pairs.append((own, buffer[p - a : e + z].tobytes()))
+                        budgets.append(2 * max(edits, edits * len(own) // window))
             best: dict[tuple[int, int], tuple] = {}
             order = sorted(range(len(pairs)), key=lambda k: len(pairs[k][0]))
             for at in range(0, len(pairs), 256):
                 part = order[at : at + 256]
                 counts = banded_edits([pairs[k] for k in part], max(budgets[k] for k in part) + 1)
                 for (d, i, p, e), n, most in zip((spans[k] for k in part), counts, (budgets[k] for k in part)):
-                    if n <= most and ((d, i) not in best or best[d, i][1] - best[d, i][0] < e - p):
+                    if n <= most and ((d, i) not in best or (best[d, i][1] - best[d, i][0], -best[d, i][2]) < (e - p, -n)):
                         best[d, i] = (p, e, int(n))
             out += [(ids[d], index.ids[i], *x) for (d, i), x in best.items()]
         yield pd.DataFrame(out, columns=["doc_id", "item_id", "start", "end", "edits"])
@@ -236,7 +257,8 @@ def shared_runs(documents: DataFrame, items: DataFrame, run: int = 12) -> DataFr
 def leaked_passages(documents: DataFrame, items: DataFrame, window: int = 80, edits: int = 4) -> DataFrame:
     """doc_id, item_id, start, end, edits: the longest passage of each item in each document, in characters of its words.
 
-    A passage has at least ``window`` characters and no more than about ``edits`` in each window of them.
+    A passage has at least ``window`` characters, of which any window with at most ``edits`` edits is found; it may have up to twice
+    ``edits`` for each window, as it is cut at positions rather than at edits.
     """
     schema = "doc_id long, item_id long, start long, end long, edits long"
     found = _over_blocks(documents, items, lambda fs, index: _passages(fs, index, window, edits), schema)
