@@ -140,6 +140,16 @@ ORACLE: dict[str, str] = {
 SELECT DISTINCT e.article_id, e.split FROM splits e JOIN (SELECT article_id_a AS a, article_id_b AS b FROM alike UNION SELECT article_id_b, article_id_a FROM alike) p ON p.a = e.article_id
 JOIN splits t ON t.article_id = p.b AND t.split = 'train' WHERE e.split IN ('val', 'test')""",
     "p2_found": f"WITH {_LINES} SELECT DISTINCT article_id, line_no FROM places JOIN common USING (site, line)",
+    "p2_cleaned": f"""WITH {_LINES}, gone AS (SELECT article_id, list(DISTINCT line_no) AS g FROM places JOIN common USING (site, line) GROUP BY 1)
+SELECT a.article_id, CASE WHEN _article IS NOT NULL THEN array_to_string(list_filter(string_split(replace(_article, chr(13), ''), chr(10)), lambda x, i: NOT list_contains(coalesce(g, []), i)), chr(10)) END AS text, CAST(coalesce(len(g), 0) AS INT) AS removed
+FROM (SELECT DISTINCT article_id, _article FROM articles) a LEFT JOIN gone USING (article_id)""",
+    "p2_blocks": f"""WITH RECURSIVE {_LINES}, nodes AS (SELECT site, line, count(DISTINCT article_id) AS articles FROM places JOIN common USING (site, line) GROUP BY 1, 2),
+seqd AS (SELECT *, row_number() OVER (PARTITION BY article_id, site ORDER BY line_no) AS seq FROM places WHERE line <> ''),
+steps AS (SELECT DISTINCT x.article_id, x.site, x.line AS p, y.line AS q FROM seqd x JOIN seqd y ON y.article_id = x.article_id AND y.site = x.site AND y.seq = x.seq + 1 WHERE x.line <> y.line),
+kept AS (SELECT site, p, q FROM steps GROUP BY ALL HAVING count(*) >= 8), ends AS (SELECT site, p, q FROM kept UNION SELECT site, q, p FROM kept),
+reach AS (SELECT site, line AS v, line AS r FROM nodes UNION SELECT reach.site, v, q FROM reach JOIN ends ON ends.site = reach.site AND ends.p = reach.r),
+names AS (SELECT site, v AS line, min(r) AS block FROM reach GROUP BY 1, 2)
+SELECT site, line, articles, block FROM nodes JOIN names USING (site, line)""",
     "p3_found": f"""WITH a AS (SELECT DISTINCT article_id, {_KEY.format('_ticker')} AS k, _date AS t FROM articles WHERE _date IS NOT NULL),
 e AS (SELECT DISTINCT task_id, {_KEY.format('ticker')} AS k, "current_date" AS t FROM temporal_examples WHERE "current_date" IS NOT NULL),
 near AS (SELECT article_id, task_id, row_number() OVER (PARTITION BY article_id, a.t ORDER BY abs(epoch_us(a.t) - epoch_us(e.t)), e.t, task_id) AS n

@@ -137,9 +137,22 @@ def test_site_lines(spark):
     assert cleaned["A2"].text == "\nown words xx" and cleaned["A2"].removed == 2 and cleaned["B1"].text == "end of page"
     blocks = {r.line: r for r in site_lines.boilerplate_blocks(df).collect()}
     assert set(blocks) == {"share # this", "end of page"} and blocks["share # this"].articles == 10
+    # The two lines follow each other only with the articles' own lines between, so they are blocks of their own.
+    assert {r.block for r in blocks.values()} == {"share # this", "end of page"}
     assert site_lines.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_site_lines_make_blocks(spark):
+    rows = [(f"A{i}", None, f"one\n\ntwo\nown {'y' * i}\nthree", None, None, "s.example", "", "") for i in range(9)] + [("B", None, "two\none", None, None, "s.example", "", "")]
+    df = spark.createDataFrame(rows, ARTICLE)
+    assert {(r.line, r.block, r.articles) for r in site_lines.boilerplate_blocks(df).collect()} == {("one", "one", 10), ("two", "one", 10), ("three", "three", 9)}
+    old, site_lines.MOST_HOT = site_lines.MOST_HOT, 2
+    try:
+        assert site_lines.repeated_lines(df).count() == 29
+    finally:
+        site_lines.MOST_HOT = old
+
+
 def test_nearest_in_time_equals_brute_force(spark):
     rng = random.Random(3)
     base = datetime(2021, 3, 1)
@@ -234,6 +247,39 @@ def test_edited_passages_are_found(spark):
     assert {tuple(r) for r in leakage.leaked_items(D, I).select("item_id", "documents").collect()} == {(7, 1)}
 
 
+def test_passages_of_few_edits_are_all_found(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnop"
+    words_ = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(words_) for _ in range(n))
+
+    def hurt(t, n):
+        for _ in range(n):
+            k = rng.randrange(len(t))
+            t = t[:k] + rng.choice(["", rng.choice(letters), t[k] + rng.choice(letters)]) + t[k + 1 :]
+        return t
+
+    items = [(i, "c", text(30)) for i in range(3)]
+    middle = items[0][2]
+    docs = [(i, text(10) + " " + hurt(items[i % 3][2][s : s + 85], n) + " " + text(10)) for i, (s, n) in enumerate([(0, 0), (20, 2), (40, 4), (10, 6), (60, 8), (30, 12), (50, 3), (5, 4), (25, 1)])]
+    # Two passages with something of about the same length between them, and one at the end of an item with an edit near its start.
+    docs += [(20, middle[:85] + text(4)[:20].ljust(20, "q") + middle[105:]), (21, "x " + middle[-85:-78] + "q" + middle[-77:]), (22, text(40))]
+
+    def least_edits(own, t):
+        row = [0] * (len(t) + 1)
+        for k, x in enumerate(own, 1):
+            after = [k]
+            for j, y in enumerate(t, 1):
+                after.append(min(after[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = after
+        return min(row)
+
+    must = {(d, i) for d, t in docs for i, _, own in items if any(least_edits(own[k : k + 80], t) <= 4 for k in range(0, len(own) - 79, 5))}
+    D, I = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, category string, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.leaked_passages(D, I).collect()}
+    assert must <= got and {(0, 0), (20, 0), (21, 0)} <= got and not {d for d, _ in got} & {22}
+
+
 def test_mix_reaches_shares_and_caps(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice(["a", "a", "a", "b", "b", "rare"]) if i % 50 else "rare", prose(rng, rng.randrange(20, 60)), rng.choice(["en", "de", None]), rng.choice(["news", "note"])) for i in range(3000)]
