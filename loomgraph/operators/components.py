@@ -1,93 +1,46 @@
-"""Connected components of pairs.
+"""Connected components of pairs, by minimum labels.
 
-First the giant component is peeled: frontier breadth-first joins from the vertex of highest
-degree, each of which anti-joins the vertices already reached. Peeling goes on while the
-frontier's yield is worth a round; a component of great diameter (a chain) isn't followed
-link by link: what is reached then is contracted into its root. The peeled vertices are
-anti-joined away and the rest is labelled by minimum propagation: in each round every
-vertex takes the smallest of the labels of itself and its neighbours (in an order that is drawn
-anew each round, so that no numbering of a chain is slow), and the edges
-are rewritten to the labels. Vertices fall by a constant factor a round, so the
-rounds number the logarithm of the longest path, and all rounds together cost a few passes over the edges.
-Labels are carried back through the rounds' tables, largest last.
+In each round every vertex takes the smallest of the labels of itself and its neighbours (in an order that is drawn
+anew each round, so that no numbering of a chain is slow), and the edges are rewritten to the labels. Vertices fall by a
+constant factor a round, so the rounds number the logarithm of the longest path, and all rounds together cost a few passes
+over the edges. Labels are carried back through the rounds' tables, largest last.
 
-Each round is a written table; nothing is collected but counts. A hot vertex is
-pre-aggregated: minima are combined before the shuffle. Null ends and loops are left
-out. Group ids are the smallest vertex of the component.
+Each round is a written table; nothing is collected but counts. A hot vertex is pre-aggregated: minima are combined
+before the shuffle. Null ends and loops are left out. Group ids are the smallest vertex of the component.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.scratch import written
 
-#: A frontier round must reach at least this share of what is reached already, or peeling ends.
-LEAST_YIELD = 0.25
-MOST_PEELS = 12
-
-
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.union(edges.select("b", "a"))
-
-
-def peel_giant(edges: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-    """reached (v, root) and the edges left after the giant component, or as much of it as is worth its rounds, became its root."""
-    both = _both(edges)
-    top = both.groupBy("a").count().orderBy(F.desc("count"), "a").limit(1).collect()
-    if not top:
-        return None, edges
-    root: Row = top[0]
-    spark = edges.sparkSession
-    kind = edges.schema["a"].dataType.simpleString()
-    reached = spark.createDataFrame([(root["a"],)], f"v {kind}")
-    frontier, total = reached, 1
-    tables = []
-    for _ in range(MOST_PEELS):
-        near = both.join(frontier.withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v")).distinct()
-        frontier = written(near.join(reached, "v", "left_anti"), "frontier")
-        n = frontier.count()
-        tables.append(frontier)
-        reached = reached.union(frontier)
-        total += n
-        if n < max(1, LEAST_YIELD * total):
-            break
-    marked = reached.withColumn("root", F.lit(root["a"]).cast(kind))
-    ends = edges.join(marked.toDF("a", "ra"), "a", "left").join(marked.toDF("b", "rb"), "b", "left")
-    left = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
-    return marked, left
+MOST_ROUNDS = 200
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:
     """v, component for each vertex of the pairs (first two columns, of one type); component: its smallest vertex."""
     edges = pairs.toDF("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = edges = written(edges, "edges")
-    marked, edges = peel_giant(edges)
     maps = []
-    if marked is not None:
-        maps.append(written(marked.toDF("v", "label"), "peeled"))
-    for step in range(1, 200):
-        edges = written(edges, "edges")
+    for step in range(1, MOST_ROUNDS):
         if edges.isEmpty():
             break
-        both = _both(edges)
+        both = edges.union(edges.select("b", "a"))
         order = lambda c: F.struct(F.xxhash64(c, F.lit(step)).alias("h"), F.col(c).alias("v"))
         label = both.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("v"), F.least("m", order("a"))["v"].alias("label"))
         label = written(label, "labels")
         maps.append(label)
         ends = edges.join(label.toDF("a", "la"), "a").join(label.toDF("b", "lb"), "b")
-        after = ends.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).where("a <> b").distinct()
-        edges = after
+        edges = written(ends.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).where("a <> b").distinct(), "edges")
+    else:
+        raise RuntimeError(f"components not found in {MOST_ROUNDS} rounds")
     # From the last round back to the first: the label of a round's label.
     if not maps:
         return first.select(F.col("a").alias("v"), F.col("b").alias("component"))
     final = maps[-1]
     for table in reversed(maps[:-1]):
-        onward = table.join(final.toDF("label", "to"), "label", "left").select("v", F.coalesce("to", "label").alias("label"))
-        # Vertices that only later rounds' tables have, such as the peeled root, keep their label there.
-        final = written(onward.union(final.join(table.select("v"), "v", "left_anti")), "resolved")
-    vertices = first.select(F.explode(F.array("a", "b")).alias("v")).distinct()
-    whole = vertices.join(final, "v")
-    smallest = whole.groupBy("label").agg(F.min("v").alias("component"))
-    return whole.join(smallest, "label").select("v", "component")
+        final = written(table.join(final.toDF("label", "to"), "label", "left").select("v", F.coalesce("to", "label").alias("label")), "resolved")
+    smallest = final.groupBy("label").agg(F.min("v").alias("component"))
+    return final.join(smallest, "label").select("v", "component")
