@@ -1,11 +1,12 @@
 """Template residue, filler, error pages and demands for scripts, in records that should hold content.
 
 Phrases of error, block and sign-in pages, filler and script notices in English, German, French
-and Spanish are found by one multi-pattern automaton over the folded text (lower case,
+and Spanish, made from parts, are found by one multi-pattern automaton over the folded text (lower case,
 without accents, blanks made single). A phrase counts only where a sentence or line
-begins and not within quotation marks: a page says ``Access denied.``, prose says that
-readers met an "access denied" banner. Unfilled fields have notations of their own and are
-matched in the text as it stands; made-up Latin is told by its words, or by sentences
+begins and not within quotation marks; notices to the reader may go on, other messages must be the whole
+sentence or go on with words to the reader: a page says ``Access denied.``, prose says that
+readers met an "access denied" banner or that unauthorized trading cost a bank money. Unfilled fields have notations of their own and are
+matched in the text as it stands; filler Latin is told by the usual words, or by sentences
 without any function word of the four languages whose words have Latin endings.
 
 A record is excluded when the matched coverage is high for its length, or when any strong
@@ -20,66 +21,194 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import product
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Phrases that make a page by themselves, by kind. Folded: lower case, no accents.
-ERROR_PHRASES = """
-page not found|the page cannot be found|nothing here|this page does not exist|page does not exist|the requested url was not found
-we could not find what you were after|the story may have moved|the link may be old or mistyped|the story you requested has been removed
-this article is no longer available|we're sorry, this quote page has been retired|this page has been removed|content could not be loaded
-something went wrong|an error occurred|an unexpected error|the server met an unexpected condition|the server encountered|internal server error
-service unavailable|service temporarily unavailable|bad gateway|gateway time-out|gateway timeout|back-end fetch failed
-the upstream server did not answer in time|the service is down for maintenance|down for maintenance|we are down for maintenance|we'll be back soon
-under maintenance|scheduled maintenance|this site is under maintenance|our engineers have been told|too many requests|rate limit exceeded
-you have sent more than|slow down and try again|access denied|permission denied|you do not have permission|you are not authorised|you are not authorized
-your request was blocked|this content is closed to your region|this content is not available in your|your ip address has been blocked|you have been blocked
-your session has expired|session expired|your session timed out|you have been signed out|you have been logged out|please log in|please sign in|sign in to
-log in to|you must be logged in|unhandled exception|fatal error|traceback|uncaught|stack trace|seite nicht gefunden|die angeforderte seite existiert nicht
-die seite wurde nicht gefunden|diese seite existiert nicht|dienst vorubergehend nicht verfugbar|zugriff verweigert|sitzung abgelaufen|ihre sitzung ist abgelaufen
-bitte melden sie sich|interner serverfehler|ein fehler ist aufgetreten|etwas ist schiefgelaufen|wartungsarbeiten|zu viele anfragen|page introuvable
-cette page n'existe plus|cette page n'existe pas|la page demandee|service momentanement indisponible|service indisponible|acces refuse|acces interdit
-votre session a expire|session expiree|veuillez vous reconnecter|veuillez vous connecter|connectez-vous pour|une erreur est survenue|une erreur s'est produite
-erreur interne|trop de requetes|site en maintenance|pagina no encontrada|la pagina solicitada no existe|esta pagina no existe|servicio no disponible
-acceso denegado|su sesion ha caducado|la sesion ha caducado|sesion caducada|su sesion ha expirado|sesion expirada|inicie sesion|ha ocurrido un error|se ha producido un error
-error interno|algo salio mal|demasiadas solicitudes|sitio en mantenimiento|not found|forbidden|unauthorized
+#: Phrases as rows of parts, every choice of one of each part's alternatives a phrase; folded: lower case, no accents. In English, German, French and Spanish.
+#: Notices speak to the reader of the page itself, so their sentences may go on.
+NOTICES = """
+please |you must |you need to |you have to |   enable|turn on|switch on|activate|allow|accept|unblock   javascript|scripts|scripting|cookies|scripts and cookies|cookies and scripts|javascript and cookies|cookies and javascript
+we need|this page needs|this site needs|this page requires|this site requires|this website requires   javascript|scripts|cookies|cookies and scripts|javascript and cookies
+javascript |cookies |scripts |javascript and cookies   is |are |must be |has to be |have to be   disabled|blocked|turned off|switched off|required|enabled|not enabled|needed
+your browser |this browser   does not|doesn't|is not|isn't|is out of date|is outdated|is no longer|cannot|can't|has scripts|blocks
+please |   update|upgrade   your browser
+please |   verify|confirm|prove   that |   you are|you're   human|a human|not a robot|not a bot
+are you   a robot|a human|human
+i am|i'm   not a robot
+without   scripts|javascript|cookies   this   page|story|site|article
+content is hidden   because   scripts|cookies|javascript
+checking   your browser|if the site connection is secure|that you are human
+please |   complete|solve   the|this   captcha|security check
+please |   turn off|disable|pause|switch off   your|the   ad blocker|adblocker|blocker
+please |you must |you need to   log in|sign in|log on|log back in|sign back in
+log in|sign in   to|again
+you must be   logged in|signed in
+you have been|you were|you are   signed out|logged out|blocked|rate limited
+you do not|you don't   have   permission|access
+you are|you're   not authorised|not authorized|not allowed to view|not permitted to
+your   session|login|connection   has expired|expired|timed out|has timed out|was closed
+your   request|ip address|access|account   was|has been|is   blocked|denied|refused
+this content is|this page is|this article is|this video is   closed to|not available in|blocked in|restricted in   your
+slow down   and try again
+you have sent|you sent|you have made   more than|too many
+we could not|we couldn't|we cannot|we can't|we were unable to   find|load|display   what you|the page|that page|this page|the article|the story|the content
+our engineers|our team|our staff   have been|has been|were   told|notified|informed
+bitte |sie mussen |   aktivieren sie |erlauben sie |schalten sie |   javascript|cookies|skripte   aktivieren|einschalten|erlauben|zulassen|ein|akzeptieren
+bitte |   aktivieren sie|erlauben sie|akzeptieren sie   javascript|cookies|skripte|die cookies
+javascript|ihr javascript   ist   deaktiviert|ausgeschaltet|erforderlich|in ihrem browser|nicht aktiviert
+cookies|skripte   sind   deaktiviert|blockiert|erforderlich
+ihr browser   wird nicht|unterstutzt|ist veraltet|ist zu alt
+bitte |   aktualisieren sie|wechseln sie   ihren browser|den browser
+bitte |   bestatigen sie,|bestatigen sie   dass sie   kein roboter|ein mensch
+bitte   melden sie sich|loggen sie sich|laden sie
+ihre   sitzung|anmeldung   ist abgelaufen|wurde beendet|wurde blockiert
+veuillez |vous devez |merci de |   activer|activez|autoriser|autorisez|accepter|acceptez|reactiver   javascript|les cookies|les scripts|cookies
+javascript|le javascript   est|doit etre   desactive|necessaire|requis|active|bloque
+les cookies|les scripts   sont|doivent etre   desactives|bloques|necessaires|actives
+votre navigateur   n'est pas|n'est plus|ne prend pas|ne supporte pas|est obsolete|n'accepte pas
+veuillez |merci de |   mettez a jour|mettre a jour   votre navigateur
+veuillez |   confirmez|confirmer|verifiez   que vous   n'etes pas|etes
+veuillez   vous reconnecter|vous connecter|vous identifier|recharger|reessayer
+connectez-vous   pour|a nouveau
+votre   session|connexion|requete   a expire|est expiree|a ete bloquee|a ete interrompue
+nous ne   trouvons|pouvons   pas   cette page|la page|trouver cette page|trouver la page|afficher cette page|ce contenu
+por favor, |por favor |debe |   active|activa|activar|habilite|habilita|habilitar|permita|acepte   javascript|las cookies|los scripts|cookies
+javascript   esta|debe estar   desactivado|deshabilitado|activado|habilitado
+las cookies|los scripts   estan   desactivadas|desactivados|bloqueadas|bloqueados
+su navegador|tu navegador   no|esta desactualizado|es demasiado antiguo
+por favor, |   actualice|actualiza   su navegador|tu navegador
+por favor, |   confirme|verifique   que   no es un robot|es humano|es una persona
+por favor, |   inicie sesion|inicia sesion|vuelva a iniciar sesion|identifiquese
+su sesion|la sesion|tu sesion   ha caducado|ha expirado|caduco|ha terminado
+su   solicitud|acceso   ha sido   bloqueada|bloqueado|rechazada|denegado
+no   hemos podido|podemos   encontrar|cargar|mostrar   esta pagina|la pagina|este contenido
+ha ocurrido|se ha producido|se produjo|ocurrio   un   error|problema
 """
-SCRIPT_PHRASES = """
-please enable javascript|enable javascript|javascript is disabled|javascript is required|javascript must be enabled|javascript is not enabled|this page requires javascript
-this site requires javascript|you need to enable javascript|you need to turn on scripts|your browser does not run scripts|your browser does not support
-your browser is not supported|your browser is out of date|unsupported browser|update your browser|please update your browser|please upgrade your browser
-without scripts this story stays empty|content is hidden because scripts are off|cookies are blocked|cookies are disabled|we need cookies and scripts
-enable scripts and cookies|allow cookies and try again|please enable cookies|please allow cookies|enable cookies|turn on cookies|verify you are human|verify that you are human
-please verify you are|please confirm that you are not a robot|confirm you are not a robot|are you a robot|i am not a robot|i'm not a robot|checking your browser
-checking if the site connection is secure|one more step: security check|security check|complete the captcha|please complete the captcha|turn off your ad blocker
-disable your ad blocker|disable the blocker|please disable your ad|javascript ist in ihrem browser|javascript ist deaktiviert|bitte aktivieren sie javascript
-bitte javascript aktivieren|aktivieren sie javascript|bitte aktivieren sie cookies|bitte aktualisieren sie ihren browser|ihr browser wird nicht unterstutzt
-bestatigen sie, dass sie kein roboter|javascript est desactive|javascript est necessaire|veuillez activer javascript|activez javascript|veuillez activer les cookies
-veuillez accepter les cookies|votre navigateur n'est pas|veuillez mettre a jour votre navigateur|confirmez que vous n'etes pas un robot|javascript esta desactivado
-active javascript|activa javascript|por favor, active javascript|habilite javascript|habilita javascript|debe activar javascript|active las cookies|habilite las cookies
-su navegador no|actualice su navegador|confirme que no es un robot
+#: Messages must be a sentence of their own, or go on with words to the reader or with another message.
+MESSAGES = """
+the |this |the requested |   page|article|story|document|file|content|url|site|quote page|resource   not found|cannot be found|could not be found|can't be found|does not exist|doesn't exist|no longer exists|is no longer available|is not available|has been removed|has been retired|has moved|may have moved|has expired|could not be loaded|cannot be loaded|cannot be displayed|cannot be shown|was not found
+the   page|article|story|document|file|content   you requested|you are looking for|you were after|you asked for   cannot be found|could not be found|does not exist|has been removed|has moved|may have moved|has been retired|is no longer available|was not found|is gone
+we're sorry, |we are sorry, |sorry,    this|the   page|quote page|article|story   has been retired|has been removed|could not be found|is no longer available
+nothing   here|to see here|was found
+the link|this link   may be|is|might be   broken|old|mistyped|invalid|dead|outdated
+internal server|unexpected|fatal   error
+error   while|on   loading|line
+an error|an unexpected error|an internal error   occurred|has occurred|was encountered
+something   went   wrong
+service|service temporarily|site temporarily|temporarily   unavailable
+bad   gateway|request
+gateway|request|connection|server   timeout|time-out|timed out
+connection   refused|reset|lost|failed
+the upstream server|the server|the origin server   did not answer|did not respond|met an|encountered an|is not responding|refused the|returned an|timed out
+back-end fetch   failed
+the service|the site|this site|our site|we|this service|the website|this page   is|are   down for|under|undergoing|in   scheduled |planned |   maintenance
+down for|under|scheduled|undergoing   maintenance
+we'll be|we will be|be right   back   soon|shortly|
+too many   requests
+rate limit   exceeded|reached
+access|permission   denied|forbidden|refused
+session   expired|timed out|has expired|closed
+unhandled|uncaught   exception|error|typeerror|referenceerror
+traceback|stack trace
+try again   later|in a|soon
+unsupported|outdated   browser
+one more   step
+security   check
+allow cookies   and   try again|reload
+disable the blocker   and   reload|press reload|try again
+seite|artikel|datei|inhalt   nicht   gefunden|verfugbar
+die |diese |die angeforderte |die gesuchte   seite|datei   existiert nicht|wurde nicht gefunden|ist nicht verfugbar|konnte nicht|gibt es nicht|nicht gefunden
+dienst|service|server|seite   vorubergehend |derzeit |zurzeit |   nicht   verfugbar|erreichbar
+zugriff|zugang   verweigert|gesperrt
+sitzung   abgelaufen|beendet
+interner   serverfehler|fehler
+ein|es ist ein   interner |unerwarteter |   fehler   aufgetreten|ist aufgetreten
+etwas ist   schiefgelaufen|schief gegangen
+zu viele   anfragen
+wartungsarbeiten
+page   introuvable|non trouvee|inexistante
+cette page|la page|la page demandee|cet article   n'existe pas|n'existe plus|est introuvable|n'est pas disponible|n'est plus disponible|a ete supprimee|a ete supprime
+service   momentanement |temporairement |   indisponible
+acces   refuse|interdit
+session   expiree|terminee
+une erreur   est survenue|s'est produite|inattendue|interne
+erreur   interne|serveur|du serveur
+trop de   requetes
+site en   maintenance
+pagina   no   encontrada|disponible
+la pagina|esta pagina|la pagina solicitada|este articulo   no existe|ya no existe|no esta disponible|ha sido eliminada|no se encuentra|ya no esta disponible
+servicio   temporalmente |   no disponible
+acceso   denegado|prohibido
+sesion   caducada|expirada|cerrada
+error   interno|del servidor
+algo   salio mal|ha salido mal|fue mal
+demasiadas   solicitudes|peticiones
+sitio en   mantenimiento
+just   a test|testing
+placeholder|sample|dummy|filler|mock   text|copy|headline|content|article|paragraph
+insert|add|enter   text|title|headline|copy|content|caption|name   here
+your   text|title|headline|copy|content|summary|article summary   here|goes here|will appear here
+test   post|article|page
+asdf|qwer|qwerty   asdf|qwer|jkl|qwerty|zxcv
+blah   blah
+foo   bar baz
+xxx   xxx
+blindtext|platzhaltertext|mustertext|beispieltext
+hier steht   ihr text|der text|ein blindtext
+texte   provisoire|factice|de remplissage|d'exemple
+faux   texte
+votre|su   texte ici|texto aqui
+texto   de relleno|provisional|de ejemplo|simulado
 """
-FILLER_PHRASES = """
-lorem ipsum|dolor sit amet|consectetur adipiscing|this is placeholder text|placeholder text|sample text|dummy text|dummy headline|test post|this is a test post|just a test
-headline goes here|body copy goes here|text goes here|copy goes here|title goes here|caption goes here|your article summary|your text here|insert text here
-todo: |tbd: |fixme: |text text text|asdf asdf|asdf qwer|asdf jkl|qwer asdf|qwerty qwerty|blah blah|foo bar baz|xxx xxx|blindtext|platzhaltertext|hier steht ihr text|beispieltext
-mustertext|texte provisoire|faux texte|texte factice|texte de remplissage|votre texte ici|texto de relleno|texto provisional|texto de ejemplo|texto simulado|su texto aqui
+#: Openings of filler and of notes left by editors, whatever follows.
+OPENINGS = """
+this is|here is|just   placeholder text|sample text|dummy text|filler text|a test post
+headline|body copy|copy|text|title|caption|content|body|body text|subtitle|image|quote|summary   goes|comes   here
+sample text|dummy text|placeholder text   for|to
+text text   text
+lorem   ipsum
+dolor   sit amet
+consectetur   adipiscing
+todo: |tbd: |fixme: |tk: |to do: 
+"""
+#: Single words are messages only as whole sentences.
+WORDS_ALONE = """
+not found|forbidden|unauthorized|unauthorised|scheduled maintenance|under maintenance|gone|nicht gefunden|verboten|introuvable|interdit|prohibido
 """
 #: They stand beside the others and count for coverage only.
 WEAK_PHRASES = """
-see help page|request id|reference #|error code|go back to the front page|return to markets|return to the home page|browse other headlines|try a search|switch them on in your settings
-this takes about|please retry in|reload this page|please reload the page|contact the help desk|update to version|oops|back to home|versuchen sie es|bitte prufen sie
-zuruck zur startseite|reessayez dans|verifiez l'adresse|retour a l'accueil|intentelo de nuevo|revise la direccion|volver a la portada|home \\| markets
+see   help page
+request   id
+reference   #
+error   code
+go back|return|back   to   the front page|markets|the home page|home
+browse   other headlines
+try   a search
+switch them on   in your settings
+this takes   about
+please   retry in|reload|reload the page|wait
+reload|refresh   this page|the page
+contact   the help desk|support
+oops
+versuchen sie   es
+bitte   prufen sie
+zuruck   zur startseite
+reessayez   dans
+verifiez   l'adresse
+retour   a l'accueil
+intentelo   de nuevo
+revise   la direccion
+volver   a la portada
 """
-#: Words of filler Latin, usual and made up.
+#: Words of the usual filler Latin.
 LATIN = set("""
 lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt ut labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi
 aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui
-officia deserunt mollit anim id est laborum vestibulum pulvinar faucibus ornare tempus magnis nullam porta lectus vitae semper ridens alitus elitor adipin vestar pulvin faucen
-ornate tempora nullat consec dolum quirem sempris lectur vitaen
+officia deserunt mollit anim id est laborum
 """.split())
 #: Function words of the four languages; a sentence of filler has none.
 FUNCTION_WORDS = set("""
@@ -120,16 +249,37 @@ _LETTERS_ONLY = re.compile(r"(?:[.!?\n] ?|\A)([a-z]+(?:,? [a-z]+)+)(?=[.!?\n]|\Z
 _BEGINS = set("\n.!?:|>-–—*•…;)")
 
 
+NOTICE, MESSAGE, ALONE, WEAK = 3, 2, 1, 0
+#: What a sentence has that goes on from a message to the reader: the reader, the page itself, what to do, or a reference.
+_TO_READER = re.compile(
+    r"\b(?:you|your|our|us|please|retry|reload|refresh|this (?:page|site|content|resource|article|story|service)|try again|for now|later|ref|reference|request id|ray|code|client"
+    r"|sie|ihr|ihre|ihrem|ihren|bitte|vous|votre|veuillez|nous|su|sus|usted|por ahora|por favor|mas tarde|plus tard|spater)\b"
+)
+_ENDS = re.compile(r" ?(?:[.!?:|,;)\n]|$| ?[-–—|] | ?(?:\d+|#\d+|[a-z]*\d[a-z\d]*)(?:[.\n]|$))")
+_WHOLE = re.compile(r" ?(?:[.!?|\n]|$)")
+
+
+def _phrases(rows: str) -> Iterator[str]:
+    """Each choice of one alternative of each part; parts are set off by three blanks, alternatives by bars, and an alternative may be empty or end in a blank."""
+    for row in rows.strip("\n").split("\n"):
+        parts = [p.split("|") for p in row.split("   ")]
+        for choice in product(*parts):
+            phrase = " ".join(" ".join(x.strip() for x in choice).split())
+            yield phrase + (" " if row.rstrip("\n").endswith(": ") else "")
+
+
 @cache
 def _automaton() -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for kind, lines in ((2, ERROR_PHRASES), (2, SCRIPT_PHRASES), (2, FILLER_PHRASES), (1, WEAK_PHRASES)):
-        for phrase in re.split(r"[|\n]+", lines.strip().replace("\\|", "\0").replace("\\\0", "\0")):
-            phrase = phrase.replace("\0", "|")
+    known: dict[str, tuple[int, str | None]] = {}
+    for kind, rows in ((WEAK, WEAK_PHRASES), (MESSAGE, MESSAGES), (NOTICE, NOTICES), (NOTICE, OPENINGS), (ALONE, WORDS_ALONE)):
+        for phrase in _phrases(rows):
             if phrase:
-                a.add_word(phrase, (len(phrase), kind, None))
-    for phrase, tail in TAILS.items():
-        a.add_word(phrase, (len(phrase), 2, phrase))
+                known[phrase] = (kind, None)
+    for phrase in TAILS:
+        known[phrase] = (NOTICE, phrase)
+    a = ahocorasick.Automaton()
+    for phrase, (kind, tail) in known.items():
+        a.add_word(phrase, (len(phrase), kind, tail))
     a.make_automaton()
     return a
 
@@ -170,9 +320,12 @@ def residue(text: str | None) -> tuple[bool, float]:
     spans: list[tuple[int, int]] = []
     strong = False
     folded = fold(text)
-    for end, (size, kind, tail) in _automaton().iter(folded):
-        start = end - size + 1
-        if folded[end + 1 : end + 2].isalnum() and folded[end] not in " :#" or not _leads(folded, start):
+    hits = [(end - size + 1, end + 1, kind, tail) for end, (size, kind, tail) in _automaton().iter(folded) if not folded[end + 1 : end + 2].isalnum() or folded[end] in " :#"]
+    # The longest phrase that starts at a place.
+    longest = {start: (end, kind, tail) for start, end, kind, tail in sorted(hits)}
+    strongs = sorted(start for start, (_, kind, _t) in longest.items() if kind in (NOTICE, MESSAGE))
+    for start, (end, kind, tail) in longest.items():
+        if not _leads(folded, start):
             continue
         if tail:
             m = TAILS[tail].match(folded, start)
@@ -180,10 +333,16 @@ def residue(text: str | None) -> tuple[bool, float]:
                 spans.append(m.span())
                 strong = True
             continue
-        # The rest of the sentence belongs to the message.
-        stop = re.search(r"[.!?\n]|$", folded[end + 1 : end + 200])
-        spans.append((start, end + 1 + (stop.end() if stop else 0)))
-        strong |= kind == 2
+        if kind == ALONE:
+            own = bool(_WHOLE.match(folded, end))
+        elif kind == MESSAGE and not _ENDS.match(folded, end):
+            stop = re.compile(r"[.!?\n]|$").search(folded, end).start()
+            own = bool(_TO_READER.search(folded, end, stop)) or any(end < x < stop for x in strongs)
+        else:
+            own = True
+        if own:
+            spans.append((start, end))
+            strong |= kind != WEAK
     for m in CODES.finditer(folded):
         before = folded[max(0, m.start() - 16) : m.start()].rstrip(" ")
         if not before or before[-1] in _BEGINS or re.search(r"(?:^|[\n.!?|]) ?(?:oops[.!]? )?(?:http|error|erreur|fehler|status|code)$", before):

@@ -304,9 +304,27 @@ def test_residue(text, own):
     assert residue.residue(text)[0] is own
 
 
+@pytest.mark.parametrize("text", [
+    "Scheduled maintenance at the refinery cut output by 4% in June.", "Unauthorized trading cost the bank $2 billion.", "Not found in the filing was any mention of debt.", "Forbidden fruit: why tobacco stocks rose this year.",
+    "Under maintenance contracts, revenue rose 4%.", "Internal error rates at the plant fell.", "Service unavailable to rivals gave Acme an edge.", "Placeholder chiefs rarely last.", "Access denied to auditors cost Acme its rating.",
+    "The page has moved 300 workers to Leeds.", "Something went wrong at Acme in 1999, investors say.", "Session highs were hit twice.",
+])
+def test_prose_is_no_residue(text):
+    assert residue.residue(text) == (False, 0.0)
+
+
+@pytest.mark.parametrize("text, least", [
+    ("Ha ocurrido un problema al cargar la página de cotizaciones.", 0.3), ("Nous ne trouvons pas cette page.", 0.9), ("Sie müssen JavaScript einschalten, um fortzufahren.", 0.5), ("Please allow scripts to continue reading.", 0.4),
+    ("Connection timed out. Try again later.", 0.9), ("You need to switch on cookies for this.", 0.5), ("The requested page could not be found.", 0.9), ("Something went wrong on our side.", 0.3), ("Wir arbeiten. Wartungsarbeiten.", 0.3),
+])
+def test_residue_covers_its_phrase(text, least):
+    strong, coverage = residue.residue(text)
+    assert strong and least <= coverage <= 1
+
+
 def test_residue_tables(spark):
     docs = spark.createDataFrame([(1, "Page not found.", ""), (2, "Plain words about shares. " * 3000 + "Page not found.", ""), (3, None, ""), (4, "Plain.", ""), (1, "Page not found.", "")], "doc_id long, text string, coverage string")
-    assert {r.doc_id for r in residue.residue_documents(docs).collect()} == {1, 2} and {r.doc_id for r in residue.residue_documents(docs, 0.5).collect()} == {1}
+    assert {r.doc_id for r in residue.residue_documents(docs).collect()} == {1, 2} and {r.doc_id for r in residue.residue_documents(docs, 0.5).collect()} == {1}  # half of the text
     assert {r.doc_id for r in residue.without_residue(docs).collect()} == {3, 4} and residue.residue_documents(docs.limit(0)).count() == 0
 
 
