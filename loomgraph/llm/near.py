@@ -9,7 +9,7 @@ There are two signatures. ``sig`` draws runs by weight: a run that stands in mor
 its bucket) has the inverse of its frequency as its weight, so furniture and stock phrases, whose keys select nothing, seldom make a symbol.
 It has chunks of 3, and a pair must share two keys: all pairs at a distance of at most ``GUARANTEED`` do, for with fewer shared keys
 all chunks but one have two errors or more and that one has one. ``flat`` draws all runs alike, for records of whose different runs
-half or more have a weight of a quarter or less; it has chunks of 4, and one key is enough. A pair alike by half or more whose common runs are
+half or more have a weight of an eighth or less; it has chunks of 4, and one key is enough. A pair alike by half or more whose common runs are
 all of such a weight has ``flat`` in common, as they are half of the runs of either; the more of the other runs it shares, the closer it
 is in ``sig``. Candidates are verified on the whole sets of runs, all alike.
 
@@ -46,7 +46,7 @@ CHUNK = {"sig": 3, "flat": 4}
 GUARANTEED = {"sig": 2 * SYMBOLS // 3 - 2, "flat": 2 * SYMBOLS // 4 - 1}
 BUCKETS, _SHIFT = 1 << 20, np.uint64(44)
 #: Weights are powers of two down to 2**-_LEAST; from 2**-_SMALL on a run counts as popular.
-FREE, _LEAST, _SMALL = 50, 10, 2
+FREE, _LEAST, _SMALL = 30, 10, 3
 HOT = 2000
 _KIND = 60
 _RNG = np.random.RandomState(20240229)
@@ -181,24 +181,28 @@ def _neighbours(frames: Iterator[pd.DataFrame], hot: int) -> Iterator[pd.DataFra
         # The last key may go on in the next rows; if it is hot, they needn't be kept for that.
         open_ = 0 if not len(size) or many[-1] else int(size[-1])
         left = key[-1] if len(size) and many[-1] else None
-        yield pd.DataFrame({"a": key[many], "b": who[many], "n": np.zeros(many.sum(), dtype=np.int32)})
         keep = ~many
         keep[len(key) - open_ :] = False
-        yield from _paired(key[keep], who[keep])
+        hot_rows = (key[many], who[many], np.zeros(many.sum(), dtype=np.int32))
+        yield _table([hot_rows, *_paired(key[keep], who[keep])])
         key, who = (x[len(x) - open_ :] for x in (key, who))
-    yield from _paired(key, who)
+    yield _table(list(_paired(key, who)))
 
 
-def _paired(key: np.ndarray, who: np.ndarray) -> Iterator[pd.DataFrame]:
+def _table(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    columns = zip(*parts) if parts else ((np.empty(0, dtype=np.int64),),) * 3
+    return pd.DataFrame(dict(zip("abn", map(np.concatenate, columns))))
+
+
+def _paired(key: np.ndarray, who: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     at, d = np.arange(len(key)), 1
     while len(at):
         at = at[at + d < len(key)]
         at = at[key[at] == key[at + d]]
-        if len(at):
-            for kind in range(len(KINDS)):
-                own = at[key[at] >> _KIND == kind]
-                a, b = _sided(who[own], who[own + d])
-                yield pd.DataFrame({"a": a >> 2, "b": b >> 2, "n": np.full(len(a), 1 + kind, dtype=np.int32)})
+        for kind in range(len(KINDS)) if len(at) else ():
+            own = at[key[at] >> _KIND == kind]
+            a, b = _sided(who[own], who[own + d])
+            yield a >> 2, b >> 2, np.full(len(a), 1 + kind, dtype=np.int32)
         d += 1
 
 
