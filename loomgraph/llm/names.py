@@ -1,42 +1,46 @@
 """Variant spellings of names typed by people, linked to the firms of a registry.
 
-Distinct names are brought to vectors of character n-grams, weighted by their rarity among the
-registry's spellings (full names without legal form, aliases, initials), and joined with
-the ``TOP`` spellings of highest cosine. A firm's spellings are one group, and a name is
-linked to groups by average linkage: the mean of its cosines with the spellings of the
-group that it reached. Linked groups are verified word by word: a name's own word
-must agree with the firm's but for slips of the keyboard, and its words of the trade (those that
-several firms of the registry share, also shortened, misspelt or joined) must all be the
-firm's. Left-out words are allowed, other ones aren't, and a name that fits two firms equally well is
-linked to neither.
-
-Names are counted once however often they are typed, so a firm with a third of
-all mentions is no hot spot. The registry is a stated query set that every task holds, in
-blocks of at most ``BLOCK`` firms, and the best firm of all blocks wins. Null and blank names
-link to nothing; repeated rows count once. The node's own ticker isn't used.
+Distinct names and the registry's spellings (full names without legal form, aliases, initials) are brought to vectors of
+character trigrams, weighted by their rarity among the registry's spellings, and joined on the trigrams: the ``TOP`` spellings of highest cosine
+of each name, from ``LEAST_COSINE`` and from ``NEAR`` of its highest one on. Names are spread by name before their trigrams are exploded, so products are
+summed where they arise. The registry's postings are broadcast if they are few (``MOST_POSTINGS``, checked), else joined by hash.
+
+A joined pair is kept if it stands the test of words: a name's own words must agree with the firm's but for slips of the keyboard, and its
+words of the trade (those that several firms of the registry share, also shortened, misspelt or joined) must all be the firm's.
+Left-out words are allowed, other ones aren't.
+
+Names and spellings are then clustered by average linkage. The spellings of a firm are a cluster from the start; a name joins the
+cluster with which its mean cosine over all the cluster's spellings is highest, ``LEAST_LINK`` at least. A name whose words agree equally well with two firms joins
+none, as it is no spelling of exactly one.
+
+Words of the trade, nicknames and rarities are counted over the whole registry whatever its size. Names are counted once however often they are typed, so a
+firm with a third of all mentions is no hot spot. Null and blank names link to nothing; repeated rows count once. The node's own ticker isn't used.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from loomgraph.scratch import written
 
-TOP, LEAST_COSINE, BLOCK = 12, 0.2, 20_000
+TOP, LEAST_COSINE, NEAR, LEAST_LINK = 20, 0.2, 0.5, 0.05
+MOST_POSTINGS, MOST_WORDS = 2_000_000, 1_000_000
 #: Legal forms and titles of companies.
 LEGAL = set("inc incorporated corp corporation co company companies ltd limited plc ag nv sa llc lp llp gmbh se spa bv oyj ab group grp holdings holding hldgs hldg the".split())
 #: Sequences of single letters that are legal forms when dotted.
 _DOTTED = re.compile(r"\b(n\.? ?v|s\.? ?a|a\.? ?g|p\.? ?l\.? ?c|l\.? ?l\.? ?c|l\.? ?p|b\.? ?v)\.?(?=$|[\s,'\"])")
 _TAG = re.compile(r"[(\[][^()\[\]]{0,30}:[^()\[\]]{0,20}[)\]]|[(\[](?:nyse|nasdaq|amex|lse|otc)[^()\[\]]{0,20}[)\]]", re.I)
+_FORM = re.compile(r",?\s+(?:inc|corp|co|ltd|llc|plc|ag|nv|sa|group|grp|holdings?)\.?$", re.I)
 _INITIALS = re.compile(r"^(?:[A-Z]\.? ?){2,5}$")
 
 
@@ -52,10 +56,17 @@ def fold(name: str) -> str:
 def tokens(name: str) -> list[str]:
     """Lower-case words without legal forms; words run together in capitals are parted."""
     s = re.sub(r"(?<=[a-z]{2})(?=[A-Z])", " ", fold(name))
-    s = re.sub(r"\bbankof(?=\W|$)", "bank of", _DOTTED.sub(" ", s.lower()))
-    return [w for w in re.findall(r"[a-z0-9]+", s) if w not in LEGAL]
+    return [w for w in re.findall(r"[a-z0-9]+", _DOTTED.sub(" ", s.lower())) if w not in LEGAL]
 
 
+def initials(name: str) -> str | None:
+    """The letters of a name that is nothing but two to five capitals, with or without points and a legal form."""
+    bare = fold(name)
+    without = _FORM.sub("", bare).strip()
+    return re.sub(r"[^a-z]", "", without.lower()) if _INITIALS.match(without) and re.sub(r"[^A-Za-z]", "", bare).isupper() else None
+
+
+@lru_cache(maxsize=1_000_000)
 def edits(a: str, b: str, most: int) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours from a to b; most + 1 if there are more."""
     if abs(len(a) - len(b)) > most:
@@ -89,68 +100,13 @@ def grams(words: list[str]) -> Counter:
     return Counter(f"^{w}$"[i : i + 3] for w in words for i in range(max(1, len(w))))
 
 
-class Registry:
-    """Spellings of firms, their n-gram vectors and what words they have."""
-
-    def __init__(self, rows: list[tuple[str, str | None, str | None]]):
-        firms = sorted({(t, n) for t, n, _ in rows if t and n})
-        named = {}
-        for t, n, a in rows:
-            if t and n:
-                try:
-                    aliases = json.loads(a) if a else []
-                except ValueError:
-                    aliases = []
-                named.setdefault((t, n), []).extend(str(x) for x in aliases if isinstance(aliases, list))
-        words = Counter(w for _, n in firms for w in set(tokens(n)[1:]))
-        #: Words of trade and place: second or later words that several firms share.
-        self.trade = {w for w, k in words.items() if k > 1} - {"of", "and"}
-        self.trade |= {"bank"} if any("bank" in tokens(n) for _, n in firms) else set()
-        self.nick = Counter(w for x in named.values() for s in x for w in set(tokens(s)))
-        self.nick = {w for w, k in self.nick.items() if k > 2} - self.trade
-        self.spellings: list[tuple[str, list[str], bool]] = []  # ticker, words, whether these are initials
-        initials = defaultdict(set)
-        for t, n in firms:
-            w = tokens(n)
-            self.spellings.append((t, w, False))
-            full = [x for x in re.findall(r"[a-z]+", _DOTTED.sub(" ", fold(n).lower())) if x not in LEGAL]
-            for x in ("".join(y[0] for y in full), "".join(y[0] for y in full if y not in ("of", "and"))):
-                if len(x) > 1:
-                    initials[x].add(t)
-            self.spellings += [(t, tokens(s), False) for s in named[t, n] if tokens(s)]
-        self.initials = {x: next(iter(t)) for x, t in initials.items() if len(t) == 1}
-        vectors = [grams(w) for _, w, _ in self.spellings]
-        df = Counter(g for v in vectors for g in v)
-        n = max(1, len(vectors))
-        self.idf = {g: math.log(1 + n / k) for g, k in df.items()}
-        self.rare = math.log(1 + n)
-        post = defaultdict(list)
-        for i, v in enumerate(vectors):
-            norm = math.sqrt(sum((k * self.idf[g]) ** 2 for g, k in v.items()))
-            for g, k in v.items():
-                post[g].append((i, k * self.idf[g] / norm))
-        self.of: dict[str, list[list[str]]] = defaultdict(list)
-        for t, w, _ in self.spellings:
-            self.of[t].append(w)
+class Lexicon:
+    """Words of trade and place, and nicknames, of a whole registry."""
+
+    def __init__(self, trade: set[str], nick: set[str], of: set[str]):
+        self.trade, self.nick, self.of = trade, nick, of
         self.heads = {t[:k] for t in self.trade for k in range(4, len(t))}
         self._trades: dict[str, tuple[set[str], int]] = {}
-        self.post = {g: (np.array([i for i, _ in x]), np.array([w for _, w in x])) for g, x in post.items()}
-
-    def nearest(self, words: list[str]) -> dict[str, float]:
-        """Firms by the mean cosine of their spellings among the ``TOP`` nearest."""
-        v = grams(words)
-        norm = math.sqrt(sum((k * self.idf.get(g, self.rare)) ** 2 for g, k in v.items())) or 1.0
-        score = np.zeros(len(self.spellings))
-        for g, k in v.items():
-            if g in self.post:
-                at, w = self.post[g]
-                score[at] += w * (k * self.idf[g] / norm)
-        best = np.argpartition(-score, min(TOP, len(score) - 1))[:TOP] if len(score) > TOP else np.arange(len(score))
-        linked = defaultdict(list)
-        for i in best:
-            if score[i] >= LEAST_COSINE:
-                linked[self.spellings[i][0]].append(score[i])
-        return {t: sum(x) / len(x) for t, x in linked.items()}
 
     def trades(self, word: str) -> tuple[set[str], int]:
         """The words of trade that a typed word may stand for, and the slips it then has."""
@@ -179,12 +135,15 @@ class Registry:
         """Words with those of trade cut from the ends of longer ones they are joined to."""
         out = []
         for w in words:
+            if w.endswith("of") and w[:-2] in self.of:
+                w = w[:-2]
             for _ in range(3):
                 if w in self.trade or len(w) < 9:
                     break
                 cut = None
-                if w.startswith("bankof") and len(w) > 8:
-                    cut = ("bank", w[6:])
+                for t in self.of:
+                    if w.startswith(t + "of") and len(w) > len(t) + 3:
+                        cut = (t, w[len(t) + 2 :])
                 # The longest end of the word that is a word of trade, else its beginning, else one with slips.
                 for k in range(min(16, len(w) - 3), 3, -1):
                     if cut:
@@ -241,66 +200,138 @@ class Registry:
                 return None
         return slip + d, len(left)
 
-    def link(self, name: str) -> tuple[str, float, int, int] | None:
-        """ticker, mean cosine, slips, left-out words of the one firm that the name is a spelling of."""
-        bare = fold(name)
-        letters = re.sub(r"[^A-Za-z]", "", bare)
-        without = re.sub(r",?\s+(?i:inc|corp|co|ltd|llc|plc|ag|nv|sa|group|grp|holdings?)\.?$", "", bare).strip()
-        if _INITIALS.match(without) and letters.isupper():
-            t = self.initials.get(re.sub(r"[^a-z]", "", without.lower()))
-            return (t, 1.0, 0, 0) if t else None
-        plain = tokens(name)
-        found: dict[str, tuple] = {}
-        for words in (plain, self.parted(plain)):
-            for t, cosine in self.nearest(words).items():
-                for spelling in self.of[t]:
-                    if (fit := self.fits(words, spelling)) is not None:
-                        found[t] = min(found.get(t, (99, 99, 0)), (*fit, -cosine))
-            if found:
-                break
-        if not found:
-            return None
-        rank = sorted((slip, out, t, -c) for t, (slip, out, c) in found.items())
-        if len(rank) > 1 and rank[0][:2] == rank[1][:2]:
-            return None
-        if len(rank) > 1 and rank[0][1] > 0 and rank[1][0] <= rank[0][0] + 1 and rank[0][0] > 0 and rank[1][1] <= rank[0][1]:
-            return None
-        slip, out, t, c = rank[0]
-        return t, float(c), int(slip), int(out)
 
+def _spelled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        out = []
+        for t, n, a in zip(f["ticker"], f["company"], f["aliases_json"]):
+            try:
+                aliases = json.loads(a) if a else []
+            except ValueError:
+                aliases = []
+            out.append((t, "name", tokens(n)))
+            full = [x for x in re.findall(r"[a-z]+", _DOTTED.sub(" ", fold(n).lower())) if x not in LEGAL]
+            short = {"".join(y[0] for y in full), "".join(y[0] for y in full if y not in ("of", "and"))}
+            out += [(t, "initials", [x]) for x in sorted(short) if len(x) > 1]
+            out += [(t, "alias", tokens(str(x))) for x in (aliases if isinstance(aliases, list) else [])]
+        yield pd.DataFrame([x for x in out if x[2]], columns=["ticker", "kind", "words"])
+
+
+def spellings(companies: DataFrame) -> DataFrame:
+    """sid, ticker, kind (name, alias, initials), words of each spelling of each firm."""
+    rows = companies.select("ticker", "company", "aliases_json").where("ticker is not null and company is not null").distinct()
+    found = rows.mapInPandas(_spelled, "ticker string, kind string, words array<string>").distinct()
+    return written(found.withColumn("sid", F.monotonically_increasing_id()), "spellings")
 
-def _linked(frames: Iterator[pd.DataFrame], registry: Registry) -> Iterator[pd.DataFrame]:
+
+def lexicon(spelled: DataFrame) -> Lexicon:
+    """Words of trade: second or later words that several firms have in their names, and first ones that "of" follows in several; nicknames: other words of more than two aliases."""
+    names = spelled.where("kind = 'name'")
+    later = names.select("ticker", F.explode(F.expr("slice(words, 2, size(words))")).alias("w")).distinct().groupBy("w").count().where("count > 1 and w not in ('of', 'and')").select("w")
+    aliases = spelled.where("kind = 'alias'").select("sid", F.explode("words").alias("w")).distinct().groupBy("w").count().where("count > 2").select("w")
+    sets = []
+    of = names.where("size(words) > 2 and words[1] = 'of'").select("ticker", F.col("words")[0].alias("w")).distinct().groupBy("w").count().where("count > 1").select("w")
+    for words in (later, aliases, of):
+        found = [r["w"] for r in words.limit(MOST_WORDS + 1).collect()]
+        if len(found) > MOST_WORDS:
+            raise ValueError(f"more than {MOST_WORDS} words that firms share")
+        sets.append(set(found))
+    trade, nick, of = sets[0] | sets[2], sets[1] - sets[0] - sets[2], sets[2]
+    return Lexicon(trade, nick, of)
+
+
+def _counts(words: list[str]) -> list[tuple[str, int]]:
+    return list(grams(words).items())
+
+
+def _forms(frames: Iterator[pd.DataFrame], lex: Lexicon) -> Iterator[pd.DataFrame]:
     for f in frames:
-        out = [(n, *x) for n in f["name"] if (x := registry.link(n))]
-        yield pd.DataFrame(out, columns=["name", "ticker", "cosine", "slips", "left_out"])
+        out = []
+        for nid, n in zip(f["nid"], f["name"]):
+            if short := initials(n):
+                out.append((nid, 2, [short]))
+                continue
+            plain = tokens(n)
+            parted = lex.parted(plain)
+            out.append((nid, 0, plain))
+            if parted != plain:
+                out.append((nid, 1, parted))
+        yield pd.DataFrame([(*x, _counts(x[2])) for x in out if x[2]], columns=["nid", "form", "words", "grams"])
 
 
-def linked_names(names: DataFrame, companies: DataFrame) -> DataFrame:
-    """name, ticker, cosine, slips, left_out of each distinct name that is a spelling of exactly one firm."""
-    blocks, rows = [], []
-    for r in companies.select("ticker", "company", "aliases_json").where("ticker is not null and company is not null").distinct().toLocalIterator():
-        rows.append(tuple(r))
-        if len(rows) == BLOCK:
-            blocks.append(Registry(rows))
-            rows = []
-    if rows or not blocks:
-        blocks.append(Registry(rows))
-    distinct = names.select("name").where(r"name rlike '(?U)\\w'").distinct()
-    spark = names.sparkSession
+def _grammed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield pd.DataFrame({"sid": f["sid"], "grams": [_counts(list(w)) for w in f["words"]]})
+
+
+def cosine_pairs(forms: DataFrame, spelled: DataFrame, postings: DataFrame) -> DataFrame:
+    """nid, form, words, sid, cosine of the ``TOP`` nearest spellings of each form of a name. postings: sid, gram, n; forms: nid, form, words, grams."""
+    n = spelled.count()
+    idf = written(postings.groupBy("gram").agg(F.log(1 + F.lit(n) / F.count_distinct("sid")).alias("idf")), "idf")
+    few = postings.count() <= MOST_POSTINGS
+    near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    weighed = postings.join(near(idf), "gram").withColumn("w", F.col("n") * F.col("idf"))
+    norms = weighed.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    theirs = written(weighed.join(norms, "sid").select("gram", "sid", (F.col("w") / F.col("norm")).alias("v")), "postings")
+    key = F.col("nid") * 4 + F.col("form")
+    spark = forms.sparkSession
     # Few bytes but much work: by number, or they would be put together into a task or two.
-    distinct = distinct.repartition(max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "name")
-
-    def one(registry: Registry) -> DataFrame:
-        held = spark.sparkContext.broadcast(registry)
-        return distinct.mapInPandas(lambda fs: _linked(fs, held.value), "name string, ticker string, cosine double, slips long, left_out long")
-
-    if len(blocks) == 1:
-        return one(blocks[0])
-    found = reduce(DataFrame.union, map(one, blocks))
-    order = F.struct("slips", "left_out")
-    best = found.groupBy("name").agg(F.min(order).alias("best"))
-    tied = found.join(best, "name").where(order == F.col("best")).groupBy("name").agg(F.count_distinct("ticker").alias("n"), F.min(F.struct("ticker", "cosine", "slips", "left_out")).alias("x"))
-    return tied.where("n = 1").select("name", "x.*")
+    parts = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = forms.withColumn("key", key).repartition(parts, "key").select("key", F.inline("grams")).join(near(idf), "gram", "left")
+    own = own.withColumn("w", F.col("n") * F.coalesce("idf", F.lit(1.0) * F.log(F.lit(1.0 + n))))
+    scale = own.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    sums = own.join(near(theirs), "gram").groupBy("key", "sid").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    cosines = sums.join(scale, "key").withColumn("cosine", F.col("dot") / F.col("norm")).where(F.col("cosine") >= LEAST_COSINE)
+    w = W.partitionBy("key").orderBy(F.desc("cosine"), "sid")
+    top = cosines.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP).withColumn("best", F.max("cosine").over(W.partitionBy("key")))
+    return top.where(F.col("cosine") >= NEAR * F.col("best")).select("key", "sid", "cosine")
+
+
+def _fitting(frames: Iterator[pd.DataFrame], lex: Lexicon) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        out = []
+        for i, (form, mine, kind, theirs) in enumerate(zip(f["form"], f["words"], f["kind"], f["spelling"])):
+            if form == 2 or kind == "initials":
+                fit = (0, 0) if form == 2 and kind == "initials" and mine[0] == theirs[0] else None
+            else:
+                fit = lex.fits(list(mine), list(theirs))
+            if fit is not None:
+                out.append((i, *fit))
+        at = [x[0] for x in out]
+        yield f.iloc[at][["nid", "form", "sid", "ticker", "cosine"]].assign(slips=[x[1] for x in out], left_out=[x[2] for x in out])
+
+
+def linked_names(names: DataFrame, companies: DataFrame) -> DataFrame:
+    """name, ticker, linkage, slips, left_out of each distinct name that is a spelling of exactly one firm."""
+    spelled = spellings(companies)
+    lex = names.sparkSession.sparkContext.broadcast(lexicon(spelled))
+    distinct = written(names.select("name").where(r"name rlike '(?U)\\w'").distinct().withColumn("nid", F.monotonically_increasing_id()), "names")
+    spread = distinct.repartition(max(3 * names.sparkSession.sparkContext.defaultParallelism, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "nid")
+    forms = written(spread.mapInPandas(lambda fs: _forms(fs, lex.value), "nid long, form int, words array<string>, grams array<struct<gram:string,n:int>>"), "forms")
+    postings = written(spelled.select("sid", "words").mapInPandas(_grammed, "sid long, grams array<struct<gram:string,n:int>>").select("sid", F.inline("grams")), "grams")
+    pairs = cosine_pairs(forms, spelled, postings)
+    told = forms.select((F.col("nid") * 4 + F.col("form")).alias("key"), "nid", "form", "words")
+    few = F.broadcast(spelled) if spelled.count() <= MOST_POSTINGS // 20 else spelled
+    met = pairs.join(told, "key").join(few.select("sid", "ticker", "kind", F.col("words").alias("spelling")), "sid")
+    kept = met.select("nid", "form", "words", "sid", "ticker", "kind", "spelling", "cosine").mapInPandas(lambda fs: _fitting(fs, lex.value), "nid long, form int, sid long, ticker string, cosine double, slips int, left_out int")
+    kept = written(kept, "fitting")
+    # Parted words count only where the name as it is typed fits nothing.
+    typed = kept.where("form <> 1").select("nid").distinct()
+    kept = kept.where("form <> 1").unionByName(kept.where("form = 1").join(typed, "nid", "left_anti"))
+    return _grouped(kept, spelled).join(distinct, "nid").select("name", "ticker", "linkage", "slips", "left_out")
+
+
+def _grouped(kept: DataFrame, spelled: DataFrame) -> DataFrame:
+    """nid, ticker, linkage, slips, left_out: the cluster that each name joins by average linkage, if it is a spelling of one firm only."""
+    sizes = spelled.where("kind <> 'initials'").groupBy("ticker").agg(F.count("*").alias("size"))
+    firm = kept.groupBy("nid", "ticker").agg(F.sum("cosine").alias("sum"), F.min(F.struct("slips", "left_out")).alias("fit")).join(F.broadcast(sizes), "ticker", "left")
+    firm = firm.withColumn("linkage", F.col("sum") / F.greatest(F.coalesce("size", F.lit(1)), F.lit(1)))
+    order = W.partitionBy("nid").orderBy("fit", F.desc("linkage"), "ticker")
+    ranked = firm.withColumns({"n": F.row_number().over(order), "other": F.lead("fit").over(order)})
+    other, own = F.col("other"), F.col("fit")
+    doubtful = (other == own) | ((own["left_out"] > 0) & (own["slips"] > 0) & (other["slips"] <= own["slips"] + 1) & (other["left_out"] <= own["left_out"]))
+    sure = ranked.where("n = 1").where(other.isNull() | ~doubtful).where(F.col("linkage") >= LEAST_LINK)
+    return sure.select("nid", "ticker", "linkage", F.col("fit.slips").alias("slips"), F.col("fit.left_out").alias("left_out"))
 
 
 def mentions(nodes: DataFrame) -> DataFrame:
