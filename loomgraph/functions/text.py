@@ -9,12 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Vocabularies that results must agree on.
-LEGAL_SUFFIXES = ["incorporated", "inc", "corporation", "corp", "company", "co", "limited", "ltd", "plc", "llc", "lp", "ag", "sa", "nv", "holdings", "holding", "group"]
-POSITIVE_WORDS = ["beat", "beats", "growth", "increase", "increased", "raised", "rise", "rose", "gain", "gained", "upgrade", "upgraded", "strong", "advanced", "climbed", "jumped"]
-NEGATIVE_WORDS = ["miss", "missed", "decline", "declined", "decrease", "decreased", "cut", "fell", "drop", "dropped", "loss", "downgrade", "downgraded", "weak", "slid", "sank"]
-FINANCE_WORDS = ["revenue", "profit", "earnings", "margin", "dividend", "shares", "debt", "cash", "sales", "guidance", "buyback", "target", "stock", "price", "inventories"]
-
+from loomgraph.functions import vocabulary as V
 
 def clean(c: Column | str) -> Column:
     """Null as empty, runs of white space (also beyond ASCII) as one blank, trimmed."""
@@ -37,22 +32,26 @@ def ticker_plain(c: Column | str) -> Column:
     return F.upper(clean(c))
 
 
+def _replaced(c: Column, *steps: tuple[str, str]) -> Column:
+    for pattern, by in steps:
+        c = F.regexp_replace(c, pattern, by)
+    return c
+
+
 def entity_name(c: Column | str) -> Column:
-    """A company name without quotes, exchange tags, possessive, share class and any number of legal suffixes."""
-    s = F.regexp_replace(clean(c), r"[\"“”„]", "")
-    s = F.regexp_replace(s, r"(?i)\((?:NYSE|NASDAQ|AMEX|OTC|LSE)[^)]*\)", "")
-    s = F.regexp_replace(F.trim(s), r"['’]s$", "")
-    s = F.regexp_replace(F.trim(s), r"(?i)\s+class [ab]$", "")
-    suffixes = "|".join(LEGAL_SUFFIXES)
-    s = F.regexp_replace(F.trim(s), rf"(?i)(?:(?:,\s*|\s+)(?:{suffixes})\.?)+$", "")
-    return F.trim(F.regexp_replace(s, r"[\s,.;:]+$", ""))
+    """A company name without quotes, exchange tags, possessive, any number of legal suffixes at its end, share class and foreign characters."""
+    tag = rf"(?:{V.EXCHANGES})\s*:\s*[A-Z0-9.\-]+"
+    return F.trim(_replaced(
+        strip_only(c), ("[\"“”‘’]+", ""), (rf"(?i)\s*\({tag}\)\s*", " "), (rf"(?i)\s*\b{tag}\b\s*", " "), (r"(?U)\s+", " "), (r"(?i)'s\b", ""),
+        (rf"(?i)(?:(?:,\s*)?\b(?:{V.LEGAL_SUFFIXES})\.?\s*)+$", ""), (r"(?i)\b(?:Class A|Class B)\b", ""), (r"[^A-Za-z0-9&.\- ]+", " "), (r"^\s+|\s+$", ""), (r"\s+", " "), (r"[\s.,-]+$", ""),
+    ))
 
 
 def resolution_keys(name: Column, ticker: Column) -> Column:
-    """Ordered distinct non-empty keys of an entity: name, name without .com, name without blanks, ticker; lower case."""
-    n = F.lower(entity_name(name))
-    keys = F.array(n, F.regexp_replace(n, r"\.com$", ""), F.regexp_replace(n, " ", ""), F.lower(ticker_symbol(ticker)))
-    return F.array_distinct(F.filter(keys, lambda k: k != ""))
+    """Ordered distinct non-empty keys of an entity: name, name without .com, name without blanks, ticker; lower case, without marks at the end."""
+    n = entity_name(name)
+    keys = F.array(n, F.regexp_replace(n, r"(?i)\.com$", ""), F.regexp_replace(n, r"\s+", ""), ticker_symbol(ticker))
+    return F.array_distinct(F.filter(F.transform(keys, lambda k: F.regexp_replace(F.lower(F.trim(k)), r"[\s.,-]+$", "")), lambda k: k != ""))
 
 
 def short_sha1(c: Column, length: int) -> Column:
@@ -65,35 +64,112 @@ def iso_date(c: Column | str) -> Column:
     return F.try_to_timestamp(F.substring(F.trim(c), 1, 10), F.lit("yyyy-MM-dd")).cast("date")
 
 
-def utc_day(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.to_date(c)
+DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss z", "yyyy/MM/dd", "MM/dd/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyyMMdd", "yyyy-MM"]
+
+
+def parsed_date(c: Column | str) -> Column:
+    """The UTC date, as text, of a time in ISO notation or one of ``DATE_FORMATS``; empty if it can't be read."""
+    c = F.trim(F.col(c) if isinstance(c, str) else c)
+    # A bare number isn't a year here.
+    iso = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ].*)?$"), c.try_cast("timestamp"))
+    times = [iso, *(F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS)]
+    return F.coalesce(F.date_format(F.coalesce(*times), "yyyy-MM-dd"), F.lit(""))
+
+
+def event_type(c: Column | str) -> Column:
+    """The event type that a label stands for by itself or as an alias; another label comes out as it is, trimmed."""
+    label = strip_only(c)
+    key = _replaced(F.lower(label), ("[^a-z0-9]+", "_"), ("^_+|_+$", ""))
+    known = F.when(key.isin(V.EVENT_TYPES), key)
+    for kind, aliases in V.EVENT_TYPE_ALIASES.items():
+        known = known.when(key.isin(aliases.split()), kind)
+    return F.coalesce(known, label)
+
+
+def event_polarity(kind: Column) -> Column:
+    """1 for event types that are good news by themselves, -1 for bad, else 0."""
+    return F.when(kind.isin(V.POSITIVE_EVENT_TYPES), 1.0).when(kind.isin(V.NEGATIVE_EVENT_TYPES), -1.0).otherwise(0.0)
 
 
-def tagged_tickers(c: Column | str) -> Column:
-    """Distinct tickers of exchange tags such as (NASDAQ: X), in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")), F.lit(r"\((?:NYSE|NASDAQ|AMEX|OTC)\s*:\s*([A-Za-z.\-]{1,8})\)"), F.lit(1)), F.upper))
+def _mapped(c: Column, pairs: dict[str, str], default: str) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, c), F.lit(default))
+
+
+def company_relation(kind: Column) -> Column:
+    """The relation of an event of this type to its company."""
+    return _mapped(event_type(kind), V.COMPANY_RELATIONS, "EVENT_INVOLVES_COMPANY")
+
+
+def impact_relation(kind: Column) -> Column:
+    """The relation of an event to a company that it has this impact on."""
+    return _mapped(impact_type(kind, F.lit("")), V.IMPACT_RELATIONS, "RELATED_TO_ANCHOR")
+
+
+def reverse_relation(kind: Column) -> Column:
+    clean_ = _replaced(F.upper(F.coalesce(kind, F.lit(""))), ("[^A-Z0-9_]+", "_"), ("^_+|_+$", ""))
+    return F.when(clean_ == "", "REV_RELATED_TO").otherwise(F.concat(F.lit("REV_"), clean_))
+
+
+def inferred_impact(kind: Column) -> Column:
+    """The impact that an event of this type has on a company it only names."""
+    return _mapped(kind, {event: impact for impact, events in V.INFERRED_IMPACTS.items() for event in events.split()}, "mentioned")
+
+
+def tagged_tickers(c: Column | str, source: Column | None = None) -> Column:
+    """Distinct tickers of exchange tags, first those in brackets such as (NASDAQ: X), then any; before them the source's own if it isn't among them."""
+    c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    tag = rf"(?:{V.EXCHANGES})\s*:\s*([A-Z][A-Z0-9.\-]{{0,9}})"
+    found = F.concat(*[F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in (rf"(?i)\({tag}\)", rf"(?i)\b{tag}\b")])
+    out = F.array_distinct(F.transform(found, F.upper))
+    if source is None:
+        return out
+    own = ticker_symbol(source)
+    return F.when((own == "") | F.array_contains(out, own), out).otherwise(F.concat(F.array(own), out))
 
 
 def sentences(c: Column | str) -> Column:
     """Sentences of a text: parted after . ! ? and white space, but not after common abbreviations."""
-    s = F.regexp_replace(clean(c), r"\b(Inc|Corp|Ltd|Co|Mr|Mrs|Ms|Dr|No|vs|U\.S|N\.V|S\.A)\.\s", "$1.\u0001")
-    parts = F.split(s, r"(?<=[.!?])\s+")
-    return F.filter(F.transform(parts, lambda x: F.trim(F.regexp_replace(x, "\u0001", " "))), lambda x: x != "")
+    dotted, plain = [a for a in V.ABBREVIATIONS if "." in a], [a for a in V.ABBREVIATIONS if "." not in a]
+    s = F.regexp_replace(clean(c), rf"({'|'.join(sorted(plain, key=len, reverse=True))})\.", "$1\u0001")
+    for a in dotted:
+        s = F.replace(s, F.lit(a + "."), F.lit(a.replace(".", "\u0001") + "\u0001"))
+    parts = F.split(s, r"(?U)(?<=[.!?])\s+")
+    return F.filter(F.transform(parts, lambda x: F.trim(F.replace(x, F.lit("\u0001"), F.lit(".")))), lambda x: x != "")
+
+
+def metric_key(c: Column) -> Column:
+    """A figure as it is compared: lower case, without words like "about", commas and extra blanks."""
+    return F.trim(_replaced(F.lower(clean(c)), (V.APPROXIMATORS, ""), (",", ""), (r"\s+", " ")))
+
+
+def distinct_by(items: Column, key) -> Column:
+    """The first item of each key that isn't empty, in order; each key is computed once."""
+    pairs = F.transform(items, lambda x: F.struct(key(x).alias("k"), x.alias("v")))
+    none = F.array().cast("array<string>")
 
+    def step(acc, x):
+        more = F.struct(F.concat(acc["ks"], F.array(x["k"])).alias("ks"), F.concat(acc["vs"], F.array(x["v"])).alias("vs"))
+        return F.when((x["k"] == "") | F.array_contains(acc["ks"], x["k"]), acc).otherwise(more)
 
-FIGURE = r"\$?\d[\d,]*(?:\.\d+)?\s*(?:%|percent|million|billion|thousand)?"
+    return F.aggregate(pairs, F.struct(none.alias("ks"), none.alias("vs")), step, lambda acc: acc["vs"])
 
 
 def metric_mentions(c: Column | str) -> Column:
-    """Figures with their units, distinct after white space and case are gone, in order."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(c if isinstance(c, Column) else F.col(c), F.lit("")), F.lit(FIGURE), F.lit(0)), lambda x: F.regexp_replace(F.lower(x), r"\s+", ""))
-    return F.array_distinct(found)
+    """Figures with their units, periods, ranks and multiples as they stand in the text, the first of each that is compared alike."""
+    return distinct_by(F.transform(F.regexp_extract_all(clean(c), F.lit(V.MENTIONS), F.lit(0)), clean), metric_key)
+
+
+def span_metrics(declared: Column, text: Column) -> Column:
+    """Declared figures and those of the text, the first of each that is compared alike."""
+    given = F.filter(F.transform(F.coalesce(declared, F.array().cast("array<string>")), clean), lambda x: x != "")
+    return distinct_by(F.concat(given, metric_mentions(text)), metric_key)
 
 
 def metric_values(c: Column | str) -> Column:
-    """Sorted distinct figures without commas; percent as %."""
-    return F.array_sort(F.array_distinct(F.transform(metric_mentions(c), lambda x: F.regexp_replace(F.regexp_replace(x, ",", ""), "percent", "%"))))
+    """Sorted distinct figures without commas and blanks; percent as %."""
+    found = F.regexp_extract_all(clean(c), F.lit(V.VALUES), F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.replace(_replaced(F.lower(x), (",", ""), (r"(?U)\s+", "")), F.lit("percent"), F.lit("%")))))
 
 
 def has_word(c: Column, words: list[str]) -> Column:
@@ -101,33 +177,67 @@ def has_word(c: Column, words: list[str]) -> Column:
 
 
 def direction_signature(c: Column | str) -> Column:
-    c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-    up, down = has_word(c, POSITIVE_WORDS), has_word(c, NEGATIVE_WORDS)
+    """positive or negative if the text has words of one of the two only, else neutral."""
+    c = clean(c)
+    up, down = has_word(c, V.POSITIVE_WORDS), has_word(c, V.NEGATIVE_WORDS)
     return F.when(up & ~down, "positive").when(down & ~up, "negative").otherwise("neutral")
 
 
+def compared_text(c: Column | str) -> Column:
+    """A description as it is compared: lower case, without full stops at the end, letters, digits and % $ . , only."""
+    return F.trim(_replaced(F.lower(clean(c)), (r"\.+$", ""), (r"[^a-z0-9%$., ]+", " "), (r"\s+", " ")))
+
+
+def _key(c: Column) -> Column:
+    return _replaced(F.lower(clean(c)), ("[^a-z0-9]+", "_"), ("^_+|_+$", ""))
+
+
+def _any_of(c: Column, marks: list[str]) -> Column:
+    return c.rlike("|".join(marks))
+
+
 def impact_direction(label: Column) -> Column:
     """Neutral marks are tested before positive ones, which are tested as substrings: "up" also matches inside "supply"."""
-    s = F.lower(F.coalesce(label, F.lit("")))
+    key = _key(label)
     return (
-        F.when(s.rlike("neutral|mixed|unclear|unknown"), "neutral")
-        .when(s.rlike("positive|up|benefit|gain|favorable|bullish"), "positive")
-        .when(s.rlike("negative|down|hurt|loss|adverse|bearish"), "negative")
-        .otherwise("neutral")
+        F.when(key.isin("positive", "negative", "neutral"), key).when(_any_of(key, V.NEUTRAL_MARKS), "neutral").when(_any_of(key, V.POSITIVE_MARKS), "positive")
+        .when(_any_of(key, V.NEGATIVE_MARKS), "negative").otherwise("neutral")
     )
 
 
+def impact_direction_in_context(label: Column, company: Column, kind: Column, evidence: Column) -> Column:
+    """The direction, but positive for a supplier or customer whose evidence tells of demand that it can't meet and of no harm to it."""
+    said, name = F.lower(clean(evidence)), F.lower(clean(company))
+    signs = lambda x: F.exists(F.array(*map(F.lit, x)), lambda p: F.contains(said, p))
+    unable = r"\b[^.]*\b(?:cannot|can't|can not|not able to|isn't able to|unable to|not being able to)\b[^.]*\b(?:supply|deliver|keep up|get enough|meet)"
+    subject = F.regexp_like(said, F.concat(F.lit(r"\b\Q"), name, F.lit(r"\E" + unable)))
+    short = (impact_type(kind, F.lit("")) == "supplier_customer") & (name != "") & F.contains(said, name) & subject & signs(V.DEMAND_SIGNS) & signs(V.SHORTAGE_SIGNS) & ~signs(V.HARM_SIGNS)
+    return F.when(short, "positive").otherwise(impact_direction(label))
+
+
 def impact_score(direction: Column) -> Column:
     return F.when(direction == "positive", 1.0).when(direction == "negative", -1.0).otherwise(0.1)
 
 
-def impact_type(label: Column, event_type: Column) -> Column:
+def impact_type(label: Column, kind: Column) -> Column:
     """An ordered cascade of substrings over label and event type; "direct" also matches inside "indirect"."""
-    s = F.lower(F.concat_ws(" ", F.coalesce(label, F.lit("")), F.coalesce(event_type, F.lit(""))))
-    steps = [("direct", "direct"), ("suppl", "supplier"), ("customer|client", "customer"), ("compet|rival|peer", "competitor"), ("partner|alliance", "partner"), ("regulat|policy", "regulatory"), ("sector|industry", "sector"), ("macro|econom", "macro"), ("sentiment|market", "market_sentiment"), ("invest|stake", "investment"), ("mention", "mentioned")]
+    key = _key(label)
+    s = F.lower(F.concat(key, F.lit(" "), event_type(kind)))
     out = F.lit("other")
-    for pattern, kind in reversed(steps):
-        out = F.when(s.rlike(pattern), kind).otherwise(out)
+    for impact, marks in reversed(V.IMPACT_MARKS):
+        out = F.when(s.rlike(marks), impact).otherwise(out)
+    return out
+
+
+def promotional(c: Column | str) -> Column:
+    """Whether a text is a promotion or a disclosure of the publisher rather than news."""
+    t = F.lower(clean(c))
+    named = lambda marks: F.exists(F.array(*map(F.lit, marks)), lambda p: F.contains(t, p))
+    out = named(V.PROMOTION)
+    for service, marks in V.PROMOTED.items():
+        out = out | (F.contains(t, F.lit(service)) & named(marks))
+    for pattern in V.DISCLOSURES:
+        out = out | t.rlike(pattern)
     return out
 
 
@@ -166,7 +276,8 @@ def finite(c: Column, default: float) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(default)).otherwise(x)
 
 
-def word_bounded(text: Column, alias: str) -> Column:
-    """Whether the alias stands in the text with no letter or digit beside it, whatever the case."""
-    quoted = "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in alias.lower())
-    return F.lower(F.coalesce(text, F.lit(""))).rlike(rf"(^|[^a-z0-9]){quoted}([^a-z0-9]|$)")
+def mentions_entity(text: Column, name: Column) -> Column:
+    """Whether the name, as typed or without its legal form, stands in the text with no letter or digit beside it, whatever the case."""
+    t = clean(text)
+    one = lambda n: (n != "") & F.regexp_like(t, F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])\Q"), n, F.lit(r"\E(?![A-Za-z0-9])")))
+    return one(clean(name)) | one(entity_name(name))

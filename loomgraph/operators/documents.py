@@ -11,12 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
+from loomgraph.functions import vocabulary as V
 
 
 def evidence_sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, sentence, figures: sentences with a figure and a word of finance, in order (docs: doc_id, text)."""
-    s = docs.select("doc_id", F.posexplode(X.sentences("text")).alias("pos", "sentence"))
-    return s.where(F.col("sentence").rlike(r"\d") & X.has_word(F.col("sentence"), X.FINANCE_WORDS)).withColumn("figures", F.slice(X.metric_mentions("sentence"), 1, 12))
+    """doc_id, pos, sentence, tickers, figures, temporal, causal of each sentence with a word of finance and a figure or one of the text's tickers, in order.
+
+    docs: doc_id, text, ticker (the source's own, may be null). At most 12 figures a sentence, as they stand there.
+    """
+    s = docs.select("doc_id", X.tagged_tickers("text", F.col("ticker")).alias("known"), F.posexplode(X.sentences("text")).alias("pos", "sentence"))
+    named = F.filter("known", lambda t: F.regexp_like(F.col("sentence"), F.concat(F.lit(r"\b\Q"), t, F.lit(r"\E\b"))))
+    figures = F.transform(F.regexp_extract_all("sentence", F.lit(V.EVIDENCE_FIGURES), F.lit(0)), X.clean)
+    found = s.where(F.col("sentence").rlike(V.FINANCE)).select("doc_id", "pos", "sentence", named.alias("tickers"), F.slice(figures, 1, 12).alias("figures"))
+    c = F.col("sentence")
+    return found.where((F.size("tickers") > 0) | (F.size("figures") > 0)).withColumns({"temporal": c.rlike(V.PERIODS), "causal": c.rlike(V.CAUSES)})
 
 
 def alias_mentions(docs: DataFrame, aliases: DataFrame, most: int = 20_000) -> DataFrame:
@@ -40,12 +48,17 @@ def resolved_keys(items: DataFrame, registry: DataFrame) -> DataFrame:
     return k.join(registry, "key").groupBy("id").agg(F.min_by("target", "pos").alias("target"))
 
 
-def section_of_spans(spans: DataFrame, sections: DataFrame) -> DataFrame:
-    """doc_id, span, section: the section with most overlap, of equal ones the first; UNKNOWN without any (spans: doc_id, span, s, e)."""
-    o = spans.join(sections.select("doc_id", "section", F.col("s").alias("a"), F.col("e").alias("b")), "doc_id", "left")
-    overlap = F.greatest(F.lit(0), F.least("e", "b") - F.greatest("s", "a"))
-    best = o.groupBy("doc_id", "span").agg(F.max_by("section", F.when(overlap > 0, F.struct(overlap.alias("o"), (-F.col("a")).alias("a")))).alias("section"))
-    return best.select("doc_id", "span", F.coalesce("section", F.lit("UNKNOWN")).alias("section"))
+def section_of_spans(spans: DataFrame, sections: DataFrame, slot: int = 500) -> DataFrame:
+    """doc_id, span, section: the section with most overlap, of equal ones the first; UNKNOWN without any (spans: doc_id, span, s, e).
+
+    Both are exploded to slots of ``slot`` characters and meet on document and slot, so only neighbours are compared.
+    """
+    slots = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / slot), F.greatest(F.floor(F.col(a) / slot), F.floor((F.col(b) - 1) / slot))))
+    left = spans.where("e > s").select("doc_id", "span", "s", "e", slots("s", "e").alias("slot"))
+    right = sections.where("e > s").select("doc_id", "section", F.col("s").alias("a"), F.col("e").alias("b"), slots("s", "e").alias("slot"))
+    met = left.join(right, ["doc_id", "slot"]).select("doc_id", "span", "section", "a", (F.least("e", "b") - F.greatest("s", "a")).alias("o")).where("o > 0")
+    best = met.groupBy("doc_id", "span").agg(F.max_by("section", F.struct("o", (-F.col("a")).alias("a"))).alias("section"))
+    return spans.select("doc_id", "span").join(best, ["doc_id", "span"], "left").select("doc_id", "span", F.coalesce("section", F.lit("UNKNOWN")).alias("section"))
 
 
 def normalised_period(df: DataFrame, start: str, end: str) -> DataFrame:

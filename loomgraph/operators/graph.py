@@ -121,9 +121,10 @@ def dated_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def strongest_weight(edges: DataFrame, *keys: str) -> DataFrame:
-    """keys, weight: the weight of largest magnitude, of equal ones the positive; zeros and nulls are ignored."""
-    return edges.where("weight <> 0").groupBy(*keys).agg(F.max_by("weight", F.struct(F.abs("weight"), "weight")).alias("weight"))
+def strongest_weight(edges: DataFrame, *keys: str, order: str | None = None) -> DataFrame:
+    """keys, weight: the weight of largest magnitude, of equal ones the first by the order column if one is named, then the positive; zeros and nulls are ignored."""
+    first = F.struct((-F.abs("weight")).alias("a"), (F.col(order) if order else F.lit(0)).alias("o"), (-F.col("weight")).alias("w"))
+    return edges.where("weight <> 0").groupBy(*keys).agg(F.min_by("weight", first).alias("weight"))
 
 
 def message_passing(edges: DataFrame, features: DataFrame) -> DataFrame:
@@ -151,8 +152,12 @@ def block_offsets(sizes: DataFrame, order: str, n: str) -> DataFrame:
 
 
 def shuffled_relations(edges: DataFrame, seed: int) -> DataFrame:
-    """source, target, edge_type: the types dealt anew among the edges, their counts unchanged."""
-    hashed = lambda n: F.xxhash64("source", "target", "edge_type", F.lit(n))
-    rank = lambda n: ranked(edges.withColumn("h", hashed(n)).withColumn("r", F.shiftright("h", 52)), "r", "h", "source", "target", "edge_type")
-    # Two orders that have nothing to do with each other, each ranked by ranges of its hash.
+    """source, target, edge_type: the types dealt anew among the edges, their counts unchanged.
+
+    Two orders that have nothing to do with each other, by hashes, each ranked by ranges of its hash; the type of a rank in one goes to the edge of that rank in the other.
+    """
+    def rank(n: int) -> DataFrame:
+        h = F.md5(F.concat_ws("|", "source", "target", "edge_type", F.lit(str(n))).cast("binary"))
+        return ranked(edges.withColumn("h", h).withColumn("r", F.substring("h", 1, 3)), "r", "h", "source", "target", "edge_type")
+
     return rank(seed + 1).select("source", "target", "i").join(rank(seed).select("edge_type", "i"), "i").drop("i")

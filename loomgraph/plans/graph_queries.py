@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from loomgraph.functions import text as X
-from loomgraph.operators import components, dedup, graph, similarity, temporal
+from loomgraph.operators import components, dedup, fusion, graph, similarity, temporal
 from loomgraph.plans import tables as T
+from loomgraph.scratch import written
 
 DAYS, HOPS = 2, 3
 
@@ -99,8 +100,30 @@ def window_subgraph(spark, d):
     return temporal.window_subgraph(_tasks(spark, d), T.nodes(spark, d), T.edges(spark, d), DAYS, HOPS)
 
 
+def _subgraph(spark, d):
+    sub, known = temporal.task_subgraph(_tasks(spark, d), T.nodes(spark, d), T.edges(spark, d), DAYS, HOPS)
+    return sub, temporal.subgraph_edges(sub, known, DAYS)
+
+
 def subgraph_edges(spark, d):
-    return temporal.induced_edges(window_subgraph(spark, d), T.edges(spark, d)).groupBy("task_id").agg(F.count("*").alias("n"))
+    return _subgraph(spark, d)[1].groupBy("task_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
+
+
+def all_events_subgraph(spark, d):
+    """The subgraphs without a scope: how many nodes of each hop."""
+    sub = temporal.window_subgraph(_tasks(spark, d), T.nodes(spark, d), T.edges(spark, d), DAYS, HOPS, "all")
+    return sub.groupBy("task_id", "hop").agg(F.count("*").alias("n"))
+
+
+def temporal_features(spark, d):
+    sub, edges = _subgraph(spark, d)
+    e = T.graph_events(spark, d)
+    when = F.col("date")
+    told = e.select(F.concat(F.lit("event:"), "event_id").alias("node_id"), when.alias("available"), when.alias("start_date"), when.alias("end_date"), "confidence", "importance", X.event_polarity(F.col("event_type")).alias("polarity"))
+    rest = T.nodes(spark, d).where("node_type <> 'Event'").select("node_id", F.when(F.col("node_type") == "Article", when).alias("available"), when.alias("start_date"), when.alias("end_date"))
+    facts = told.unionByName(rest, allowMissingColumns=True).withColumn("time_confidence", F.lit(None).cast("double"))
+    f = temporal.subgraph_features(sub, edges, facts, temporal.about_ticker(T.edges(spark, d)), DAYS, HOPS)
+    return f.select("task_id", "node_id", *[F.round(c, 6).alias(c) for c in temporal.FEATURES])
 
 
 def in_degree(spark, d):
@@ -108,7 +131,7 @@ def in_degree(spark, d):
 
 
 def anchor_strongest(spark, d):
-    return graph.strongest_weight(T.edges(spark, d).where("target like 'ticker:%' and weight is not null"), "source", "target").select("source", "target", F.round("weight", 6).alias("weight"))
+    return graph.strongest_weight(T.edges(spark, d).where("target like 'ticker:%' and weight is not null"), "source", "target", order="edge_type").select("source", "target", F.round("weight", 6).alias("weight"))
 
 
 def decayed_edges(spark, d):
@@ -117,12 +140,6 @@ def decayed_edges(spark, d):
     return e.groupBy("target").agg(F.round(F.sum(temporal.decayed_weight(F.col("weight"), age, 0.01)), 4).alias("weight"))
 
 
-def temporal_features(spark, d):
-    e = T.events(spark, d).withColumns({"task_id": F.col("ticker"), "node_id": F.col("event_id"), "cutoff": F.lit("2024-01-20").cast("date"), "available": F.col("available_date"), "start_date": F.col("event_date_start"), "end_date": F.col("event_date_end"), "hop": F.lit(1), "polarity": F.col("impact"), "time_confidence": F.lit(0.5), "in_degree": F.col("importance")})
-    f = temporal.temporal_features(e.where("event_id is not null"))
-    return f.select("node_id", *[F.round(f"f{i}", 6).alias(f"f{i}") for i in range(16)])
-
-
 def message_passing(spark, d):
     f = T.vectors(spark, d).select(F.col("id").alias("node"), F.posexplode("v").alias("pos", "x"))
     e = T.vectors(spark, d).select(F.col("id").alias("src"), (F.col("id") % 17).alias("dst"), (1 + F.col("id") % 3).cast("double").alias("w"))
@@ -163,12 +180,62 @@ def similar_components(spark, d):
 
 
 def entity_key_clusters(spark, d):
-    """Names of mentions that share a resolution key, as components of the star of each key."""
+    """Names of mentions that share a resolution key, as components of mentions and keys."""
     n = T.nodes(spark, d).where("node_type in ('Entity', 'EntityRawMention') and name <> ''")
     keyed = n.select("node_id", F.explode(F.array(F.lower(X.entity_name("name")), F.regexp_replace(F.lower(X.entity_name("name")), " ", ""))).alias("k")).where("k <> ''").distinct()
-    hub = keyed.groupBy("k").agg(F.min("node_id").alias("hub"))
-    pairs = keyed.join(hub, "k").where("node_id <> hub").select("hub", "node_id").distinct()
-    return components.connected_components(pairs).groupBy("component").agg(F.count("*").alias("n"))
+    parts = components.connected_components(keyed.select("node_id", F.concat(F.lit("~key:"), "k").alias("k")))
+    return parts.where(~F.col("v").startswith("~key:")).groupBy("component").agg(F.count("*").alias("n"))
+
+
+def _registry(spark, d):
+    return T.table(spark, d, "companies").select("ticker", "company", F.from_json("aliases_json", "array<string>").alias("aliases"))
+
+
+def _mentions(spark, d):
+    e = T.graph_events(spark, d)
+    main = e.where("ticker <> ''").join(F.broadcast(_registry(spark, d).select("ticker", "company")), "ticker").select("event_id", F.col("company").alias("text"), "ticker", F.lit("main_company").alias("source"))
+    named = T.nodes(spark, d).select(F.col("node_id").alias("target"), "name", F.col("ticker").alias("hint"))
+    links = T.edges(spark, d).where("edge_type = 'MENTIONS_ENTITY' and event_id is not null").select("event_id", "target").distinct()
+    typed = links.join(named, "target").select("event_id", F.col("name").alias("text"), F.col("hint").alias("ticker"), F.lit("mentioned_entity").alias("source"))
+    return fusion.entity_mentions(main.union(typed), _registry(spark, d))
+
+
+def entity_mentions(spark, d):
+    return _mentions(spark, d).select("mention_id", "event_id", "text", "name", "ticker", "source", F.array_join("keys", ";").alias("keys"))
+
+
+def entity_fusion(spark, d):
+    return fusion.entity_clusters(_mentions(spark, d), _registry(spark, d))[0]
+
+
+def _fused(spark, d):
+    """Entity clusters and members, event clusters, members, accepted pairs, similar pairs and primary clusters."""
+    entities = fusion.entity_clusters(_mentions(spark, d), _registry(spark, d))
+    primary = fusion.primary_clusters(entities[1])
+    e = T.graph_events(spark, d).join(primary, "event_id", "left").withColumns({"grp": F.coalesce("primary", "ticker"), "event_date_start": F.col("date"), "event_date_end": F.col("date")})
+    e = written(e.drop("primary", "date"), "graph_events")
+    pairs = written(fusion.similar_pairs(e, 0.75, 7), "similar")
+    clusters, members, accepted = fusion.event_clusters(e, pairs)
+    return entities, (clusters, members), accepted, pairs, primary
+
+
+def event_fusion(spark, d):
+    return _fused(spark, d)[1][0]
+
+
+def fused_members(spark, d):
+    return _fused(spark, d)[1][1]
+
+
+def fusion_report(spark, d):
+    entities, events, accepted, pairs, _ = _fused(spark, d)
+    return fusion.fusion_report(entities, events, pairs, accepted)
+
+
+def cluster_edges(spark, d):
+    entities, events, _, _, primary = _fused(spark, d)
+    metrics = T.graph_events(spark, d).select("event_id", F.explode("metrics").alias("metric"))
+    return fusion.cluster_edges(entities, events, primary, metrics=metrics).groupBy("edge_type").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"), F.count_distinct("target").alias("targets"))
 
 
 def event_duplicates(spark, d):
@@ -204,23 +271,76 @@ def company_registry(spark, d):
 
 
 _NAMES = """keep_first_articles article_ids union_partitions resume_anti event_edges event_nodes article_edges chronology_edges cluster_chronology reverse_synthesis typed_tensor_index typed_edge_lists
-dangling_edges duplicate_nodes edge_availability edge_type_lookup visible_nodes window_subgraph subgraph_edges in_degree anchor_strongest decayed_edges temporal_features message_passing segment_softmax
-attention_pool block_offsets knn_lower_side semantic_edges nearest_company similar_components entity_key_clusters event_duplicates majority_name cluster_rollup mirrored_dedupe company_registry""".split()
+dangling_edges duplicate_nodes edge_availability edge_type_lookup visible_nodes window_subgraph subgraph_edges all_events_subgraph in_degree anchor_strongest decayed_edges temporal_features message_passing segment_softmax
+attention_pool block_offsets knn_lower_side semantic_edges nearest_company similar_components entity_key_clusters entity_mentions entity_fusion event_fusion fused_members fusion_report cluster_edges event_duplicates majority_name cluster_rollup mirrored_dedupe company_registry""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
-_HOP = lambda i: f"""h{i} AS (SELECT DISTINCT r.task_id, r.cutoff, e.source AS node_id FROM (SELECT * FROM h{i - 1}) r JOIN inb e ON e.target = r.node_id AND (e.day IS NULL OR e.day BETWEEN r.cutoff - {DAYS} AND r.cutoff)
-  WHERE NOT EXISTS (SELECT 1 FROM ({' UNION ALL '.join(f'SELECT task_id, node_id FROM h{j}' for j in range(i))}) x WHERE x.task_id = r.task_id AND x.node_id = e.source))"""
-_SUB = f"""{T.NODES}, {T.EDGES}, {T.TASKS}, inb AS (SELECT DISTINCT e.source, e.target, n.date AS day FROM edges e JOIN nodes n ON n.node_id = e.source WHERE e.source <> e.target),
-h0 AS (SELECT DISTINCT task_id, cutoff_date AS cutoff, 'ticker:' || ticker AS node_id FROM tasks WHERE 'ticker:' || ticker IN (SELECT node_id FROM nodes)), {_HOP(1)}, {_HOP(2)}, {_HOP(3)},
-sub AS (SELECT task_id, node_id, 0 AS hop FROM h0 UNION ALL SELECT task_id, node_id, 1 FROM h1 UNION ALL SELECT task_id, node_id, 2 FROM h2 UNION ALL SELECT task_id, node_id, 3 FROM h3)"""
+_HOP = lambda i, scope: f"""h{i} AS (SELECT DISTINCT r.task_id, r.ticker, r.cutoff, e.source AS node_id FROM h{i - 1} r JOIN inb e ON e.target = r.node_id AND (e.known IS NULL OR e.known BETWEEN r.cutoff - {DAYS} AND r.cutoff) AND (e.sd IS NULL OR e.sd >= r.cutoff - {DAYS})
+  WHERE {scope} NOT EXISTS (SELECT 1 FROM ({' UNION ALL '.join(f'SELECT task_id, node_id FROM h{j}' for j in range(i))}) x WHERE x.task_id = r.task_id AND x.node_id = e.source))"""
+_ABOUT = """about AS (SELECT ticker, node_id, coalesce(arg_min(w, {'a': -abs(w), 'k': kind, 'w': -w}) FILTER (w <> 0), 0) AS impact FROM (
+  SELECT upper(regexp_replace(target, '^.*:', '')) AS ticker, source AS node_id, NULL::DOUBLE AS w, '' AS kind FROM edges WHERE edge_type = 'INVOLVES_TICKER' AND target LIKE 'ticker:%' UNION ALL
+  SELECT upper(regexp_replace(target, '^.*:', '')), source, coalesce(weight, 0), edge_type FROM edges WHERE regexp_matches(target, '^(company_)?ticker:') AND edge_type IN ('DIRECTLY_IMPACTS_ANCHOR', 'COMPETES_WITH_ANCHOR', 'SUPPLY_CUSTOMER_IMPACT_ON_ANCHOR',
+    'PARTNERS_WITH_ANCHOR', 'PEER_COMPARED_WITH_ANCHOR', 'ECOSYSTEM_IMPACT_ON_ANCHOR', 'PORTFOLIO_EXPOSURE_TO_ANCHOR', 'MACRO_IMPACT_ON_ANCHOR', 'REGULATORY_IMPACT_ON_ANCHOR', 'MARKET_SENTIMENT_IMPACT_ON_ANCHOR', 'RELATED_TO_ANCHOR')) GROUP BY 1, 2)"""
+_IN_SCOPE = "(e.st <> 'Event' OR EXISTS (SELECT 1 FROM about b WHERE b.ticker = r.ticker AND b.node_id = e.source)) AND"
+_SUBGRAPH = lambda scope: f"""{T.NODES}, {T.EDGES}, {T.TASKS}, {_ABOUT}, days AS (SELECT node_id, date FROM nodes WHERE node_type IN ('Event', 'Article') AND date IS NOT NULL),
+known_edges AS (SELECT DISTINCT e.source, e.target, e.edge_type, coalesce(e.weight, 1) AS weight, a.node_type AS st, s.date AS sd, greatest(s.date, t.date, v.date, r.date) AS known FROM edges e JOIN nodes a ON a.node_id = e.source JOIN nodes b ON b.node_id = e.target
+  LEFT JOIN days s ON s.node_id = e.source LEFT JOIN days t ON t.node_id = e.target LEFT JOIN days v ON v.node_id = 'event:' || trim(e.event_id, ' ') LEFT JOIN days r ON r.node_id = 'article:' || trim(e.article_id, ' ')),
+inb AS (SELECT DISTINCT source, target, known, sd, st FROM known_edges WHERE st NOT IN ('Event', 'Article') OR sd IS NOT NULL),
+h0 AS (SELECT DISTINCT task_id, ticker, cutoff_date AS cutoff, 'ticker:' || ticker AS node_id FROM tasks WHERE 'ticker:' || ticker IN (SELECT node_id FROM nodes)), {_HOP(1, scope)}, {_HOP(2, scope)}, {_HOP(3, scope)},
+sub AS (SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2 UNION ALL SELECT *, 3 FROM h3)"""
+_SUB = _SUBGRAPH(_IN_SCOPE)
+_SUBEDGES = f"""subedges AS (SELECT s.task_id, e.source, e.target, e.edge_type, e.weight * exp(-0.1::DOUBLE * greatest(0, coalesce(s.cutoff - e.known, 0))) AS weight FROM sub s JOIN known_edges e ON e.target = s.node_id AND (e.known IS NULL OR e.known BETWEEN s.cutoff - {DAYS} AND s.cutoff)
+  JOIN sub t ON t.task_id = s.task_id AND t.node_id = e.source)"""
 _DATED = "known AS (SELECT e.*, greatest(a.date, b.date) AS known FROM edges e LEFT JOIN nodes a ON a.node_id = e.source LEFT JOIN nodes b ON b.node_id = e.target)"
-_NAME = r"""trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(trim(regexp_replace(coalesce({c}, ''), '[\s\x{{A0}}]+', ' ', 'g')), '["“”„]', '', 'g'), '(?i)\((NYSE|NASDAQ|AMEX|OTC|LSE)[^)]*\)', '', 'g')), '[''’]s$', ''), '(?i)\s+class [ab]$', '')), '(?i)((,\s*|\s+)(incorporated|inc|corporation|corp|company|co|limited|ltd|plc|llc|lp|ag|sa|nv|holdings|holding|group)\.?)+$', '')), '[\s,.;:]+$', ''))"""
+_NAME_STEPS = [
+    ('["“”‘’]+', ""), (r"(?i)\s*\((?:NASDAQ|NYSE|AMEX|OTC|OTCMKTS|NYSEARCA)\s*:\s*[A-Z0-9.\-]+\)\s*", " "), (r"(?i)\s*\b(?:NASDAQ|NYSE|AMEX|OTC|OTCMKTS|NYSEARCA)\s*:\s*[A-Z0-9.\-]+\b\s*", " "), (r"[\s\x{A0}]+", " "), (r"(?i)''s\b", ""),
+    (r"(?i)(?:(?:,\s*)?\b(?:incorporated|corporation|company|limited|holdings|holding|inc|corp|co|ltd|plc|llc|lp|sa|ag|nv)\.?\s*)+$", ""), (r"(?i)\b(?:Class A|Class B)\b", ""), (r"[^A-Za-z0-9&.\- ]+", " "), (r"^\s+|\s+$", ""), (r"\s+", " "), (r"[\s.,-]+$", ""),
+]
+_NAME = r"regexp_replace(coalesce({c}, ''), '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g')"
+for _pattern, _by in _NAME_STEPS:
+    _NAME = "regexp_replace(" + _NAME + ", '" + _pattern.replace("{", "{{").replace("}", "}}") + f"', '{_by}', 'g')"
+_NAME = "trim(" + _NAME + ")"
+_KEYS = lambda n, *more: rf"list_filter(list_transform([{', '.join([n, "regexp_replace(" + n + r", '(?i)\.com$', '')", "regexp_replace(" + n + r", '\s+', '', 'g')", *more])}], lambda x: regexp_replace(lower(trim(x)), '[\s.,-]+$', '')), lambda x: x <> '')"
+_ONE = lambda l: f"list_filter({l}, lambda x, i: list_position({l}, x) = i)"
+_TIDY = r"trim(regexp_replace(coalesce({c}, ''), '[\s\x{{A0}}]+', ' ', 'g'))"
+_SYM = r"regexp_replace(upper({c}), '[^A-Z0-9.\-]', '', 'g')"
+_MENTIONED = f"""firm_names AS (SELECT ticker, unnest(list_concat([company, ticker], coalesce(CAST(from_json(aliases_json, '["VARCHAR"]') AS VARCHAR[]), []))) AS n FROM companies WHERE ticker IS NOT NULL),
+firm_keys AS (SELECT key, min(ticker) AS anchor FROM (SELECT ticker, unnest({_KEYS('n')}) AS key FROM (SELECT ticker, {_NAME.format(c='n')} AS n FROM firm_names)) GROUP BY 1),
+said AS (SELECT event_id, company AS t, gev.ticker AS k, 'main_company' AS source FROM gev JOIN companies c ON c.ticker = gev.ticker WHERE gev.ticker <> '' UNION ALL
+  SELECT event_id, name, nodes.ticker, 'mentioned_entity' FROM (SELECT DISTINCT event_id, target FROM edges WHERE edge_type = 'MENTIONS_ENTITY' AND event_id IS NOT NULL) JOIN nodes ON node_id = target),
+base AS (SELECT DISTINCT trim(event_id, ' ') AS event_id, {_TIDY.format(c='t')} AS text, {_SYM.format(c=_TIDY.format(c='k'))} AS given, source FROM said WHERE {_TIDY.format(c='t')} <> ''),
+texts AS (SELECT text, {_NAME.format(c='text')} AS name FROM (SELECT DISTINCT text FROM base)),
+anchors AS (SELECT text, arg_min(anchor, pos) AS anchor FROM (SELECT text, k[pos] AS key, pos FROM (SELECT text, k, unnest(range(1, len(k) + 1)) AS pos FROM (SELECT text, {_ONE('k')} AS k FROM (SELECT text, {_KEYS('name')} AS k FROM texts)))) JOIN firm_keys USING (key) GROUP BY 1),
+resolved AS (SELECT event_id, text, name, coalesce(anchor, given) AS ticker, source FROM base JOIN texts USING (text) LEFT JOIN anchors USING (text) WHERE name <> '' OR coalesce(anchor, given) <> ''),
+once AS (SELECT event_id, x.text AS text, x.name AS name, ticker, source FROM (SELECT event_id, lower(text) AS low, ticker, source, min({{'text': text, 'name': name}}) AS x FROM resolved GROUP BY 1, 2, 3, 4)),
+mentioned AS (SELECT 'ENTM_' || sha1(concat_ws('|', event_id, lower(text), ticker, source))[1:18] AS mention_id, event_id, text, name, ticker, source,
+  list_concat(CASE WHEN ticker <> '' THEN ['ticker:' || ticker] ELSE [] END, list_transform(list_filter({_ONE('k')}, lambda x: length(x) > 1), lambda x: 'name:' || x)) AS keys
+  FROM (SELECT *, {_KEYS('name', _SYM.format(c='ticker'))} AS k FROM once))"""
+_ENTITIES = """keyed AS (SELECT mention_id AS a, unnest(keys) AS b FROM mentioned), ends AS (SELECT a, b FROM keyed UNION SELECT b, a FROM keyed), reach AS (SELECT DISTINCT a AS v, a AS r FROM keyed UNION SELECT reach.v, ends.b FROM reach JOIN ends ON ends.a = reach.r),
+own AS (SELECT mentioned.*, part FROM mentioned JOIN (SELECT v, min(r) AS part FROM reach GROUP BY v) ON v = mention_id),
+tick AS (SELECT part, arg_min(ticker, {'n': -n, 't': ticker}) AS tk FROM (SELECT part, ticker, count(*) AS n FROM own WHERE ticker <> '' GROUP BY 1, 2) GROUP BY 1),
+called AS (SELECT part, CASE WHEN name <> '' THEN name ELSE text END AS name FROM own LEFT JOIN tick USING (part) WHERE tk IS NULL OR tk = ticker),
+named AS (SELECT part, arg_min(name, {'n': -n, 'l': -length(name), 'w': lower(name), 'x': name}) AS called FROM (SELECT part, name, count(*) AS n FROM called WHERE name <> '' GROUP BY 1, 2) GROUP BY 1),
+seeds AS (SELECT part, count(*) AS mentions, count(DISTINCT event_id) AS events, list_sort(list(DISTINCT lower(CASE WHEN ticker <> '' THEN ticker ELSE name END))) AS s FROM own GROUP BY 1),
+firms AS (SELECT ticker AS tk, min(company) AS company FROM companies GROUP BY 1),
+ents AS (SELECT part, 'ENTC_' || sha1(concat_ws('|', ticker, lower(name), array_to_string(s[1:12], '|')))[1:18] AS cluster_id, name, ticker, mentions, events
+  FROM (SELECT part, coalesce(company, called, tk, '') AS name, coalesce(tk, '') AS ticker, mentions, events, s FROM seeds LEFT JOIN tick USING (part) LEFT JOIN named USING (part) LEFT JOIN firms USING (tk)))"""
+_EVENTED = r"""prim AS (SELECT event_id, min(cluster_id) AS p FROM own JOIN ents USING (part) WHERE source = 'main_company' GROUP BY 1),
+fe AS (SELECT gev.*, coalesce(p, gev.ticker) AS grp, list_distinct(regexp_extract_all(lower(event_description), '[a-z0-9]+')) AS w FROM gev LEFT JOIN prim USING (event_id)),
+sims AS (SELECT x.event_id AS l, y.event_id AS r FROM fe x JOIN fe y ON x.grp = y.grp AND x.event_type = y.event_type AND x.event_id < y.event_id AND abs(x.date - y.date) <= 7
+  WHERE len(list_intersect(x.w, y.w)) > 0 AND round(len(list_intersect(x.w, y.w)) / sqrt(len(x.w)::DOUBLE * len(y.w)), 6) >= 0.75),
+acc AS (SELECT l, r FROM sims JOIN fe x ON x.event_id = l JOIN fe y ON y.event_id = r WHERE (x.ticker = '' OR y.ticker = '' OR x.ticker = y.ticker) AND (len(x.metrics) = 0 OR len(y.metrics) = 0 OR list_has_any(x.metrics, y.metrics))
+  AND NOT ((x.gu AND NOT x.gl AND y.gl AND NOT y.gu) OR (y.gu AND NOT y.gl AND x.gl AND NOT x.gu))),
+exact_id AS (SELECT event_id, '!' || md5(concat_ws(chr(1), grp, event_type, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace(event_description, '[\s\x{A0}]+', ' ', 'g'))), '\.+$', ''), '[^a-z0-9%$., ]+', ' ', 'g'), '\s+', ' ', 'g')), array_to_string(metrics, '|'), coalesce(date::VARCHAR, ''))) AS k FROM fe),
+tied AS (SELECT l AS a, r AS b FROM acc UNION SELECT event_id, k FROM exact_id), two AS (SELECT a, b FROM tied UNION SELECT b, a FROM tied), near AS (SELECT event_id AS v, event_id AS r FROM fe UNION SELECT near.v, two.b FROM near JOIN two ON two.a = near.r),
+inside AS (SELECT v AS event_id, min(r) FILTER (r NOT LIKE '!%') AS part FROM near GROUP BY v),
+ranked_events AS (SELECT fe.*, part, row_number() OVER (PARTITION BY part ORDER BY coalesce(confidence, 0) DESC, coalesce(importance, 1) DESC, length(trim(regexp_replace(event_description, '[\s\x{A0}]+', ' ', 'g'))) DESC, event_id) AS n FROM fe JOIN inside USING (event_id)),
+sized AS (SELECT part, count(*) AS size, 'EVTC_' || sha1(array_to_string(list_sort(list(event_id)), '|'))[1:18] AS cluster_id FROM inside GROUP BY part)"""
 _KNN = "u AS (SELECT id, grp, v, sqrt(list_dot_product(v, v)) AS l FROM vecs), pairs AS (SELECT a.id AS \"left\", b.id AS \"right\", round(list_dot_product(a.v, b.v) / (a.l * b.l), 6) AS sim FROM u a JOIN u b USING (grp)), knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY \"left\" ORDER BY sim DESC, \"right\") AS r FROM pairs) WHERE r <= 21 AND \"left\" < \"right\" AND sim >= 0.3)"
 _EVEDGES = """ee AS (SELECT 'article:' || article_id AS source, 'event:' || event_id AS target, 'REPORTS' AS edge_type FROM ev UNION ALL SELECT 'event:' || event_id, 'ticker:' || ticker, 'INVOLVES_TICKER' FROM ev
 UNION ALL SELECT 'event:' || event_id, 'date:' || event_date_start, 'OCCURRED_ON' FROM ev UNION ALL SELECT 'event:' || event_id, 'date:' || event_date_start, 'PERIOD_START' FROM ev WHERE event_date_end <> event_date_start
 UNION ALL SELECT 'event:' || event_id, 'date:' || event_date_end, 'PERIOD_END' FROM ev WHERE event_date_end <> event_date_start UNION ALL SELECT 'event:' || event_id, 'date:' || available_date, 'AVAILABLE_ON' FROM ev
 UNION ALL SELECT 'event:' || event_id, 'event_type:' || event_type, 'HAS_TYPE' FROM ev)"""
-_AGE, _ST, _EN = "(DATE '2024-01-20' - available_date)", "event_date_start", "event_date_end"
 ORACLE = {
     "keep_first_articles": r"SELECT article_id, _source_row FROM (SELECT *, row_number() OVER (PARTITION BY upper(trim(regexp_replace(_ticker, '[\s\x{A0}]+', ' ', 'g'))), CAST(_date AS DATE) ORDER BY _source_row, article_id) AS r FROM (SELECT DISTINCT * FROM articles WHERE _title IS NOT NULL AND _ticker IS NOT NULL)) WHERE r = 1",
     "article_ids": f"WITH {T.ARTICLES} SELECT article_id, 'ART_' || sha1(date || '|' || ticker || '|' || coalesce(title, '') || '|' || coalesce(url, '') || '|' || source_row)[1:14] AS made FROM arts",
@@ -244,15 +364,21 @@ a AS (SELECT * FROM e UNION ALL SELECT target, source, 'REV_' || edge_type FROM
     "edge_type_lookup": f"WITH {T.NODES}, {T.EDGES} SELECT coalesce(a.node_type, '') AS source_type, coalesce(b.node_type, '') AS target_type, count(*) AS n FROM edges e LEFT JOIN nodes a ON a.node_id = e.source LEFT JOIN nodes b ON b.node_id = e.target GROUP BY 1, 2",
     "visible_nodes": f"WITH {T.NODES}, {T.TASKS} SELECT task_id, count(DISTINCT node_id) AS n FROM tasks JOIN nodes ON date BETWEEN cutoff_date - {DAYS} AND cutoff_date GROUP BY 1",
     "window_subgraph": f"WITH {_SUB} SELECT task_id, node_id, hop FROM sub",
-    "subgraph_edges": f"WITH {_SUB} SELECT s.task_id, count(*) AS n FROM sub s JOIN (SELECT DISTINCT source, target FROM edges) e ON e.source = s.node_id JOIN sub t ON t.task_id = s.task_id AND t.node_id = e.target GROUP BY 1",
+    "all_events_subgraph": f"WITH {_SUBGRAPH('')} SELECT task_id, hop, count(*) AS n FROM sub GROUP BY 1, 2",
+    "subgraph_edges": f"WITH {_SUB}, {_SUBEDGES} SELECT task_id, count(*) AS n, round(sum(weight), 4) AS weight FROM subedges GROUP BY 1",
+    "temporal_features": f"""WITH {_SUB}, {_SUBEDGES}, {T.GRAPH_EVENTS}, deg AS (SELECT task_id, target AS node_id, count(*) AS n FROM subedges GROUP BY 1, 2),
+x AS (SELECT s.task_id, s.node_id, s.hop, s.cutoff, CASE WHEN n.node_type IN ('Event', 'Article') THEN n.date END AS av, n.date AS d, e.confidence AS c, e.importance AS i, e.event_type AS k, coalesce(deg.n, 0) AS n, coalesce(b.impact, 0) AS impact
+  FROM sub s JOIN nodes n USING (node_id) LEFT JOIN gev e ON 'event:' || e.event_id = s.node_id LEFT JOIN deg ON deg.task_id = s.task_id AND deg.node_id = s.node_id LEFT JOIN about b ON b.ticker = s.ticker AND b.node_id = s.node_id),
+y AS (SELECT *, greatest(0, coalesce(cutoff - av, 0)) AS age FROM x)
+SELECT task_id, node_id, round(exp(-age / 2.0::DOUBLE), 6) AS f0, round(least(age / 2.0::DOUBLE, 10), 6) AS f1, round(coalesce(least(greatest((d - cutoff) / 365.0::DOUBLE, -5), 5), 0), 6) AS f2, round(coalesce(least(greatest((d - cutoff) / 365.0::DOUBLE, -5), 5), 0), 6) AS f3,
+0.0::DOUBLE AS f4, 0.0::DOUBLE AS f5, round(least(greatest(coalesce(c, 0), 0), 1), 6) AS f6, round(coalesce(least(greatest(i / 3.0::DOUBLE, 0), 1), 0), 6) AS f7, CAST(coalesce(d > cutoff, false) AS INT)::DOUBLE AS f8, CAST(av IS NOT NULL AS INT)::DOUBLE AS f9,
+CASE WHEN k IN ('revenue_growth', 'profit_growth', 'analyst_upgrade', 'product_launch', 'partnership', 'dividend_announcement', 'share_buyback', 'market_cap_milestone', 'market_share') THEN 1.0::DOUBLE
+WHEN k IN ('revenue_decline', 'profit_decline', 'analyst_downgrade', 'lawsuit', 'regulatory_investigation', 'layoffs', 'debt_financing', 'supply_chain_event') THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS f10,
+CAST(hop = 1 AS INT)::DOUBLE AS f11, round(hop / 3.0::DOUBLE, 6) AS f12, round(least(ln(1 + n) / 5, 2), 6) AS f13, round(impact, 6) AS f14, round(CASE WHEN d IS NULL THEN 1 ELSE exp(-abs(d - cutoff) / 30.0::DOUBLE) END, 6) AS f15 FROM y""",
     "in_degree": f"WITH {T.EDGES} SELECT target, count(*) AS n, count(DISTINCT source) AS sources FROM edges GROUP BY 1",
-    "anchor_strongest": f"WITH {T.EDGES} SELECT source, target, round(arg_max(weight, {{'a': abs(weight), 'b': weight}}), 6) AS weight FROM edges WHERE target LIKE 'ticker:%' AND weight <> 0 GROUP BY 1, 2",
+    "anchor_strongest": f"WITH {T.EDGES} SELECT source, target, round(arg_min(weight, {{'a': -abs(weight), 'o': edge_type, 'b': -weight}}), 6) AS weight FROM edges WHERE target LIKE 'ticker:%' AND weight <> 0 GROUP BY 1, 2",
     "decayed_edges": f"WITH {T.NODES}, {T.EDGES}, {_DATED} SELECT target, round(sum(weight * exp(-0.01 * greatest(0, coalesce(DATE '2020-01-01' - known, 0)))), 4) AS weight FROM known WHERE edge_type = 'INVOLVES_TICKER' AND weight IS NOT NULL GROUP BY 1",
-    "temporal_features": f"""WITH {T.EVENTS} SELECT event_id AS node_id, round(exp(-{_AGE} / 2.0), 6) AS f0, round(least(greatest({_AGE} / 2.0, 0), 10), 6) AS f1, round(least(greatest(({_ST} - DATE '2024-01-20') / 365.0, -5), 5), 6) AS f2,
-round(least(greatest(({_EN} - DATE '2024-01-20') / 365.0, -5), 5), 6) AS f3, round(least(greatest(({_EN} - {_ST}) / 365.0, 0), 5), 6) AS f4, 0.5::DOUBLE AS f5, round(confidence, 6) AS f6, round(least(importance / 3.0, 1), 6) AS f7,
-CAST({_ST} > DATE '2024-01-20' AS INT)::DOUBLE AS f8, 1.0::DOUBLE AS f9, impact AS f10, 1.0::DOUBLE AS f11, round(1 / 3.0::DOUBLE, 6) AS f12, round(least(ln(1 + importance) / 5, 2), 6) AS f13, impact AS f14,
-round(exp(-greatest(0, {_ST} - DATE '2024-01-20', DATE '2024-01-20' - {_EN}) / 30.0), 6) AS f15 FROM ev""",
-    "message_passing": f"""WITH {T.VECTORS}, f AS (SELECT id, unnest(v[1:8]) AS x, unnest(range(0, 8)) AS pos FROM vecs), e AS (SELECT id, id % 17 AS dst, (1 + id % 3)::DOUBLE AS w FROM vecs), s AS (SELECT dst, sqrt(greatest(1, sum(abs(w)))) AS scale FROM e GROUP BY 1)
+    "message_passing": f"""WITH {T.VECTORS}, f AS (SELECT id, unnest(v) AS x, unnest(range(0, len(v))) AS pos FROM vecs), e AS (SELECT id, id % 17 AS dst, (1 + id % 3)::DOUBLE AS w FROM vecs), s AS (SELECT dst, sqrt(greatest(1, sum(abs(w)))) AS scale FROM e GROUP BY 1)
 SELECT dst, CAST(pos AS INT) AS pos, round(sum(w * x) / any_value(scale), 6) AS x FROM e JOIN f USING (id) JOIN s USING (dst) GROUP BY 1, 2""",
     "segment_softmax": f"WITH {T.EVENTS}, x AS (SELECT event_id, ticker, exp(confidence * 5 - max(confidence * 5) OVER (PARTITION BY ticker)) AS e FROM ev) SELECT event_id, round(e / sum(e) OVER (PARTITION BY ticker), 8) AS p FROM x",
     "attention_pool": f"WITH {T.EVENTS}, x AS (SELECT ticker, importance, exp(confidence * 5 - max(confidence * 5) OVER (PARTITION BY ticker)) AS e FROM ev) SELECT ticker, round(sum(e * importance) / sum(e), 6) AS pooled, round(ln(1 + count(*)) / 5, 6) AS volume FROM x GROUP BY 1",
@@ -261,6 +387,16 @@ SELECT dst, CAST(pos AS INT) AS pos, round(sum(w * x) / any_value(scale), 6) AS
     "semantic_edges": f"WITH {T.VECTORS}, {_KNN} SELECT \"left\" AS source, \"right\" AS target, CASE WHEN sim >= 0.4 THEN 'SAME_AS' ELSE 'RELATED_TO' END AS edge_type, sim AS weight FROM knn",
     "nearest_company": f"WITH {T.VECTORS}, u AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS l FROM vecs), s AS (SELECT a.id, b.id AS entry, round(list_dot_product(a.v, b.v) / (a.l * b.l), 6) AS sim FROM u a JOIN u b ON a.id % 2 = 0 AND b.id % 2 = 1) SELECT id, entry, sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, entry) AS r FROM s) WHERE r = 1 AND sim >= 0.3",
     "similar_components": f"WITH RECURSIVE {T.VECTORS}, {_KNN}, b AS (SELECT \"left\" AS a, \"right\" AS b FROM knn UNION SELECT \"right\", \"left\" FROM knn), r AS (SELECT a AS v, a AS w FROM b UNION SELECT r.v, b.b FROM r JOIN b ON b.a = r.w) SELECT v AS id, min(w) AS component FROM r GROUP BY 1",
+    "entity_key_clusters": f"""WITH RECURSIVE {T.NODES}, n AS (SELECT node_id, lower({_NAME.format(c='name')}) AS k FROM nodes WHERE node_type IN ('Entity', 'EntityRawMention') AND name <> ''), keyed AS (SELECT node_id, k FROM n WHERE k <> '' UNION SELECT node_id, replace(k, ' ', '') FROM n WHERE k <> ''),
+least AS (SELECT k, min(node_id) AS hub FROM keyed GROUP BY k), e AS (SELECT node_id AS a, hub AS b FROM keyed JOIN least USING (k) UNION SELECT hub, node_id FROM keyed JOIN least USING (k)), r AS (SELECT a AS v, a AS w FROM e UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.w)
+SELECT component, count(*) AS n FROM (SELECT v, min(w) AS component FROM r GROUP BY 1) GROUP BY 1""",
+    "entity_mentions": f"WITH {T.NODES}, {T.EDGES}, {T.GRAPH_EVENTS}, {_MENTIONED} SELECT mention_id, event_id, text, name, ticker, source, array_to_string(keys, ';') AS keys FROM mentioned",
+    "entity_fusion": f"WITH RECURSIVE {T.NODES}, {T.EDGES}, {T.GRAPH_EVENTS}, {_MENTIONED}, {_ENTITIES} SELECT cluster_id, name, ticker, mentions, events FROM ents",
+    "event_fusion": f"WITH RECURSIVE {T.NODES}, {T.EDGES}, {T.GRAPH_EVENTS}, {_MENTIONED}, {_ENTITIES}, {_EVENTED} SELECT cluster_id, event_id AS representative, size, ticker, event_type, date AS event_date_start, date AS event_date_end, event_description AS description FROM ranked_events JOIN sized USING (part) WHERE n = 1",
+    "fused_members": f"WITH RECURSIVE {T.NODES}, {T.EDGES}, {T.GRAPH_EVENTS}, {_MENTIONED}, {_ENTITIES}, {_EVENTED} SELECT cluster_id, event_id, n = 1 AS is_representative, size FROM ranked_events JOIN sized USING (part)",
+    "fusion_report": f"""WITH RECURSIVE {T.NODES}, {T.EDGES}, {T.GRAPH_EVENTS}, {_MENTIONED}, {_ENTITIES}, {_EVENTED} SELECT (SELECT count(*) FROM fe) AS event_count, (SELECT count(*) FROM sized) AS event_cluster_count, (SELECT count(*) FROM sized WHERE size > 1) AS event_multi_member_cluster_count,
+(SELECT count(*) FROM inside JOIN sized USING (part) WHERE size > 1) AS event_fused_member_count, (SELECT count(*) FROM mentioned) AS entity_mention_count, (SELECT count(*) FROM ents) AS entity_cluster_count, (SELECT count(*) FROM ents WHERE mentions > 1) AS entity_multi_member_cluster_count,
+(SELECT count(*) FROM sims) AS event_pairs_considered, (SELECT count(*) FROM acc) AS event_pairs_accepted""",
     "event_duplicates": f"WITH {T.EVENTS} SELECT ticker, event_type, event_date_start, importance, count(*) AS n, arg_max(event_id, {{'c': confidence, 'e': event_id}}) AS representative FROM ev GROUP BY 1, 2, 3, 4 HAVING count(*) > 1",
     "majority_name": "SELECT date, name, n FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY n DESC, length(name) DESC, lower(name), name) AS r FROM (SELECT date, name, count(*) AS n FROM graph_nodes WHERE node_type = 'Event' AND name IS NOT NULL AND date IS NOT NULL GROUP BY 1, 2)) WHERE r = 1",
     "cluster_rollup": f"WITH {T.EVENTS} SELECT ticker, event_type, event_date_start, count(*) AS size, 'EVTC_' || sha1(array_to_string(list_sort(list(event_id)), '|'))[1:14] AS cluster_id FROM ev GROUP BY 1, 2, 3 HAVING count(*) > 1",

@@ -9,6 +9,7 @@ from loomgraph.functions import text as X
 from loomgraph.operators import dedup, documents, graph, learning
 from loomgraph.operators import series as S
 from loomgraph.plans import tables as T
+from loomgraph.plans.graph_queries import _NAME
 
 
 def mention_dedupe(spark, d):
@@ -25,12 +26,6 @@ def pair_compatible(spark, d):
     return dedup.compatible_pairs(T.events(spark, d)).groupBy("ticker").agg(F.count("*").alias("pairs"))
 
 
-def fusion_report(spark, d):
-    e = T.events(spark, d)
-    g = e.groupBy("ticker", "event_type", "event_date_start").agg(F.count("*").alias("n"))
-    return g.agg(F.sum("n").alias("events"), F.count("*").alias("clusters"), F.count_if(F.col("n") > 1).alias("multi"), F.max("n").alias("largest"), F.sum(F.col("n") - 1).alias("accepted"))
-
-
 def fusion_feature_mean(spark, d):
     e = T.events(spark, d)
     return e.groupBy("ticker", "event_type").agg(*[F.round(F.avg(F.col(c).cast("double")), 6).alias(c) for c in ("importance", "confidence", "impact")])
@@ -78,7 +73,7 @@ def portfolio_expand(spark, d):
 
 def relation_shuffle(spark, d):
     e = T.edges(spark, d).select("source", "target", "edge_type").distinct()
-    return graph.shuffled_relations(e, 5).groupBy("edge_type").agg(F.count("*").alias("n"))
+    return graph.shuffled_relations(e, 5)
 
 
 def node_feature_text(spark, d):
@@ -113,25 +108,27 @@ def tfidf_norms(spark, d):
     return learning.tfidf_vectors(T.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("n"))
 
 
-_NAMES = """mention_dedupe event_like_dedupe pair_compatible fusion_report fusion_feature_mean quality_summary company_lookup ordinal_refs list_union_merge span_attach portfolio_expand relation_shuffle
+_NAMES = """mention_dedupe event_like_dedupe pair_compatible fusion_feature_mean quality_summary company_lookup ordinal_refs list_union_merge span_attach portfolio_expand relation_shuffle
 node_feature_text embed_eligible magnitude_weight interpolated_series pca_explained tfidf_norms""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 _CLEAN = r"trim(regexp_replace({}, '[\s\x{{A0}}]+', ' ', 'g'))"
 ORACLE = {
     "mention_dedupe": "SELECT trim(event_id) AS event_id, lower(target) AS target, min(article_id) AS article_id FROM graph_edges WHERE edge_type = 'MENTIONS_ENTITY' AND event_id IS NOT NULL GROUP BY 1, 2",
     "event_like_dedupe": f"WITH {T.EVENTS} SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY ticker, event_type, available_date, importance ORDER BY CAST(event_id AS BIGINT)) AS r FROM ev) WHERE r = 1",
-    "pair_compatible": f"WITH {T.EVENTS}, e AS (SELECT * FROM ev WHERE event_type = 'signup') SELECT a.ticker, count(*) AS pairs FROM e a JOIN e b ON a.ticker = b.ticker AND a.event_id < b.event_id AND abs(a.event_date_start - b.event_date_start) <= 2 AND abs(a.event_date_end - b.event_date_end) <= 2 AND a.importance = b.importance GROUP BY 1",
-    "fusion_report": f"WITH {T.EVENTS}, g AS (SELECT count(*) AS n FROM ev GROUP BY ticker, event_type, event_date_start) SELECT CAST(sum(n) AS BIGINT) AS events, count(*) AS clusters, count(*) FILTER (n > 1) AS multi, max(n) AS largest, CAST(sum(n - 1) AS BIGINT) AS accepted FROM g",
+    "pair_compatible": f"WITH {T.EVENTS}, e AS (SELECT ev.*, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM ev JOIN events o ON CAST(o.event_id AS VARCHAR) = ev.event_id) SELECT a.ticker, count(*) AS pairs FROM e a JOIN e b ON a.ticker = b.ticker AND a.event_type = b.event_type AND a.event_id < b.event_id AND abs(a.event_date_start - b.event_date_start) <= 7 AND abs(a.event_date_end - b.event_date_end) <= 7 AND a.k = b.k GROUP BY 1",
     "fusion_feature_mean": f"WITH {T.EVENTS} SELECT ticker, event_type, round(avg(importance::DOUBLE), 6) AS importance, round(avg(confidence), 6) AS confidence, round(avg(impact), 6) AS impact FROM ev GROUP BY 1, 2",
     "quality_summary": "SELECT node_type, count(*) AS n, count(*) FILTER (name IS NULL) AS nameless, count(*) FILTER (trim(ticker) = '') AS blank, count(*) FILTER (json_valid(attributes_json)) AS parsed FROM (SELECT DISTINCT * FROM graph_nodes) GROUP BY 1",
     "company_lookup": "SELECT lower(name) AS name, arg_min(upper(trim(ticker)), {'n': node_id, 't': upper(trim(ticker))}) AS ticker FROM graph_nodes WHERE node_type IN ('Entity', 'EntityRawMention') AND name IS NOT NULL AND trim(ticker) <> '' GROUP BY 1",
     "ordinal_refs": f"WITH {T.EVENTS} SELECT event_id, CASE WHEN importance = 3 THEN 'kept' || event_id ELSE 'E' || row_number() OVER (PARTITION BY ticker, available_date ORDER BY CAST(event_id AS BIGINT)) END AS ref FROM ev",
     "list_union_merge": "SELECT source, string_agg(DISTINCT target, '|' ORDER BY target) AS targets FROM graph_edges WHERE edge_type = 'RELATED_TO' AND source IS NOT NULL AND target IS NOT NULL GROUP BY 1",
     "span_attach": f"WITH {T.VECTORS}, i AS (SELECT task_id, unnest(node_indices) AS i, unnest(range(0, len(node_indices))) AS pos FROM (SELECT DISTINCT * FROM temporal_examples WHERE task_id IS NOT NULL)) SELECT task_id, string_agg(grp, '|' ORDER BY pos) AS g FROM i JOIN vecs ON vecs.id * 100 = i.i GROUP BY 1",
-    "portfolio_expand": f"WITH {T.ARTICLES}, w AS (SELECT article_id, ticker, unnest(regexp_split_to_array(lower(coalesce(title, '')), '[^a-z0-9]+')) AS w FROM arts) SELECT DISTINCT article_id, c.ticker FROM w JOIN companies c ON lower(split_part(company, ' ', 1)) = w.w AND w.w <> 'bank' AND c.ticker <> w.ticker",
-    "relation_shuffle": f"WITH {T.EDGES} SELECT edge_type, count(*) AS n FROM (SELECT DISTINCT source, target, edge_type FROM edges WHERE edge_type IN ('SAME_AS', 'RELATED_TO', 'CO_MENTIONED')) GROUP BY 1",
+    "portfolio_expand": rf"""WITH {T.ARTICLES}, c AS (SELECT ticker, unnest([company, {_NAME.format(c='company')}]) AS a FROM companies UNION SELECT ticker, unnest(CAST(from_json(coalesce(aliases_json, '[]'), '["VARCHAR"]') AS VARCHAR[])) FROM companies),
+w AS (SELECT DISTINCT ticker, ' ' || trim(regexp_replace(lower(a), '[^a-z0-9]+', ' ', 'g')) || ' ' AS a FROM c WHERE a IS NOT NULL), t AS (SELECT article_id, ticker AS own, unnest([title, body]) AS t FROM arts),
+p AS (SELECT article_id, own, ' ' || regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM t WHERE t IS NOT NULL) SELECT DISTINCT article_id, ticker FROM p JOIN w ON own <> ticker AND a <> '  ' AND contains(t, a)""",
+    "relation_shuffle": f"""WITH {T.EDGES}, e AS (SELECT DISTINCT source, target, edge_type FROM edges), r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', source, target, edge_type, '6')), source, target, edge_type) AS i, row_number() OVER (ORDER BY md5(concat_ws('|', source, target, edge_type, '5')), source, target, edge_type) AS j FROM e)
+SELECT a.source, a.target, b.edge_type FROM r a JOIN r b ON a.i = b.j""",
     "node_feature_text": f"WITH {T.NODES} SELECT node_id, md5(concat_ws(' | ', nullif({_CLEAN.format('node_type')}, ''), nullif({_CLEAN.format('name')}, ''), nullif({_CLEAN.format('ticker')}, ''))) AS h FROM nodes",
     "embed_eligible": rf"WITH {T.NODES} SELECT node_id FROM nodes WHERE node_type IN ('Entity', 'EntityRawMention') AND trim(ticker) = '' AND length({_CLEAN.format('name')}) >= 4 AND NOT regexp_matches(name, '^[A-Z0-9.\-]{{1,4}}$')",
     "magnitude_weight": f"WITH {T.TASKS} SELECT task_id, round(least(greatest(abs(label_return) / 0.02, 0.2), 3.0), 6) AS w FROM tasks WHERE label_return IS NOT NULL",
-    "interpolated_series": f"WITH {T.PRICES}, g AS (SELECT ticker, date AS a, price AS pa, lead(date) OVER w AS b, lead(price) OVER w AS pb FROM prices WHERE date < DATE '1996-01-01' WINDOW w AS (PARTITION BY ticker ORDER BY date)) SELECT ticker, d AS date, round(pa + (pb - pa) * (d - a) / (b - a), 4) AS price FROM (SELECT *, CAST(unnest(generate_series(a, b - 1, INTERVAL 1 DAY)) AS DATE) AS d FROM g WHERE b IS NOT NULL)",
+    "interpolated_series": f"WITH {T.PRICES}, g AS (SELECT ticker, date AS a, price AS pa, lead(date) OVER w AS b, lead(price) OVER w AS pb FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY date)) SELECT ticker, d AS date, round(pa + (pb - pa) * (d - a) / (b - a), 4) AS price FROM (SELECT *, CAST(unnest(generate_series(a, b - 1, INTERVAL 1 DAY)) AS DATE) AS d FROM g WHERE b IS NOT NULL)",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from loomgraph.functions import text as X
 from loomgraph.functions import vectors as V
 from loomgraph.operators import series as S
 from loomgraph.plans import tables as T
@@ -47,7 +48,7 @@ def market_excess(spark, d):
 
 
 def news_days(spark, d):
-    return T.articles(spark, d).groupBy("ticker", "date").agg(F.count("*").alias("event_count"))
+    return T.dated_articles(spark, d).groupBy("ticker", "date").agg(F.count("*").alias("event_count"))
 
 
 def news_in_window(spark, d):
@@ -61,11 +62,11 @@ def decayed_news(spark, d):
 
 
 def date_span(spark, d):
-    return T.articles(spark, d).groupBy("ticker").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    return T.dated_articles(spark, d).groupBy("ticker").agg(F.min("date").alias("first"), F.max("date").alias("last"))
 
 
 def universe(spark, d):
-    n = T.articles(spark, d).groupBy("ticker").agg(F.count_distinct("date").alias("days")).where("days >= 3")
+    n = T.dated_articles(spark, d).groupBy("ticker").agg(F.count_distinct("date").alias("days")).where("days >= 3")
     known = T.table(spark, d, "companies").select(F.upper(F.trim("ticker")).alias("ticker")).distinct()
     return n.join(known, "ticker", "left_semi")
 
@@ -77,7 +78,7 @@ def in_bounds_tasks(spark, d):
 
 def return_sanity(spark, d):
     t = T.tasks(spark, d)
-    return t.where("label_return is not null and not isnan(label_return) and abs(raw_return) <= 0.05").select("task_id", R6("label_return"), R6("raw_return"))
+    return t.where("label_return is not null and not isnan(label_return) and abs(raw_return) <= 0.25").select("task_id", R6("label_return"), R6("raw_return"))
 
 
 def load_tasks(spark, d):
@@ -138,10 +139,12 @@ def splice_repair(spark, d):
 
 
 def sentiment_decay(spark, d):
-    a = T.articles(spark, d)
-    scores = a.where("length(title) % 3 = 0").groupBy("ticker", "date").agg(F.avg((F.length("body") % 5 + 1).cast("double")).alias("score"))
-    scores = scores.where("date < date '2020-06-01'")
-    return S.decay_to_neutral(a.select("ticker", "date").distinct(), scores).select("ticker", "date", R6("score"))
+    """Scores of all articles with a title, carried on over the days on which tasks ask for them."""
+    a = T.table(spark, d, "articles").where(F.col("article_id").isNotNull() & F.col("_title").isNotNull() & F.col("_date").isNotNull() & (X.ticker_plain("_ticker") != ""))
+    a = a.select("article_id", X.ticker_plain("_ticker").alias("ticker"), F.to_date("_date").alias("date"), (F.length("_title") % 5 + 1).cast("double").alias("score")).distinct()
+    scores = a.groupBy("ticker", "date").agg(F.avg("score").alias("score"))
+    dates = T.tasks(spark, d).select("ticker", F.col("cutoff_date").alias("date")).distinct()
+    return S.decay_to_neutral(dates, scores).select("ticker", "date", R6("score"))
 
 
 def weighted_vector_pool(spark, d):
@@ -225,7 +228,7 @@ def calendar_marks(spark, d):
 
 
 def last_insample(spark, d):
-    p = T.articles(spark, d).groupBy("ticker", "date").agg(F.count("*").cast("double").alias("price"))
+    p = T.dated_articles(spark, d).groupBy("ticker", "date").agg(F.count("*").cast("double").alias("price"))
     x = S.last_values(p, 12)
     return x.select("ticker", F.expr("aggregate(vals, 0D, (s, v) -> s * 2 + v)").alias("code"), F.expr("aggregate(mask, 0, (s, v) -> s + v)").alias("own"))
 
@@ -268,18 +271,18 @@ ORACLE = {
     "trailing_median": f"WITH {P}, {_RET}, {_MEDIAN} SELECT ticker, date, round(median, 6) AS median FROM med",
     "assign_splits": f"WITH {P}, {_SPLIT('prices')} SELECT {_CASE} AS split, count(*) AS n, min(date) AS first, max(date) AS last FROM prices, ends GROUP BY 1",
     "market_excess": f"WITH {P}, {_RET}, {_MARKET}, {_EXCESS} SELECT ticker, date, round(ret, 6) AS ret, round(market, 6) AS market, round(excess, 6) AS excess FROM excess",
-    "news_days": f"WITH {T.ARTICLES}, {_NEWS} SELECT * FROM news",
-    "news_in_window": f"WITH {T.ARTICLES}, {_NEWS}, {T.TASKS} SELECT t.task_id, CAST(coalesce(sum(n.event_count), 0) AS BIGINT) AS news FROM tasks t LEFT JOIN news n ON n.ticker = t.ticker AND n.date BETWEEN t.cutoff_date - 1 AND t.cutoff_date GROUP BY t.task_id, t.ticker, t.cutoff_date",
-    "decayed_news": f"WITH {T.ARTICLES}, {_NEWS} SELECT t.ticker, t.cutoff_date AS date, round(sum(n.event_count * exp(-0.3 * (t.cutoff_date - n.date))), 6) AS total FROM (SELECT DISTINCT ticker, cutoff_date FROM forecast_tasks) t JOIN news n ON n.ticker = t.ticker AND n.date BETWEEN t.cutoff_date - 5 AND t.cutoff_date GROUP BY 1, 2",
-    "date_span": f"WITH {T.ARTICLES} SELECT ticker, min(date) AS first, max(date) AS last FROM arts GROUP BY 1",
-    "universe": f"WITH {T.ARTICLES} SELECT ticker, count(DISTINCT date) AS days FROM arts WHERE ticker IN (SELECT upper(trim(ticker)) FROM companies) GROUP BY 1 HAVING count(DISTINCT date) >= 3",
-    "in_bounds_tasks": f"WITH {T.ARTICLES}, {T.TASKS}, span AS (SELECT ticker, min(date) AS a, max(date) AS b FROM arts GROUP BY 1) SELECT task_id, ticker, cutoff_date FROM tasks JOIN span USING (ticker) WHERE cutoff_date BETWEEN a AND b",
-    "return_sanity": f"WITH {T.TASKS} SELECT task_id, round(label_return, 6) AS label_return, round(raw_return, 6) AS raw_return FROM tasks WHERE label_return IS NOT NULL AND NOT isnan(label_return) AND abs(raw_return) <= 0.05",
+    "news_days": f"WITH {T.DATED_ARTICLES}, {_NEWS} SELECT * FROM news",
+    "news_in_window": f"WITH {T.DATED_ARTICLES}, {_NEWS}, {T.TASKS} SELECT t.task_id, CAST(coalesce(sum(n.event_count), 0) AS BIGINT) AS news FROM tasks t LEFT JOIN news n ON n.ticker = t.ticker AND n.date BETWEEN t.cutoff_date - 1 AND t.cutoff_date GROUP BY t.task_id, t.ticker, t.cutoff_date",
+    "decayed_news": f"WITH {T.DATED_ARTICLES}, {_NEWS} SELECT t.ticker, t.cutoff_date AS date, round(sum(n.event_count * exp(-0.3 * (t.cutoff_date - n.date))), 6) AS total FROM (SELECT DISTINCT ticker, cutoff_date FROM forecast_tasks) t JOIN news n ON n.ticker = t.ticker AND n.date BETWEEN t.cutoff_date - 5 AND t.cutoff_date GROUP BY 1, 2",
+    "date_span": f"WITH {T.DATED_ARTICLES} SELECT ticker, min(date) AS first, max(date) AS last FROM arts GROUP BY 1",
+    "universe": f"WITH {T.DATED_ARTICLES} SELECT ticker, count(DISTINCT date) AS days FROM arts WHERE ticker IN (SELECT upper(trim(ticker)) FROM companies) GROUP BY 1 HAVING count(DISTINCT date) >= 3",
+    "in_bounds_tasks": f"WITH {T.DATED_ARTICLES}, {T.TASKS}, span AS (SELECT ticker, min(date) AS a, max(date) AS b FROM arts GROUP BY 1) SELECT task_id, ticker, cutoff_date FROM tasks JOIN span USING (ticker) WHERE cutoff_date BETWEEN a AND b",
+    "return_sanity": f"WITH {T.TASKS} SELECT task_id, round(label_return, 6) AS label_return, round(raw_return, 6) AS raw_return FROM tasks WHERE label_return IS NOT NULL AND NOT isnan(label_return) AND abs(raw_return) <= 0.25",
     "load_tasks": f"WITH {T.TASKS} SELECT task_id, ticker, cutoff_date, split, CAST(label_return > 0.01 AS INT) AS direction FROM tasks WHERE split IN ('train', 'val', 'test') AND horizon_trading_days = 1 AND cutoff_date IS NOT NULL",
     "train_count_filter": f"WITH {T.TASKS} SELECT ticker, split, count(*) AS n FROM tasks t WHERE split = 'train' OR (SELECT count(*) FROM tasks u WHERE u.ticker = t.ticker AND u.split = 'train') >= 150 GROUP BY 1, 2",
     "split_counts": f"WITH {T.TASKS} SELECT split, count(*) AS n, min(cutoff_date) AS first, max(cutoff_date) AS last, count(DISTINCT ticker) AS tickers, round(avg(CAST(label_direction AS DOUBLE)), 6) AS positive FROM tasks GROUP BY 1",
     "split_boundaries": f"WITH {T.TASKS}, s AS (SELECT split, min(cutoff_date) AS first, max(cutoff_date) AS last FROM tasks GROUP BY 1) SELECT split, last, coalesce(first > lag(last) OVER (ORDER BY last), true) AS ordered FROM s",
-    "task_numbering": f"WITH {P} SELECT ticker, date, 'TASK_' || lpad(CAST(row_number() OVER (ORDER BY date, ticker) - 1 AS VARCHAR), 8, '0') AS task_id FROM prices WHERE date >= DATE '1998-01-01' AND date < DATE '1998-03-01'",
+    "task_numbering": f"WITH {P} SELECT ticker, date, 'TASK_' || lpad(CAST(row_number() OVER (ORDER BY date, ticker) - 1 AS VARCHAR), 8, '0') AS task_id FROM prices",
     "forecast_tasks_build": f"""WITH {P}, {T.SHIPMENTS}, {_RET}, {_MARKET}, {_EXCESS}, {_MEDIAN},
 kept AS (SELECT e.ticker, e.date, e.ret, e.excess, m.median, sum(s.n) AS news FROM excess e JOIN med m USING (ticker, date) JOIN shipments s ON s.ticker = e.ticker AND s.date BETWEEN e.date - 1 AND e.date WHERE abs(e.ret) <= 0.25 GROUP BY ALL),
 {_SPLIT('kept')} SELECT ticker, date, round(ret, 6) AS ret, round(excess, 6) AS excess, round(median, 6) AS median, CAST(news AS BIGINT) AS news, CAST(excess > 0 AS INT) AS direction, {_CASE} AS split FROM kept, ends""",
@@ -289,8 +292,9 @@ kept AS (SELECT e.ticker, e.date, e.ret, e.excess, m.median, sum(s.n) AS news FR
 r AS (SELECT ticker, v1 / v0 AS q, v1 / v0 - 1 AS r FROM two WHERE v0 IS NOT NULL AND v1 IS NOT NULL),
 f AS (SELECT ticker, q / (1 + CASE WHEN abs(r) > 0.1 THEN (SELECT median(r) FROM r) ELSE r END) AS k FROM r)
 SELECT p.ticker, p.date, round(CASE WHEN p.date < DATE '{BREAK}' AND abs(k - 1) >= 1e-6 THEN price * k ELSE price END, 6) AS price, round(CASE WHEN p.date < DATE '{BREAK}' AND abs(k - 1) >= 1e-6 THEN volume / k ELSE CAST(volume AS DOUBLE) END, 6) AS volume FROM prices p LEFT JOIN f USING (ticker)""",
-    "sentiment_decay": f"""WITH {T.ARTICLES}, sc AS (SELECT ticker, date, avg(CAST(length(body) % 5 + 1 AS DOUBLE)) AS score FROM arts WHERE length(title) % 3 = 0 AND date < DATE '2020-06-01' GROUP BY 1, 2),
-l AS (SELECT ticker, max(date) AS last, arg_max(score, date) AS ls FROM sc GROUP BY 1), dd AS (SELECT DISTINCT ticker, date FROM arts)
+    "sentiment_decay": rf"""WITH sc AS (SELECT ticker, date, avg(score) AS score FROM (SELECT DISTINCT article_id, upper(trim(regexp_replace(_ticker, '[\s\x{{A0}}]+', ' ', 'g'))) AS ticker, CAST(_date AS DATE) AS date, CAST(length(_title) % 5 + 1 AS DOUBLE) AS score
+  FROM articles WHERE article_id IS NOT NULL AND _title IS NOT NULL AND _date IS NOT NULL AND trim(regexp_replace(coalesce(_ticker, ''), '[\s\x{{A0}}]+', ' ', 'g')) <> '') GROUP BY 1, 2),
+l AS (SELECT ticker, max(date) AS last, arg_max(score, date) AS ls FROM sc GROUP BY 1), dd AS (SELECT DISTINCT ticker, cutoff_date AS date FROM forecast_tasks)
 SELECT dd.ticker, dd.date, round(coalesce(sc.score, 3 + (ls - 3) * exp(-0.03 * sum(CAST(dd.date > last AS INT)) OVER (PARTITION BY dd.ticker ORDER BY dd.date))), 6) AS score FROM dd JOIN l USING (ticker) LEFT JOIN sc ON sc.ticker = dd.ticker AND sc.date = dd.date""",
     "weighted_vector_pool": f"WITH {T.VECTORS}, e AS (SELECT grp, exp(-(id % 7) / 3.0) AS w, unnest(v) AS x, unnest(range(0, len(v))) AS pos FROM vecs) SELECT grp, CAST(pos AS INT) AS pos, round(sum(w * x) / sum(w), 6) AS x FROM e GROUP BY 1, 2",
     "zscore_train": f"WITH {T.VECTORS}, e AS (SELECT id, unnest(v) AS x, unnest(range(0, len(v))) AS pos FROM vecs), s AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS s FROM e WHERE id % 10 < 7 GROUP BY 1) SELECT id, CAST(pos AS INT) AS pos, round((x - m) / CASE WHEN s < 1e-8 THEN 1 ELSE s END, 6) AS x FROM e JOIN s USING (pos)",
@@ -309,9 +313,11 @@ SELECT ticker, sample, step, round(pred, 6) AS pred, round(y[step], 6) AS true F
     "random_walk": f"WITH {P}, w AS (SELECT ticker, date, price, [lead(price, 1) OVER w, lead(price, 2) OVER w, lead(price, 3) OVER w] AS y FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY date)) SELECT ticker, date, step, round(y[step], 6) AS true, round(price, 6) AS pred FROM (SELECT *, unnest([1, 2, 3])::INT AS step FROM w WHERE y[3] IS NOT NULL)",
     "split_summary": f"WITH {P}, {_SPLIT('prices')}, r AS (SELECT *, ln(price / lag(price) OVER (PARTITION BY ticker ORDER BY date)) AS lr FROM prices) SELECT {_CASE} AS split, count(*) AS n, round(avg(price), 4) AS mean, round(min(price), 4) AS least, round(max(price), 4) AS most, round(avg(lr), 6) AS log_mean, round(stddev_pop(lr), 6) AS log_sd, round(avg(CAST(lr > 0 AS DOUBLE)), 6) AS rising FROM r, ends GROUP BY 1",
     "calendar_marks": "SELECT event_id, CAST(month(ts) AS INT) AS m, CAST(day(ts) AS INT) AS dd, CAST(isodow(ts) - 1 AS INT) AS wd, CAST(hour(ts) AS INT) AS h, CAST(minute(ts) // 15 AS INT) AS q FROM events",
-    "last_insample": f"WITH {T.ARTICLES}, s AS (SELECT ticker, date, count(*)::DOUBLE AS c, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) - 1 AS r FROM arts GROUP BY 1, 2) SELECT ticker, sum(c * pow(2, r)) AS code, CAST(count(*) AS INT) AS own FROM s WHERE r < 12 GROUP BY 1",
+    "last_insample": f"WITH {T.DATED_ARTICLES}, s AS (SELECT ticker, date, count(*)::DOUBLE AS c, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) - 1 AS r FROM arts GROUP BY 1, 2) SELECT ticker, sum(c * pow(2, r)) AS code, CAST(count(*) AS INT) AS own FROM s WHERE r < 12 GROUP BY 1",
     "anomaly_adjustment": f"""WITH {P}, l AS (SELECT ticker, date, CAST(price > 150000 AS INT) AS label, CAST(volume % 2 AS INT) AS pred FROM prices),
 c AS (SELECT *, CAST(label <> lag(label, 1, 0) OVER (PARTITION BY ticker ORDER BY date) AS INT) AS ch FROM l), i AS (SELECT *, sum(ch) OVER (PARTITION BY ticker ORDER BY date) AS isl FROM c)
 SELECT ticker, date, CASE WHEN label = 1 THEN max(pred) OVER (PARTITION BY ticker, isl) ELSE pred END AS pred FROM i""",
-    "lead_parity": f"WITH {P}, {T.SHIPMENTS}, {_LEAD(0)} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS differ FROM (SELECT row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM led) WHERE i > 1",
+    "lead_parity": f"""WITH {P}, {T.SHIPMENTS}, bounds AS (SELECT min(date) AS lo, max(date) AS hi FROM shipments), led AS (SELECT ticker, date, lead(date) OVER w AS at, row_number() OVER w AS i FROM prices, bounds WHERE date BETWEEN lo AND hi WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+a AS (SELECT led.ticker, i, coalesce(s.n, 0) AS n FROM led LEFT JOIN shipments s ON s.ticker = led.ticker AND s.date = led.date), b AS (SELECT led.ticker, i + 1 AS i, coalesce(s.n, 0) AS m FROM led LEFT JOIN shipments s ON s.ticker = led.ticker AND s.date = led.at)
+SELECT count(*) AS rows, count(*) FILTER (n <> m) AS differ FROM a JOIN b USING (ticker, i)""",
 }

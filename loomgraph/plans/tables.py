@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import metric_values, ticker_plain
+from loomgraph.functions.text import direction_signature, event_type, metric_values, ticker_plain, ticker_symbol
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -41,13 +41,24 @@ SHIPMENTS = """shipments AS (
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
-    """article_id, source_row, ticker, date, title, body, url of the articles with ticker, date and body, each once."""
-    a = table(spark, d, "articles").distinct()
-    return a.select("article_id", F.col("_source_row").alias("source_row"), ticker_plain("_ticker").alias("ticker"), F.to_date("_date").alias("date"), F.col("_title").alias("title"), F.col("_article").alias("body"), F.col("_url").alias("url")).where(
-        "article_id is not null and ticker <> '' and date is not null and body is not null"
-    )
+    """article_id, source_row, ticker, date, title, body, url of the articles with ticker, date and body, each once.
+
+    Ids are keys, so repeated rows are told by them alone, and a query reads and shuffles only the columns it uses.
+    """
+    a = table(spark, d, "articles").where(F.col("article_id").isNotNull() & F.col("_date").isNotNull() & F.col("_article").isNotNull() & (ticker_plain("_ticker") != ""))
+    one = a.dropDuplicates(["article_id"])
+    return one.select("article_id", F.col("_source_row").alias("source_row"), ticker_plain("_ticker").alias("ticker"), F.to_date("_date").alias("date"), F.col("_title").alias("title"), F.col("_article").alias("body"), F.col("_url").alias("url"))
+
 
+def dated_articles(spark: SparkSession, d: str) -> DataFrame:
+    """article_id, ticker, date of the articles with a ticker and a date, each once; no texts are read."""
+    a = table(spark, d, "articles").where(F.col("article_id").isNotNull() & F.col("_date").isNotNull() & (ticker_plain("_ticker") != ""))
+    return a.select("article_id", ticker_plain("_ticker").alias("ticker"), F.to_date("_date").alias("date")).distinct()
 
+
+DATED_ARTICLES = r"""arts AS (
+  SELECT DISTINCT article_id, upper(trim(regexp_replace(_ticker, '[\s\x{A0}]+', ' ', 'g'))) AS ticker, CAST(_date AS DATE) AS date
+  FROM articles WHERE article_id IS NOT NULL AND trim(regexp_replace(coalesce(_ticker, ''), '[\s\x{A0}]+', ' ', 'g')) <> '' AND _date IS NOT NULL)"""
 ARTICLES = r"""arts AS (
   SELECT article_id, _source_row AS source_row, upper(trim(regexp_replace(coalesce(_ticker, ''), '[\s\x{A0}]+', ' ', 'g'))) AS ticker, CAST(_date AS DATE) AS date, _title AS title, _article AS body, _url AS url
   FROM (SELECT DISTINCT * FROM articles)
@@ -82,6 +93,34 @@ EVENTS = """ev AS (
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))"""
 
 
+def graph_events(spark: SparkSession, d: str) -> DataFrame:
+    """The events of the graph: event_id, article_id (the first that reports it), ticker, event_type, event_description, date, confidence, importance, metrics, impact.
+
+    Of several rows of one event the one that comes first by name, ticker, date and attributes; what broken attributes say is null.
+    """
+    n = table(spark, d, "graph_nodes").where("node_type = 'Event' and node_id like 'event:%'")
+    row = F.min(F.struct(F.coalesce("name", F.lit("")).alias("name"), ticker_symbol(F.coalesce("ticker", F.lit(""))).alias("ticker"), F.coalesce("date", F.lit("9999-01-01").cast("date")).alias("date"), F.coalesce("attributes_json", F.lit("")).alias("a")))
+    told = lambda path, kind: F.try_variant_get(F.try_parse_json("r.a"), path, kind)
+    one = n.groupBy(F.substring("node_id", 7, 1000).alias("event_id")).agg(row.alias("r"))
+    by = table(spark, d, "graph_edges").where("edge_type = 'REPORTS' and target like 'event:%'").groupBy(F.substring("target", 7, 1000).alias("event_id")).agg(F.min("article_id").alias("article_id"))
+    direction = direction_signature("r.name")
+    return one.join(by, "event_id", "left").select(
+        "event_id", "article_id", "r.ticker", event_type(F.coalesce(told("$.event_type", "string"), F.lit(""))).alias("event_type"), F.col("r.name").alias("event_description"), F.nullif("r.date", F.lit("9999-01-01").cast("date")).alias("date"),
+        told("$.confidence", "double").alias("confidence"), told("$.importance_score", "int").alias("importance"), metric_values("r.name").alias("metrics"), F.when(direction == "positive", 1.0).when(direction == "negative", -1.0).otherwise(0.1).alias("impact"),
+    )
+
+
+GRAPH_EVENTS = r"""gev AS (
+  SELECT event_id, article_id, r.t AS ticker, coalesce(CASE WHEN ok THEN json_extract_string(r.a, '$.event_type') END, '') AS event_type, r.n AS event_description, nullif(r.d, DATE '9999-01-01') AS date,
+         CASE WHEN ok THEN CAST(json_extract_string(r.a, '$.confidence') AS DOUBLE) END AS confidence, CASE WHEN ok THEN CAST(json_extract_string(r.a, '$.importance_score') AS INT) END AS importance,
+         list_sort(list_distinct(list_transform(regexp_extract_all(trim(regexp_replace(r.n, '[\s\x{A0}]+', ' ', 'g')), '(?i)[-+]?\$?\d[\d,]*(?:\.\d+)?\s*(?:%|percent|million|billion|trillion|x|times|shares?)?'), lambda x: replace(regexp_replace(lower(x), '[\s,]+', '', 'g'), 'percent', '%')))) AS metrics,
+         regexp_matches(lower(r.n), '\b(up|rose|risen|rise|gain|gained|gains|growth|grew|soared|jumped|climbed|increased|higher|bullish|outperform)\b') AS gu,
+         regexp_matches(lower(r.n), '\b(down|fell|fall|fallen|decline|declined|loss|lost|off|dropped|plunged|decreased|lower|bearish|underperform)\b') AS gl
+  FROM (SELECT event_id, r, json_valid(r.a) AS ok FROM (SELECT substr(node_id, 7) AS event_id, min({'n': coalesce(name, ''), 't': regexp_replace(upper(coalesce(ticker, '')), '[^A-Z0-9.\-]', '', 'g'), 'd': coalesce(date, DATE '9999-01-01'), 'a': coalesce(attributes_json, '')}) AS r
+        FROM graph_nodes WHERE node_type = 'Event' AND node_id LIKE 'event:%' GROUP BY 1))
+  LEFT JOIN (SELECT substr(target, 7) AS event_id, min(article_id) AS article_id FROM graph_edges WHERE edge_type = 'REPORTS' AND target LIKE 'event:%' GROUP BY 1) USING (event_id))"""
+
+
 def nodes(spark: SparkSession, d: str) -> DataFrame:
     """One row per node: of several the one that comes first by type and name."""
     n = table(spark, d, "graph_nodes").where("node_id is not null")

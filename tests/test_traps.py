@@ -106,3 +106,84 @@ def test_empty_tables(spark):
     p = spark.createDataFrame([], "ticker string, date date, price double")
     for df in (S.same_day_return(p), S.trailing_median(S.same_day_return(p)), S.sliding_windows(p, 3, 1), S.random_walk(p, 2), S.minmax_scaled(p), S.last_values(p, 3)):
         assert df.count() == 0
+
+
+def one(spark, column, **values):
+    df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values))
+    return df.select(column).first()[0]
+
+
+def test_names_lose_legal_forms_tags_and_marks(spark):
+    for name, want in [("Foo Holdings, Inc. (NASDAQ: FOO)", "Foo"), ("“Bar” Co., Ltd.", "Bar"), ("NYSE: ABC Acme's Class A", "Acme"), ("Texaco", "Texaco"), ("Größe AG", "Gr e"), ("  ", ""), ("Acme Group", "Acme Group"), ("A.B. & C., Inc", "A.B. & C")]:
+        assert one(spark, X.entity_name("n"), n=name) == want
+    assert one(spark, X.resolution_keys(F.col("n"), F.col("t")), n="Foo.com Inc.", t=" foo ") == ["foo.com", "foo"]
+
+
+def test_tickers_sentences_and_figures(spark):
+    assert one(spark, X.tagged_tickers("t", F.col("s")), t="OTCMKTS: abcd, then (NYSEARCA: XYZ) and (NASDAQ: Q.B).", s="own") == ["OWN", "XYZ", "Q.B", "ABCD"]
+    assert one(spark, X.sentences("t"), t="Acme Inc. rose. The U.S. fell!  No. 5 held?") == ["Acme Inc. rose.", "The U.S. fell!", "No. 5 held?"]
+    assert one(spark, X.metric_mentions("t"), t="about €5 million, Q3 2021, No. 7, the largest half and 5 percent or €5 million") == ["€5 million", "Q3 2021", "7", "largest", "half", "5 percent"]
+    assert one(spark, X.metric_values("t"), t="-$1,200 million and 5 percent, 5% or 3 x") == ["-$1200million", "3x", "5%"]
+    assert one(spark, X.direction_signature("t"), t="Shares rose off the lows") == "neutral" and one(spark, X.direction_signature("t"), t="Supply grew") == "positive"
+    assert one(spark, X.compared_text("t"), t=" Costs (net) fell 3%.. ") == "costs net fell 3%"
+
+
+def test_impacts(spark):
+    def kind(label, event=""):
+        return one(spark, X.impact_type(F.col("a"), F.col("b")), a=label, b=event)
+
+    assert [kind("indirect"), kind("peer rival"), kind("rival"), kind("mentioned", "partnership"), kind("Supply chain"), kind("odd")] == ["direct", "peer_comparison", "competitor", "partner", "supplier_customer", "other"]
+    way = lambda label: one(spark, X.impact_direction(F.col("a")), a=label)
+    assert [way("supply"), way("Indirect gain"), way("no clear effect"), way("Headwind"), way(""), way("unfavorable")] == ["positive", "neutral", "neutral", "negative", "neutral", "positive"]
+    assert one(spark, X.company_relation(F.col("a")), a="Price target") == "PRICE_TARGET_CHANGE_FOR" and one(spark, X.event_type("a"), a="52-week range") == "price_level_range" and one(spark, X.event_type("a"), a=" New kind ") == "New kind"
+
+
+def test_demand_beats_shortage(spark):
+    from loomgraph.plans import text_queries
+
+    got = [r.direction for r in text_queries.demand_context(spark, "").collect()]
+    assert got == ["positive", "negative", "negative", "positive", "negative", "negative", "positive"]
+
+
+def test_promotion(spark):
+    assert one(spark, X.promotional("t"), t="Jane owns positions in Acme.") and one(spark, X.promotional("t"), t="The Stock Advisor newsletter") and not one(spark, X.promotional("t"), t="Acme holds a dominant position.")
+
+
+def test_dates_and_numbers(spark):
+    assert [one(spark, X.parsed_date("t"), t=t) for t in ("2020-02-03T23:30:00-05:00", "March 4, 2021", "03/04/2021", "2020-02-30", "soon", "2021")] == ["2020-02-04", "2021-03-04", "2021-03-04", "", "", ""]
+    assert one(spark, X.finite(F.col("t"), 9.0), t="1e999") == 9.0 and one(spark, X.finite(F.col("t"), 9.0), t="-2.5") == -2.5
+    assert one(spark, X.mentions_entity(F.col("t"), F.col("n")), t="Shares of foo rose", n="Foo, Inc.") and not one(spark, X.mentions_entity(F.col("t"), F.col("n")), t="Food rose", n="Foo")
+
+
+def test_features_of_nodes_without_a_period(spark):
+    from loomgraph.operators import temporal
+
+    schema = "task_id string, node_id string, cutoff date, hop int, available date, start_date date, end_date date, time_confidence double, confidence double, importance int, polarity double, in_degree int, impact double"
+    rows = [("t", "later", DAY(0), 1, DAY(5), DAY(3), None, 2.0, -1.0, 3, 1.0, 0, None), ("t", "none", DAY(0), 2, None, None, None, None, None, None, None, None, None), ("t", "period", DAY(10), 3, DAY(10), DAY(13), DAY(15), 0.5, 0.5, 9, 0.0, 3, -1.0)]
+    f = {r.node_id: r for r in temporal.temporal_features(spark.createDataFrame(rows, schema)).collect()}
+    assert (f["later"].f0, f["later"].f3, f["later"].f15, f["later"].f5, f["later"].f6, f["later"].f8) == (1.0, 0.0, 1.0, 1.0, 0.0, 1.0)
+    assert (f["none"].f0, f["none"].f9, f["none"].f15) == (1.0, 0.0, 1.0) and math.isclose(f["period"].f15, math.exp(-0.1)) and f["period"].f7 == 1.0
+
+
+def test_subgraph_scope_edges_and_clusters(spark):
+    from loomgraph.operators import temporal
+
+    nodes = spark.createDataFrame([("ticker:A", "Ticker", None), ("event:1", "Event", DAY(9)), ("event:2", "Event", DAY(9)), ("event:3", "Event", None), ("event:4", "Event", DAY(2)), ("article:x", "Article", DAY(9)), ("article:y", "Article", DAY(30)), ("c", "EventCluster", None), ("d", "EventCluster", None), ("date:9", "Date", DAY(9))], "node_id string, node_type string, date date")
+    edge = lambda s, t, k, w=1.0, a=None, e=None: (s, t, k, w, a, e)
+    rows = [edge("event:1", "ticker:A", "INVOLVES_TICKER", e="1"), edge("event:2", "ticker:A", "RELATED"), edge("event:3", "ticker:A", "INVOLVES_TICKER"), edge("event:4", "ticker:A", "INVOLVES_TICKER"), edge("article:x", "event:1", "REPORTS"), edge("article:y", "event:1", "REPORTS"),
+            edge("event:1", "c", "FUSED"), edge("c", "ticker:A", "ABOUT"), edge("event:4", "d", "FUSED"), edge("d", "ticker:A", "ABOUT"), edge("date:9", "ticker:A", "LATE", a="y"), edge("event:2", "ticker:B", "PEER_COMPARED_WITH_ANCHOR", -1.0)]
+    edges = spark.createDataFrame(rows, "source string, target string, edge_type string, weight double, article_id string, event_id string")
+    tasks = spark.createDataFrame([("t", "A", DAY(10))], "task_id string, ticker string, cutoff date")
+    fused = spark.createDataFrame([("event:1", "c"), ("event:4", "d")], "node_id string, cluster string")
+    sub, known = temporal.task_subgraph(tasks, nodes, edges, fused=fused)
+    assert {(r.node_id, r.hop) for r in sub.collect()} == {("ticker:A", 0), ("event:1", 1), ("c", 1), ("article:x", 2)}
+    assert {r.node_id for r in temporal.task_subgraph(tasks, nodes, edges, scope="all")[0].collect()} == {"ticker:A", "event:1", "event:2", "article:x"}
+    got = {(r.source, r.target): round(r.weight, 4) for r in temporal.subgraph_edges(sub, known).collect()}
+    assert got == {("event:1", "ticker:A"): 0.9048, ("article:x", "event:1"): 0.9048, ("event:1", "c"): 0.9048, ("c", "ticker:A"): 1.0}
+
+
+def test_news_days_read_no_texts(spark):
+    from loomgraph.plans import series_queries
+
+    plan = series_queries.news_days(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "_article" not in plan and "_title" not in plan
