@@ -66,6 +66,76 @@ def dm_statistic(losses: DataFrame, lags: int) -> DataFrame:
     return c.agg(n.alias("n"), F.max("m").alias("mean"), lrv.alias("lrv"), (F.max("m") / F.sqrt(lrv / n)).alias("dm"), (gamma[1] / F.nullif(gamma[0], F.lit(0.0))).alias("lag1"))
 
 
+def dm_bandwidth(n: int) -> int:
+    """The number of lags of the long-run variance for a series of n."""
+    return math.floor(4 * (n / 100) ** (2 / 9))
+
+
+def hln_corrected(rows: DataFrame, h: int = 1) -> DataFrame:
+    """rows (n, dm) with ``hln``: the statistic corrected for a small sample and a horizon of h."""
+    n = F.col("n")
+    return rows.withColumn("hln", F.col("dm") * F.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n))
+
+
+def ljung_box(losses: DataFrame, lags: int = 10) -> DataFrame:
+    """n, q: the Ljung-Box statistic of the correlations of a series with itself. losses: i, d; the series is one of forecasts, ordered in one task."""
+    w = W.orderBy("i")
+    led = losses.select("d", *[F.lag("d", k).over(w).alias(f"d{k}") for k in range(1, lags + 1)])
+    rows = led.agg(F.count("d").alias("n"), *[F.corr("d", f"d{k}").alias(f"r{k}") for k in range(1, lags + 1)])
+    n = F.col("n")
+    total = sum((F.col(f"r{k}") * F.col(f"r{k}") / (n - k) for k in range(1, lags + 1)), F.lit(0.0))
+    return rows.select("n", (n * (n + 2) * total).alias("q"))
+
+
+def welch(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """keys, t, df: Welch's statistic of two independent samples (column ``value``) and its degrees of freedom; null where neither varies."""
+    side = lambda x, s: x.groupBy(*keys).agg(F.avg("value").alias(f"m{s}"), (F.var_samp("value") / F.count("value")).alias(f"v{s}"), F.count("value").alias(f"n{s}"))
+    both = side(a, "a").join(side(b, "b"), [*keys])
+    v = F.col("va") + F.col("vb")
+    df = v * v / F.nullif(F.col("va") * F.col("va") / (F.col("na") - 1) + F.col("vb") * F.col("vb") / (F.col("nb") - 1), F.lit(0.0))
+    return both.select(*keys, ((F.col("ma") - F.col("mb")) / F.nullif(F.sqrt(v), F.lit(0.0))).alias("t"), df.alias("df"))
+
+
+def direction_metrics(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, n, accuracy, balanced, recall_up, recall_down, rate: of probabilities ``p`` at 0.5 against labels ``label`` 0/1; recalls of an absent class are null."""
+    said, up = F.col("p") >= 0.5, F.col("label") == 1
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((said == up).cast("double")).alias("accuracy"), F.avg(F.when(up, said.cast("double"))).alias("recall_up"), F.avg(F.when(~up, (~said).cast("double"))).alias("recall_down"), F.avg(said.cast("double")).alias("rate"))
+    return out.withColumn("balanced", (F.col("recall_up") + F.col("recall_down")) / 2)
+
+
+def arm_gains(rows: DataFrame, base: str) -> DataFrame:
+    """arm, gain, spread, wins: pooled change in percent of each arm's values against the base's with the same unit and draw, its range over the draws, and lower values.
+
+    rows: arm, unit, draw, value. Units and draws that the base lacks are left out.
+    """
+    b = rows.where(F.col("arm") == base).select("unit", "draw", F.col("value").alias("b"))
+    j = rows.where(F.col("arm") != base).join(b, ["unit", "draw"])
+    pct = lambda d: 100 * F.sum(d) / F.sum("b")
+    d = F.col("value") - F.col("b")
+    draws = j.groupBy("arm", "draw").agg(pct(d).alias("g")).groupBy("arm").agg((F.max("g") - F.min("g")).alias("spread"), F.stddev_samp("g").alias("sd"))
+    return j.groupBy("arm").agg(pct(d).alias("gain"), F.count_if(d < 0).alias("wins")).join(draws, "arm")
+
+
+def percent_of_means(rows: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
+    """keys, pct, wins, n, t: difference of the mean of a against that of b in percent, rows in which a is lower, and the paired statistic, null where differences don't vary."""
+    d = F.col(a) - F.col(b)
+    t = F.avg(d) / F.nullif(F.stddev_samp(d) / F.sqrt(F.count(d)), F.lit(0.0))
+    return rows.groupBy(*keys).agg((100 * (F.avg(a) - F.avg(b)) / F.avg(b)).alias("pct"), F.count_if(d < 0).alias("wins"), F.count(d).alias("n"), t.alias("t"))
+
+
+def scaled_error(rows: DataFrame, ranges: DataFrame, *keys: str) -> DataFrame:
+    """keys, mse, mae: errors of true and pred on the scale from least to greatest value (ranges: keys, lo, hi); null where that is one point."""
+    span = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
+    e = (F.col("true") - F.col("pred")) / span
+    return rows.join(ranges, [*keys]).groupBy(*keys).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"))
+
+
+def mean_if_complete(rows: DataFrame, unit: str, units: list[str], *keys: str) -> DataFrame:
+    """keys, value: the mean of ``value`` over the units, for keys that have them all."""
+    own = rows.where(F.col(unit).isin(units)).groupBy(*keys).agg(F.avg("value").alias("value"), F.count_distinct(unit).alias("_n"))
+    return own.where(F.col("_n") == len(units)).drop("_n")
+
+
 def factor_effects(rows: DataFrame, *factors: str) -> DataFrame:
     """factor, effect: mean value with the factor (0/1) on minus off; all factors from one grouping of the rows."""
     grouped = rows.groupBy(*factors).agg(F.sum("value").alias("s"), F.count("value").alias("n"))

@@ -146,7 +146,8 @@ def temporal_features(rows: DataFrame, window: int = 2, hops: int = 3, tau: floa
     w = float(max(1, window))
     clip = lambda x, lo, hi: F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi)))
     zero = lambda x: F.coalesce(x, F.lit(0.0))
-    years = lambda a, b, lo: zero(clip(F.datediff(a, b) / 365.0, lo, 5))
+    # Greatest and least pass over nulls, so a missing date is told before.
+    years = lambda a, b, lo: F.when(a.isNotNull() & b.isNotNull(), clip(F.datediff(a, b) / 365.0, lo, 5)).otherwise(0.0)
     age = F.greatest(F.lit(0), F.coalesce(F.datediff("cutoff", "available"), F.lit(0)))
     start, end, cut = c("start_date"), c("end_date"), c("cutoff")
     away = F.when(cut < start, F.datediff(start, cut)).when(cut > end, F.datediff(cut, end)).otherwise(0)

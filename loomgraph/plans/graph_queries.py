@@ -370,8 +370,8 @@ a AS (SELECT * FROM e UNION ALL SELECT target, source, 'REV_' || edge_type FROM
 x AS (SELECT s.task_id, s.node_id, s.hop, s.cutoff, CASE WHEN n.node_type IN ('Event', 'Article') THEN n.date END AS av, n.date AS d, e.confidence AS c, e.importance AS i, e.event_type AS k, coalesce(deg.n, 0) AS n, coalesce(b.impact, 0) AS impact
   FROM sub s JOIN nodes n USING (node_id) LEFT JOIN gev e ON 'event:' || e.event_id = s.node_id LEFT JOIN deg ON deg.task_id = s.task_id AND deg.node_id = s.node_id LEFT JOIN about b ON b.ticker = s.ticker AND b.node_id = s.node_id),
 y AS (SELECT *, greatest(0, coalesce(cutoff - av, 0)) AS age FROM x)
-SELECT task_id, node_id, round(exp(-age / 2.0::DOUBLE), 6) AS f0, round(least(age / 2.0::DOUBLE, 10), 6) AS f1, round(coalesce(least(greatest((d - cutoff) / 365.0::DOUBLE, -5), 5), 0), 6) AS f2, round(coalesce(least(greatest((d - cutoff) / 365.0::DOUBLE, -5), 5), 0), 6) AS f3,
-0.0::DOUBLE AS f4, 0.0::DOUBLE AS f5, round(least(greatest(coalesce(c, 0), 0), 1), 6) AS f6, round(coalesce(least(greatest(i / 3.0::DOUBLE, 0), 1), 0), 6) AS f7, CAST(coalesce(d > cutoff, false) AS INT)::DOUBLE AS f8, CAST(av IS NOT NULL AS INT)::DOUBLE AS f9,
+SELECT task_id, node_id, round(exp(-age / 2.0::DOUBLE), 6) AS f0, round(least(age / 2.0::DOUBLE, 10), 6) AS f1, round(CASE WHEN d IS NULL THEN 0 ELSE least(greatest((d - cutoff) / 365.0::DOUBLE, -5), 5) END, 6) AS f2, round(CASE WHEN d IS NULL THEN 0 ELSE least(greatest((d - cutoff) / 365.0::DOUBLE, -5), 5) END, 6) AS f3,
+0.0::DOUBLE AS f4, 0.0::DOUBLE AS f5, round(least(greatest(coalesce(c, 0), 0), 1), 6) AS f6, round(CASE WHEN i IS NULL THEN 0 ELSE least(greatest(i / 3.0::DOUBLE, 0), 1) END, 6) AS f7, CAST(coalesce(d > cutoff, false) AS INT)::DOUBLE AS f8, CAST(av IS NOT NULL AS INT)::DOUBLE AS f9,
 CASE WHEN k IN ('revenue_growth', 'profit_growth', 'analyst_upgrade', 'product_launch', 'partnership', 'dividend_announcement', 'share_buyback', 'market_cap_milestone', 'market_share') THEN 1.0::DOUBLE
 WHEN k IN ('revenue_decline', 'profit_decline', 'analyst_downgrade', 'lawsuit', 'regulatory_investigation', 'layoffs', 'debt_financing', 'supply_chain_event') THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS f10,
 CAST(hop = 1 AS INT)::DOUBLE AS f11, round(hop / 3.0::DOUBLE, 6) AS f12, round(least(ln(1 + n) / 5, 2), 6) AS f13, round(impact, 6) AS f14, round(CASE WHEN d IS NULL THEN 1 ELSE exp(-abs(d - cutoff) / 30.0::DOUBLE) END, 6) AS f15 FROM y""",

@@ -87,7 +87,49 @@ def dm_statistic(spark, d):
     return stats.dm_statistic(o.select("i", ((F.col("x") - F.col("y")) / 1000).alias("d")), 5).select("n", F.round("mean", 4).alias("mean"), F.round("lrv", 2).alias("lrv"), F.round("dm", 4).alias("dm"), F.round("lag1", 4).alias("lag1"))
 
 
-_NAMES = "regression_score auc_rank evaluate_rows seed_summary best_checkpoint paired_t paired_p cross_pair_wins ablation_table factor_effects grid_pool gate_check dm_statistic".split()
+def dm_corrected(spark, d):
+    o = T.table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("i")).agg(F.max_by("o_totalprice", "o_orderkey").alias("x"), F.min_by("o_totalprice", "o_orderkey").alias("y")).where("i < date '1996-01-01'")
+    losses = o.select("i", ((F.col("x") - F.col("y")) / 1000).alias("d"))
+    return stats.hln_corrected(stats.dm_statistic(losses, 5), 3).select("n", F.round("dm", 4).alias("dm"), F.round("hln", 4).alias("hln"))
+
+
+def ljung_box(spark, d):
+    o = T.table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("i")).agg(F.sum("o_totalprice").alias("d"))
+    return stats.ljung_box(o).select("n", F.round("q", 3).alias("q"))
+
+
+def welch(spark, d):
+    o = T.table(spark, d, "orders").select(F.month("o_orderdate").alias("m"), "o_orderpriority", F.col("o_totalprice").alias("value"))
+    return stats.welch(o.where("o_orderpriority = '1-URGENT'"), o.where("o_orderpriority = '5-LOW'"), "m").select("m", F.round("t", 4).alias("t"), F.round("df", 2).alias("df"))
+
+
+def direction_metrics(spark, d):
+    t = T.tasks(spark, d).where("raw_return is not null").select("split", (1 / (1 + F.exp(-50 * F.col("raw_return")))).alias("p"), F.col("label_direction").alias("label"))
+    return stats.direction_metrics(t, "split").select("split", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "recall_up", "recall_down", "rate", "balanced")])
+
+
+def arm_gains(spark, d):
+    o = T.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("arm"), F.col("o_orderstatus").alias("unit"), F.month("o_orderdate").alias("draw")).agg(F.avg("o_totalprice").alias("value"))
+    return stats.arm_gains(o, "5-LOW").select("arm", F.round("gain", 4).alias("gain"), "wins", F.round("spread", 4).alias("spread"), F.round("sd", 4).alias("sd"))
+
+
+def percent_of_means(spark, d):
+    """Persistence of the day before beside that of two days before, by nation."""
+    w = _walk(spark, d).where("step <= 2").groupBy("ticker", F.col("date")).pivot("step", [1, 2]).agg(F.first(F.abs(F.col("true") - F.col("pred"))))
+    return stats.percent_of_means(w.toDF("ticker", "date", "a", "b"), "a", "b", "ticker").select("ticker", F.round("pct", 4).alias("pct"), "wins", "n", F.round("t", 4).alias("t"))
+
+
+def scaled_error(spark, d):
+    p = T.prices(spark, d).groupBy("ticker").agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
+    return stats.scaled_error(_walk(spark, d).where("step = 1"), p, "ticker").select("ticker", F.round("mse", 6).alias("mse"), F.round("mae", 6).alias("mae"))
+
+
+def mean_if_complete(spark, d):
+    r = _runs(spark, d)
+    return stats.mean_if_complete(r, "arm", ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"], "s").select("s", F.round("value", 2).alias("value"))
+
+
+_NAMES = "regression_score auc_rank evaluate_rows seed_summary best_checkpoint paired_t paired_p cross_pair_wins ablation_table factor_effects grid_pool gate_check dm_statistic dm_corrected ljung_box welch direction_metrics arm_gains percent_of_means scaled_error mean_if_complete".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _WALK = f"""{T.PRICES}, w AS (SELECT ticker, price, [lead(price, 1) OVER w, lead(price, 2) OVER w, lead(price, 3) OVER w] AS y FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY date)),
@@ -109,4 +151,21 @@ ORACLE = {
 l AS (SELECT *, lag(c, 1) OVER w AS c1, lag(c, 2) OVER w AS c2, lag(c, 3) OVER w AS c3, lag(c, 4) OVER w AS c4, lag(c, 5) OVER w AS c5 FROM c WINDOW w AS (ORDER BY i)),
 g AS (SELECT count(*) AS n, any_value(m) AS m, sum(c * c) / count(*) AS g0, sum(c * c1) / count(*) AS g1, sum(c * c2) / count(*) AS g2, sum(c * c3) / count(*) AS g3, sum(c * c4) / count(*) AS g4, sum(c * c5) / count(*) AS g5 FROM l),
 v AS (SELECT *, g0 + 2 * (5 / 6.0::DOUBLE * g1 + 4 / 6.0::DOUBLE * g2 + 3 / 6.0::DOUBLE * g3 + 2 / 6.0::DOUBLE * g4 + 1 / 6.0::DOUBLE * g5) AS lrv FROM g) SELECT n, round(m, 4) AS mean, round(lrv, 2) AS lrv, round(m / sqrt(lrv / n), 4) AS dm, round(g1 / g0, 4) AS lag1 FROM v""",
+    "dm_corrected": """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS i, (arg_max(o_totalprice, o_orderkey) - arg_min(o_totalprice, o_orderkey)) / 1000 AS d FROM orders WHERE o_orderdate < DATE '1996-01-01' GROUP BY 1), c AS (SELECT i, d - avg(d) OVER () AS c, avg(d) OVER () AS m FROM o),
+l AS (SELECT *, lag(c, 1) OVER w AS c1, lag(c, 2) OVER w AS c2, lag(c, 3) OVER w AS c3, lag(c, 4) OVER w AS c4, lag(c, 5) OVER w AS c5 FROM c WINDOW w AS (ORDER BY i)),
+v AS (SELECT count(*) AS n, any_value(m) AS m, (sum(c * c) + 2 * (5 / 6.0::DOUBLE * sum(c * c1) + 4 / 6.0::DOUBLE * sum(c * c2) + 3 / 6.0::DOUBLE * sum(c * c3) + 2 / 6.0::DOUBLE * sum(c * c4) + 1 / 6.0::DOUBLE * sum(c * c5))) / count(*) AS lrv FROM l)
+SELECT n, round(m / sqrt(lrv / n), 4) AS dm, round(m / sqrt(lrv / n) * sqrt((n - 5 + 6 / n) / n), 4) AS hln FROM v""",
+    "ljung_box": f"""WITH o AS (SELECT CAST(o_orderdate AS DATE) AS i, sum(o_totalprice) AS d FROM orders GROUP BY 1), l AS (SELECT d, {', '.join(f'lag(d, {k}) OVER (ORDER BY i) AS d{k}' for k in range(1, 11))} FROM o)
+SELECT count(*) AS n, round(count(*) * (count(*) + 2) * ({' + '.join(f'corr(d, d{k}) ** 2 / (count(*) - {k})' for k in range(1, 11))}), 3) AS q FROM l""",
+    "welch": """WITH s AS (SELECT month(o_orderdate) AS m, o_orderpriority AS p, avg(o_totalprice) AS a, var_samp(o_totalprice) / count(*) AS v, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1, 2)
+SELECT CAST(x.m AS INT) AS m, round((x.a - y.a) / sqrt(x.v + y.v), 4) AS t, round((x.v + y.v) ** 2 / (x.v ** 2 / (x.n - 1) + y.v ** 2 / (y.n - 1)), 2) AS df FROM s x JOIN s y ON x.m = y.m AND x.p = '1-URGENT' AND y.p = '5-LOW'""",
+    "direction_metrics": f"""WITH {T.TASKS}, x AS (SELECT split, 1 / (1 + exp(-50 * raw_return)) >= 0.5 AS s, label_direction = 1 AS y FROM tasks WHERE raw_return IS NOT NULL), g AS (SELECT split, count(*) AS n, avg(CAST(s = y AS DOUBLE)) AS a, avg(CAST(s AS DOUBLE)) FILTER (y) AS u, avg(CAST(NOT s AS DOUBLE)) FILTER (NOT y) AS w, avg(CAST(s AS DOUBLE)) AS r FROM x GROUP BY 1)
+SELECT split, n, round(a, 6) AS accuracy, round(u, 6) AS recall_up, round(w, 6) AS recall_down, round(r, 6) AS rate, round((u + w) / 2, 6) AS balanced FROM g""",
+    "arm_gains": """WITH r AS (SELECT o_orderpriority AS arm, o_orderstatus AS unit, month(o_orderdate) AS draw, avg(o_totalprice) AS v FROM orders GROUP BY ALL), j AS (SELECT r.arm, r.draw, r.v, b.v AS b FROM r JOIN r b ON b.arm = '5-LOW' AND b.unit = r.unit AND b.draw = r.draw WHERE r.arm <> '5-LOW'),
+g AS (SELECT arm, max(g) - min(g) AS spread, stddev_samp(g) AS sd FROM (SELECT arm, draw, 100 * sum(v - b) / sum(b) AS g FROM j GROUP BY 1, 2) GROUP BY 1), p AS (SELECT arm, 100 * sum(v - b) / sum(b) AS gain, count(*) FILTER (v < b) AS wins FROM j GROUP BY 1)
+SELECT arm, round(gain, 4) AS gain, wins, round(spread, 4) AS spread, round(sd, 4) AS sd FROM p JOIN g USING (arm)""",
+    "percent_of_means": f"""WITH {T.PRICES}, w AS (SELECT ticker, abs(lead(price, 1) OVER w - price) AS a, abs(lead(price, 2) OVER w - price) AS b, lead(price, 3) OVER w AS z FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY date)), x AS (SELECT ticker, a, b FROM w WHERE z IS NOT NULL)
+SELECT ticker, round(100 * (avg(a) - avg(b)) / avg(b), 4) AS pct, count(*) FILTER (a < b) AS wins, count(*) AS n, round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 4) AS t FROM x GROUP BY 1""",
+    "scaled_error": f"WITH {_WALK}, g AS (SELECT ticker, max(price) - min(price) AS r FROM prices GROUP BY 1) SELECT ticker, round(avg(((y - p) / r) ** 2), 6) AS mse, round(avg(abs(y - p) / r), 6) AS mae FROM walk JOIN g USING (ticker) WHERE step = 1 GROUP BY 1",
+    "mean_if_complete": f"WITH {_RUNS} SELECT s, round(avg(value), 2) AS value FROM runs WHERE arm IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') GROUP BY 1 HAVING count(DISTINCT arm) = 4",
 }
