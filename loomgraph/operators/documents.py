@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions import jsontext
 from loomgraph.functions import text as X
 from loomgraph.functions import vocabulary as V
 
@@ -92,41 +91,76 @@ def packed_blocks(items: Column, size: int) -> Column:
     return F.aggregate(items, start, step, lambda acc: F.when(F.size(acc["open"]) == 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
 
 
+def truthy(c: Column) -> Column:
+    """Whether a flag, as text, number or boolean, says yes."""
+    return F.coalesce(F.lower(F.trim(c.cast("string"))).isin("true", "yes", "1"), F.lit(False))
+
+
+def useful_spans(spans: DataFrame) -> DataFrame:
+    """The spans with a text that are marked as a financial fact (columns text, contains_financial_fact)."""
+    return spans.where((X.clean("text") != "") & truthy(F.col("contains_financial_fact")))
+
+
+def section_type(c: Column) -> Column:
+    """A known section type, else unknown."""
+    kind = F.lower(X.clean(c))
+    return F.when(kind.isin(V.SECTION_TYPES), kind).otherwise("unknown")
+
+
+def section_allowed(kind: Column, flag: Column) -> Column:
+    """Whether a section may support an event: of an allowed type, and not marked as disallowed."""
+    allowed = section_type(kind).isin(V.ALLOWED_SECTION_TYPES)
+    return allowed & F.when(flag.isNull(), allowed).otherwise(truthy(flag))
+
+
+def quote_bounds(article: Column, start: Column, end: Column, reach: int = 4000) -> Column:
+    """first, last: where a section lies by its first and last words; with only one of the two found, ``reach`` characters from it; null with neither."""
+    return _bounds(X.clean(article), X.clean(start), X.clean(end), reach)
+
+
+def _bounds(t: Column, a: Column, b: Column, reach: int) -> Column:
+    s = F.when(a != "", F.position(a, t) - 1).otherwise(-1)
+    e0 = F.when(b != "", F.position(b, t, F.greatest(s, F.lit(0)) + 1) - 1).otherwise(-1)
+    e = F.when(e0 >= 0, e0 + F.length(b)).otherwise(-1)
+    pair = lambda x, y: F.struct(x.cast("int").alias("first"), y.cast("int").alias("last"))
+    return F.when((s >= 0) & (e >= s), pair(s, e)).when(s >= 0, pair(s, F.least(F.length(t), s + reach))).when(e >= 0, pair(F.greatest(F.lit(0), e - reach), e))
+
+
+def annotated_spans(articles: DataFrame, sections: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, span, section, kind, allowed of each useful span: the section that overlaps it most, else the first whose quote and the span contain one another, else UNKNOWN.
+
+    articles: doc_id, text; sections: doc_id, section, kind, flag, start_quote, end_quote; spans: doc_id, span, text, contains_financial_fact. A span that isn't found word for word is
+    looked for by its first 160 characters, if it has 40.
+    """
+    # Texts are tidied once, before the joins, not once a section or span.
+    texts = articles.select("doc_id", X.clean("text").alias("body"))
+    quoted = sections.select("doc_id", "section", X.clean("start_quote").alias("a"), X.clean("end_quote").alias("b"))
+    bound = quoted.join(texts, "doc_id").select("doc_id", "section", _bounds(F.col("body"), F.col("a"), F.col("b"), 4000).alias("at"))
+    said = F.col("said")
+    here = F.position(said, F.col("body"))
+    near = F.when(F.length(said) >= 40, F.position(F.substring(said, 1, 160), F.col("body"))).otherwise(0)
+    useful = useful_spans(spans).select("doc_id", "span", X.clean("text").alias("said"))
+    placed = useful.join(texts, "doc_id").select("doc_id", "span", "said", F.when(here > 0, here - 1).when(near > 0, near - 1).alias("s")).withColumn("e", F.col("s") + F.length("said"))
+    over = section_of_spans(placed.where("s is not null").select("doc_id", "span", "s", "e"), bound.where("at is not null").select("doc_id", "section", F.col("at.first").alias("s"), F.col("at.last").alias("e")))
+    quotes = sections.select("doc_id", F.col("section").alias("quoted"), F.lower(X.clean("start_quote")).alias("a"), F.lower(X.clean("end_quote")).alias("b"))
+    low = F.lower("said")
+    told = lambda q: (F.col(q) != "") & (F.contains(low, F.col(q)) | F.contains(F.col(q), low))
+    by_quote = placed.join(quotes, "doc_id").where(told("a") | told("b")).groupBy("doc_id", "span").agg(F.min("quoted").alias("quoted"))
+    found = placed.select("doc_id", "span").join(over, ["doc_id", "span"], "left").join(by_quote, ["doc_id", "span"], "left")
+    named = found.select("doc_id", "span", F.coalesce(F.nullif("section", F.lit("UNKNOWN")), "quoted", F.lit("UNKNOWN")).alias("section"))
+    kinds = sections.select("doc_id", "section", section_type(F.col("kind")).alias("kind"), section_allowed(F.col("kind"), F.col("flag")).alias("allowed"))
+    return named.join(kinds, ["doc_id", "section"], "left").select("doc_id", "span", "section", F.coalesce("kind", F.lit("unknown")).alias("kind"), F.coalesce("allowed", F.lit(True)).alias("allowed"))
+
+
+def non_empty_or(preferred: DataFrame, fallback: DataFrame, key: str) -> DataFrame:
+    """The preferred rows, and for keys without any those of the fallback."""
+    return preferred.unionByName(fallback.join(preferred.select(key).distinct(), key, "left_anti"))
+
+
 def repair_json(text: str | None) -> str | None:
-    """The first JSON object of a model's reply, mended: reasoning and fences cut, trailing commas dropped, open strings and brackets closed; null if there is none."""
-    if not text:
-        return None
-    s = re.sub(r"<think>.*?</think>", "", text, flags=re.S)
-    at = s.find("{")
-    if at < 0:
-        return None
-    out, stack, quoted, escaped = [], [], False, False
-    for c in s[at:]:
-        out.append(c)
-        if quoted:
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                quoted = False
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif c in "}]":
-            if not stack or stack.pop() != c:
-                return None
-            if not stack:
-                break
-    body = "".join(out) + ('"' if quoted else "")
-    body = re.sub(r"[,:]\s*$", "", body)
-    body += "".join(reversed(stack))
-    body = re.sub(r",\s*([}\]])", r"\1", body)
-    try:
-        return json.dumps(json.loads(body), sort_keys=True)
-    except ValueError:
-        return None
+    """The first JSON object of a model's reply, mended and written in one stable way; null if there is none."""
+    found = jsontext.first_object(text)
+    return None if found is None else jsontext.dumped(found)
 
 
 def repaired(df: DataFrame, column: str) -> DataFrame:

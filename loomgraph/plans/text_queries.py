@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgraph.functions import jsontext
 from loomgraph.functions import text as X
 from loomgraph.operators import documents as D
 from loomgraph.plans import tables as T
@@ -205,12 +206,39 @@ def json_repair(spark, d):
     return D.repaired(e, "props").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+def recovered_arrays(spark, d):
+    """Arrays of a reply that breaks off within their last object."""
+    e = T.table(spark, d, "events").select("event_id", F.concat(F.lit('<think>{"items": [1]</think>Here: {"items": ['), "props", F.lit(" "), "props", F.lit(', {"k": 1, "te')).alias("reply"))
+    return jsontext.recovered_objects(e, "reply", "items", "event_id").select("event_id", "pos", F.get_json_object("object", "$.k").cast("int").alias("k"))
+
+
+def stable_attributes(spark, d):
+    n = T.table(spark, d, "graph_nodes").where("node_type = 'Event'").select("node_id", "attributes_json").distinct()
+    return jsontext.stable_json(n, "attributes_json").select("node_id", "attributes_json")
+
+
+def alias_lists(spark, d):
+    c = T.table(spark, d, "companies").select("ticker", "aliases_json")
+    return jsontext.extracted_lists(c, "aliases_json", "participants").select("ticker", F.array_join("aliases_json", "|").alias("aliases"))
+
+
+def span_sections(spark, d):
+    """Sentences of articles as spans, in sections told by the first and last words of its lines."""
+    a = T.articles(spark, d).select(F.col("article_id").alias("doc_id"), F.col("body").alias("text"))
+    lines = a.select("doc_id", F.posexplode(F.filter(F.split("text", r"\r\n|\n"), lambda x: X.clean(x) != "")).alias("pos", "line"))
+    head = F.substring(X.clean("line"), 1, 30)
+    tail = F.expr("right(line, 20)")
+    sections = lines.select("doc_id", F.format_string("SEC%03d", F.col("pos") + 1).alias("section"), F.when(F.col("pos") == 0, "Core_Article_Body").when(F.col("line").rlike("(?i)copyright|staff|share"), "legal_disclaimer").otherwise("financial_analysis").alias("kind"), F.lit(None).cast("string").alias("flag"), head.alias("start_quote"), tail.alias("end_quote"))
+    spans = a.select("doc_id", F.posexplode(X.sentences("text")).alias("span", "text")).withColumn("contains_financial_fact", F.when(F.col("text").rlike("[0-9]"), "Yes").otherwise("no"))
+    return D.annotated_spans(a, sections, spans).groupBy("kind", "allowed").agg(F.count("*").alias("n"))
+
+
 def checksum_manifest(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2("text", 256).alias("sha256"), F.length(F.encode("text", "UTF-8")).cast("long").alias("bytes"))
 
 
 _NAMES = """clean_text ticker_forms entity_name_norm resolution_keys sentence_split rule_spans metric_mentions metric_values direction_signature impact_cascade event_types compared_text span_metrics parsed_dates finite_numbers named_entities demand_context ticker_tags safe_keys chunk_text cache_keys
-article_text alias_mentions alias_dictionary key_resolution section_overlap promo_filter participant_support event_time decision_join span_dedupe evidence_blocks json_repair checksum_manifest""".split()
+article_text alias_mentions alias_dictionary key_resolution section_overlap promo_filter participant_support event_time decision_join span_dedupe evidence_blocks json_repair recovered_arrays stable_attributes alias_lists span_sections checksum_manifest""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 from loomgraph.plans.graph_queries import _NAME  # noqa: E402
@@ -314,5 +342,8 @@ SELECT id, arg_min(target, pos) AS target FROM i JOIN reg USING (k) GROUP BY 1""
     "event_time": f"WITH {T.EVENTS}, x AS (SELECT event_id, CASE WHEN importance = 2 THEN event_date_end ELSE event_date_start END AS s, CASE WHEN importance = 2 THEN event_date_start WHEN importance = 3 THEN event_date_end END AS e FROM ev) SELECT event_id, least(coalesce(s, e), coalesce(e, s)) AS s, greatest(coalesce(s, e), coalesce(e, s)) AS e FROM x",
     "decision_join": f"WITH {T.TASKS}, l AS (SELECT task_id, max(coalesce(label, -1)) AS m FROM temporal_examples GROUP BY 1) SELECT t.task_id AS ref, CASE WHEN m IS NULL THEN 'missing' WHEN m = 1 THEN 'accepted' ELSE 'rejected' END AS outcome FROM tasks t LEFT JOIN l USING (task_id)",
     "json_repair": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",
+    "recovered_arrays": "SELECT event_id, CAST(pos AS INT) AS pos, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events, (VALUES (0), (1)) v(pos)",
+    "stable_attributes": r"SELECT DISTINCT node_id, CASE WHEN json_valid(attributes_json) THEN '{' || array_to_string(list_transform(list_sort(json_keys(attributes_json)), lambda k: '\"' || k || '\": ' || CASE WHEN json_type(attributes_json, '$.' || k) = 'DOUBLE' THEN CAST(CAST(json_extract_string(attributes_json, '$.' || k) AS DOUBLE) AS VARCHAR) ELSE CAST(json_extract(attributes_json, '$.' || k) AS VARCHAR) END), ', ') || '}' END AS attributes_json FROM graph_nodes WHERE node_type = 'Event'",
+    "alias_lists": """SELECT ticker, coalesce(array_to_string(CAST(from_json(aliases_json, '["VARCHAR"]') AS VARCHAR[]), '|'), '') AS aliases FROM companies""",
     "checksum_manifest": f"WITH docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL) SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM docs",
 }

@@ -187,3 +187,37 @@ def test_news_days_read_no_texts(spark):
 
     plan = series_queries.news_days(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "_article" not in plan and "_title" not in plan
+
+
+def test_json_is_read_tolerantly():
+    from loomgraph.functions import jsontext as J
+
+    assert J.first_object('<think>{"x": 1}</think>```json\n{"a": "he said "yes", and left", "b": [1, 2,], }\n``` {"c": 1}') == {"a": 'he said "yes", and left', "b": [1, 2]}
+    assert J.first_object('{"a": 1 "b": {"c": "line\nbreak" "d": null}') == {"a": 1, "b": {"c": "line\nbreak", "d": None}}
+    assert J.first_object('{"a": [{"k": 1}, {"k": "cut o') == {"a": [{"k": 1}, {"k": "cut o"}]} and J.first_object('{"a": 1, "b"') == {"a": 1}
+    assert J.first_object("no object") is None and J.first_object(None) is None and J.first_object("{}") is None
+    assert J.array_objects('{"e": [{"k": 1}, {"k": [2]} {"k": 3, "t', "e") == [{"k": 1}, {"k": [2]}] and J.array_objects("{}", "e") == []
+    assert J.dumped({"b": float("nan"), "a": [None, "ü"]}) == '{"a": ["", "ü"], "b": ""}'
+    assert J.list_texts([{"metric": "sales", "value": " 3 ", "evidence": "x"}, "a  b", {"company": "Acme"}, {"z": 1}, None, 5], "financial_metric_mentions") == ["sales | 3 | x", "a b", "Acme", '{"z": 1}', '""', "5"]
+    assert J.list_texts("one", "participants") == ["one"] and J.list_texts({"a": 1}, "participants") == []
+
+
+def test_sections_by_quotes(spark):
+    text = "Start here with news. " + "x" * 5000 + " the end of it"
+    df = spark.createDataFrame([(text, a, b) for a, b in [("Start here", "the end"), ("Start here", ""), ("", "end of it"), ("no", "none"), ("", "")]], "t string, a string, b string")
+    got = [r[0] and tuple(r[0]) for r in df.select(documents.quote_bounds(F.col("t"), F.col("a"), F.col("b"))).collect()]
+    assert got == [(0, 5030), (0, 4000), (1036, 5036), None, None]
+    a = spark.createDataFrame([("d", "Revenue rose 3%. Subscribe now. Tail text.")], "doc_id string, text string")
+    s = spark.createDataFrame([("d", "S1", "core_article_body", None, "Revenue", "3%."), ("d", "S2", "publisher_promotion", "true", "Subscribe", "now."), ("d", "S3", "unheard", "no", "nowhere", "")], "doc_id string, section string, kind string, flag string, start_quote string, end_quote string")
+    p = spark.createDataFrame([("d", 1, "Revenue rose 3%.", "yes"), ("d", 2, "Subscribe now.", "TRUE"), ("d", 3, "Not in the text", "1"), ("d", 4, "Revenue", "no"), ("d", 5, " ", "yes"), ("d", 6, "is nowhere at all", "yes")], "doc_id string, span int, text string, contains_financial_fact string")
+    assert {tuple(r)[1:] for r in documents.annotated_spans(a, s, p).collect()} == {(1, "S1", "core_article_body", True), (2, "S2", "publisher_promotion", False), (3, "UNKNOWN", "unknown", True), (6, "S3", "unknown", False)}
+
+
+def test_hooks(spark):
+    from loomgraph import hooks
+
+    a = spark.createDataFrame([("1", "alpha beta " * 400), ("2", "alpha beta"), ("3", ""), ("4", None)], "article_id string, text string")
+    got = {r.article_id: r.vector for r in hooks.article_vectors(a, hooks.hashing_encoder(16)).collect()}
+    assert got.keys() == {"1", "2"} and math.isclose(sum(x * y for x, y in zip(got["1"], got["2"])), 1.0, abs_tol=1e-6)
+    out = hooks.extracted(a, "text", lambda: lambda texts: [{"n": len(t)} for t in texts], "n long, kind string").collect()
+    assert {r.article_id: (r.n, r.kind) for r in out}["2"] == (10, None)
