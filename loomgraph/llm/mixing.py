@@ -134,7 +134,10 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None,
     """(doc_id, source, tokens, repeats) of every document of a targeted source, repeats 0 if it isn't used, and the report (source, target_share, share, tokens, documents, most_repeats)."""
     spark = documents.sparkSession
     counted = written(token_counts(documents, vocabulary), "tokens")
-    aims = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.select("source", "target_share", "max_repeats").dropna().distinct().limit(MOST_CELLS).collect()}
+    wanted = targets.select("source", "target_share", "max_repeats").dropna().distinct().limit(MOST_CELLS + 1).collect()
+    if len(wanted) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} target shares")
+    aims = {r["source"]: (r["target_share"], r["max_repeats"]) for r in wanted}
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
     docs = counted.where(F.col("source").isin([*aims])).distinct().withColumn("u", u).withColumn("range", F.floor(F.col("u") / ((1 << 40) // BUCKETS)).cast("int"))
     rows = docs.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).limit(MOST_CELLS + 1).toPandas()
