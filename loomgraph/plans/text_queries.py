@@ -343,7 +343,7 @@ SELECT id, arg_min(target, pos) AS target FROM i JOIN reg USING (k) GROUP BY 1""
     "decision_join": f"WITH {T.TASKS}, l AS (SELECT task_id, max(coalesce(label, -1)) AS m FROM temporal_examples GROUP BY 1) SELECT t.task_id AS ref, CASE WHEN m IS NULL THEN 'missing' WHEN m = 1 THEN 'accepted' ELSE 'rejected' END AS outcome FROM tasks t LEFT JOIN l USING (task_id)",
     "json_repair": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",
     "recovered_arrays": "SELECT event_id, CAST(pos AS INT) AS pos, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events, (VALUES (0), (1)) v(pos)",
-    "stable_attributes": r"SELECT DISTINCT node_id, CASE WHEN json_valid(attributes_json) THEN '{' || array_to_string(list_transform(list_sort(json_keys(attributes_json)), lambda k: '\"' || k || '\": ' || CASE WHEN json_type(attributes_json, '$.' || k) = 'DOUBLE' THEN CAST(CAST(json_extract_string(attributes_json, '$.' || k) AS DOUBLE) AS VARCHAR) ELSE CAST(json_extract(attributes_json, '$.' || k) AS VARCHAR) END), ', ') || '}' END AS attributes_json FROM graph_nodes WHERE node_type = 'Event'",
+    "stable_attributes": "SELECT DISTINCT node_id, CASE WHEN json_valid(attributes_json) THEN '{' || array_to_string(list_transform(list_sort(json_keys(attributes_json)), lambda k: chr(34) || k || chr(34) || ': ' || CASE WHEN json_type(attributes_json, '$.' || k) = 'DOUBLE' THEN CAST(CAST(json_extract_string(attributes_json, '$.' || k) AS DOUBLE) AS VARCHAR) ELSE CAST(json_extract(attributes_json, '$.' || k) AS VARCHAR) END), ', ') || '}' END AS attributes_json FROM graph_nodes WHERE node_type = 'Event'",
     "alias_lists": """SELECT ticker, coalesce(array_to_string(CAST(from_json(aliases_json, '["VARCHAR"]') AS VARCHAR[]), '|'), '') AS aliases FROM companies""",
     "checksum_manifest": f"WITH docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL) SELECT doc_id, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM docs",
 }
