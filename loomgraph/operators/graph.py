@@ -56,14 +56,21 @@ def event_nodes(events: DataFrame) -> DataFrame:
     return events.select(F.inline(nodes)).where("node_id is not null").distinct()
 
 
+def _followers(events: DataFrame, day: str, kind: str) -> DataFrame:
+    """Each event of a ticker with the next one by (day, event_id).
+
+    Within a day by a window of the ticker's day, from a day's last event to the first one of the ticker's next day; so the windows over a ticker hold a row a day.
+    """
+    e = events.where("event_id is not null and ticker is not null").select("ticker", F.coalesce(day, F.lit("0001-01-01").cast("date")).alias("day"), "event_id")
+    within = e.withColumn("next", F.lead("event_id").over(W.partitionBy("ticker", "day").orderBy("event_id")))
+    days = e.groupBy("ticker", "day").agg(F.min("event_id").alias("first"))
+    onward = days.select("ticker", "day", F.lead("first").over(W.partitionBy("ticker").orderBy("day")).alias("first"))
+    return within.join(onward, ["ticker", "day"]).select(F.col("event_id").alias("source"), F.coalesce("next", "first").alias("target"), F.lit(kind).alias("edge_type")).where("target is not null")
+
+
 def chronology_edges(events: DataFrame) -> DataFrame:
-    """source, target, edge_type: consecutive events of a ticker by (event_date_start, event_id), and by (available_date, event_id)."""
-    by = lambda c: F.lead("event_id").over(W.partitionBy("ticker").orderBy(c, "event_id"))
-    nexts = events.where("event_id is not null and ticker is not null").select(
-        "event_id", by("event_date_start").alias("a"), by("available_date").alias("b")
-    )
-    kinds = F.array(F.struct(F.col("a").alias("target"), F.lit("EVENT_PRECEDES").alias("edge_type")), F.struct(F.col("b").alias("target"), F.lit("REPORT_PRECEDES").alias("edge_type")))
-    return nexts.select(F.col("event_id").alias("source"), F.inline(kinds)).where("target is not null")
+    """source, target, edge_type: consecutive events of a ticker by (event_date_start, event_id), and by (available_date, event_id); a missing date counts as the earliest."""
+    return _followers(events, "event_date_start", "EVENT_PRECEDES").unionByName(_followers(events, "available_date", "REPORT_PRECEDES"))
 
 
 def cluster_chronology(members: DataFrame) -> DataFrame:

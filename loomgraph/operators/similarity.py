@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,30 +11,39 @@ from pyspark.sql.window import Window as W
 from loomgraph.functions.vectors import dot, unit
 
 
-def _dots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Dot products of a and b, a batch as two matrices; vectors of unlike length count as far as the shorter goes."""
-    for f in frames:
-        try:
-            sim = np.einsum("ij,ij->i", np.vstack(f["a"]), np.vstack(f["b"])) if len(f) else np.empty(0)
-        except ValueError:
-            sim = np.array([float(np.dot(x[: len(y)], y[: len(x)])) for x, y in zip(f["a"], f["b"])])
-        yield f[["left", "right"]].assign(sim=sim)
+def _nearest(f: pd.DataFrame, k: int) -> pd.DataFrame:
+    """left, right, sim: the k nearest of a block for each vector of another one, as a product of two matrices; vectors of unlike length count as far as the shorter goes."""
+    mine, others = f[f["side"] == 0], f[f["side"] == 1]
+    if mine.empty or others.empty:
+        return pd.DataFrame({"left": f["id"].iloc[:0], "right": f["id"].iloc[:0], "sim": np.empty(0)})
+    size = max(map(len, f["v"]))
+    a, b = (np.array([np.pad(np.asarray(v, dtype=float), (0, size - len(v))) for v in x["v"]]) for x in (mine, others))
+    b, ids = (x[np.argsort(others["id"].to_numpy(), kind="stable")] for x in (b, others["id"].to_numpy()))
+    parts = []
+    for at in range(0, len(a), 512):
+        sim = np.round(a[at : at + 512] @ b.T, 6)
+        # Of equal ones the smaller id, which stands first.
+        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        parts.append(pd.DataFrame({"left": np.repeat(mine["id"].to_numpy()[at : at + 512], best.shape[1]), "right": ids[best].ravel(), "sim": np.take_along_axis(sim, best, axis=1).ravel()}))
+    return pd.concat(parts)
 
 
-def knn_lower_side(vectors: DataFrame, k: int, least: float) -> DataFrame:
+def knn_lower_side(vectors: DataFrame, k: int, least: float, block: int = 2000) -> DataFrame:
     """left, right, sim: pairs within a group of which the higher id is among the ``k`` nearest (itself included) of the lower one.
 
-    vectors: id, grp, v. Cosines are rounded to 6 digits before they are ranked, ties by id. Neighbours are cut per id by a partial top-k
-    (WindowGroupLimit) before the shuffle.
+    vectors: id, grp, v. Cosines are rounded to 6 digits before they are ranked, ties by id. A group is split into blocks of about ``block`` vectors, and
+    every two blocks meet in a task of their own that keeps the k nearest of each vector, so a group of any size is spread and no pair but those leaves a task.
     """
     u = vectors.where("v is not null and grp is not null").select("id", "grp", unit(F.col("v")).alias("v"))
-    # Pairs are many more than vectors: the left side is spread first, by number, or a small file would be one task.
-    spread = u.toDF("left", "grp", "a").repartition(vectors.sparkSession.sparkContext.defaultParallelism, "left")
-    both = spread.join(u.toDF("right", "grp", "b"), "grp").select("left", "right", "a", "b")
-    kinds = dict(u.dtypes)
-    pairs = both.mapInPandas(_dots, f"left {kinds['id']}, right {kinds['id']}, sim double").withColumn("sim", F.round("sim", 6))
+    sizes = u.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = u.join(sizes, "grp").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = own.select("id", "grp", "v", F.lit(0).alias("side"), F.col("b").alias("x"), each.alias("y"))
+    right = own.select("id", "grp", "v", F.lit(1).alias("side"), each.alias("x"), F.col("b").alias("y"))
+    kind = dict(u.dtypes)["id"]
+    near = left.unionByName(right).groupBy("grp", "x", "y").applyInPandas(lambda f: _nearest(f, k), f"left {kind}, right {kind}, sim double")
     w = W.partitionBy("left").orderBy(F.desc("sim"), "right")
-    return pairs.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= k) & (F.col("left") < F.col("right")) & (F.col("sim") >= least)).drop("_n")
+    return near.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= k) & (F.col("left") < F.col("right")) & (F.col("sim") >= least)).drop("_n")
 
 
 def semantic_edges(pairs: DataFrame, same: float, related: float) -> DataFrame:
