@@ -2,20 +2,23 @@
 
 Mentions that share a lookup key are tied through the key, and events that repeat each other exactly through the group they are in, so
 no pairs within a group are made; similar ones come as pairs of a similarity join and count if they are compatible. Clusters are
-connected components. Nulls count as empty text; a mention without text or key, and an event without an id, is left out.
+connected components, of keys and of groups rather than of mentions and events, of which there are many more. Nulls count as empty text;
+a mention without text or key, and an event without an id, is left out.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.operators.components import connected_components
 from loomgraph.operators.dedup import compatible
-from loomgraph.scratch import written
+from loomgraph.scratch import drop_written, written
 
 
 def registry_keys(registry: DataFrame) -> DataFrame:
@@ -30,15 +33,16 @@ def entity_mentions(rows: DataFrame, registry: DataFrame) -> DataFrame:
 
     The ticker is that of the first of the name's keys that the registry knows, else the given one.
     """
-    base = rows.select(F.trim("event_id").alias("event_id"), X.clean("text").alias("text"), X.ticker_symbol("ticker").alias("given"), "source").where("text <> '' and event_id is not null").distinct()
-    texts = base.select("text").distinct()
-    keyed = texts.select("text", F.posexplode(X.resolution_keys(F.col("text"), F.lit(""))).alias("pos", "key"))
-    anchors = keyed.join(registry_keys(registry), "key").groupBy("text").agg(F.min_by("anchor", "pos").alias("anchor"))
-    out = base.join(anchors, "text", "left").withColumn("name", X.entity_name("text")).withColumn("ticker", F.coalesce("anchor", "given")).where("name <> '' or ticker <> ''")
-    names = F.filter(X.resolution_keys(F.col("text"), F.col("ticker")), lambda k: F.length(k) > 1)
+    base = rows.select(F.trim("event_id").alias("event_id"), X.clean("text").alias("text"), X.ticker_symbol("ticker").alias("given"), "source").where("text <> '' and event_id is not null")
+    texts = base.select("text").distinct().select("text", X.entity_name("text").alias("name"), X.resolution_keys(F.col("text"), F.lit("")).alias("names"))
+    texts = written(texts, "texts")
+    anchors = texts.select("text", F.posexplode("names").alias("pos", "key")).join(registry_keys(registry), "key").groupBy("text").agg(F.min_by("anchor", "pos").alias("anchor"))
+    known = written(texts.join(anchors, "text", "left"), "known_texts")
+    out = base.join(known, "text").withColumn("ticker", F.coalesce("anchor", "given")).where("name <> '' or ticker <> ''")
+    one = out.groupBy("event_id", F.lower("text").alias("low"), "ticker", "source").agg(F.min(F.struct("text", "name", "names")).alias("x")).select("event_id", "x.text", "x.name", "x.names", "ticker", "source")
+    names = F.filter(F.array_distinct(F.concat("names", X.resolution_keys(F.lit(""), F.col("ticker")))), lambda k: F.length(k) > 1)
     keys = F.concat(F.when(F.col("ticker") != "", F.array(F.concat(F.lit("ticker:"), "ticker"))).otherwise(F.array().cast("array<string>")), F.transform(names, lambda k: F.concat(F.lit("name:"), k)))
     seed = F.concat_ws("|", "event_id", F.lower("text"), "ticker", "source")
-    one = out.groupBy("event_id", F.lower("text").alias("low"), "ticker", "source").agg(F.min(F.struct("text", "name")).alias("x")).select("event_id", "x.text", "x.name", "ticker", "source")
     return one.select(F.concat(F.lit("ENTM_"), X.short_sha1(seed, 18)).alias("mention_id"), "event_id", "text", "name", "ticker", "source", keys.alias("keys")).where(F.size("keys") > 0)
 
 
@@ -48,8 +52,8 @@ def embedding_eligible(text: Column, name: Column, ticker: Column) -> Column:
 
 
 def _majority(values: DataFrame, *by: str) -> DataFrame:
-    """by, name: the most frequent name, of equally frequent ones the longest, then the first."""
-    n = values.where("name <> ''").groupBy(*by, "name").agg(F.count("*").alias("n"))
+    """by, name: the most frequent name (values: by, name, n times), of equally frequent ones the longest, then the first."""
+    n = values.where("name <> ''").groupBy(*by, "name").agg(F.sum("n").alias("n"))
     return n.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.length("name")).alias("l"), F.lower("name").alias("low"), "name"))["name"].alias("name"))
 
 
@@ -59,28 +63,34 @@ def entity_clusters(mentions: DataFrame, registry: DataFrame, pairs: DataFrame |
     Mentions are one cluster if they share a key or a ticker, or are tied by compatible pairs (left, right: mention ids).
     The name is that of the commonest ticker's firm, else the commonest one among the mentions.
     """
-    ties = mentions.select("mention_id", F.explode("keys").alias("key"))
+    mentions = written(mentions.withColumn("key", F.get("keys", F.lit(0))).where("key is not null"), "mentions")
+    kinds = written(mentions.groupBy("keys", "key", "ticker", "name", "text").agg(F.count("*").alias("n")), "kinds")
+    ties = kinds.select("key", F.explode("keys"))
     if pairs is not None:
-        t = mentions.select("mention_id", "ticker")
-        near = pairs.join(t.toDF("left", "lt"), "left").join(t.toDF("right", "rt"), "right").where("lt = '' or rt = '' or lt = rt")
-        ties = ties.union(near.select("left", "right"))
-    parts = connected_components(ties).toDF("mention_id", "part")
-    own = written(mentions.join(parts, "mention_id"), "mentions")
-    tickers = own.where("ticker <> ''").groupBy("part", "ticker").agg(F.count("*").alias("n")).groupBy("part").agg(F.min(F.struct((-F.col("n")).alias("n"), "ticker"))["ticker"].alias("ticker"))
+        t = mentions.select("mention_id", "ticker", "key")
+        near = pairs.select("left", "right").join(t.toDF("left", "lt", "lk"), "left").join(t.toDF("right", "rt", "rk"), "right").where("lt = '' or rt = '' or lt = rt")
+        ties = ties.union(near.select("lk", "rk"))
+    parts = connected_components(ties).toDF("key", "part")
+    own = written(kinds.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key")).drop("keys"), "mention_kinds")
+    drop_written(kinds)
+    tickers = own.where("ticker <> ''").groupBy("part", "ticker").agg(F.sum("n").alias("n")).groupBy("part").agg(F.min(F.struct((-F.col("n")).alias("n"), "ticker"))["ticker"].alias("ticker"))
     firms = registry.where("ticker is not null").groupBy("ticker").agg(F.min("company").alias("company"))
-    called = own.select("part", F.col("ticker").alias("own"), F.when(F.col("name") != "", F.col("name")).otherwise(F.col("text")).alias("name")).join(tickers, "part", "left").where("ticker is null or own = ticker")
+    called = own.select("part", F.col("ticker").alias("own"), F.when(F.col("name") != "", F.col("name")).otherwise(F.col("text")).alias("name"), "n").join(tickers, "part", "left").where("ticker is null or own = ticker")
     named = _majority(called, "part")
-    counts = own.groupBy("part").agg(F.count("*").alias("mentions"), F.count_distinct("event_id").alias("events"), F.array_sort(F.collect_set(F.lower(F.when(F.col("ticker") != "", F.col("ticker")).otherwise(F.col("name"))))).alias("seeds"))
+    counts = own.groupBy("part").agg(F.sum("n").alias("mentions"), F.array_sort(F.collect_set(F.lower(F.when(F.col("ticker") != "", F.col("ticker")).otherwise(F.col("name"))))).alias("seeds"))
     whole = counts.join(tickers, "part", "left").join(named, "part", "left").join(firms, "ticker", "left")
     name, ticker = F.coalesce("company", "name", "ticker", F.lit("")), F.coalesce("ticker", F.lit(""))
     seed = F.concat_ws("|", ticker, F.lower(name), F.concat_ws("|", F.slice("seeds", 1, 12)))
-    clusters = written(whole.select("part", F.concat(F.lit("ENTC_"), X.short_sha1(seed, 18)).alias("cluster_id"), name.alias("name"), ticker.alias("ticker"), "mentions", "events"), "entity_clusters")
-    head = clusters.select("part", "cluster_id", F.col("name").alias("head"), F.col("ticker").alias("head_ticker"), F.col("mentions").alias("size"))
-    joined = own.join(head, "part")
+    heads = written(whole.select("part", F.concat(F.lit("ENTC_"), X.short_sha1(seed, 18)).alias("cluster_id"), name.alias("name"), ticker.alias("ticker"), "mentions"), "entity_clusters")
+    keyed = written(own.select("key", "part").distinct().join(heads.toDF("part", "cluster_id", "head", "head_ticker", "size"), "part"), "keys")
+    joined = mentions.join(keyed, "key")
+    events = joined.groupBy("part").agg(F.count_distinct("event_id").alias("events"))
+    # Left joins on unique keys go from the plan where their columns aren't used.
+    clusters = heads.join(events, "part", "left").select("cluster_id", "name", "ticker", "mentions", "events")
     fits = ((F.col("head_ticker") != "") & (F.col("ticker") == F.col("head_ticker"))) | (F.lower("name") == F.lower(X.entity_name("head")))
     first = joined.where(fits).groupBy("part").agg(F.min("mention_id").alias("first"))
     members = joined.join(first, "part", "left").select("cluster_id", "mention_id", "event_id", "source", "ticker", F.coalesce(F.col("mention_id") == F.col("first"), F.lit(False)).alias("is_representative"), "size")
-    return clusters.drop("part"), members
+    return clusters, members
 
 
 def primary_clusters(members: DataFrame) -> DataFrame:
@@ -88,48 +98,89 @@ def primary_clusters(members: DataFrame) -> DataFrame:
     return members.where("source = 'main_company'").groupBy("event_id").agg(F.min("cluster_id").alias("primary"))
 
 
-def similar_pairs(events: DataFrame, least: float, days: int) -> DataFrame:
-    """left, right, sim: events of one group and type that start within ``days`` of each other and whose descriptions have a cosine of words of at least ``least``.
+def _similar(f: pd.DataFrame, least: float, days: int) -> pd.DataFrame:
+    """left, right, shared, ls, rs, n: pairs of a block of events with another one (or itself) whose cosine may be ``least``, by shared words and numbers of words, as products of matrices.
 
-    events: event_id, grp, event_type, event_date_start, event_description. Words meet on group, type and a slot of days, so what is compared is
-    the events of one firm and type in three slots.
+    Events alike in all are one, ``n`` counts the pairs of events that a pair stands for.
     """
-    e = events.where("event_date_start is not null").select("event_id", "grp", "event_type", "event_date_start", F.array_distinct(F.regexp_extract_all(F.lower("event_description"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
-    e = e.withColumn("size", F.size("w")).withColumn("slot", F.floor(F.datediff("event_date_start", F.lit("1970-01-01").cast("date")) / (days + 1)))
-    words = e.select("event_id", "grp", "event_type", "slot", "size", F.col("event_date_start").alias("day"), F.explode("w").alias("word"))
-    left = words.toDF("left", "grp", "event_type", "at", "ls", "ld", "word").withColumn("slot", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1))).drop("at")
-    right = words.toDF("right", "grp", "event_type", "slot", "rs", "rd", "word")
-    met = left.join(right, ["grp", "event_type", "slot", "word"]).where((F.col("left") < F.col("right")) & (F.abs(F.datediff("ld", "rd")) <= days))
-    sims = met.groupBy("left", "right").agg(F.round(F.count("*") / F.sqrt(F.first("ls").cast("double") * F.first("rs")), 6).alias("sim"))
-    return sims.where(F.col("sim") >= least)
+    x, y = f["x"].iloc[0], f["y"].iloc[0]
+    f = f.sort_values("event_id")
+    alike = f.groupby(["words", "like", "day"], sort=False).ngroup().to_numpy()
+    f, n = f[~pd.Series(alike, index=f.index).duplicated()], np.bincount(alike)
+    words = f["words"].str.split(" ").to_numpy()
+    size = np.array([len(w) for w in words])
+    code = pd.factorize(np.concatenate(words))[0]
+    # Words of one event only are in no pair.
+    kept = np.bincount(code)[code] > 1
+    used, at = np.unique(code[kept], return_inverse=True)
+    a = np.zeros((len(f), len(used)), dtype=np.float32)
+    a[np.repeat(np.arange(len(f)), size)[kept], at] = 1
+    guest, b, day, ids = (f[c].to_numpy() for c in ("guest", "b", "day", "event_id"))
+    root = np.sqrt(size).astype(np.float32)
+    meetings = [(np.flatnonzero(~guest), np.arange(len(f)))] if x == y else [(np.flatnonzero(~guest & (b == x)), np.flatnonzero(b == y)), (np.flatnonzero(~guest & (b == y)), np.flatnonzero(guest & (b == x)))]
+    parts = [(np.flatnonzero(~guest & (n > 1) & (x == y)),) * 2]
+    for mine, others in meetings:
+        other = a[others].T
+        for k in range(0, len(mine), 512):
+            some = mine[k : k + 512]
+            i, j = np.nonzero(a[some] @ other >= np.maximum(np.float32(least - 1e-4) * root[some, None] * root[None, others], np.float32(0.5)))
+            i, j = some[i], others[j]
+            ok = (np.abs(day[i] - day[j]) <= days) & (guest[j] | (i < j) | (x != y))
+            parts.append((i[ok], j[ok]))
+    i, j = (np.concatenate([p[s] for p in parts]) for s in (0, 1))
+    shared = np.array([size[p] if p == q else (a[p] * a[q]).sum() for p, q in zip(i, j)])
+    swap = ids[i] > ids[j]
+    return pd.DataFrame({"left": np.where(swap, ids[j], ids[i]), "right": np.where(swap, ids[i], ids[j]), "shared": shared.astype("int64"), "ls": size[i], "rs": size[j], "n": np.where(i == j, n[i] * (n[i] - 1) // 2, n[i] * n[j])})
+
+
+def similar_pairs(events: DataFrame, least: float, days: int, block: int = 3000) -> DataFrame:
+    """left, right, sim, n: events of one group and type that start within ``days`` of each other and whose descriptions have a cosine of words of at least ``least``.
+
+    events: event_id, grp, ticker, event_type, event_date_start, event_date_end, event_description, metrics, impact. Events alike in all of these and in their words
+    are stood for by the first id, a pair of them by that id on both sides; ``n`` is the number of pairs of events. An event goes to its slot of days and to the
+    next one. A slot of a group and type is compared in a task, as matrices of words, or in blocks of about ``block`` events, every two of which meet in a task.
+    """
+    e = events.where("event_date_start is not null and event_id is not null and grp is not null and event_type is not null")
+    width = days + 1
+    day = F.datediff("event_date_start", F.lit("1970-01-01").cast("date"))
+    slot = F.explode(F.array(F.floor(day / width), F.floor(day / width) + 1)).alias("slot")
+    sizes = written(e.select("grp", "event_type", slot).groupBy("grp", "event_type", "slot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size"), "slots")
+    words = F.array_join(F.array_distinct(F.regexp_extract_all(F.lower("event_description"), F.lit("[a-z0-9]+"), F.lit(0))), " ")
+    told = e.select("event_id", "grp", "event_type", day.alias("day"), words.alias("words"), F.xxhash64("event_date_end", "ticker", "metrics", "impact", X.compared_text("event_description")).alias("like"), slot).where("words <> ''")
+    own = told.join(sizes, ["grp", "event_type", "slot"]).withColumns({"guest": F.floor(F.col("day") / width) < F.col("slot"), "b": F.pmod("like", F.col("blocks")).cast("int")})
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("b", "other"), "y": F.greatest("b", "other")})
+    near = met.select("grp", "event_type", "slot", "x", "y", "event_id", "day", "words", "like", "guest", "b").groupBy("grp", "event_type", "slot", "x", "y").applyInPandas(lambda f: _similar(f, least, days), "left string, right string, shared long, ls long, rs long, n long")
+    return near.select("left", "right", F.round(F.col("shared") / F.sqrt(F.col("ls").cast("double") * F.col("rs")), 6).alias("sim"), "n").where(F.col("sim") >= least)
 
 
 def event_clusters(events: DataFrame, pairs: DataFrame, days: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
     """clusters (cluster_id, representative, size, ticker, event_type, event_date_start, event_date_end, description), members (cluster_id, event_id, is_representative, size) and the accepted pairs.
 
     events: event_id, grp, ticker, event_type, event_date_start, event_date_end, event_description, metrics (array), impact, importance, confidence.
-    Similar pairs (left, right) count if they are compatible; besides, events of one group, type, description, figures and start are one. The representative is
-    the one of greatest confidence, importance and length of description, then of the first id.
+    Similar pairs (left, right, and n if a pair stands for n pairs of events alike) count if they are compatible; besides, events of one group, type, description, figures and start are one.
+    The representative is the one of greatest confidence, importance and length of description, then of the first id.
     """
-    e = events.where("event_id is not null")
-    facts = F.struct("event_date_start", "event_date_end", "metrics", "impact", "ticker", "grp", "event_type")
+    exact = F.unhex(F.md5(F.to_json(F.struct("grp", "event_type", X.compared_text("event_description").alias("d"), F.array_join("metrics", "|").alias("m"), F.coalesce(F.col("event_date_start").cast("string"), F.lit("")).alias("s"))).cast("binary")))
+    e = events.where("event_id is not null").withColumn("exact", exact)
+    facts = F.struct("event_date_start", "event_date_end", "metrics", "impact", "ticker", "grp", "event_type", "exact")
     side = lambda c, s: e.select(F.col("event_id").alias(c), facts.alias(s))
-    met = pairs.select("left", "right").join(side("left", "x"), "left").join(side("right", "y"), "right")
+    met = pairs.select("left", "right", *(["n"] if "n" in pairs.columns else [F.lit(1).cast("long").alias("n")])).join(side("left", "x"), "left").join(side("right", "y"), "right")
     same = lambda c: (F.col(f"x.{c}") == "") | (F.col(f"y.{c}") == "") | (F.col(f"x.{c}") == F.col(f"y.{c}"))
-    accepted = met.where((F.col("x.event_type") == F.col("y.event_type")) & same("ticker") & same("grp") & compatible("x", "y", days)).select("left", "right")
+    accepted = met.where((F.col("x.event_type") == F.col("y.event_type")) & same("ticker") & same("grp") & compatible("x", "y", days)).select("left", "right", "n", F.col("x.exact").alias("le"), F.col("y.exact").alias("re"))
     accepted = written(accepted, "accepted")
-    exact = F.sha2(F.to_json(F.struct("grp", "event_type", X.compared_text("event_description").alias("d"), F.array_join("metrics", "|").alias("m"), F.coalesce(F.col("event_date_start").cast("string"), F.lit("")).alias("s"))), 256)
-    ties = accepted.union(e.select(F.concat(F.lit("\u0001"), exact), "event_id"))
-    parts = connected_components(ties).toDF("event_id", "part").where(~F.col("event_id").startswith("\u0001"))
-    own = written(e.join(parts, "event_id"), "event_parts")
+    tied = connected_components(accepted.select("le", "re")).toDF("exact", "part")
+    repeated = e.groupBy("exact").agg(F.count("*").alias("copies")).where("copies > 1")
+    linked = written(repeated.join(tied, "exact", "full").select("exact", F.coalesce("part", "exact").alias("part")), "linked")
+    own = e.join(linked, "exact", "left")
     order = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), (-F.coalesce("importance", F.lit(1))).alias("i"), (-F.length(X.clean("event_description"))).alias("l"), F.col("event_id").alias("e"))
-    best = F.min_by(F.struct("event_id", "ticker", "event_type", "event_date_start", "event_date_end", "event_description"), order).alias("r")
-    grouped = own.groupBy("part").agg(best, F.count("*").alias("size"), F.array_sort(F.collect_list("event_id")).alias("ids"))
-    cluster_id = F.concat(F.lit("EVTC_"), X.short_sha1(F.concat_ws("|", "ids"), 18))
-    whole = written(grouped.select("part", cluster_id.alias("cluster_id"), "size", "r"), "event_clusters")
+    kept = F.struct("event_id", "ticker", "event_type", "event_date_start", "event_date_end", "event_description")
+    grouped = written(own.where("part is not null").groupBy("part").agg(F.min_by(kept, order).alias("r"), F.count("*").alias("size"), F.array_sort(F.collect_list("event_id")).alias("ids")), "event_clusters")
+    # An event that nothing is tied to is a cluster as it stands.
+    single = own.where("part is null").select(kept.alias("r"), F.lit(1).cast("long").alias("size"), F.array("event_id").alias("ids"))
+    whole = grouped.drop("part").unionByName(single).select("size", "r", "ids", F.concat(F.lit("EVTC_"), X.short_sha1(F.concat_ws("|", "ids"), 18)).alias("cluster_id"))
     clusters = whole.select("cluster_id", F.col("r.event_id").alias("representative"), "size", "r.ticker", "r.event_type", "r.event_date_start", "r.event_date_end", F.col("r.event_description").alias("description"))
-    members = own.select("event_id", "part").join(whole, "part").select("cluster_id", "event_id", (F.col("event_id") == F.col("r.event_id")).alias("is_representative"), "size")
-    return clusters, members, accepted
+    members = whole.select("cluster_id", F.explode("ids").alias("event_id"), F.col("r.event_id").alias("first"), "size").select("cluster_id", "event_id", (F.col("event_id") == F.col("first")).alias("is_representative"), "size")
+    return clusters, members, accepted.select("left", "right", "n")
 
 
 def cluster_edges(entities: tuple[DataFrame, DataFrame], events: tuple[DataFrame, DataFrame], primary: DataFrame, impacts: DataFrame | None = None, metrics: DataFrame | None = None) -> DataFrame:
@@ -164,14 +215,14 @@ def cluster_edges(entities: tuple[DataFrame, DataFrame], events: tuple[DataFrame
 
 
 def fusion_report(entities: tuple[DataFrame, DataFrame], events: tuple[DataFrame, DataFrame], considered: DataFrame, accepted: DataFrame) -> DataFrame:
-    """One row of counters of events, clusters, members, mentions and pairs."""
+    """One row of counters of events, clusters, members, mentions and pairs (a row of which stands for n)."""
     c, m = events
     k, n = entities
     one = [
         c.agg(F.sum("size").alias("event_count"), F.count("*").alias("event_cluster_count"), F.count_if(F.col("size") > 1).alias("event_multi_member_cluster_count")),
         m.agg(F.count_if(F.col("size") > 1).alias("event_fused_member_count")), n.agg(F.count("*").alias("entity_mention_count")),
         k.agg(F.count("*").alias("entity_cluster_count"), F.count_if(F.col("mentions") > 1).alias("entity_multi_member_cluster_count")),
-        considered.agg(F.count("*").alias("event_pairs_considered")), accepted.agg(F.count("*").alias("event_pairs_accepted")),
+        considered.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("event_pairs_considered")), accepted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("event_pairs_accepted")),
     ]
     # Rows of one, each.
     return reduce(lambda x, y: x.crossJoin(F.broadcast(y)), one)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from loomgraph.functions import text as X
 from loomgraph.operators import components, dedup, fusion, graph, similarity, temporal
 from loomgraph.plans import tables as T
-from loomgraph.scratch import written
+from loomgraph.scratch import drop_written, written
 
 DAYS, HOPS = 2, 3
 
@@ -191,11 +191,13 @@ def _registry(spark, d):
     return T.table(spark, d, "companies").select("ticker", "company", F.from_json("aliases_json", "array<string>").alias("aliases"))
 
 
-def _mentions(spark, d):
-    e = T.graph_events(spark, d)
+def _mentions(spark, d, events=None):
+    e = T.graph_events(spark, d) if events is None else events
     main = e.where("ticker <> ''").join(F.broadcast(_registry(spark, d).select("ticker", "company")), "ticker").select("event_id", F.col("company").alias("text"), "ticker", F.lit("main_company").alias("source"))
-    named = T.nodes(spark, d).select(F.col("node_id").alias("target"), "name", F.col("ticker").alias("hint"))
-    links = T.edges(spark, d).where("edge_type = 'MENTIONS_ENTITY' and event_id is not null").select("event_id", "target").distinct()
+    links = written(T.edges(spark, d).where("edge_type = 'MENTIONS_ENTITY' and event_id is not null").select("event_id", "target").distinct(), "links")
+    # Nodes whose ids begin as no target does are left out before they are shuffled.
+    starts = written(links.select(F.substring("target", 1, 6).alias("start")).distinct(), "starts")
+    named = T.nodes(spark, d).join(starts, F.substring("node_id", 1, 6) == F.col("start"), "left_semi").select(F.col("node_id").alias("target"), "name", F.col("ticker").alias("hint"))
     typed = links.join(named, "target").select("event_id", F.col("name").alias("text"), F.col("hint").alias("ticker"), F.lit("mentioned_entity").alias("source"))
     return fusion.entity_mentions(main.union(typed), _registry(spark, d))
 
@@ -210,10 +212,12 @@ def entity_fusion(spark, d):
 
 def _fused(spark, d):
     """Entity clusters and members, event clusters, members, accepted pairs, similar pairs and primary clusters."""
-    entities = fusion.entity_clusters(_mentions(spark, d), _registry(spark, d))
+    told = written(T.graph_events(spark, d).drop("article_id"), "told")
+    entities = fusion.entity_clusters(_mentions(spark, d, told), _registry(spark, d))
     primary = fusion.primary_clusters(entities[1])
-    e = T.graph_events(spark, d).join(primary, "event_id", "left").withColumns({"grp": F.coalesce("primary", "ticker"), "event_date_start": F.col("date"), "event_date_end": F.col("date")})
+    e = told.join(primary, "event_id", "left").withColumns({"grp": F.coalesce("primary", "ticker"), "event_date_start": F.col("date"), "event_date_end": F.col("date")})
     e = written(e.drop("primary", "date"), "graph_events")
+    drop_written(told)
     pairs = written(fusion.similar_pairs(e, 0.75, 7), "similar")
     clusters, members, accepted = fusion.event_clusters(e, pairs)
     return entities, (clusters, members), accepted, pairs, primary

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import dedup, graph
+from loomgraph.operators import components, dedup, fusion, graph
 from loomgraph.plans import graph_queries, record_queries, series_queries
 from loomgraph.streaming import news
 
@@ -75,3 +75,49 @@ def test_message_passing_sums_every_position(spark):
         want |= {(dst, k): sum((1 + r.id % 3) * r.v[k] for r in own) / scale for k in range(len(own[0].v))}
     got = {(r.dst, r.pos): r.x for r in graph_queries.message_passing(spark, d).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def _events(spark, rows):
+    day = lambda n: None if n is None else dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    kind = "event_id string, grp string, ticker string, event_type string, event_date_start date, event_date_end date, event_description string, metrics array<string>, impact double, importance int, confidence double"
+    return spark.createDataFrame([(i, "G", t, k, day(d), day(d), text, [], 0.1, 1, 0.5) for i, t, k, d, text in rows], kind)
+
+
+def test_copies_of_an_event_are_a_pair_that_stands_for_all(spark):
+    rows = [(f"c{i:03}", "A", "view", 0, "Sales of the unit rose.") for i in range(300)] + [("d", "B", "view", 7, "sales of the unit rose today"), ("e", "A", "view", 15, "sales of the unit rose"), ("f", "A", "view", None, "sales of the unit rose"), ("g", "A", "view", 0, "!")]
+    e = _events(spark, rows)
+    pairs = fusion.similar_pairs(e, 0.75, 7)
+    got = {(r.left, r.right): (r.n, r.sim) for r in pairs.collect()}
+    assert got == {("c000", "c000"): (300 * 299 // 2, 1.0), ("c000", "d"): (300, 0.912871)}
+
+
+def test_blocks_of_a_slot_find_the_pairs_of_brute_force(spark):
+    import itertools
+    import random
+
+    r = random.Random(5)
+    rows = [(f"e{i:03}", "A", r.choice(["view", "click"]), r.randrange(40), " ".join(r.sample(["up", "by", "rate", "loss", "gain", "unit"], r.randrange(1, 6)))) for i in range(150)]
+    want = 0
+    for x, y in itertools.combinations(rows, 2):
+        a, b = set(x[4].split()), set(y[4].split())
+        want += x[2] == y[2] and abs(x[3] - y[3]) <= 7 and round(len(a & b) / (len(a) * len(b)) ** 0.5, 6) >= 0.75
+    for block in (4, 3000):
+        assert fusion.similar_pairs(_events(spark, rows), 0.75, 7, block).agg(F.sum("n")).first()[0] == want
+
+
+def test_clusters_and_members_of_copies_and_near_events(spark):
+    rows = [(f"c{i:03}", "A", "view", 0, "Sales of the unit rose.") for i in range(300)] + [("d", "A", "view", 7, "sales of the unit rose today"), ("e", "A", "view", 15, "sales of the unit rose"), ("f", "B", "view", 0, "sales of the unit rose today")]
+    e = _events(spark, rows)
+    clusters, members, accepted = fusion.event_clusters(e, fusion.similar_pairs(e, 0.75, 7))
+    assert {(r.representative, r.size) for r in clusters.collect()} == {("d", 301), ("e", 1), ("f", 1)}
+    assert members.count() == 303 and {r.event_id for r in members.where("is_representative").collect()} == {"d", "e", "f"}
+    assert {(r.left, r.right): r.n for r in accepted.collect()} == {("c000", "c000"): 44850, ("c000", "d"): 300}
+
+
+def test_small_components_end_in_one_task(spark, monkeypatch):
+    pairs = spark.createDataFrame([(f"v{i:04}", f"v{i + 1:04}") for i in range(400) if i != 200], "a string, b string")
+    names = []
+    real = components.written
+    monkeypatch.setattr(components, "written", lambda df, name: names.append(name) or real(df, name))
+    got = components.connected_components(pairs).groupBy("component").count().collect()
+    assert {(r.component, r["count"]) for r in got} == {("v0000", 201), ("v0201", 200)} and len(names) == 2
