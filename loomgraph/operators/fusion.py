@@ -200,18 +200,23 @@ def cluster_edges(entities: tuple[DataFrame, DataFrame], events: tuple[DataFrame
         edge(vc, day("event_date_start"), "CLUSTER_OCCURRED_ON"), edge(vc, F.when(F.col("event_date_end") != F.col("event_date_start"), day("event_date_end")), "CLUSTER_PERIOD_END"),
         edge(vc, F.when(F.col("ticker") != "", F.concat(F.lit("company_ticker:"), "ticker")), F.concat(F.lit("CLUSTER_"), X.company_relation(F.col("event_type")))),
     )
-    parts = [
-        mentions.select(F.inline(F.array(edge(node, ec, "FUSED_INTO_ENTITY_CLUSTER"), edge(F.when(F.col("is_representative"), ec), node, "CANONICAL_ENTITY_REPRESENTS"), edge(e("event_id"), ec, "MENTIONS_ENTITY_CLUSTER")))),
+    # Edges of a cluster and its own members are there once; only the others are made distinct.
+    once = [
         members.select(F.inline(F.array(edge(e("event_id"), vc, "FUSED_INTO_EVENT_CLUSTER"), edge(F.when(F.col("is_representative"), vc), e("event_id"), "CANONICAL_EVENT_REPRESENTS")))),
-        clusters.select(F.inline(about)),
         members.where("is_representative").join(primary, "event_id").select(F.inline(F.array(edge(vc, F.concat(F.lit("entity_cluster:"), "primary"), "CLUSTER_INVOLVES_ENTITY_CLUSTER")))),
     ]
+    parts = [
+        mentions.select(F.inline(F.array(edge(node, ec, "FUSED_INTO_ENTITY_CLUSTER"), edge(F.when(F.col("is_representative"), ec), node, "CANONICAL_ENTITY_REPRESENTS"), edge(e("event_id"), ec, "MENTIONS_ENTITY_CLUSTER")))),
+    ]
+    (once if impacts is None else parts).append(clusters.select(F.inline(about)))
     if metrics is not None:
         parts.append(members.join(metrics, "event_id").select(F.inline(F.array(edge(vc, F.concat(F.lit("metric:"), X.short_sha1(F.lower("metric"), 18)), "CLUSTER_MENTIONS_METRIC")))))
     if impacts is not None:
         told = F.concat(F.lit("CLUSTER_"), X.impact_relation(F.col("impact")))
         parts.append(members.join(impacts, "event_id").select(F.inline(F.array(edge(vc, F.concat(F.lit("company_ticker:"), "anchor"), told, X.impact_score(F.col("direction")))))))
-    return reduce(DataFrame.unionByName, parts).where("source is not null and target is not null").groupBy("source", "target", "edge_type").agg(F.max("weight").alias("weight"))
+    whole = "source is not null and target is not null"
+    distinct = reduce(DataFrame.unionByName, parts).where(whole).groupBy("source", "target", "edge_type").agg(F.max("weight").alias("weight"))
+    return reduce(DataFrame.unionByName, [distinct, *[p.where(whole) for p in once]])
 
 
 def fusion_report(entities: tuple[DataFrame, DataFrame], events: tuple[DataFrame, DataFrame], considered: DataFrame, accepted: DataFrame) -> DataFrame:
