@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as X
 from loomgraph.operators.components import connected_components
 from loomgraph.operators.dedup import compatible
-from loomgraph.scratch import drop_written, written
+from loomgraph.scratch import drop_written, written, written_by
 
 
 def registry_keys(registry: DataFrame) -> DataFrame:
@@ -33,11 +33,12 @@ def entity_mentions(rows: DataFrame, registry: DataFrame) -> DataFrame:
 
     The ticker is that of the first of the name's keys that the registry knows, else the given one.
     """
-    base = rows.select(F.trim("event_id").alias("event_id"), X.clean("text").alias("text"), X.ticker_symbol("ticker").alias("given"), "source").where("text <> '' and event_id is not null")
+    base = written(rows.select(F.trim("event_id").alias("event_id"), X.clean("text").alias("text"), X.ticker_symbol("ticker").alias("given"), "source").where("text <> '' and event_id is not null"), "said")
     texts = base.select("text").distinct().select("text", X.entity_name("text").alias("name"), X.resolution_keys(F.col("text"), F.lit("")).alias("names"))
     texts = written(texts, "texts")
     anchors = texts.select("text", F.posexplode("names").alias("pos", "key")).join(registry_keys(registry), "key").groupBy("text").agg(F.min_by("anchor", "pos").alias("anchor"))
     known = written(texts.join(anchors, "text", "left"), "known_texts")
+    drop_written(texts)
     out = base.join(known, "text").withColumn("ticker", F.coalesce("anchor", "given")).where("name <> '' or ticker <> ''")
     one = out.groupBy("event_id", F.lower("text").alias("low"), "ticker", "source").agg(F.min(F.struct("text", "name", "names")).alias("x")).select("event_id", "x.text", "x.name", "x.names", "ticker", "source")
     names = F.filter(F.array_distinct(F.concat("names", X.resolution_keys(F.lit(""), F.col("ticker")))), lambda k: F.length(k) > 1)
@@ -57,13 +58,15 @@ def _majority(values: DataFrame, *by: str) -> DataFrame:
     return n.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.length("name")).alias("l"), F.lower("name").alias("low"), "name"))["name"].alias("name"))
 
 
-def entity_clusters(mentions: DataFrame, registry: DataFrame, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def entity_clusters(mentions: DataFrame, registry: DataFrame, pairs: DataFrame | None = None, rows: int = 0) -> tuple[DataFrame, DataFrame]:
     """clusters (cluster_id, name, ticker, mentions, events) and members (cluster_id, mention_id, event_id, source, is_representative, size).
 
     Mentions are one cluster if they share a key or a ticker, or are tied by compatible pairs (left, right: mention ids).
-    The name is that of the commonest ticker's firm, else the commonest one among the mentions.
+    The name is that of the commonest ticker's firm, else the commonest one among the mentions. ``rows``: about how many mentions there
+    are, if it is known; many are written in parts.
     """
-    mentions = written(mentions.withColumn("key", F.get("keys", F.lit(0))).where("key is not null"), "mentions")
+    every = mentions.withColumn("key", F.get("keys", F.lit(0))).where("key is not null")
+    mentions = written_by(rows, ["event_id"], lambda part: part(every), "mentions")
     kinds = written(mentions.groupBy("keys", "key", "ticker", "name", "text").agg(F.count("*").alias("n")), "kinds")
     ties = kinds.select("key", F.explode("keys"))
     if pairs is not None:
@@ -133,6 +136,14 @@ def _similar(f: pd.DataFrame, least: float, days: int) -> pd.DataFrame:
     return pd.DataFrame({"left": np.where(swap, ids[j], ids[i]), "right": np.where(swap, ids[i], ids[j]), "shared": shared.astype("int64"), "ls": size[i], "rs": size[j], "n": np.where(i == j, n[i] * (n[i] - 1) // 2, n[i] * n[j])})
 
 
+def with_exact(events: DataFrame) -> DataFrame:
+    """events with the digest that is the same for those of one group, type, description, figures and start, unless they have it already."""
+    if "exact" in events.columns:
+        return events
+    told = F.struct("grp", "event_type", X.compared_text("event_description").alias("d"), F.array_join("metrics", "|").alias("m"), F.coalesce(F.col("event_date_start").cast("string"), F.lit("")).alias("s"))
+    return events.withColumn("exact", F.unhex(F.md5(F.to_json(told).cast("binary"))))
+
+
 def similar_pairs(events: DataFrame, least: float, days: int, block: int = 3000) -> DataFrame:
     """left, right, sim, n: events of one group and type that start within ``days`` of each other and whose descriptions have a cosine of words of at least ``least``.
 
@@ -140,17 +151,27 @@ def similar_pairs(events: DataFrame, least: float, days: int, block: int = 3000)
     are stood for by the first id, a pair of them by that id on both sides; ``n`` is the number of pairs of events. An event goes to its slot of days and to the
     next one. A slot of a group and type is compared in a task, as matrices of words, or in blocks of about ``block`` events, every two of which meet in a task.
     """
-    e = events.where("event_date_start is not null and event_id is not null and grp is not null and event_type is not null")
+    e = with_exact(events).where("event_date_start is not null and event_id is not null and grp is not null and event_type is not null")
     width = days + 1
     day = F.datediff("event_date_start", F.lit("1970-01-01").cast("date"))
     slot = F.explode(F.array(F.floor(day / width), F.floor(day / width) + 1)).alias("slot")
     sizes = written(e.select("grp", "event_type", slot).groupBy("grp", "event_type", "slot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size"), "slots")
     words = F.array_join(F.array_distinct(F.regexp_extract_all(F.lower("event_description"), F.lit("[a-z0-9]+"), F.lit(0))), " ")
-    told = e.select("event_id", "grp", "event_type", day.alias("day"), words.alias("words"), F.xxhash64("event_date_end", "ticker", "metrics", "impact", X.compared_text("event_description")).alias("like"), slot).where("words <> ''")
-    own = told.join(sizes, ["grp", "event_type", "slot"]).withColumns({"guest": F.floor(F.col("day") / width) < F.col("slot"), "b": F.pmod("like", F.col("blocks")).cast("int")})
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("b", "other"), "y": F.greatest("b", "other")})
-    near = met.select("grp", "event_type", "slot", "x", "y", "event_id", "day", "words", "like", "guest", "b").groupBy("grp", "event_type", "slot", "x", "y").applyInPandas(lambda f: _similar(f, least, days), "left string, right string, shared long, ls long, rs long, n long")
-    return near.select("left", "right", F.round(F.col("shared") / F.sqrt(F.col("ls").cast("double") * F.col("rs")), 6).alias("sim"), "n").where(F.col("sim") >= least)
+    by = ["grp", "event_type", "slot"]
+    # Parts are stretches of slots, so that the words of few events are made for two of them.
+    stretch = lambda c: F.floor(c / 16)
+    first = F.floor(day / width)
+    like = F.xxhash64("event_date_end", "ticker", "metrics", "impact", "exact").alias("like")
+    placed = e.withColumn("stretch", F.explode(F.array_distinct(F.array(stretch(first), stretch(first + 1))))).where(F.lower("event_description").rlike("[a-z0-9]"))
+
+    def near(part):
+        told = part(placed).select("event_id", "grp", "event_type", "stretch", day.alias("day"), words.alias("words"), like, slot).where(stretch(F.col("slot")) == F.col("stretch")).drop("stretch")
+        own = told.join(sizes, by).withColumns({"guest": F.floor(F.col("day") / width) < F.col("slot"), "b": F.pmod("like", F.col("blocks")).cast("int")})
+        met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("b", "other"), "y": F.greatest("b", "other")})
+        found = met.select(*by, "x", "y", "event_id", "day", "words", "like", "guest", "b").groupBy(*by, "x", "y").applyInPandas(lambda f: _similar(f, least, days), "left string, right string, shared long, ls long, rs long, n long")
+        return found.select("left", "right", F.round(F.col("shared") / F.sqrt(F.col("ls").cast("double") * F.col("rs")), 6).alias("sim"), "n").where(F.col("sim") >= least)
+
+    return written_by(2 * events.count(), ["grp", "event_type", "stretch"], near, "similar")
 
 
 def event_clusters(events: DataFrame, pairs: DataFrame, days: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -160,21 +181,27 @@ def event_clusters(events: DataFrame, pairs: DataFrame, days: int = 7) -> tuple[
     Similar pairs (left, right, and n if a pair stands for n pairs of events alike) count if they are compatible; besides, events of one group, type, description, figures and start are one.
     The representative is the one of greatest confidence, importance and length of description, then of the first id.
     """
-    exact = F.unhex(F.md5(F.to_json(F.struct("grp", "event_type", X.compared_text("event_description").alias("d"), F.array_join("metrics", "|").alias("m"), F.coalesce(F.col("event_date_start").cast("string"), F.lit("")).alias("s"))).cast("binary")))
-    e = events.where("event_id is not null").withColumn("exact", exact)
+    e = with_exact(events).where("event_id is not null")
     facts = F.struct("event_date_start", "event_date_end", "metrics", "impact", "ticker", "grp", "event_type", "exact")
-    side = lambda c, s: e.select(F.col("event_id").alias(c), facts.alias(s))
+    rows = events.count()
+    ids = written(pairs.select("left").union(pairs.select("right")).distinct().toDF("event_id"), "similar_ids")
+    met_facts = written_by(rows, ["event_id"], lambda part: part(e).join(part(ids), "event_id", "left_semi").select("event_id", facts.alias("x")), "similar_facts")
+    side = lambda c, s: met_facts.toDF(c, s)
     met = pairs.select("left", "right", *(["n"] if "n" in pairs.columns else [F.lit(1).cast("long").alias("n")])).join(side("left", "x"), "left").join(side("right", "y"), "right")
     same = lambda c: (F.col(f"x.{c}") == "") | (F.col(f"y.{c}") == "") | (F.col(f"x.{c}") == F.col(f"y.{c}"))
     accepted = met.where((F.col("x.event_type") == F.col("y.event_type")) & same("ticker") & same("grp") & compatible("x", "y", days)).select("left", "right", "n", F.col("x.exact").alias("le"), F.col("y.exact").alias("re"))
     accepted = written(accepted, "accepted")
+    drop_written(met_facts)
     tied = connected_components(accepted.select("le", "re")).toDF("exact", "part")
     repeated = e.groupBy("exact").agg(F.count("*").alias("copies")).where("copies > 1")
     linked = written(repeated.join(tied, "exact", "full").select("exact", F.coalesce("part", "exact").alias("part")), "linked")
     own = e.join(linked, "exact", "left")
     order = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), (-F.coalesce("importance", F.lit(1))).alias("i"), (-F.length(X.clean("event_description"))).alias("l"), F.col("event_id").alias("e"))
-    kept = F.struct("event_id", "ticker", "event_type", "event_date_start", "event_date_end", "event_description")
-    grouped = written(own.where("part is not null").groupBy("part").agg(F.min_by(kept, order).alias("r"), F.count("*").alias("size"), F.array_sort(F.collect_list("event_id")).alias("ids")), "event_clusters")
+    kept_columns = ["event_id", "ticker", "event_type", "event_date_start", "event_date_end", "event_description"]
+    kept = F.struct(*kept_columns)
+    tied_events = written_by(rows, ["event_id"], lambda part: part(e).join(linked, "exact").select("part", *kept_columns, "confidence", "importance"), "tied_events")
+    grouped = written(tied_events.groupBy("part").agg(F.min_by(kept, order).alias("r"), F.count("*").alias("size"), F.array_sort(F.collect_list("event_id")).alias("ids")), "event_clusters")
+    drop_written(tied_events)
     # An event that nothing is tied to is a cluster as it stands.
     single = own.where("part is null").select(kept.alias("r"), F.lit(1).cast("long").alias("size"), F.array("event_id").alias("ids"))
     whole = grouped.drop("part").unionByName(single).select("size", "r", "ids", F.concat(F.lit("EVTC_"), X.short_sha1(F.concat_ws("|", "ids"), 18)).alias("cluster_id"))

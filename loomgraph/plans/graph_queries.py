@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from loomgraph.functions import text as X
 from loomgraph.operators import components, dedup, fusion, graph, similarity, temporal
 from loomgraph.plans import tables as T
-from loomgraph.scratch import drop_written, written
+from loomgraph.scratch import drop_written, written, written_by
 
 DAYS, HOPS = 2, 3
 
@@ -199,7 +199,10 @@ def _mentions(spark, d, events=None):
     starts = written(links.select(F.substring("target", 1, 6).alias("start")).distinct(), "starts")
     named = T.nodes(spark, d).join(starts, F.substring("node_id", 1, 6) == F.col("start"), "left_semi").select(F.col("node_id").alias("target"), "name", F.col("ticker").alias("hint"))
     typed = links.join(named, "target").select("event_id", F.col("name").alias("text"), F.col("hint").alias("ticker"), F.lit("mentioned_entity").alias("source"))
-    return fusion.entity_mentions(main.union(typed), _registry(spark, d))
+    mentions = fusion.entity_mentions(main.union(typed), _registry(spark, d))
+    for t in (links, starts):
+        drop_written(t)
+    return mentions
 
 
 def entity_mentions(spark, d):
@@ -213,12 +216,17 @@ def entity_fusion(spark, d):
 def _fused(spark, d):
     """Entity clusters and members, event clusters, members, accepted pairs, similar pairs and primary clusters."""
     told = written(T.graph_events(spark, d).drop("article_id"), "told")
-    entities = fusion.entity_clusters(_mentions(spark, d, told), _registry(spark, d))
+    rows = told.count()
+    entities = fusion.entity_clusters(_mentions(spark, d, told), _registry(spark, d), rows=rows)
     primary = fusion.primary_clusters(entities[1])
-    e = told.join(primary, "event_id", "left").withColumns({"grp": F.coalesce("primary", "ticker"), "event_date_start": F.col("date"), "event_date_end": F.col("date")})
-    e = written(e.drop("primary", "date"), "graph_events")
+
+    def grouped(part):
+        e = part(told).join(part(primary), "event_id", "left").withColumns({"grp": F.coalesce("primary", "ticker"), "event_date_start": F.col("date"), "event_date_end": F.col("date")})
+        return fusion.with_exact(e.drop("primary", "date"))
+
+    e = written_by(rows, ["event_id"], grouped, "graph_events")
     drop_written(told)
-    pairs = written(fusion.similar_pairs(e, 0.75, 7), "similar")
+    pairs = fusion.similar_pairs(e, 0.75, 7)
     clusters, members, accepted = fusion.event_clusters(e, pairs)
     return entities, (clusters, members), accepted, pairs, primary
 

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+PART_ROWS, MOST_PARTS = 250_000, 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,13 +40,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Unlike ``checkpoint()`` it doesn't compute its last stage twice, and a lost
     executor costs nothing, as the files aren't on it. The table goes when the application ends.
+    What was shuffled for it goes as soon as it is written, not when the driver happens to collect its garbage.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    fs, where = _fs(spark, path)
-    fs.deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written([df], name)
+
+
+def written_by(rows: int, key: list[str], part: Callable[[Callable[[DataFrame], DataFrame]], DataFrame], name: str) -> DataFrame:
+    """A table written in parts, so that only the shuffles of one of them are on disk at a time.
+
+    part makes what comes of a part of the rows; it is given the filter that takes the part's rows of a table, by a hash of ``key``.
+    There is a part for each ``PART_ROWS`` of ``rows``, ``MOST_PARTS`` at most.
+    """
+    n = max(1, min(MOST_PARTS, -(-rows // PART_ROWS)))
+    return _written((part(lambda df, k=k: df if n == 1 else df.where(F.pmod(F.xxhash64(*key), F.lit(n)) == k)) for k in range(n)), name)
+
+
+def _written(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    folder = uuid.uuid4().hex
+    paths = []
+    for df in parts:
+        spark = df.sparkSession
+        paths.append(f"{shared_dir(spark)}/{name}-{folder}-{len(paths)}")
+        fs, where = _fs(spark, paths[-1])
+        fs.deleteOnExit(where)
+        before = spark.conf.get(CLEANUP)
+        spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(paths[-1])
+        finally:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(*paths)
 
 
 def drop_written(df: DataFrame) -> None:

@@ -1,9 +1,11 @@
 """Queries and operators over the whole of what they stand for, where they once left some of it out."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
+from loomgraph import scratch
 from loomgraph.operators import components, dedup, fusion, graph
 from loomgraph.plans import graph_queries, record_queries, series_queries
 from loomgraph.streaming import news
@@ -121,3 +123,31 @@ def test_small_components_end_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(components, "written", lambda df, name: names.append(name) or real(df, name))
     got = components.connected_components(pairs).groupBy("component").count().collect()
     assert {(r.component, r["count"]) for r in got} == {("v0000", 201), ("v0201", 200)} and len(names) == 2
+
+
+def test_shuffles_of_a_written_table_go_with_it(spark):
+    def files():
+        every = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (every.apply(i).getName() for i in range(every.size())) if n.endswith(".data")}
+
+    before = files()
+    table = scratch.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and table.count() == 7
+
+
+def test_events_compared_and_joined_in_parts_are_those_of_the_whole(spark, monkeypatch):
+    rows = [(f"e{i:03}", "A", ["view", "click"][i % 2], 5 * i % 400, f"sales of unit {i % 9} rose today") for i in range(240)]
+    e = _events(spark, rows)
+
+    def found():
+        pairs = fusion.similar_pairs(e, 0.75, 7)
+        clusters, members, accepted = fusion.event_clusters(e, pairs)
+        return [sorted(map(str, df.collect())) for df in (pairs, clusters, members, accepted)], len({f.rsplit("/", 1)[0] for f in pairs.inputFiles()})
+
+    whole, one = found()
+    monkeypatch.setattr(scratch, "PART_ROWS", 10)
+    parts, four = found()
+    assert parts == whole and (one, four) == (1, 4) and len(whole[0]) > 100
