@@ -247,14 +247,16 @@ def cluster_edges(entities: tuple[DataFrame, DataFrame], events: tuple[DataFrame
 
 
 def fusion_report(entities: tuple[DataFrame, DataFrame], events: tuple[DataFrame, DataFrame], considered: DataFrame, accepted: DataFrame) -> DataFrame:
-    """One row of counters of events, clusters, members, mentions and pairs (a row of which stands for n)."""
-    c, m = events
-    k, n = entities
+    """One row of counters of events, clusters, members, mentions and pairs (a row of which stands for n).
+
+    Members and mentions are summed up from the sizes of their clusters, so they aren't shuffled again.
+    """
+    c, k = events[0], entities[0]
+    total = lambda column: F.coalesce(F.sum(column), F.lit(0))
     one = [
-        c.agg(F.sum("size").alias("event_count"), F.count("*").alias("event_cluster_count"), F.count_if(F.col("size") > 1).alias("event_multi_member_cluster_count")),
-        m.agg(F.count_if(F.col("size") > 1).alias("event_fused_member_count")), n.agg(F.count("*").alias("entity_mention_count")),
-        k.agg(F.count("*").alias("entity_cluster_count"), F.count_if(F.col("mentions") > 1).alias("entity_multi_member_cluster_count")),
-        considered.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("event_pairs_considered")), accepted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("event_pairs_accepted")),
+        c.agg(total("size").alias("event_count"), F.count("*").alias("event_cluster_count"), F.count_if(F.col("size") > 1).alias("event_multi_member_cluster_count"), total(F.when(F.col("size") > 1, F.col("size"))).alias("event_fused_member_count")),
+        k.agg(total("mentions").alias("entity_mention_count"), F.count("*").alias("entity_cluster_count"), F.count_if(F.col("mentions") > 1).alias("entity_multi_member_cluster_count")),
+        considered.agg(total("n").alias("event_pairs_considered")), accepted.agg(total("n").alias("event_pairs_accepted")),
     ]
     # Rows of one, each.
     return reduce(lambda x, y: x.crossJoin(F.broadcast(y)), one)

@@ -151,3 +151,10 @@ def test_events_compared_and_joined_in_parts_are_those_of_the_whole(spark, monke
     monkeypatch.setattr(scratch, "PART_ROWS", 10)
     parts, four = found()
     assert parts == whole and (one, four) == (1, 4) and len(whole[0]) > 100
+
+
+def test_fusion_report_counts_members_and_mentions_by_clusters(spark):
+    sizes = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} long")
+    pairs = lambda *n: sizes("n", n)
+    got = fusion.fusion_report((sizes("mentions", [4, 1]), None), (sizes("size", [3, 2, 1, 1]), None), pairs(3, 2), pairs()).first()
+    assert got.asDict() == {"event_count": 7, "event_cluster_count": 4, "event_multi_member_cluster_count": 2, "event_fused_member_count": 5, "entity_mention_count": 5, "entity_cluster_count": 2, "entity_multi_member_cluster_count": 1, "event_pairs_considered": 5, "event_pairs_accepted": 0}
