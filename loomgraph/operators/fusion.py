@@ -108,7 +108,8 @@ def _similar(f: pd.DataFrame, least: float, days: int) -> pd.DataFrame:
     """
     x, y = f["x"].iloc[0], f["y"].iloc[0]
     f = f.sort_values("event_id")
-    alike = f.groupby(["words", "like", "day"], sort=False).ngroup().to_numpy()
+    # Grouping by texts takes longer than all else where a slot has few events.
+    alike = np.arange(len(f)) if f["like"].is_unique else f.groupby(["words", "like", "day"], sort=False).ngroup().to_numpy()
     f, n = f[~pd.Series(alike, index=f.index).duplicated()], np.bincount(alike)
     words = f["words"].str.split(" ").to_numpy()
     size = np.array([len(w) for w in words])
