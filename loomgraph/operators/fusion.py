@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import text as X
 from loomgraph.operators.components import connected_components
 from loomgraph.operators.dedup import compatible
+from loomgraph.operators.graph import edge, followers
 from loomgraph.scratch import drop_written, written, written_by
 
 
@@ -59,7 +60,7 @@ def _majority(values: DataFrame, *by: str) -> DataFrame:
 
 
 def entity_clusters(mentions: DataFrame, registry: DataFrame, pairs: DataFrame | None = None, rows: int = 0) -> tuple[DataFrame, DataFrame]:
-    """clusters (cluster_id, name, ticker, mentions, events) and members (cluster_id, mention_id, event_id, source, is_representative, size).
+    """clusters (cluster_id, name, ticker, mentions, events) and members (cluster_id, mention_id, event_id, source, ticker, name, is_representative, size).
 
     Mentions are one cluster if they share a key or a ticker, or are tied by compatible pairs (left, right: mention ids).
     The name is that of the commonest ticker's firm, else the commonest one among the mentions. ``rows``: about how many mentions there
@@ -92,7 +93,7 @@ def entity_clusters(mentions: DataFrame, registry: DataFrame, pairs: DataFrame |
     clusters = heads.join(events, "part", "left").select("cluster_id", "name", "ticker", "mentions", "events")
     fits = ((F.col("head_ticker") != "") & (F.col("ticker") == F.col("head_ticker"))) | (F.lower("name") == F.lower(X.entity_name("head")))
     first = joined.where(fits).groupBy("part").agg(F.min("mention_id").alias("first"))
-    members = joined.join(first, "part", "left").select("cluster_id", "mention_id", "event_id", "source", "ticker", F.coalesce(F.col("mention_id") == F.col("first"), F.lit(False)).alias("is_representative"), "size")
+    members = joined.join(first, "part", "left").select("cluster_id", "mention_id", "event_id", "source", "ticker", "name", F.coalesce(F.col("mention_id") == F.col("first"), F.lit(False)).alias("is_representative"), "size")
     return clusters, members
 
 
@@ -176,7 +177,7 @@ def similar_pairs(events: DataFrame, least: float, days: int, block: int = 3000)
 
 
 def event_clusters(events: DataFrame, pairs: DataFrame, days: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """clusters (cluster_id, representative, size, ticker, event_type, event_date_start, event_date_end, description), members (cluster_id, event_id, is_representative, size) and the accepted pairs.
+    """clusters (cluster_id, representative, size, ticker, event_type, event_date_start, event_date_end, description), members (cluster_id, event_id, is_representative, size, described: the representative's description where there are several) and the accepted pairs.
 
     events: event_id, grp, ticker, event_type, event_date_start, event_date_end, event_description, metrics (array), impact, importance, confidence.
     Similar pairs (left, right, and n if a pair stands for n pairs of events alike) count if they are compatible; besides, events of one group, type, description, figures and start are one.
@@ -207,44 +208,60 @@ def event_clusters(events: DataFrame, pairs: DataFrame, days: int = 7) -> tuple[
     single = own.where("part is null").select(kept.alias("r"), F.lit(1).cast("long").alias("size"), F.array("event_id").alias("ids"))
     whole = grouped.drop("part").unionByName(single).select("size", "r", "ids", F.concat(F.lit("EVTC_"), X.short_sha1(F.concat_ws("|", "ids"), 18)).alias("cluster_id"))
     clusters = whole.select("cluster_id", F.col("r.event_id").alias("representative"), "size", "r.ticker", "r.event_type", "r.event_date_start", "r.event_date_end", F.col("r.event_description").alias("description"))
-    members = whole.select("cluster_id", F.explode("ids").alias("event_id"), F.col("r.event_id").alias("first"), "size").select("cluster_id", "event_id", (F.col("event_id") == F.col("first")).alias("is_representative"), "size")
+    members = whole.select("cluster_id", F.explode("ids").alias("event_id"), F.col("r.event_id").alias("first"), "size", F.when(F.col("size") > 1, F.col("r.event_description")).alias("described")).select("cluster_id", "event_id", (F.col("event_id") == F.col("first")).alias("is_representative"), "size", "described")
     return clusters, members, accepted.select("left", "right", "n")
 
 
-def cluster_edges(entities: tuple[DataFrame, DataFrame], events: tuple[DataFrame, DataFrame], primary: DataFrame, impacts: DataFrame | None = None, metrics: DataFrame | None = None) -> DataFrame:
-    """source, target, edge_type, weight of the clusters: what is fused into them, what stands for them, and what they are about.
+def _words(c: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
 
-    impacts (event_id, anchor, impact, direction) and metrics (event_id, metric) hold for the cluster of their event.
+
+def cluster_edges(mentions: DataFrame, members: DataFrame, events: DataFrame, articles: DataFrame, impacts: DataFrame) -> DataFrame:
+    """source, target, edge_type, weight, article_id, event_id of the clusters: what is fused into them, what stands for them, what they are about, and which of a ticker's follows which.
+
+    mentions, members: those of ``entity_clusters`` and ``event_clusters``. events: event_id, ticker, event_type, event_date_start, event_date_end, event_description, metrics and primary (its entity
+    cluster). articles: event_id, article_id. impacts: event_id, anchor, relation, weight; they and the metrics hold for the cluster of their event, of several weights that of the first event.
+    An event is fused with the cosine of its words and the representative's as weight, with 1 if they share none.
     """
-    e = lambda c: F.concat(F.lit("event:"), F.col(c))
-    ec, vc = F.concat(F.lit("entity_cluster:"), "cluster_id"), F.concat(F.lit("event_cluster:"), "cluster_id")
+    none = F.lit(None).cast("string")
+    told = ["ticker", "event_type", "event_date_start", "event_date_end", "metrics", "primary"]
+    told_impacts = impacts.groupBy("event_id").agg(F.collect_set(F.struct("anchor", "relation", "weight")).alias("impacts"))
+    x, y = _words("event_description"), _words("described")
+    cosine = F.round(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.sqrt(F.size(x).cast("double") * F.size(y))), 6)
+    similarity = F.when((F.col("size") == 1) | F.col("is_representative"), 1.0).otherwise(F.coalesce(F.nullif(cosine, F.lit(0.0)), F.lit(1.0)))
+    every = written(members, "members")
+
+    def known(part):
+        own = part(every).join(part(events), "event_id").join(part(articles), "event_id", "left").join(part(told_impacts), "event_id", "left")
+        return own.select("cluster_id", "event_id", "is_representative", "size", *told, "article_id", "impacts", similarity.alias("similarity"))
+
+    k = written_by(every.count(), ["event_id"], known, "cluster_events")
+    drop_written(every)
+    node_of = lambda prefix, c: F.when(F.col(c) != "", F.concat(F.lit(prefix), c))
+    e, ec, vc = node_of("event:", "event_id"), F.concat(F.lit("entity_cluster:"), "cluster_id"), F.concat(F.lit("event_cluster:"), "cluster_id")
     day = lambda c: F.concat(F.lit("date:"), F.col(c).cast("string"))
-    edge = lambda s, t, kind, w=1.0: F.struct(s.alias("source"), t.alias("target"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("edge_type"), (w if isinstance(w, Column) else F.lit(w)).alias("weight"))
-    _, mentions = entities
-    clusters, members = events
-    node = F.when(F.col("ticker") != "", F.concat(F.lit("company_ticker:"), "ticker")).otherwise(F.concat(F.lit("mention:"), "mention_id"))
-    about = F.array(
-        edge(vc, F.when(F.col("ticker") != "", F.concat(F.lit("ticker:"), "ticker")), "CLUSTER_INVOLVES_TICKER"), edge(vc, F.when(F.col("event_type") != "", F.concat(F.lit("event_type:"), "event_type")), "CLUSTER_HAS_TYPE"),
-        edge(vc, day("event_date_start"), "CLUSTER_OCCURRED_ON"), edge(vc, F.when(F.col("event_date_end") != F.col("event_date_start"), day("event_date_end")), "CLUSTER_PERIOD_END"),
-        edge(vc, F.when(F.col("ticker") != "", F.concat(F.lit("company_ticker:"), "ticker")), F.concat(F.lit("CLUSTER_"), X.company_relation(F.col("event_type")))),
-    )
-    # Edges of a cluster and its own members are there once; only the others are made distinct.
-    once = [
-        members.select(F.inline(F.array(edge(e("event_id"), vc, "FUSED_INTO_EVENT_CLUSTER"), edge(F.when(F.col("is_representative"), vc), e("event_id"), "CANONICAL_EVENT_REPRESENTS")))),
-        members.where("is_representative").join(primary, "event_id").select(F.inline(F.array(edge(vc, F.concat(F.lit("entity_cluster:"), "primary"), "CLUSTER_INVOLVES_ENTITY_CLUSTER")))),
-    ]
-    parts = [
-        mentions.select(F.inline(F.array(edge(node, ec, "FUSED_INTO_ENTITY_CLUSTER"), edge(F.when(F.col("is_representative"), ec), node, "CANONICAL_ENTITY_REPRESENTS"), edge(e("event_id"), ec, "MENTIONS_ENTITY_CLUSTER")))),
+    about = [
+        edge(vc, node_of("ticker:", "ticker"), "CLUSTER_INVOLVES_TICKER", none, none), edge(vc, node_of("event_type:", "event_type"), "CLUSTER_HAS_TYPE", none, none),
+        edge(vc, day("event_date_start"), "CLUSTER_OCCURRED_ON", none, none), edge(vc, F.when(F.col("event_date_end") != F.col("event_date_start"), day("event_date_end")), "CLUSTER_PERIOD_END", none, none),
+        edge(vc, node_of("company_ticker:", "ticker"), F.concat(F.lit("CLUSTER_"), X.company_relation(F.col("event_type"))), none, none), edge(vc, node_of("entity_cluster:", "primary"), "CLUSTER_INVOLVES_ENTITY_CLUSTER", none, none),
     ]
-    (once if impacts is None else parts).append(clusters.select(F.inline(about)))
-    if metrics is not None:
-        parts.append(members.join(metrics, "event_id").select(F.inline(F.array(edge(vc, F.concat(F.lit("metric:"), X.short_sha1(F.lower("metric"), 18)), "CLUSTER_MENTIONS_METRIC")))))
-    if impacts is not None:
-        told = F.concat(F.lit("CLUSTER_"), X.impact_relation(F.col("impact")))
-        parts.append(members.join(impacts, "event_id").select(F.inline(F.array(edge(vc, F.concat(F.lit("company_ticker:"), "anchor"), told, X.impact_score(F.col("direction")))))))
+    fused = [edge(e, vc, "FUSED_INTO_EVENT_CLUSTER", F.col("article_id"), F.col("event_id"), F.col("similarity")), edge(F.when(F.col("is_representative"), vc), e, "CANONICAL_EVENT_REPRESENTS", none, F.col("event_id"))]
+    low = k.select("cluster_id", "size", F.explode(F.array_distinct(F.transform("metrics", F.lower))).alias("metric"))
+    metric = low.select("size", F.inline(F.array(edge(vc, F.concat(F.lit("metric_mention:"), X.short_sha1(F.nullif("metric", F.lit("")), 18)), "CLUSTER_MENTIONS_METRIC", none, none))))
+    one = F.col("size") == 1
+    named = F.when(F.col("source").isin("main_company", "anchor_impact") & (F.col("name") != ""), F.concat(F.lit("company:"), X.short_sha1(F.lower("name"), 16))).otherwise(F.concat(F.lit("entity:"), X.short_sha1(F.lower("name"), 18)))
+    node = F.coalesce(node_of("company_ticker:", "ticker"), named)
+    mentioned = [edge(node, ec, "FUSED_INTO_ENTITY_CLUSTER", none, none), edge(F.when(F.col("is_representative"), ec), node, "CANONICAL_ENTITY_REPRESENTS", none, none), edge(e, ec, "MENTIONS_ENTITY_CLUSTER", F.col("article_id"), F.col("event_id"))]
+    first = k.where("ticker <> ''").dropna(subset=["event_date_start"]).groupBy("ticker", "cluster_id").agg(F.min("event_date_start").alias("day")).withColumnRenamed("cluster_id", "event_id")
+    after = followers(first, "day", "").select(F.inline(F.array(edge(F.concat(F.lit("event_cluster:"), "source"), F.concat(F.lit("event_cluster:"), "target"), "EVENT_CLUSTER_PRECEDES", none, none))))
+    hit = k.select("cluster_id", "event_id", F.inline("impacts")).select(vc.alias("source"), F.concat(F.lit("company_ticker:"), "anchor").alias("target"), F.concat(F.lit("CLUSTER_"), "relation").alias("edge_type"), "weight", "event_id")
+    order = F.struct("event_id", (-F.abs("weight")).alias("a"), (-F.col("weight")).alias("w"))
+    hits = hit.groupBy("source", "target", "edge_type").agg(F.min_by("weight", order).alias("weight")).select("*", none.alias("article_id"), none.alias("event_id"))
+    # Edges of a cluster and its own members, and of a cluster of one, are there once; only the others are made distinct.
+    once = [k.select(F.inline(F.array(*fused))), k.where("is_representative").select(F.inline(F.array(*about))), metric.where(one).drop("size"), hits]
+    repeated = [mentions.join(articles, "event_id", "left").select(F.inline(F.array(*mentioned))), metric.where(~one).drop("size"), after]
     whole = "source is not null and target is not null"
-    distinct = reduce(DataFrame.unionByName, parts).where(whole).groupBy("source", "target", "edge_type").agg(F.max("weight").alias("weight"))
-    return reduce(DataFrame.unionByName, [distinct, *[p.where(whole) for p in once]])
+    return reduce(DataFrame.unionByName, [*[p.where(whole) for p in once], reduce(DataFrame.unionByName, [p.where(whole) for p in repeated]).distinct()])
 
 
 def fusion_report(entities: tuple[DataFrame, DataFrame], events: tuple[DataFrame, DataFrame], considered: DataFrame, accepted: DataFrame) -> DataFrame:

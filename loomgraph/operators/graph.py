@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 from loomgraph.operators.series import ranked
 
 
-def edge(source: Column, target: Column, kind: str, article: Column, event: Column, weight: float = 1.0) -> Column:
+def edge(source: Column, target: Column, kind: Column | str, article: Column, event: Column, weight: Column | float = 1.0) -> Column:
     return F.struct(source.alias("source"), target.alias("target"), F.lit(kind).alias("edge_type"), F.lit(weight).alias("weight"), article.alias("article_id"), event.alias("event_id"))
 
 
@@ -56,7 +56,7 @@ def event_nodes(events: DataFrame) -> DataFrame:
     return events.select(F.inline(nodes)).where("node_id is not null").distinct()
 
 
-def _followers(events: DataFrame, day: str, kind: str) -> DataFrame:
+def followers(events: DataFrame, day: str, kind: str) -> DataFrame:
     """Each event of a ticker with the next one by (day, event_id).
 
     Within a day by a window of the ticker's day, from a day's last event to the first one of the ticker's next day; so the windows over a ticker hold a row a day.
@@ -70,7 +70,7 @@ def _followers(events: DataFrame, day: str, kind: str) -> DataFrame:
 
 def chronology_edges(events: DataFrame) -> DataFrame:
     """source, target, edge_type: consecutive events of a ticker by (event_date_start, event_id), and by (available_date, event_id); a missing date counts as the earliest."""
-    return _followers(events, "event_date_start", "EVENT_PRECEDES").unionByName(_followers(events, "available_date", "REPORT_PRECEDES"))
+    return followers(events, "event_date_start", "EVENT_PRECEDES").unionByName(followers(events, "available_date", "REPORT_PRECEDES"))
 
 
 def cluster_chronology(members: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from loomgraph.functions import text as X
+from loomgraph.functions import vocabulary as V
 from loomgraph.operators import components, dedup, fusion, graph, similarity, temporal
 from loomgraph.plans import tables as T
 from loomgraph.scratch import drop_written, written, written_by
@@ -214,7 +215,7 @@ def entity_fusion(spark, d):
 
 
 def _fused(spark, d):
-    """Entity clusters and members, event clusters, members, accepted pairs, similar pairs and primary clusters."""
+    """Entity clusters and members, event clusters, members, accepted pairs, similar pairs, and the events with their primary clusters."""
     told = written(T.graph_events(spark, d).drop("article_id"), "told")
     rows = told.count()
     entities = fusion.entity_clusters(_mentions(spark, d, told), _registry(spark, d), rows=rows)
@@ -222,13 +223,13 @@ def _fused(spark, d):
 
     def grouped(part):
         e = part(told).join(part(primary), "event_id", "left").withColumns({"grp": F.coalesce("primary", "ticker"), "event_date_start": F.col("date"), "event_date_end": F.col("date")})
-        return fusion.with_exact(e.drop("primary", "date"))
+        return fusion.with_exact(e.drop("date"))
 
     e = written_by(rows, ["event_id"], grouped, "graph_events")
     drop_written(told)
     pairs = fusion.similar_pairs(e, 0.75, 7)
     clusters, members, accepted = fusion.event_clusters(e, pairs)
-    return entities, (clusters, members), accepted, pairs, primary
+    return entities, (clusters, members), accepted, pairs, e
 
 
 def event_fusion(spark, d):
@@ -236,7 +237,7 @@ def event_fusion(spark, d):
 
 
 def fused_members(spark, d):
-    return _fused(spark, d)[1][1]
+    return _fused(spark, d)[1][1].drop("described")
 
 
 def fusion_report(spark, d):
@@ -245,9 +246,13 @@ def fusion_report(spark, d):
 
 
 def cluster_edges(spark, d):
-    entities, events, _, _, primary = _fused(spark, d)
-    metrics = T.graph_events(spark, d).select("event_id", F.explode("metrics").alias("metric"))
-    return fusion.cluster_edges(entities, events, primary, metrics=metrics).groupBy("edge_type").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"), F.count_distinct("target").alias("targets"))
+    """All edges of the clusters; the impacts are the edges from events to the firms they bear on."""
+    (_, mentions), (_, members), accepted, pairs, e = _fused(spark, d)
+    for t in (accepted, pairs):
+        drop_written(t)
+    hit = T.table(spark, d, "graph_edges").where(F.col("edge_type").isin(*V.IMPACT_RELATIONS.values(), "RELATED_TO_ANCHOR") & F.col("source").startswith("event:") & F.col("target").rlike("^(company_)?ticker:."))
+    impacts = hit.select(F.substring("source", 7, 1000).alias("event_id"), F.upper(F.substring_index("target", ":", -1)).alias("anchor"), F.col("edge_type").alias("relation"), F.coalesce("weight", X.impact_score(F.lit("neutral"))).alias("weight"))
+    return fusion.cluster_edges(mentions, members, e, T.event_articles(spark, d), impacts)
 
 
 def event_duplicates(spark, d):

@@ -93,6 +93,11 @@ EVENTS = """ev AS (
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))"""
 
 
+def event_articles(spark: SparkSession, d: str) -> DataFrame:
+    """event_id, article_id: the first article that reports an event."""
+    return table(spark, d, "graph_edges").where("edge_type = 'REPORTS' and target like 'event:%'").groupBy(F.substring("target", 7, 1000).alias("event_id")).agg(F.min("article_id").alias("article_id"))
+
+
 def graph_events(spark: SparkSession, d: str) -> DataFrame:
     """The events of the graph: event_id, article_id (the first that reports it), ticker, event_type, event_description, date, confidence, importance, metrics, impact.
 
@@ -102,9 +107,8 @@ def graph_events(spark: SparkSession, d: str) -> DataFrame:
     row = F.min(F.struct(F.coalesce("name", F.lit("")).alias("name"), ticker_symbol(F.coalesce("ticker", F.lit(""))).alias("ticker"), F.coalesce("date", F.lit("9999-01-01").cast("date")).alias("date"), F.coalesce("attributes_json", F.lit("")).alias("a")))
     told = lambda path, kind: F.try_variant_get(F.try_parse_json("r.a"), path, kind)
     one = n.groupBy(F.substring("node_id", 7, 1000).alias("event_id")).agg(row.alias("r"))
-    by = table(spark, d, "graph_edges").where("edge_type = 'REPORTS' and target like 'event:%'").groupBy(F.substring("target", 7, 1000).alias("event_id")).agg(F.min("article_id").alias("article_id"))
     direction = direction_signature("r.name")
-    return one.join(by, "event_id", "left").select(
+    return one.join(event_articles(spark, d), "event_id", "left").select(
         "event_id", "article_id", "r.ticker", event_type(F.coalesce(told("$.event_type", "string"), F.lit(""))).alias("event_type"), F.col("r.name").alias("event_description"), F.nullif("r.date", F.lit("9999-01-01").cast("date")).alias("date"),
         told("$.confidence", "double").alias("confidence"), told("$.importance_score", "int").alias("importance"), metric_values("r.name").alias("metrics"), F.when(direction == "positive", 1.0).when(direction == "negative", -1.0).otherwise(0.1).alias("impact"),
     )

@@ -158,3 +158,31 @@ def test_fusion_report_counts_members_and_mentions_by_clusters(spark):
     pairs = lambda *n: sizes("n", n)
     got = fusion.fusion_report((sizes("mentions", [4, 1]), None), (sizes("size", [3, 2, 1, 1]), None), pairs(3, 2), pairs()).first()
     assert got.asDict() == {"event_count": 7, "event_cluster_count": 4, "event_multi_member_cluster_count": 2, "event_fused_member_count": 5, "entity_mention_count": 5, "entity_cluster_count": 2, "entity_multi_member_cluster_count": 1, "event_pairs_considered": 5, "event_pairs_accepted": 0}
+
+
+def test_cluster_edges_are_all_edges_of_the_clusters(spark, tmp_path):
+    import hashlib
+
+    short = lambda s, n=18: hashlib.sha1(s.encode()).hexdigest()[:n]
+    told = lambda kind, c: f'{{"event_type": "{kind}", "confidence": {c}, "importance_score": 1}}'
+    day = lambda m, n: dt.date(2020, m, n)
+    sales = "Sales of Alder rose 5% to 3 million"
+    nodes = [("event:e1", "Event", sales, "AAA", day(1, 1), told("revenue_growth", 0.5)), ("event:e2", "Event", sales + " today", "AAA", day(1, 3), told("revenue_growth", 0.9)), ("event:e3", "Event", "A plant burned.", "AAA", day(2, 1), told("lawsuit", 0.5)),
+             ("event:e4", "Event", "Rates went up 2%", None, None, told("macroeconomic_event", 0.5)), ("entity:x", "Entity", "Cedar Works", None, None, "{}"), ("entity_raw:y", "EntityRawMention", "CEDAR WORKS", None, None, "{}")]
+    hit = lambda e, t, kind, w: (f"event:{e}", t, kind, w, "a1", e, "{}")
+    edges = [(f"article:{a}", f"event:{e}", "REPORTS", 1.0, a, e, "{}") for a, e in [("a2", "e1"), ("a1", "e1"), ("a2", "e2"), ("a3", "e3")]] + [hit("e1", "entity:x", "MENTIONS_ENTITY", 1.0), hit("e3", "entity:x", "MENTIONS_ENTITY", 1.0), hit("e3", "entity_raw:y", "MENTIONS_ENTITY", 1.0)]
+    edges += [hit("e2", "ticker:BBB", "PEER_COMPARED_WITH_ANCHOR", 1.0), hit("e1", "company_ticker:bbb", "PEER_COMPARED_WITH_ANCHOR", -1.0), hit("e1", "ticker:BBB", "PEER_COMPARED_WITH_ANCHOR", -1.0), hit("e3", "ticker:BBB", "MENTIONS_ANCHOR_COMPANY", None), hit("e3", "date:2020-02-01", "MACRO_IMPACT_ON_ANCHOR", 1.0), hit("zz", "ticker:BBB", "MACRO_IMPACT_ON_ANCHOR", 1.0)]
+    for name, rows, kind in [("graph_nodes", nodes, "node_id string, node_type string, name string, ticker string, date date, attributes_json string"), ("graph_edges", edges, "source string, target string, edge_type string, weight double, article_id string, event_id string, attributes_json string"),
+                             ("companies", [("AAA", "Alder Mining Inc", None), ("BBB", "Birch Timber", None)], "ticker string, company string, aliases_json string")]:
+        spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    alder, cedar = (f"entity_cluster:ENTC_{short(s)}" for s in ("AAA|alder mining inc|aaa", "|cedar works|cedar works"))
+    c12, c3, c4 = (f"event_cluster:EVTC_{short(s)}" for s in ("e1|e2", "e3", "e4"))
+    firm, works, fused, said = "company_ticker:AAA", f"entity:{short('cedar works')}", "FUSED_INTO_EVENT_CLUSTER", "MENTIONS_ENTITY_CLUSTER"
+    want = [(c12, "date:2020-01-03", "CLUSTER_OCCURRED_ON"), (c3, "date:2020-02-01", "CLUSTER_OCCURRED_ON"), (c12, firm, "CLUSTER_REVENUE_GROWTH_FOR"), (c3, firm, "CLUSTER_LEGAL_RISK_FOR"), (c12, c3, "EVENT_CLUSTER_PRECEDES")]
+    want += [e for c in (c12, c3) for e in [(c, "ticker:AAA", "CLUSTER_INVOLVES_TICKER"), (c, alder, "CLUSTER_INVOLVES_ENTITY_CLUSTER")]] + [(c, f"event_type:{t}", "CLUSTER_HAS_TYPE") for c, t in [(c12, "revenue_growth"), (c3, "lawsuit"), (c4, "macroeconomic_event")]]
+    want += [(c, f"metric_mention:{short(m)}", "CLUSTER_MENTIONS_METRIC") for c, m in [(c12, "5%"), (c12, "3million"), (c4, "2%")]] + [e for n, c in [(firm, alder), (works, cedar)] for e in [(n, c, "FUSED_INTO_ENTITY_CLUSTER"), (c, n, "CANONICAL_ENTITY_REPRESENTS")]]
+    want = [(*e, 1.0, None, None) for e in want] + [(c12, "company_ticker:BBB", "CLUSTER_PEER_COMPARED_WITH_ANCHOR", -1.0, None, None), (c3, "company_ticker:BBB", "CLUSTER_MENTIONS_ANCHOR_COMPANY", 0.1, None, None)]
+    want += [(f"event:{e}", c, fused, w, a, e) for e, c, w, a in [("e1", c12, 0.942809, "a1"), ("e2", c12, 1.0, "a2"), ("e3", c3, 1.0, "a3"), ("e4", c4, 1.0, None)]] + [(c, f"event:{e}", "CANONICAL_EVENT_REPRESENTS", 1.0, None, e) for c, e in [(c12, "e2"), (c3, "e3"), (c4, "e4")]]
+    want += [(f"event:{e}", c, said, 1.0, a, e) for e, c, a in [("e1", alder, "a1"), ("e2", alder, "a2"), ("e3", alder, "a3"), ("e1", cedar, "a1"), ("e3", cedar, "a3")]]
+    got = graph_queries.cluster_edges(spark, str(tmp_path)).select("source", "target", "edge_type", "weight", "article_id", "event_id")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
